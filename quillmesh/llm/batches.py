@@ -12,6 +12,15 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 CHUNK_BYTES = 4 << 20
+#: Rows in an Arrow batch, so that a batch of long texts or of pairs of sets stays small; Spark's own default is 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS where they are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def by_value(module: str) -> None:

@@ -13,7 +13,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import by_value, chunks
+from .batches import by_value, chunks, small_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -234,6 +234,7 @@ def extract_batches(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each page, repeated rows included; further columns are ignored."""
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(extract_batches, "page_id long, url string, text string, n_chars long")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_value, chunks
+from .batches import by_value, chunks, small_batches
 from .minhash import mix
 
 #: About this many labelled rows of each language are learned from, chosen by a hash of their id.
@@ -196,6 +196,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts, texts without a letter, and all texts under a model without languages are `und` with score 0. Repeated
     rows are scored each; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # piece probabilities; as large as vocabulary times languages
 
     def run(batches):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import by_value, chunks, per_process
+from .batches import by_value, chunks, per_process, small_batches
 
 CAPACITY = 1024
 #: A group is packed once it holds this many tokens; bounds a task's memory and the sequences that a piece chooses from.
@@ -141,6 +141,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     Null and empty texts hold the closing id alone. Repeated rows are packed each. A text of any length is cut into
     sequences. sequence_id is the task's number times 2**33 plus a count. Further columns are ignored; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(pack_batches, SCHEMA)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_value, chunks, per_process
+from .batches import by_value, chunks, per_process, small_batches
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -289,6 +289,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans; repeated rows are searched each; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(span_batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_value, chunks
+from .batches import by_value, chunks, small_batches
 from .store import maybe_broadcast, materialise
 
 MIN_WORDS = 50
@@ -104,6 +104,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     A document without a host is judged by its own rules only. Empty and null texts have no words and fail. Repeated
     rows are judged each; further columns are ignored. A host is rejected only if most of its documents fail, after shrinking.
     """
+    small_batches(docs.sparkSession)
     schema = f"doc_id long, host string, {COUNTS}"
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, schema)
     got = materialise(got.withColumn("base_failed", base_failed()), "quality")  # a few numbers a document, used twice
@@ -118,6 +119,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     The text stays where it is: rules run where documents are read, and rejected hosts are a small table.
     """
     keep = "_keep"
+    small_batches(docs.sparkSession)
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, f"doc_id long, host string, {COUNTS}")
     bad = host_rates(got.withColumn("failed", base_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"))
     passed = docs.withColumn(keep, passes(F.col("text"))).where(keep).drop(keep)
