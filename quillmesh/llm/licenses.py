@@ -1,8 +1,8 @@
 """Licence notices in documents: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-Documents and templates are cut into windows of shingles (five words each); a band is one minimum. Window sizes follow
-template sizes: templates of 11 shingles or more use windows of 8 at every fourth shingle and 4 permutations, so at
-least one document window lies wholly inside a copy and collides for certain; templates of 4 to 10 use windows of 4 at
+Documents and templates are cut into windows of shingles (five words each); a band is one minimum or maximum of their
+hashes. Window sizes follow template sizes: templates of 11 shingles or more use windows of 8 at every fourth shingle, so
+at least one document window lies wholly inside a copy and collides for certain; templates of 4 to 10 use windows of 4 at
 every shingle; smaller ones their shingles. Edited copies collide with probability 1 - (1 - j) ** bands for each window
 pair of similarity j. All in DataFrame functions.
 """
@@ -17,7 +17,6 @@ from .words import item_words
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 75
-SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0x2545F4914F6CDD1D)
 #: Public licence notices as they are found in files and pages.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -41,9 +40,10 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFra
     return spark.range(1).select(F.inline(rows))
 
 
-def shingles(text) -> DataFrame:
+def shingles(words):
     """Hashes of all runs of five words, in order; fewer words have none."""
-    return F.transform(F.sequence(F.lit(0), F.size(text) - SHINGLE), lambda i: F.xxhash64(F.slice(text, i + 1, F.lit(SHINGLE))))
+    last = F.size(words) - SHINGLE
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(SHINGLE))))).otherwise(none())
 
 
 def none():
@@ -57,18 +57,19 @@ def small_bands(sh):
 
 
 def large_bands(sh, step: int):
-    """Four minima for each window of 8 shingles, `step` apart. A permutation is the exclusive or with its seed."""
+    """The minimum and the maximum of each window of 8 shingles, `step` apart."""
     n = F.size(sh)
 
     def bands(i):
-        return F.array(*[F.xxhash64(F.lit(8), F.lit(k), F.array_min(F.transform(F.slice(sh, i + 1, F.lit(8)), lambda x, s=s: x.bitwiseXOR(F.lit(s))))) for k, s in enumerate(SEEDS)])
+        w = F.slice(sh, i + 1, F.lit(8))
+        return F.array(F.xxhash64(F.lit(8), F.array_min(w)), F.xxhash64(F.lit(9), F.array_max(w)))
 
     return F.when(n >= 8, F.flatten(F.transform(F.sequence(F.lit(0), n - 8, F.lit(step)), bands))).otherwise(none())
 
 
 def with_shingles(df: DataFrame) -> DataFrame:
-    """Adds sh, the shingles of column text; rows with fewer than five words go."""
-    return df.withColumn("_w", item_words(F.col("text"))).where(F.size("_w") >= SHINGLE).withColumn("sh", shingles(F.col("_w"))).drop("_w", "text")
+    """Adds sh, the shingles of column text; fewer than five words have none."""
+    return df.withColumn("_w", item_words(F.col("text"))).withColumn("sh", shingles(F.col("_w"))).drop("_w", "text")
 
 
 def index(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
