@@ -72,5 +72,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that no benchmark window occurs in, with their columns."""
-    bad = materialise(scan(docs, benchmark, window).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")), "contaminated")
-    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    bad = materialise(scan(docs, benchmark, window).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_qm_d"), F.col("_text").alias("_qm_t")), "contaminated")
+    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_qm_d")) & (F.xxhash64("text") == F.col("_qm_t")), "left_anti")

@@ -45,21 +45,22 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return counted.where(spread >= sites).select("h", "n", "first", spread.alias("sites"))
 
 
-def remove_lines(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
-    """docs with `text` less its boilerplate lines, and `lines_removed`, the positions that went.
+def remove_lines(docs: DataFrame, sites: int = SITES, site: str = "source", gone: str = "lines_removed") -> DataFrame:
+    """docs with `text` less its boilerplate lines, and the positions that went in column `gone` (which it replaces).
 
-    Null and empty texts stay as they are. Rows that repeat doc_id and text are treated alike. Blank lines stay.
+    Null and empty texts stay as they are. Rows that repeat doc_id and text are treated alike. Blank lines stay. Other
+    columns stay, but for names that begin with _qm_.
     """
     lines = lines_of(docs, site)
     known = materialise(boilerplate(lines, sites), "boilerplate").select(F.col("h").alias("_h"), F.col("n").alias("_n"), "first")
-    gone = lines.join(maybe_broadcast(known), (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
-    gone = gone.where(~F.struct(F.col("doc_id"), F.col("pos")).eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
+    out = lines.join(maybe_broadcast(known), (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")))
+    out = out.where(~F.struct(F.col("doc_id"), F.col("pos")).eqNullSafe(F.col("first")))
+    out = out.groupBy(F.col("doc_id").alias("_qm_d"), F.col("_text").alias("_qm_t")).agg(F.sort_array(F.collect_set("pos")).alias("_qm_gone"))
+    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col("_qm_d")) & (F.xxhash64("text") == F.col("_qm_t")), "left")
     parts = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    return joined.withColumn("text", text).withColumn("lines_removed", F.coalesce("_gone", F.array().cast("array<int>"))).drop("_d", "_t", "_gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_qm_gone"))
+    text = F.when(F.col("_qm_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    return joined.withColumn("text", text).withColumn(gone, F.coalesce("_qm_gone", F.array().cast("array<int>"))).drop("_qm_d", "_qm_t", *([] if gone == "_qm_gone" else ["_qm_gone"]))
 
 
 def line_digest(docs: DataFrame, sites: int = SITES) -> DataFrame:
@@ -70,7 +71,13 @@ def line_digest(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def filter_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with their columns less boilerplate lines; a document that has lost all its lines with words goes."""
-    out = remove_lines(docs, sites)
-    empty = (F.size("lines_removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return out.where(~empty).withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """docs with their columns less boilerplate lines; a document that has lost all its lines with words goes.
+
+    n_chars, where there is such a column, follows the text.
+    """
+    out = remove_lines(docs, sites, gone="_qm_gone")
+    cut = F.size("_qm_gone") > 0
+    out = out.where(~(cut & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

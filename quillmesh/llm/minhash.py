@@ -338,9 +338,9 @@ def docs_repeat(signed: DataFrame) -> bool:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, the least doc_id, with its columns."""
-    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_d")).distinct(), "duplicates")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_d"), "left_anti")
+    """The rows of each class's least doc_id, with their columns; rows without a doc_id stay."""
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_qm_d")).distinct(), "duplicates")
+    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_qm_d"), "left_anti")
 
 
 by_value(__name__)

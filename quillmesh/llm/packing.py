@@ -36,24 +36,30 @@ def tokenizer(name: str = "byte_bpe_50k"):
     punctuation blocks, and texts on which the fast path fails, are encoded by the vocabulary's own definition.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    own = public_tokenizers.path(f"{name}.json")
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+    with open(own, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(own)
+
     def encode(text: str) -> np.ndarray:
         if not _PLAIN.search(text):
             try:
                 return fast.encode_to_numpy(text, allowed_special="all")
             except Exception:  # e.g. the pattern's backtracking limit on a very long run of spaces
                 pass
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(per_process(("slow", name), slow).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 

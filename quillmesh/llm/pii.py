@@ -64,9 +64,9 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: Generators: kind, a string or digit need for a quick look, and a pattern whose group 1 is the span.
+#: Generators: kind, what a quick look asks for (a digit where none is named), and a pattern whose group 1 is the span.
 GENERATORS = (
-    ("email", re.compile(r"(?i)\b(?:at|dot)\b"), re.compile(r"(?i)\b([a-z0-9][a-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}|@| at ) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9-]{1,63}){1,4})")),
+    ("email", "at", re.compile(r"(?i)\b(?=([a-z0-9][a-z0-9._%+-]{0,63}(?: ?[(\[{]at[)\]}] ?[a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){1,4}| at [a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}){1,4})))")),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?)(?![0-9A-Za-z-])")),
     ("card", None, re.compile(r"(?<![0-9])([0-9]{4}[. ]{1,2}[0-9]{4,6}[. ]{1,2}[0-9]{4,5}(?:[. ]{1,2}[0-9]{3,4})?)(?![0-9])")),
     ("iban", None, re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
@@ -74,6 +74,7 @@ GENERATORS = (
     ("secret", None, re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,256})")),
 )
 DIGIT = re.compile(r"[0-9]")
+OBFUSCATED = re.compile(r"(?i)[(\[{]at[)\]}]| dot |[(\[{]dot[)\]}]")
 CUES = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|e-?mail|mail|contact|write|reach|ssn|social|security|card|visa|pay|iban|account|bank|token|secret|passw(?:or)?d|key|bearer|credential)")
 AWAY = re.compile(r"(?i)\b(?:order|version|isbn|issn|ref|invoice|page|pages|score|line|lot|sku|part|model|serial|dates?|year|sha1?|md5|commit|look|was|is|were|it)\W*$")
 
@@ -87,7 +88,7 @@ def candidates(text: str) -> list[Span]:
                 digits = DIGIT.search(text) is not None
             if not digits:
                 continue
-        elif "at" not in text and "AT" not in text and "@" not in text or "dot" not in text.lower() and "(at)" not in text and "[at]" not in text:
+        elif not OBFUSCATED.search(text):
             continue
         out += [(kind, m.start(1), m.end(1)) for m in pattern.finditer(text)]
     return out
@@ -205,7 +206,7 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, Span, bool]]:
         kind, good = r.choice([k for k in KINDS if k != "ip"]), r.random() < 0.5
         lead = r.choice(cue.get(kind, ["the"])) if r.random() < (0.75 if good else 0.1) else r.choice(away) if not good and r.random() < 0.7 else word()
         if kind == "email":
-            body = f"{word()}{r.choice(['.', '_', ''])}{word()}{r.choice(['(at)', ' (at) ', '[at]', ' [at] ', ' at ' if lead in cue['email'] else '(at)'])}{word()}{r.choice([' dot ', '(dot)', ' [dot] ', '.'])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}" if good else f"{word()} at {word()}{r.choice([' dot ', '.', '. '])}{word()}"
+            body = f"{word()}{r.choice(['.', '_', ''])}{word()}{r.choice(['(at)', ' (at) ', '[at]', ' [at] ', ' at ' if lead in cue['email'] else '(at)'])}{word()}{r.choice([' dot ', '(dot)', ' [dot] ', '.'])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}" if good else f"{word()} at {word()} dot {word()}"
         elif kind == "phone":
             body = f"({digits(3)}) {digits(3)}-{digits(4)}" if r.random() < 0.4 else f"{digits(3)}{r.choice('-. ')}{digits(3)}{r.choice('-. ')}{digits(4)}"
             if not good:

@@ -118,12 +118,11 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
     The text stays where it is: rules run where documents are read, and rejected hosts are a small table.
     """
-    keep = "_keep"
     small_batches(docs.sparkSession)
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, f"doc_id long, host string, {COUNTS}")
-    bad = host_rates(got.withColumn("failed", base_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"))
-    passed = docs.withColumn(keep, passes(F.col("text"))).where(keep).drop(keep)
-    return passed.join(maybe_broadcast(materialise(bad, "hosts")), F.col("source") == F.col("_bad"), "left_anti")
+    bad = host_rates(got.withColumn("failed", base_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_qm_bad"))
+    passed = docs.withColumn("_qm_keep", passes(F.col("text"))).where("_qm_keep").drop("_qm_keep")
+    return passed.join(maybe_broadcast(materialise(bad, "hosts")), F.col("source") == F.col("_qm_bad"), "left_anti")
 
 
 def passes(text):

@@ -1,0 +1,310 @@
+"""Every operator against a brute-force version or a fixture, and on awkward rows."""
+
+import collections
+import hashlib
+import itertools
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("quillmesh.llm")
+from quillmesh.llm import decontaminate, html, langid, licenses, linededup, minhash, packing, pii, quality, sharding  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, shard int, lines_removed int, kept boolean"
+BASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tall old tree near the calm river bank and sing of winter nights and summer days until the morning sun climbs over distant blue hills again and the village wakes to bread and bells"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", 1, 2, False) for i, t, lang, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    words = BASE.split()
+    long = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
+    near = [" ".join(words[:k] + ["zebra"] + words[k + 1 :]) for k in (3, 20, 44)]
+    rows = [(1, BASE, "en", "a"), (2, BASE, "en", "b"), (2, BASE, "en", "b"), (3, None, None, None), (4, "", "en", "a"), (5, " \n\t\n ", "en", "a"), (6, "one two", "en", "c"), (7, "One  two", "en", None), (8, long, "en", "a"), (9, near[0], "en", "c"), (10, near[1], "en", "d"), (None, near[2], "en", "e"), (11, "!!! ??? 12 34", "en", "a"), (12, "Ünïcode 漢字かな交じり文 🎉 text ½", "fr", "b"), (13, "\n".join(["All the same line here", "All the same line here", BASE]), "en", "f")]
+    return docs_of(spark, rows)
+
+
+def test_no_rows(spark, awkward):
+    none = awkward.limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert minhash.near_duplicates(none).count() == 0
+    assert quality.judge_documents(none).count() == 0 and quality.filter_quality(none).count() == 0
+    assert decontaminate.contamination(none, bench).count() == 0
+    assert decontaminate.contamination(awkward, bench).where("contaminated").count() == 0
+    assert linededup.line_digest(none).count() == 0 and linededup.filter_lines(none).columns == none.columns
+    assert licenses.scan_licenses(none).count() == 0
+    assert packing.pack_documents(none).count() == 0
+    assert pii.find_personal_data(none).count() == 0
+    assert sharding.shard_documents(none).count() == 0
+    assert langid.identify(none, langid.train(none)).count() == 0
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def shingle_set(text):
+    w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    w = ["".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_classes(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            ra, rb = sorted((find(a), find(b)))
+            root[rb] = ra
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates(spark, awkward):
+    got = minhash.near_duplicates(awkward).collect()
+    assert len(got) == awkward.count()
+    want = brute_classes({(r.doc_id, r.text) for r in awkward.collect() if r.doc_id is not None})
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+            assert r.kept == (r.doc_id == r.component_id)
+    assert next(r for r in got if r.doc_id is None).n_shingles == len(shingle_set(awkward.where("doc_id is null").first().text))
+    kept = minhash.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 4, 5, 6, 8}
+
+
+def test_family_of_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(700):
+        w = list(words)
+        for k in rng.choice(120, rng.integers(1, 5), replace=False):
+            w[k] = f"e{i}n{k}"
+        rows.append((i + 1, " ".join(w)))
+    old = minhash.BLOCK, minhash.LEADER_ROUNDS
+    try:
+        minhash.BLOCK, minhash.LEADER_ROUNDS = 64, 1
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        minhash.BLOCK, minhash.LEADER_ROUNDS = old
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body class="has-sidebar"><header>Site name</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+    <div class="cookie-notice">We use cookies, lots of them, and you agree.</div><div id="main"><article><header><h1>Head &amp; line</h1></header><p>First paragraph, with a comma,
+    and <b>bold<br>text</b> that runs on &#8212; long enough.<p>Second one, not closed, is also quite long, so it scores.<ul><li>item one<li>item two</ul><div class="ad">Buy, buy, buy this great thing now.</div>
+    <form><input><button>Go</button></form></article><section class="comments"><p>Great article, thanks, I loved it, really, so much of it.</p></section></div><aside><p>Side, bar, text, with many, commas, here.</p></aside><footer>&copy; me</footer></body></html>"""
+    assert html.main_text(page) == "Head & line\n\nFirst paragraph, with a comma, and bold text that runs on — long enough.\n\nSecond one, not closed, is also quite long, so it scores.\n\nitem one\n\nitem two"
+    assert html.main_text(None) == html.main_text("") == ""
+    assert html.main_text("just text &lt;here&gt;") == "just text <here>"
+    deep = "<div>" * 20_000 + "deep words, enough of them to count" + "</div>" * 20_000
+    assert html.main_text(deep) == "deep words, enough of them to count"
+    assert "unclosed" in html.main_text('<p>unclosed <a href="x>link and words, some more words')
+
+
+def test_language(spark, awkward):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = {r.doc_id: r.lang_pred for r in langid.identify(awkward, langid.train(docs)).collect()}
+    assert odd[3] == odd[4] == odd[5] == odd[11] == "und" and odd[1] == "en" and odd[12] != "und"
+
+
+def test_forward_sums_all_segmentations():
+    model = langid.Model(["▁a", "b", "ab", "▁ab", "▁"], ["x", "y"])
+    model.p[2:] = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.3], [0.25, 0.1], [0.15, 0.3]])
+    got = np.exp(model.log_likelihoods(["ab"]))[0]
+    assert np.allclose(got, [0.25 + 0.1 * 0.2 + 0.15 * 0.3 + 0.15 * langid.Model.UNKNOWN * 0.2, 0.1 + 0.2 * 0.1 + 0.3 * 0.3 + 0.3 * langid.Model.UNKNOWN * 0.1])
+
+
+def brute_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    tri = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark, awkward):
+    texts = [r.text for r in awkward.collect()] + ["a b c a b c d", "x\x1cy z q", "a\n\na\n \n a\na", "the the the the"]
+    assert [quality.counts(t) for t in texts] == [brute_counts(t) for t in texts]
+    got = {r.doc_id: r for r in quality.judge_documents(awkward).collect()}
+    assert got[1].kept is False or not got[1].base_failed
+    assert all(got[i].base_failed for i in (3, 4, 5, 6)) and not got[3].kept
+    rows = [(i, BASE if i % 10 else "short", "en", "good") for i in range(40)] + [(100 + i, "bad words" if i % 10 else BASE, "en", "bad") for i in range(40)]
+    kept = {r.doc_id for r in quality.filter_quality(docs_of(spark, rows)).collect()}
+    assert kept == {i for i in range(40) if i % 10}
+    assert {r.doc_id for r in quality.judge_documents(docs_of(spark, rows)).where("kept").collect()} == kept
+
+
+def test_host_rates_shrink(spark):
+    rows = [("h1", k < 5) for k in range(10)] + [("h2", True)] + [("h3", False)] * 50 + [(None, True)]
+    got = {r.host: r for r in quality.host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    assert set(got) == {"h1", "h2", "h3"} and got["h2"].rate < 1 and got["h3"].rate > 0
+    mean = 6 / 61
+    assert all(min(mean, r.n_failed / r.n) <= r.rate <= max(mean, r.n_failed / r.n) for r in got.values())
+
+
+def item_words(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def brute_hits(text, items):
+    w, hit, found = item_words(text), set(), set()
+    for item, t in items:
+        iw = item_words(t)
+        if not iw:
+            continue
+        k = min(10, len(iw))
+        windows = {tuple(iw[i : i + k]) for i in range(len(iw) - k + 1)}
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in windows:
+                hit.update(range(i, i + k))
+                found.add(str(item))
+    ids = ",".join(sorted(found))
+    return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination(spark, awkward):
+    items = [(1, " ".join(BASE.split()[5:25])), (2, "Two"), (10, None), (3, ""), (4, "かな交じり文"), (5, " ".join(BASE.split()[5:25])), (6, "w996x11 w0x12 w1x0"), (7, "calm river")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(awkward, bench).collect()
+    want = {(r.doc_id, *brute_hits(r.text, items)) for r in awkward.collect()}
+    assert {tuple(r) for r in got} == want
+    clean = decontaminate.remove_documents(awkward, bench)
+    assert clean.columns == awkward.columns
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in awkward.collect() if not brute_hits(r.text, items)[4])
+
+
+def brute_lines(rows, sites):
+    spread, first = collections.defaultdict(set), {}
+    for i, t, s in rows:
+        for p, line in enumerate((t or "").split("\n") if t is not None else []):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                spread[line] |= {s} - {None}
+                first[line] = min(first.get(line, (i, p)), (i, p))
+    return {(i, t): t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if len(spread.get(x, ())) < sites or first[x] == (i, p)) for i, t, s in rows}
+
+
+def test_lines(spark):
+    rows = [(i, f"Shared line of all sites here\nown text number {i} of this document\n\nOnly two sites\nmany" if i % 3 else f"Shared line of all sites here\nOnly own {i}\nmany\nmany", f"s{i % 7}" if i != 12 else None) for i in range(1, 30)]
+    rows += [(50, None, "s1"), (51, "", "s2"), (52, "Shared line of all sites here", "s3"), (53, "Only two sites", "s1")]
+    docs = docs_of(spark, [(i, t, "en", s) for i, t, s in rows])
+    want = brute_lines(rows, linededup.SITES)
+    got = linededup.remove_lines(docs)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(i, v) for (i, _), v in want.items()}
+    kept = linededup.filter_lines(docs)
+    assert kept.columns == docs.columns and 52 not in {r.doc_id for r in kept.collect()}
+    assert all(r.n_chars == len(r.text or "") and r.lines_removed == 2 for r in kept.collect())
+
+
+def test_licenses(spark, awkward):
+    mit = licenses.TEMPLATES["mit-text"]
+    edited = mit.replace("merge", "join")
+    rows = [(1, f"{BASE}\n{mit}\n{BASE}"), (2, f"x {edited}"), (3, "Nothing here. " + BASE), (4, "foo released UNDER the mit license bar"), (5, None), (6, ""), (7, mit[: len(mit) // 2]), (4, "foo released UNDER the mit license bar")]
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "mit-text"), (2, "mit-text"), (4, "mit-line")}
+    assert licenses.scan_licenses(awkward).count() == 0
+
+
+def test_packing(spark, awkward):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).selectExpr("doc_id + 100000", "text")).union(spark.createDataFrame([(999_999, "a <|endoftext|> b" + " " * 5000 + "c")], "doc_id long, text string"))
+    ids = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+    pieces = packing.pack_documents(docs).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) and p.doc_tokens == len(ids[p.doc_id])
+        by_doc[p.doc_id].append((p.start, p.length))
+        by_seq[p.sequence_id].append((p.offset, p.length))
+    assert set(by_doc) == set(ids)
+    for d, x in by_doc.items():
+        assert [s for s, _ in sorted(x)] == list(itertools.accumulate([n for _, n in sorted(x)], initial=0))[:-1] and sum(n for _, n in x) == len(ids[d])
+    for x in by_seq.values():
+        x.sort()
+        assert [o for o, _ in x] == list(itertools.accumulate([n for _, n in x], initial=0))[:-1]
+        total = sum(n for _, n in x)
+        assert total <= 1024 and total & (total - 1) == 0
+
+
+BASE_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE_PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)) or kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data(spark, awkward):
+    texts = ["a@b.com_c@d.org x@y z@@q.com .@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3", "4111 1111 1111 1111 4111111111111112 12-34", "+1 (555) 123-4567 +12 + 3 +1234567890123456789", "mail me@x.co.uk or +49 30 1234567, ip 10.0.0.1", "+1 " + "9" * 40, "1" * 20000 + ".", "a" * 20000]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts += [r.text for r in docs.limit(300).collect()]
+    model = pii.fitted()
+    for t in texts:
+        base, every = pii.find_spans(t, model)
+        assert base == brute_spans(t) and set(base) <= set(every)
+    one = lambda t: [t[a:b] for _, a, b in pii.find_spans(t, model)[1]]
+    assert one("reach me at joe.doe(at)mail(dot)org now") == ["joe.doe(at)mail(dot)org"]
+    assert one('the token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" here') == ["2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"]
+    assert one("look at the cat. version 2.0 of order 1234") == []
+    got = {r.doc_id: r for r in pii.find_personal_data(awkward).collect()}
+    assert got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert spark.createDataFrame([("x a@b.com y",), (None,)], "t string").select(pii.redact("t").alias("r")).collect() == [("x [email] y",), (None,)]
+
+
+def test_sharding(spark, awkward):
+    got = sharding.shard_documents(awkward).collect()
+    texts = collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in awkward.collect())
+    assert collections.Counter((r.doc_id, r.text_crc32, r.size) for r in got) == texts
+    slots = collections.defaultdict(list)
+    for r in got:
+        assert 0 <= r.shard <= 15 and r.grown_shard in (r.shard, 16)
+        u = [(int(hashlib.md5(f"{'null' if r.doc_id is None else r.doc_id}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for s in range(17)]
+        assert r.shard == min(range(16), key=lambda s: -math.log(u[s])) and r.grown_shard == min(range(17), key=lambda s: -math.log(u[s]))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    verdict = {r.doc_id for r in quality.judge_documents(spark.read.parquet(f"{d}/documents.parquet")).where("kept").collect()}
+    docs = [(r.doc_id, r.text, r.source) for r in rows if r.doc_id in verdict]
+    lines = brute_lines(docs, linededup.SITES)
+    docs = [(i, lines[i, t]) for i, t, _ in docs if lines[i, t] == t or re.search(r"[^\x20\x09-\x0D]", lines[i, t])]
+    classes = brute_classes(docs)
+    docs = [(i, t) for i, t in docs if classes[i][1] == i]
+    docs = {i: t for i, t in docs if not brute_hits(t, bench)[4]}
+    encode = packing.tokenizer()
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, d).collect():
+        got[r.doc_id] += r.length
+        assert r.ids_crc32 == zlib.crc32(np.append(encode(docs[r.doc_id]), np.uint32(0))[r.start : r.start + r.length].astype("<u4").tobytes())
+    assert got == {i: len(encode(t)) + 1 for i, t in docs.items()}
