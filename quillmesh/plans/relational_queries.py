@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import relational as R
 
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 from .url_queries import _HREFS, _links
 
 
