@@ -38,17 +38,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     block = F.transform(starts, lambda s: F.struct(s.alias("at"), F.size("_w").alias("n"), F.slice(F.col("_w"), s + 1, F.lit(BLOCK + window - 1)).alias("w")))
     blocks = base.select("doc_id", "_text", F.explode(block).alias("b")).select("doc_id", "_text", "b.at", "b.n", "b.w")
 
-    def found(k: int):
-        last = F.least(F.size("w") - k, F.lit(BLOCK - 1))
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct((F.col("at") + i).alias("pos"), F.lit(k).alias("len"), F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.lit(k))).alias("win")))
+    none = F.array().cast("array<string>")
 
-    head = F.when(F.col("at") == 0, F.array(F.struct(F.lit(-1).alias("pos"), F.col("n").alias("len"), F.lit(None).cast("string").alias("win")))).otherwise(F.array().cast("array<struct<pos:int,len:int,win:string>>"))
-    rows = blocks.select("doc_id", "_text", F.explode(F.concat(head, *[found(k) for k in sizes])).alias("x")).select("doc_id", "_text", "x.pos", "x.len", "x.win")
+    def found(k: int, head: bool):
+        """Rows of windows of k words. With head, each document's first block begins with a null, which keeps its n_words."""
+        last = F.least(F.size("w") - k, F.lit(BLOCK - 1))
+        texts = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.lit(k))))).otherwise(none)
+        skip = F.when(F.col("at") == 0, 1).otherwise(0) if head else F.lit(0)
+        if head:
+            texts = F.when(F.col("at") == 0, F.concat(F.array(F.lit(None).cast("string")), texts)).otherwise(texts)
+        got = blocks.select("doc_id", "_text", "n", (F.col("at") - skip).alias("from"), F.posexplode(texts).alias("i", "win"))
+        return got.select("doc_id", "_text", "n", (F.col("from") + F.col("i")).alias("pos"), F.lit(k).alias("len"), "win")
+
+    rows = found(sizes[0] if sizes else window, True)
+    for k in sizes[1:]:
+        rows = rows.unionByName(found(k, False))
     known = maybe_broadcast(wins.select(F.col("win").alias("_win"), F.col("len").alias("_len")).distinct())
     hits = rows.join(known, (F.col("win") == F.col("_win")) & (F.col("len") == F.col("_len")), "left").where(F.col("_win").isNotNull() | (F.col("pos") < 0))
     spans = F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "len")))
-    by = hits.groupBy("doc_id", "_text").agg(F.max(F.when(F.col("pos") < 0, F.col("len"))).cast("long").alias("n_words"), spans.alias("spans"), F.collect_set("_win").alias("wins"))
+    by = hits.groupBy("doc_id", "_text").agg(F.max("n").cast("long").alias("n_words"), spans.alias("spans"), F.collect_set("_win").alias("wins"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
 
     def cover(acc, x):

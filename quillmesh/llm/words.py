@@ -7,8 +7,8 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Runs of digits, lower-case letters and characters beyond ASCII, once A-Z are lower-cased.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is between words: all of ASCII but digits and lower-case letters, once A-Z are lower-cased.
+ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -17,5 +17,5 @@ def ascii_lower(text: Column) -> Column:
 
 
 def item_words(text: Column) -> Column:
-    """The words of a whole text; null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
+    """The words of a whole text; null has none. Splitting is several times faster than extracting matches."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ITEM_GAP, -1), "")
