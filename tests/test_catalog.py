@@ -37,3 +37,39 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_clusters_settle(spark):
+    from quillmesh.operators import resolve, vectors
+
+    rows = [(i, [float(c) * 3 + (i % 40) * 0.001, 0.0], c) for c in range(3) for i in range(c * 40, c * 40 + 40)] + [(500, [50.0, 50.0], 9)]
+    v = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    labels = vectors.dbscan(v, "id", "v", 0.5, 30).collect()
+    assert {r.id: r.cluster for r in labels} == {**{i: i // 40 * 40 for i in range(120)}, 500: -1}
+    old = vectors.BLOCK
+    try:
+        vectors.BLOCK = 16
+        assert vectors.range_join(v, "id", "v", 0.5).count() == 3 * 40 * 39 // 2
+    finally:
+        vectors.BLOCK = old
+    loss = resolve.triplet_loss(resolve.triplets(v), v, 0.2)
+    assert loss.where("loss < 0").count() == 0 and loss.count() > 0
+
+
+def test_upserts(spark):
+    from quillmesh.operators import relational as R
+
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 2)], "k int, s string, n int")
+    new = spark.createDataFrame([(2, None, 3), (3, "c", 4)], "k int, s string, n int")
+    assert sorted(R.upsert(old, new, ["k"]).collect()) == [(1, "a", None), (2, "b", 3), (3, "c", 4)]
+    assert sorted(R.upsert(old, new, ["k"], prefer_new=False).collect()) == [(1, "a", None), (2, "b", 2), (3, "c", 4)]
+    assert sorted(R.insert_missing(old, new.union(new), ["k"]).collect()) == [(1, "a", None), (2, "b", 2), (3, "c", 4)]
+
+
+def test_late_events_fall_out(spark):
+    from quillmesh.streaming import visits
+
+    e = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/[e]vents.parquet").withColumn("ts", __import__("pyspark.sql.functions", fromlist=["col"]).col("ts").cast("timestamp"))
+    q = visits.windowed_counts(e).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT sum(n) AS n FROM counts").first().n == 1000
