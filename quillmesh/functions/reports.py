@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRODUCTS = "struct<totalResults:int,products:array<struct<cpe:struct<cpeName:string,lastModified:string,titles:array<struct<title:string,lang:string>>,refs:array<struct<ref:string,type:string>>,cves:array<string>>>>>"
@@ -59,15 +59,83 @@ def rect(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: F.bround(x.cast("double")).cast("int"))
 
 
-#: What scripts are made of, and what code that hides itself uses.
-SCRIPT_PARTS = ("var ", ";", "(", ")", "{", "}", "function", "=", "+")
-HIDING = ("eval", "unescape", "fromCharCode", "String.", "replace(")
+#: What scripts are made of; those without which there is none; and the tag of an embedded one.
+SCRIPT_PARTS = ("var ", ";", ")", "(", "function ", "=", "{", "}", "if ", "else", "return", "while ", "for ", ",", "eval")
+SCRIPT_KEYS = (";", "(", ")")
+SCRIPT_TAG = r"(?is)<script[^>]*?contentType\s*?=\s*?['\"]application/x-javascript['\"][^>]*?>(.*?)</script>"
 
 
 def looks_like_script(text: Column) -> Column:
-    """Whether most of a script's parts occur, or any that hides code."""
-    parts = sum((F.when(text.contains(p), 1).otherwise(0) for p in SCRIPT_PARTS[1:]), F.when(text.contains(SCRIPT_PARTS[0]), 1).otherwise(0))
-    hidden = F.lit(False)
-    for h in HIDING:
-        hidden = hidden | text.contains(h)
-    return hidden | (parts >= 7)
+    """Whether a text has the tag, or is plain ASCII with every key part and many parts for its length."""
+    times = lambda p: ((F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)).cast("int")
+    counts = F.transform(F.array(*[F.struct(times(p).alias("n")) for p in SCRIPT_PARTS]), lambda x: x["n"])
+    total = F.aggregate(counts, F.lit(0), lambda acc, x: acc + x)
+    kinds = F.size(F.filter(counts, lambda x: x > 0))
+    keys = text.contains(SCRIPT_KEYS[0]) & text.contains(SCRIPT_KEYS[1]) & text.contains(SCRIPT_KEYS[2])
+    dense = ((total > 15) & (kinds >= 4)) | ((F.length(text) < 100) & (total * 100 > 10 * F.length(text)))
+    return text.rlike(SCRIPT_TAG) | (~text.rlike(r"[^\x00\t\n\f\r\x20-\x7E]") & keys & dense)
+
+
+#: Record types of name answers, in the order asked, and how each failure is written.
+RECORD_TYPES = ("A", "NS", "CNAME", "SOA", "MX", "TXT", "AAAA", "CERT", "A6", "DNAME", "CAA")
+NAME_ERRORS = {
+    "NXDOMAIN": "DNS query name does not exist.",
+    "Timeout": "The DNS operation timed out.",
+    "NoNameservers": "Server 8.8.8.8 UDP port 53 answered SERVFAIL.",
+    "LabelTooLong": "A DNS label is > 63 octets long.",
+}
+
+
+def name_answers(answers: DataFrame, domain: str = "domain") -> DataFrame:
+    """A row a domain with a sorted list of each record type and the last asked type's error.
+
+    answers: domain, rtype, value, failure (a name of NAME_ERRORS, or null). One aggregate, combined before the shuffle.
+    """
+    of = lambda t: F.array_sort(F.collect_list(F.when((F.col("rtype") == t) & F.col("value").isNotNull(), F.col("value"))))
+    text = F.coalesce(*[F.when(F.col("failure") == k, F.lit(v)) for k, v in NAME_ERRORS.items()])
+    asked = F.array_position(F.array(*map(F.lit, RECORD_TYPES)), F.col("rtype"))
+    return answers.groupBy(domain).agg(*[of(t).alias(t.lower()) for t in RECORD_TYPES], F.max_by(text, F.when(text.isNotNull(), F.struct(asked, text))).alias("error"))
+
+
+ADVISORY = "map<string,struct<friendly_name:string,latest_version:string,last_updated:string,popular:boolean,vulnerabilities:array<struct<id:string,title:string,fixed_in:string>>>>"
+
+
+def advisory(text: Column) -> dict[str, Column]:
+    """The last component of an advisory's JSON object and its vulnerabilities."""
+    j = F.try_element_at(F.map_values(F.from_json(text, ADVISORY)), F.lit(-1))
+    return {n: j[n] for n in ("friendly_name", "latest_version", "last_updated", "popular", "vulnerabilities")}
+
+
+LISTING = "Name string, IsTruncated boolean, Contents array<struct<Key:string,LastModified:string,Size:bigint>>"
+
+
+def listing(xml: Column) -> Column:
+    """name and files of a storage listing; every repeated tag is kept."""
+    return F.from_xml(xml, LISTING)
+
+
+def unescape(text: Column) -> Column:
+    """Bytes of %uXXXX (low byte first) and %XX escapes, as a binary; other characters as one byte and a zero, as scripts hold them.
+
+    Text without an escape stays as it is.
+    """
+    units = F.regexp_extract_all(text, F.lit(r"(?is)%u[0-9a-f]{4}|%[0-9a-f]{2}|."), F.lit(0))
+
+    def code(x: Column) -> Column:
+        wide, narrow = x.rlike(r"(?i)^%u[0-9a-f]{4}$"), x.rlike(r"(?i)^%[0-9a-f]{2}$")
+        own = F.lpad(F.hex(F.ascii(x) % 256), 2, "0")
+        return F.when(wide, F.concat(F.substring(x, 5, 2), F.substring(x, 3, 2))).otherwise(F.concat(F.when(narrow, F.substring(x, 2, 2)).otherwise(own), F.lit("00")))
+
+    return F.when(text.contains("%"), F.unhex(F.array_join(F.transform(units, code), ""))).otherwise(text.cast("binary"))
+
+
+def calls(code: Column, name: str) -> Column:
+    """Statements that call a function: the whole call, its arguments, and whether these return anything."""
+    found = F.regexp_extract_all(code, F.lit(rf"(?s)\W({name}\s{{0,5}}?\(.*?\)\s{{0,5}}?;)"), F.lit(1))
+    inner = lambda x: F.regexp_extract(x, r"(?s)^\w+\s*\((.*)\)\s*;$", 1)
+    return F.transform(found, lambda x: F.struct(x.alias("call"), inner(x).alias("arguments"), F.lower(inner(x)).contains("return").alias("returns")))
+
+
+def aliases(code: Column, name: str) -> Column:
+    """Names that a function is assigned to."""
+    return F.regexp_extract_all(code, F.lit(rf"(\w+)\s*?=\s*?{name}\s*?;"), F.lit(1))

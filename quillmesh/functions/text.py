@@ -28,21 +28,37 @@ def human_size(n: Column) -> Column:
 
 
 def headers(lines: Column) -> Column:
-    """A map of header lines: names in lower case, the last of equal names wins, the status line under `status`."""
-    name = lambda x: F.when(x.rlike(r"^HTTP/"), F.lit("status")).otherwise(F.lower(F.trim(F.substring_index(x, ":", 1))))
-    value = lambda x: F.when(x.rlike(r"^HTTP/"), x).otherwise(F.trim(F.regexp_replace(x, r"^[^:]*:?", "")))
-    pairs = F.transform(lines, lambda x: F.struct(name(x).alias("k"), value(x).alias("v")))
+    """A map of header lines; the last of equal names wins.
+
+    Pieces between colons are trimmed, empty ones drop out, and what follows the name is joined by blanks. A line without
+    a colon is the status line: whole under `custom_codphish`, its second word under `status`.
+    """
+    pieces = lambda x: F.filter(F.transform(F.split(x, ":"), lambda y: F.trim(y)), lambda y: y != "")
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+
+    def entries(x: Column) -> Column:
+        p, words = pieces(x), F.split(F.trim(x), " ")
+        status = F.array(entry(F.lit("custom_codphish"), F.trim(x)), entry(F.lit("status"), F.get(words, F.lit(1))))
+        named = F.array(entry(F.get(p, F.lit(0)), F.array_join(F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), " ")))
+        return F.filter(F.when(x.contains(":"), named).otherwise(status), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+
+    pairs = F.flatten(F.transform(lines, entries))
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
 
 
+#: What a token of a registry line looks like, in this order; prefixes have two digits.
+REGISTRY_KINDS = (("ip", r"^\d+\.\d+\.\d+\.\d+$"), ("bgp_prefix", r"^\d+\.\d+\.\d+\.\d+/\d{2}$"), ("cc", r"^[A-Z]{2}$"), ("registry", r"^[a-z]+$"), ("allocated", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("autonomous_sys", r"^\d+$"))
+
+
 def registry_line(line: Column) -> dict[str, Column]:
-    """asn | ip | prefix | country | registry | date | name: each token goes to the first kind that it looks like."""
+    """asn | ip | prefix | country | registry | date | name: a token goes to the kind that it looks like, the last of a kind stays.
+
+    The name is the last token and counts for no other kind.
+    """
     tokens = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
-    taken = r"^\d{1,3}(\.\d{1,3}){3}$", r"^\d{1,3}(\.\d{1,3}){3}/\d{1,2}$", r"^[A-Z]{2}$", r"^(arin|ripencc|apnic|lacnic|afrinic)$", r"^\d{4}-\d{2}-\d{2}$", r"^\d+$"
-    names = ("ip", "bgp_prefix", "cc", "registry", "allocated", "autonomous_sys")
-    like = lambda p: F.get(F.filter(tokens, lambda x: x.rlike(p)), F.lit(0))
-    out = {n: like(p) for n, p in zip(names, taken)}
-    return out | {"as_name": F.element_at(tokens, -1)}
+    inner = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1)))
+    like = lambda p: F.try_element_at(F.filter(inner, lambda x: x.rlike(p)), F.lit(-1))
+    return {n: like(p) for n, p in REGISTRY_KINDS} | {"as_name": F.element_at(tokens, -1)}
 
 
 ALL_USERS = "http://acs.amazonaws.com/groups/global/AllUsers"
@@ -61,11 +77,70 @@ def permissions(grants: Column) -> dict[str, Column]:
     return out
 
 
-#: Marks of a component's release in a captured body; backslashes are taken out first.
-MARKS = {"version": r"version\s*[:=]\s*[\"']?([0-9][0-9.]*)", "revision": r"revision\s*[:=]\s*[\"']?([0-9a-f]+)", "copyright": r"&copy;\s*([^<&]*)", "author": r"@author\s+([^\n*]*)"}
+def allowed(p: dict[str, Column], group: str) -> Column:
+    """The rights of permissions() that a group has; full control stands alone."""
+    some = F.array_compact(F.array(*[F.when(p[group + name] == "ALLOWED", F.lit(name)) for name, _ in RIGHTS[:-1]]))
+    return F.when(p[group + "FullControl"] == "ALLOWED", F.array(F.lit("FullControl"))).otherwise(some)
+
+
+def permission_report(p: dict[str, Column]) -> Column:
+    """permissions() as JSON; a group without rights is left out."""
+    given = lambda group: F.when(F.size(allowed(p, group)) > 0, allowed(p, group))
+    return F.to_json(F.struct(given("AuthUsers").alias("authUsersPermissions"), given("AllUsers").alias("allUsersPermissions")))
+
+
+def permission_line(p: dict[str, Column]) -> Column:
+    """permissions() as one readable line."""
+    return F.concat(*[x for g, sep in (("AuthUsers", ""), ("AllUsers", ", ")) for x in (F.lit(f"{sep}{g}: ["), F.array_join(allowed(p, g), ", "), F.lit("]"))])
+
+
+#: Error codes of an answer that mean that a right is denied.
+DENIALS = ("AccessDenied", "AllAccessDisabled")
+
+
+def read_right(code: Column, signed: Column, all_users: Column) -> dict[str, Column]:
+    """What a recorded attempt to list a bucket says: code is its error or null, signed whether it used an account.
+
+    A signed attempt says nothing of AuthUsers where AllUsers may read anyway; other errors leave all UNKNOWN.
+    """
+    verdict = F.when(code.isNull(), "ALLOWED").when(code.isin(*DENIALS), "DENIED").otherwise("UNKNOWN")
+    return {
+        "AllUsersRead": F.when(signed, F.coalesce(all_users, F.lit("UNKNOWN"))).otherwise(verdict),
+        "AuthUsersRead": F.when(signed & ~F.coalesce(all_users == "ALLOWED", F.lit(False)), verdict).otherwise("UNKNOWN"),
+    }
+
+
+#: Marks of an upload component's release in a captured body.
+MARKS = {
+    "copyright": r"Copyright \([C|c]\) (\d{4}\s*-\s*\d{4}).*?Frederico (?:Caldeira )?Knabben.(?: All rights reserved)?",
+    "version_1": r"version\s*:\s*[\"|']{1}(\d(\.\d+)*)[\"|']{1}\s*,\s*revision\s*:\s*[\"|']{1}(\w+)*[\"|']{1}",
+    "changes": r"(###)?\s*CKEditor\s*(\d(\.\d+)*)",
+    "changelog_1": r"CKFinder\.version\s*=\s*[\"|']{1}(\d(\.\d+)*)[\"|']{1}\s*;\s*CKFinder\.revision\s*=\s*[\"|']{1}(\d+)*[\"|']{1}",
+    "title": r"<title>\s*(CKFinder \d(\.\d*)*)\s*</title>",
+    "changelog_2": r"###\s*Version\s*(\d(\.\d+)*)",
+    "changelog_3": r"<h2 id=[\"|']{1}version(.*?)[\"|']{1}>Version\s*(\d(\.\d+)*)</h2>",
+    "version_3a": r"@version\s*(\d(\.\d+)*)",
+    "version_3b": r"@package\s*[a-zA-Z]+",
+    "version_3c": r"@copyright\s*(\d{4}\s*,\s*\d{4})",
+    "version_4": r"(window\.)?FCKeditorAPI\s*=\s*\{\s*Version\s*:\s*[\"|']{1}(\d(\.\d+)*)[\"|']{1},\s*VersionBuild\s*:\s*[\"|']{1}(\d+)[\"|']{1}",
+    "version_5": r"FCKeditorAPI\.Version=.*?(\d(\.\d+)*)",
+    "version_6": r"FCKeditorAPI\.Versions*=\s*[\"|']{1}(\d(\.\d+)*)[\"|']{1}",
+}
 
 
 def marks(body: Column) -> dict[str, Column]:
-    """The first match of each mark, or null."""
+    """The first match of each mark, or null; backslashes are taken out first."""
     bare = F.replace(body, F.lit("\\"), F.lit(""))
-    return {k: F.nullif(F.regexp_extract(bare, p, 1), F.lit("")) for k, p in MARKS.items()}
+    return {k: F.nullif(F.regexp_extract(bare, f"(?s){p}", 0), F.lit("")) for k, p in MARKS.items()}
+
+
+#: Marks of two library systems, sought in lower-cased bodies; the capital of the last is as it must be, and never matches.
+SLIMS = ('<meta name="description" content="', '<meta name="generator" content="')
+ELEARN = ("<title>e-learning madrasah", "hak cipta kementerian Agama republik indonesia")
+
+
+def library_system(body: Column) -> dict[str, Column]:
+    """Whether a body has a system's name and one of its marks."""
+    low = F.lower(body)
+    some = lambda marks, name: low.contains(name) & (low.contains(marks[0]) | low.contains(marks[1]))
+    return {"slims": some(SLIMS, "slims"), "elearning": some(ELEARN, "e-learning madrasah")}

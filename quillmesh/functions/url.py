@@ -106,11 +106,12 @@ def hrefs(html: Column) -> Column:
 
 
 def resolve(site: Column, href: Column) -> Column:
-    """A link's URL on its own site: absolute on the same host, query, fragment or path; null for other sites."""
+    """A link's URL on its own site: the same host under the site's scheme, query, fragment or path; null for other sites."""
     s, h = split(site), split(href)
     base = F.concat(s["scheme"], F.lit("://"), s["netloc"])
-    own = F.when((h["netloc"] == s["netloc"]) & h["scheme"].isin("http", "https"), href)
-    return F.when(h["netloc"] != "", own).when(h["scheme"] != "", F.lit(None)).when(href.rlike(r"^[?#]"), F.concat(base, F.lit("/"), href)).when(href.startswith("/"), F.concat(base, href)).when(href != "", F.concat(base, F.lit("/"), href))
+    same = (h["netloc"] == s["netloc"]) | ((~href.startswith("http") | (h["scheme"] != s["scheme"])) & href.startswith(s["netloc"]))
+    own = F.when(same, unsplit(h | {"scheme": s["scheme"]}))
+    return F.when((h["scheme"] != "") | (h["netloc"] != ""), own).when((href == "") | href.rlike(r"^[?#/]"), F.concat(base, F.regexp_replace(href, r"^[?#]$", ""))).otherwise(F.concat(base, F.lit("/"), href))
 
 
 def is_ipv4(host: Column) -> Column:
@@ -118,18 +119,53 @@ def is_ipv4(host: Column) -> Column:
     return host.rlike(rf"^{octet}(\.{octet}){{3}}$")
 
 
+#: Fixed value: names of buckets: 3 to 63 characters, labels of lower-case letters, digits and inner hyphens, no address.
+BUCKET = r"(?=^.{3,63}$)(?!^(\d+\.)+\d+$)(^(([a-z0-9]|[a-z0-9][a-z0-9\-]*[a-z0-9])\.)*([a-z0-9]|[a-z0-9][a-z0-9\-]*[a-z0-9])$)"
+
+
 def bucket_valid(name: Column) -> Column:
-    """Whether a bucket's name is a DNS name of 3 to 63 lower-case characters and no address."""
-    return name.rlike(r"^[a-z0-9][a-z0-9.\-]{1,61}[a-z0-9]$") & ~name.rlike(r"\.\.|-\.|\.-") & ~name.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+    return name.rlike(BUCKET)
 
 
 def bucket(raw: Column) -> dict[str, Column]:
-    """name and region of a bucket written as a host, `name:region`, or a name."""
-    host = F.regexp_extract(raw, r"^(.*?)\.s3[.\-]", 1)
-    name = F.when(raw.contains("amazonaws") & (host != ""), host).otherwise(F.regexp_extract(raw, r"^([^:]*)", 1))
-    region = F.regexp_extract(raw, r"\.s3[.\-]([a-z]+-[a-z]+-\d)\.amazonaws", 1)
-    given = F.regexp_extract(raw, r"^[^:.]*:([a-z0-9\-]+)$", 1)
-    return {"name": name, "region": F.when(region != "", region).when(given != "", given).otherwise("us-east-1"), "valid": bucket_valid(name)}
+    """name and validity of a bucket written as a host (up to the last `.s3`), `name:region`, or a name."""
+    name = F.when(raw.contains(".amazonaws.com"), F.regexp_extract(raw, r"^(.*)\.s3", 1)).otherwise(F.substring_index(raw, ":", 1))
+    return {"name": name, "valid": bucket_valid(name)}
+
+
+def storage_place(url: Column) -> dict[str, Column]:
+    """service, bucket and region of a stored file's URL; null where a service's URL doesn't tell."""
+    p, kind = split(url), service(url)
+    host = p["netloc"]
+    labels, first = F.split(host, r"\."), F.get(F.split(p["path"], "/"), F.lit(1))
+    by_host = F.when(host.contains(".amazonaws.com") & host.contains(".s3"), F.regexp_extract(host, r"^(.*)\.s3", 1)).when(host.contains(":"), F.substring_index(host, ":", 1)).otherwise(first)
+    valid = F.when(bucket_valid(by_host), by_host)
+    four = F.size(labels) == 4
+    whole = four & (F.get(labels, F.lit(2)) == "aliyuncs") & (F.get(labels, F.lit(3)) == "com")
+    aws_region = F.coalesce(F.nullif(F.regexp_extract(host, r"(?:^|\.)s3.(.*?)\.amazonaws", 1), F.lit("")), F.lit("us-east-1"))
+    return {
+        "service": kind,
+        "bucket": F.when(kind.isin("aws", "gcp"), valid).when(kind == "digitalocean", F.when(four, F.get(labels, F.lit(0))).otherwise(first)).when((kind == "aliyun") & whole, F.get(labels, F.lit(0))),
+        "region": F.when(kind == "aws", aws_region).when(kind == "digitalocean", F.lower(F.try_element_at(labels, F.lit(-3)))).when((kind == "aliyun") & whole, F.get(labels, F.lit(1))),
+    }
+
+
+def safe_key(key: Column, folder: Column, working: str = "/w") -> Column:
+    """Whether a key, joined to a folder, stays below it. working: where relative folders begin."""
+    whole = lambda base, x: F.when(x.startswith("/"), x).otherwise(F.concat(base, F.lit("/"), x))
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    parts = lambda x: F.aggregate(F.filter(F.split(x, "/"), lambda y: ~y.isin("", ".")), F.array().cast("array<string>"), step)
+    top = whole(F.lit(working), folder)
+    return F.slice(parts(whole(top, key)), 1, F.size(parts(top))) == parts(top)
+
+
+def library_path(host: Column, path: Column) -> Column:
+    """Whether a path is one that a library system uploads to."""
+    parts = F.filter(F.split(path, "/"), lambda x: F.trim(x) != "")
+    n, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    school = host.endswith("ac.id") | host.endswith("sch.id")
+    known = school & (((n == 2) & (at(0) == "repository")) | (at(0) == "slims7"))
+    return F.coalesce(known, F.lit(False)) | F.coalesce((n == 4) & (at(0) == "__statics") & (at(1) == "gudangsoal") & (at(2) == "files"), F.lit(False))
 
 
 def shard_path(digest: Column, depth: int = 4) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.functions.reports import looks_like_script
+
 
 def newest(objects: DataFrame) -> DataFrame:
     """The newest version of each object."""
@@ -36,15 +38,66 @@ def change_log(objects: DataFrame) -> DataFrame:
     return last.select("path", "version", "id", change.alias("change")).where(F.col("change").isNotNull())
 
 
-#: Names in dictionaries that can act on a reader.
-SUSPICIOUS = ("/OpenAction", "/AA", "/AcroForm", "/JS", "/JavaScript", "/Launch", "/SubmitForm", "/ImportData", "/EmbeddedFile", "/RichMedia", "/XFA", "/JBIG2Decode")
+#: What can act on a reader, by kind. A name that ends in a blank is a whole name.
+EVENTS = ("/OpenAction ", "/AA ", "/Names ", "/AcroForm ", "/XFA ")
+ACTIONS = ("/JS ", "/JavaScript", "/Launch", "/SubmitForm", "/ImportData")
+ELEMENTS = ("/EmbeddedFiles ", "/EmbeddedFile", "/JBIG2Decode", "getPageNthWord", "arguments.callee", "/U3D", "/PRC", "/RichMedia", "/Flash", ".rawValue", "keep.previous")
+SCRIPT_FLAWS = ("mailto", "Collab.collectEmailInfo", "util.printf", "getAnnots", "getIcon", "spell.customDictionaryOpen", "media.newPlayer", "doc.printSeps", "app.removeToolButton")
+FONT_NAME, BITMAP_FLAW = "CoolType.SING.uniqueName", "BMP/RLE heap corruption"
+#: The known flaws of an element.
+FLAWS = {
+    "mailto": ("CVE-2007-5020",),
+    "Collab.collectEmailInfo": ("CVE-2007-5659",),
+    "util.printf": ("CVE-2008-2992",),
+    "/JBIG2Decode": ("CVE-2009-0658",),
+    "getIcon": ("CVE-2009-0927",),
+    "getAnnots": ("CVE-2009-1492",),
+    "spell.customDictionaryOpen": ("CVE-2009-1493",),
+    "media.newPlayer": ("CVE-2009-4324",),
+    ".rawValue": ("CVE-2010-0188",),
+    FONT_NAME: ("CVE-2010-2883",),
+    "doc.printSeps": ("CVE-2010-4091",),
+    "/U3D": ("CVE-2009-3953", "CVE-2009-3959", "CVE-2011-2462"),
+    "/PRC": ("CVE-2011-4369",),
+    "keep.previous": ("CVE-2013-0640",),
+    BITMAP_FLAW: ("CVE-2013-2729",),
+    "app.removeToolButton": ("CVE-2013-3346",),
+}
+#: Where a font's stream has its table's tag and the end of a name, and what the other flaw's stream repeats.
+FONT_AT, FONT_TAG, FONT_END, BITMAP_TEXT, BITMAP_TIMES = 236, "SING", 327, "AAL/AAAC/wAAAv8A", 1000
 
 
 def suspicious(objects: DataFrame) -> DataFrame:
-    """Object ids that have each name, by file and version; one pass, no join."""
-    text = F.decode("raw", "ISO-8859-1")
-    hits = F.array_compact(F.array(*[F.when(text.rlike(rf"{k}(?![A-Za-z0-9])"), F.lit(k)) for k in SUSPICIOUS]))
-    return objects.select("path", "version", "id", F.explode(hits).alias("element")).groupBy("path", "version", "element").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    """Object ids that have each element, with its kind and known flaws, by file and version; one pass, no join.
+
+    Events, actions and elements are sought in an object's own text, script flaws where the object or its stream is a script.
+    """
+    text, body = F.decode("raw", "ISO-8859-1"), F.coalesce(F.decode("stream", "ISO-8859-1"), F.lit(""))
+    script = looks_like_script(body) | text.rlike(r"/JS(?![A-Za-z0-9])")
+    hit = lambda kind, name, cond: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(name.strip()).alias("element"), F.array(*map(F.lit, FLAWS.get(name, ()))).cast("array<string>").alias("cves")))
+    has = lambda name: text.rlike(rf"{name.strip()}(?![A-Za-z0-9])") if name.endswith(" ") else text.contains(name)
+    font = (F.length(body) > FONT_END) & (F.substring(body, FONT_AT + 1, 4) == FONT_TAG) & (F.substring(body, FONT_END + 1, 1) != "\0")
+    bitmap = (F.length(body) - F.length(F.replace(body, F.lit(BITMAP_TEXT), F.lit("")))) / len(BITMAP_TEXT) > BITMAP_TIMES
+    named = [hit(kind, n, has(n)) for kind, names in (("event", EVENTS), ("action", ACTIONS), ("element", ELEMENTS)) for n in names]
+    flaws = [hit("flaw", n, script & (text.contains(n) | body.contains(n))) for n in SCRIPT_FLAWS] + [hit("flaw", FONT_NAME, font), hit("flaw", BITMAP_FLAW, ~font & bitmap)]
+    found = objects.select("path", "version", "id", F.explode(F.array_compact(F.array(*named, *flaws))).alias("x"))
+    return found.groupBy("path", "version", "x.kind", "x.element", "x.cves").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def metadata(objects: DataFrame) -> DataFrame:
+    """author, creator, producer, creation and modification of each file: those of its information dictionary, else of its XMP packet."""
+    text, body = F.decode("raw", "ISO-8859-1"), F.decode("stream", "ISO-8859-1")
+    plain = F.col("kind") == "dictionary"
+    own = lambda name: F.max_by(F.nullif(F.regexp_extract(text, rf"(?s)/{name}\s*\(((?:[^()\\]|\\.)*)\)", 1), F.lit("")), F.when(plain & text.rlike(rf"/{name}\s*\("), F.col("version")))
+    tag = lambda name: F.min(F.nullif(F.trim(F.regexp_extract(body, rf"(?s)<{name}(?:\s[^>]*)?>(?:\s|<rdf:[^>]*>)*([^<]*)", 1)), F.lit("")))
+    pick = lambda key, *tags: F.coalesce(own(key), *[tag(t) for t in tags])
+    return objects.groupBy("path").agg(
+        pick("Author", "dc:creator").alias("author"),
+        pick("Creator", "xap:CreatorTool", "xmp:CreatorTool").alias("creator"),
+        pick("Producer", "pdf:Producer").alias("producer"),
+        pick("CreationDate", "xap:CreateDate", "xmp:CreateDate").alias("creation"),
+        pick("ModDate", "xap:ModifyDate", "xmp:ModifyDate").alias("modification"),
+    )
 
 
 def stats(objects: DataFrame) -> DataFrame:
@@ -70,6 +123,6 @@ def aggregate(links: DataFrame) -> DataFrame:
 
 
 def is_seo(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Whether a file has five links to PDF files or more, and more links than pages (path, n_pages)."""
-    n = links.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("uri").contains(".pdf")).alias("pdf"))
-    return pages.join(n, "path", "left").select("path", F.coalesce((F.col("pdf") >= 5) & (F.col("n") / F.col("n_pages") > 1), F.lit(False)).alias("is_seo"))
+    """Whether a file has five links to PDF files or more, and more such links than pages (path, n_pages)."""
+    n = links.groupBy("path").agg(F.count_if(F.col("uri").contains(".pdf") & F.col("page").isNotNull()).alias("pdf"))
+    return pages.join(n, "path", "left").select("path", F.coalesce((F.col("pdf") >= 5) & (F.col("pdf") > F.col("n_pages")), F.lit(False)).alias("is_seo"))

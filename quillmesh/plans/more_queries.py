@@ -60,10 +60,53 @@ def rect_rounding(spark, sf_dir):
     return literal(spark, "id int, raw string", _RECTS).select("id", F.array_join(J.rect(F.col("raw")), ",").alias("rect"))
 
 
-@query("""WITH x AS (SELECT doc_id, list_sum(list_transform(['var ', ';', '(', ')', '{', '}', 'function', '=', '+'], lambda p: CAST(contains(text, p) AS INT))) AS n, contains(text, 'eval') OR contains(text, 'unescape') OR contains(text, 'fromCharCode') OR contains(text, 'String.') OR contains(text, 'replace(') AS h FROM documents)
-SELECT doc_id, h OR n >= 7 AS script FROM x""")
+@query(f"""WITH x AS (SELECT page_id, html, list_transform([{', '.join(repr(p) for p in J.SCRIPT_PARTS)}], lambda p: ((length(html) - length(replace(html, p, ''))) / length(p))::INT) AS n FROM pages)
+SELECT page_id, NOT regexp_matches(html, '[^\\x00\\t\\n\\f\\r\\x20-\\x7E]') AND contains(html, ';') AND contains(html, '(') AND contains(html, ')') AND ((list_sum(n) > 15 AND len(list_filter(n, lambda k: k > 0)) >= 4) OR (length(html) < 100 AND list_sum(n) * 100 > 10 * length(html))) AS script FROM x""")
 def js_detect(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", J.looks_like_script(F.col("text")).alias("script"))
+    return table(spark, sf_dir, "pages").select("page_id", J.looks_like_script(F.col("html")).alias("script"))
+
+
+@query("""SELECT 'd' || user_id AS domain, coalesce(string_agg('v' || event_id % 5, ',' ORDER BY event_id % 5) FILTER (event_type = 'view'), '') AS a, coalesce(string_agg('v' || event_id % 5, ',' ORDER BY event_id % 5) FILTER (event_type = 'click'), '') AS mx,
+  CASE WHEN bool_or(event_type = 'error') THEN 'The DNS operation timed out.' END AS error FROM events GROUP BY 1""")
+def name_answers(spark, sf_dir):
+    """Record lists and errors of domains from single answers."""
+    kind = F.col("event_type")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain"), F.when(kind == "view", "A").when(kind == "click", "MX").otherwise("TXT").alias("rtype"), F.when(kind.isin("view", "click"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("value"), F.when(kind == "error", "Timeout").alias("failure"))
+    return J.name_answers(e).select("domain", F.array_join("a", ",").alias("a"), F.array_join("mx", ",").alias("mx"), "error")
+
+
+@query("SELECT p_partkey, p_name AS friendly_name, p_size::VARCHAR AS latest_version, p_size % 2 = 0 AS popular, 'flaw ' || p_brand AS title FROM part")
+def advisories(spark, sf_dir):
+    """Components and flaws of advisories written as JSON objects."""
+    flaw = F.array(F.struct(F.col("p_size").cast("string").alias("id"), F.concat(F.lit("flaw "), "p_brand").alias("title")))
+    body = F.to_json(F.create_map(F.lit("slug"), F.struct(F.col("p_name").alias("friendly_name"), F.col("p_size").cast("string").alias("latest_version"), (F.col("p_size") % 2 == 0).alias("popular"), flaw.alias("vulnerabilities"))))
+    a = J.advisory(body)
+    return table(spark, sf_dir, "part").select("p_partkey", a["friendly_name"].alias("friendly_name"), a["latest_version"].alias("latest_version"), a["popular"].alias("popular"), F.get(a["vulnerabilities"], F.lit(0))["title"].alias("title"))
+
+
+@query("SELECT s_suppkey, 'n' || s_suppkey AS name, 2 AS files, s_suppkey * 2 + 1 AS bytes FROM supplier")
+def storage_listings(spark, sf_dir):
+    """Count and size of the files of storage listings written as XML."""
+    file = lambda size: F.concat(F.lit("<Contents><Key>k</Key><LastModified>2018-03-02</LastModified><Size>"), size.cast("string"), F.lit("</Size></Contents>"))
+    xml = F.concat(F.lit("<ListBucketResult><Name>n"), F.col("s_suppkey").cast("string"), F.lit("</Name><IsTruncated>false</IsTruncated>"), file(F.col("s_suppkey")), file(F.col("s_suppkey") + 1), F.lit("</ListBucketResult>"))
+    x = table(spark, sf_dir, "supplier").select("s_suppkey", J.listing(xml).alias("x"))
+    return x.select("s_suppkey", F.col("x.Name").alias("name"), F.size("x.Contents").alias("files"), F.aggregate("x.Contents", F.lit(0).cast("bigint"), lambda acc, c: acc + c["Size"]).alias("bytes"))
+
+
+_ESCAPED = [(1, "%u4142%43", "42414300"), (2, "plain", "706C61696E"), (3, "a%zz%41", "610025007A007A004100"), (4, None, None), (5, "%u00e9x", "E9007800")]
+
+
+@query("SELECT id, bytes FROM " + values_sql("t(id, escaped, bytes)", _ESCAPED))
+def script_unescape(spark, sf_dir):
+    return literal(spark, "id int, escaped string", [e[:2] for e in _ESCAPED]).select("id", F.hex(J.unescape(F.col("escaped"))).alias("bytes"))
+
+
+@query("SELECT page_id, 'eval(function(){return 1})' || ';' AS call, 'function(){return 1}' AS arguments, true AS returns, 'e' || page_id AS alias FROM pages")
+def script_calls(spark, sf_dir):
+    """Calls of a function that hides code, and the names it goes by."""
+    code = F.concat(F.lit("var e"), F.col("page_id").cast("string"), F.lit(" = eval; eval(function(){return 1});"))
+    d = table(spark, sf_dir, "pages").select("page_id", F.get(J.calls(code, "eval"), F.lit(0)).alias("c"), F.get(J.aliases(code, "eval"), F.lit(0)).alias("alias"))
+    return d.select("page_id", "c.call", "c.arguments", "c.returns", "alias")
 
 
 @query("SELECT item_id, k::INT AS key FROM benchmark, (SELECT unnest(range(0, 256)) AS k) WHERE xor(97 + item_id % 5, k) = 65 OR xor(97 + item_id % 5, k) = 66")

@@ -30,25 +30,53 @@ def human_size(spark, sf_dir):
     return literal(spark, "n long", _SIZES).select(F.col("n").cast("long").alias("n"), X.human_size(F.col("n").cast("double")).alias("size"))
 
 
-@query(rf"""WITH t AS (SELECT line, list_transform(string_split(line, '|'), lambda x: trim(x)) AS k FROM {values_sql('t(line)', _LINES)})
-SELECT list_filter(k, lambda x: regexp_matches(x, '^\d+(\.\d+){{3}}$'))[1] AS ip, list_filter(k, lambda x: contains(x, '/'))[1] AS bgp_prefix, list_filter(k, lambda x: regexp_matches(x, '^[A-Z]{{2}}$'))[1] AS cc, list_filter(k, lambda x: x IN ('arin', 'ripencc'))[1] AS registry,
-  list_filter(k, lambda x: regexp_matches(x, '^\d{{4}}-\d\d-\d\d$'))[1] AS allocated, list_filter(k, lambda x: regexp_matches(x, '^\d+$'))[1] AS autonomous_sys, k[-1] AS as_name FROM t""")
+@query(rf"""WITH t AS (SELECT line, list_transform(string_split(line, '|'), lambda x: trim(x)) AS a FROM {values_sql('t(line)', _LINES)}), u AS (SELECT a, a[:len(a) - 1] AS k FROM t)
+SELECT list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+$'))[-1] AS ip, list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+/\d\d$'))[-1] AS bgp_prefix, list_filter(k, lambda x: regexp_matches(x, '^[A-Z][A-Z]$'))[-1] AS cc, list_filter(k, lambda x: regexp_matches(x, '^[a-z]+$'))[-1] AS registry,
+  list_filter(k, lambda x: regexp_matches(x, '^\d{{4}}-\d\d-\d\d$'))[-1] AS allocated, list_filter(k, lambda x: regexp_matches(x, '^\d+$'))[-1] AS autonomous_sys, a[-1] AS as_name FROM u""")
 def registry_lines(spark, sf_dir):
     return literal(spark, "line string", _LINES).select(*[c.alias(n) for n, c in X.registry_line(F.col("line")).items()])
 
 
-@query("SELECT 'text/html' AS content_type, 'b' AS x, 'HTTP/1.1 200 OK' AS status, 3 AS n")
+@query("SELECT 'HTTP/1.1 200 OK' AS line, '200' AS status, 'text/html' AS content_type, 'b c' AS x, 'a' AS capital, '' AS bare, 6 AS n")
 def header_map(spark, sf_dir):
-    lines = F.array(F.lit("HTTP/1.1 200 OK"), F.lit("content-type: text/html"), F.lit("x: a"), F.lit("X: b"))
+    lines = F.array(*map(F.lit, ("HTTP/1.1 200 OK", "content-type: text/html", "x: z", "X: a", "x: b : c", "empty:")))
     m = spark.range(1).select(X.headers(lines).alias("m"))
-    return m.select(F.col("m")["content-type"].alias("content_type"), F.col("m")["x"].alias("x"), F.col("m")["status"].alias("status"), F.size("m").alias("n"))
+    at = lambda k, n: F.col("m")[k].alias(n)
+    return m.select(at("custom_codphish", "line"), at("status", "status"), at("content-type", "content_type"), at("x", "x"), at("X", "capital"), at("empty", "bare"), F.size("m").alias("n"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '&copy;\\s*([^<&]*)', 1)), '') AS copyright, contains(lower(html), 'track(') AS tracked, contains(lower(html), '<form') AND contains(lower(html), 'password') AS asks FROM pages")
+_BODIES = [(1, "/* Copyright (c) 2003-2012, CKSource */"), (2, "Copyright (C) 2003 - 2010 Frederico Caldeira Knabben. All rights reserved"), (3, "version:'4.5.11',revision:'de8f0'"), (4, "## CKEditor 4.7"), (5, "CKFinder.version = '2.3.1';CKFinder.revision = '3'"), (6, "<title> CKFinder 3.4 </title>"), (7, "### Version 3.1.2"), (8, '<h2 id="version1">Version 1.2</h2>'), (9, "@version 2.2 @package Fck @copyright 2003, 2009"), (10, 'window.FCKeditorAPI = { Version : "2.6", VersionBuild : "22"'), (11, "FCKeditorAPI.Version='2.6.3'"), (12, None), (13, "no mark")]
+_BODY_MARKS = ", ".join("nullif(regexp_extract(replace(body, '\\', ''), '" + p.replace("'", "''") + f"', 0, 's'), '') AS {k}" for k, p in X.MARKS.items())
+
+
+@query(f"SELECT id, {_BODY_MARKS} FROM {values_sql('t(id, body)', _BODIES)}")
+def release_marks(spark, sf_dir):
+    return literal(spark, "id int, body string", _BODIES).select("id", *[c.alias(k) for k, c in X.marks(F.col("body")).items()])
+
+
+@query("SELECT page_id, contains(lower(html), '&copy;') AS copyright, contains(lower(html), 'track(') AS tracked, contains(lower(html), '<form') AND contains(lower(html), 'password') AS asks, contains(lower(html), 'slims') AND (contains(lower(html), '<meta name=\"description\" content=\"') OR contains(lower(html), '<meta name=\"generator\" content=\"')) AS slims, contains(lower(html), '<title>e-learning madrasah') AS elearning FROM pages")
 def ioc_flags(spark, sf_dir):
     """Marks of captured bodies: one pass, all built-in."""
-    html, low = F.col("html"), F.lower("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.trim(X.marks(html)["copyright"]), F.lit("")).alias("copyright"), low.contains("track(").alias("tracked"), (low.contains("<form") & low.contains("password")).alias("asks"))
+    low, system = F.lower("html"), X.library_system(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", low.contains("&copy;").alias("copyright"), low.contains("track(").alias("tracked"), (low.contains("<form") & low.contains("password")).alias("asks"), *[c.alias(n) for n, c in system.items()])
+
+
+_GRANTS = [(1, "AllUsers:READ,AllUsers:WRITE_ACP", '{"allUsersPermissions":["Read","WriteACP"]}', "AuthUsers: [], AllUsers: [Read, WriteACP]"), (2, "AuthenticatedUsers:FULL_CONTROL,AllUsers:READ_ACP", '{"authUsersPermissions":["FullControl"],"allUsersPermissions":["ReadACP"]}', "AuthUsers: [FullControl], AllUsers: [ReadACP]"), (3, "x:READ", "{}", "AuthUsers: [], AllUsers: []"), (4, None, "{}", "AuthUsers: [], AllUsers: []")]
+
+
+@query("SELECT * FROM " + values_sql("t(id, grants, report, line)", _GRANTS))
+def permission_reports(spark, sf_dir):
+    entry = lambda x: F.struct(F.concat(F.lit("http://acs.amazonaws.com/groups/global/"), F.substring_index(x, ":", 1)).alias("uri"), F.substring_index(x, ":", -1).alias("permission"))
+    p = X.permissions(F.transform(F.split("grants", ","), entry))
+    return literal(spark, "id int, grants string", [g[:2] for g in _GRANTS]).select("id", "grants", X.permission_report(p).alias("report"), X.permission_line(p).alias("line"))
+
+
+@query("""SELECT event_id, CASE WHEN signed THEN 'UNKNOWN' ELSE v END AS all_read, CASE WHEN signed THEN v ELSE 'UNKNOWN' END AS auth_read FROM
+(SELECT event_id, event_id % 2 = 0 AS signed, CASE event_type WHEN 'error' THEN 'DENIED' WHEN 'purchase' THEN 'UNKNOWN' ELSE 'ALLOWED' END AS v FROM events)""")
+def read_rights(spark, sf_dir):
+    code = F.when(F.col("event_type") == "error", "AccessDenied").when(F.col("event_type") == "purchase", "SlowDown")
+    r = X.read_right(code, F.col("event_id") % 2 == 0, F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", r["AllUsersRead"].alias("all_read"), r["AuthUsersRead"].alias("auth_read"))
 
 
 _KEYWORDS = [("script",), ("footer",), ("iframe",), ("token",), ("password",)]

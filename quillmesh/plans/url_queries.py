@@ -111,8 +111,8 @@ def href_extract(spark, sf_dir):
 
 
 @query(rf"""WITH {_HREFS}, s AS (SELECT page_id, pos, href, regexp_extract(site, '^([a-z]+://[^/?#]*)', 1) AS base FROM h)
-SELECT page_id, pos::INT AS pos, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN CASE WHEN regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(base, '//(.*)$', 1) THEN href END
-  WHEN href LIKE '/%' THEN base || href WHEN href <> '' THEN base || '/' || href END AS target FROM s""")
+SELECT page_id, pos::INT AS pos, CASE WHEN regexp_matches(href, '^([a-z]+:)?//') THEN CASE WHEN regexp_extract(href, '^(?:[a-z]+:)?//([^/?#]*)', 1) = regexp_extract(base, '//(.*)$', 1) THEN base || regexp_replace(href, '^([a-z]+:)?//[^/?#]*', '') END
+  WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL WHEN href = '' OR regexp_matches(href, '^[?#/]') THEN base || href ELSE base || '/' || href END AS target FROM s""")
 def href_resolve(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", "pos", U.resolve(F.col("site"), F.col("href")).alias("target"))
 
@@ -172,14 +172,45 @@ def reverse_substring_anti(spark, sf_dir):
 _BUCKETS = [("asdf,;0()",), ("asdfasdf.s3.amazonaws.com",), ("asdf:us-west-1",), ("my-bucket.s3-eu-west-1.amazonaws.com",), ("ab",), ("1.2.3.4",), ("a..b",), ("UPPER",)]
 
 
-@query(rf"""WITH t AS (SELECT * FROM {values_sql('t(raw)', _BUCKETS)}), x AS (SELECT raw, CASE WHEN contains(raw, 'amazonaws') AND regexp_matches(raw, '\.s3[.\-]') THEN regexp_extract(raw, '^(.*?)\.s3[.\-]', 1) ELSE regexp_extract(raw, '^([^:]*)', 1) END AS name FROM t)
-SELECT raw, name, CASE WHEN regexp_matches(raw, '\.s3[.\-][a-z]+-[a-z]+-\d\.amazonaws') THEN regexp_extract(raw, '\.s3[.\-]([a-z]+-[a-z]+-\d)\.amazonaws', 1) WHEN regexp_matches(raw, '^[^:.]*:[a-z0-9\-]+$') THEN regexp_extract(raw, ':(.*)$', 1) ELSE 'us-east-1' END AS region,
-  regexp_matches(name, '^[a-z0-9][a-z0-9.\-]{{1,61}}[a-z0-9]$') AND NOT contains(name, '..') AND NOT contains(name, '-.') AND NOT contains(name, '.-') AND NOT regexp_matches(name, '^\d+\.\d+\.\d+\.\d+$') AS valid FROM x""")
+#: Two expressions for what one with look-ahead says in Spark.
+_VALID = r"length({0}) BETWEEN 3 AND 63 AND NOT regexp_matches({0}, '^(\d+\.)+\d+$') AND regexp_matches({0}, '^(([a-z0-9]|[a-z0-9][a-z0-9\-]*[a-z0-9])\.)*([a-z0-9]|[a-z0-9][a-z0-9\-]*[a-z0-9])$')"
+
+
+@query(rf"""WITH t AS (SELECT * FROM {values_sql('t(raw)', _BUCKETS)}), x AS (SELECT raw, CASE WHEN contains(raw, '.amazonaws.com') THEN regexp_extract(raw, '^(.*)\.s3', 1) ELSE regexp_extract(raw, '^([^:]*)', 1) END AS name FROM t)
+SELECT raw, name, {_VALID.format('name')} AS valid FROM x""")
 def bucket_name(spark, sf_dir):
     b = U.bucket(F.col("raw"))
     return literal(spark, "raw string", _BUCKETS).select("raw", *[c.alias(n) for n, c in b.items()])
 
 
+_FORMS = ("https://b{0}.s3-eu-west-1.amazonaws.com/x.pdf", "https://b{0}.s3.amazonaws.com/x.pdf", "https://s3.eu-north-1.amazonaws.com:443/y", "https://b{0}.NYC3.digitaloceanspaces.com/x", "https://ams3.digitaloceanspaces.com/b{0}/x", "https://b{0}.oss-cn.aliyuncs.com/x", "https://storage.googleapis.com/b{0}/x.pdf", "https://other.example/b{0}")
+
+
+@query("""SELECT c_custkey, ['aws', 'aws', 'aws', 'digitalocean', 'digitalocean', 'aliyun', 'gcp', NULL][k + 1] AS service, CASE WHEN k = 2 THEN 's3.eu-north-1.amazonaws.com' WHEN k < 7 AND (length(b) > 2 OR k NOT IN (0, 1, 6)) THEN b END AS bucket, ['eu-west-1', 'us-east-1', 'eu-north-1', 'nyc3', 'ams3', 'oss-cn', NULL, NULL][k + 1] AS region
+FROM (SELECT c_custkey, c_custkey % 8 AS k, 'b' || c_custkey AS b FROM customer)""")
+def storage_places(spark, sf_dir):
+    """Service, bucket and region of stored files' URLs of each form."""
+    head = [F.concat(F.lit(a), F.col("c_custkey").cast("string") if "{0}" in f else F.lit(""), F.lit(b)) for f in _FORMS for a, _, b in [f.partition("{0}")]]
+    url = F.get(F.array(*head), (F.col("c_custkey") % 8).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *[c.alias(n) for n, c in U.storage_place(url).items()])
+
+
+_KEYS = [("file.txt", "./bucket_dir/", True), ("file.txt", "./bucket_dir", True), ("../file.txt", "./buckets/", False), ("../", "./buckets/", False), ("/file.txt", "./buckets/", False), ("a/../b", "/data", True), ("a/../../b", "/data", False), ("/data/b", "/data", True)]
+
+
+@query("SELECT * FROM " + values_sql("t(key, folder, safe)", _KEYS))
+def safe_keys(spark, sf_dir):
+    return literal(spark, "key string, folder string", [k[:2] for k in _KEYS]).select("key", "folder", U.safe_key(F.col("key"), F.col("folder")).alias("safe"))
+
+
+_PLACES = [("x.sch.id", "/repository/a.pdf", True), ("x.ac.id", "/slims7/a/b", True), ("x.com", "/slims7/a", False), ("x.com", "/__statics/gudangsoal/files/a.pdf", True), ("x.ac.id", "/repository/a/b", False), ("x.ac.id", "/", False)]
+
+
+@query("SELECT * FROM " + values_sql("t(host, path, upload)", _PLACES))
+def library_paths(spark, sf_dir):
+    return literal(spark, "host string, path string", [k[:2] for k in _PLACES]).select("host", "path", U.library_path(F.col("host"), F.col("path")).alias("upload"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, substr(md5(text), 1, 2) || '/' || substr(md5(text), 3, 2) || '/' || substr(md5(text), 5, 2) || '/' || substr(md5(text), 7, 2) || '/' AS path FROM documents")
 def hash_path(spark, sf_dir):
     digest = F.md5(F.col("text").cast("binary"))

@@ -66,6 +66,8 @@ def test_features(spark, pdfs):
     changes = {(r.version, r.id, r.change) for r in P.change_log(o).where("path = 'versions.pdf'").collect()}
     assert changes == {(1, 10, "modified"), (1, 60, "added")}
     assert {(r.path, r.element) for r in P.suspicious(o).collect()} == {("packed.pdf", "/JS")}
+    one = pages.withColumn("n_pages", P.F.lit(6))
+    assert not P.is_seo(links, one).where("is_seo").collect()
     assert {r.src for r in P.referrers(o, 2).where("path = 'one.pdf'").collect()} == {1, 3}
     assert P.search(o, "b\\.com").count() == 1
     assert {r.path: r.uris for r in P.stats(o).where("version = 0").collect()}["many.pdf"] == 6
@@ -95,3 +97,30 @@ def test_filters():
     assert pdf_filters.predicted(bytes([1, 1, 1]), {"Predictor": 2, "Columns": 3}) == bytes([1, 2, 3])
     assert pdf_filters.decode(b"x", ["Nope"], []) == (b"", ["filter not supported: Nope"])
     assert pdf_filters.decode(b"not flate", ["FlateDecode"], [])[1]
+
+
+def test_suspicious_and_metadata(spark):
+    script = b"var a = util.printf('%45000f', 1); if (a) { return eval(a); } for (;;) { a = a + 1, 2; }"
+    font = b"x" * 236 + b"SING" + b"y" * 100
+    rows = [
+        ("a", 0, 1, "dictionary", b"<< /OpenAction 2 0 R /U3D 1 /AAPL 1 >>", None),
+        ("a", 0, 2, "stream", b"<< /Length 9 >>", script),
+        ("a", 0, 3, "stream", b"<< /Length 9 >>", font),
+        ("a", 0, 4, "stream", b"<< /Length 9 >>", b"AAL/AAAC/wAAAv8A" * 1001),
+        ("a", 0, 5, "dictionary", rb"<< /Author (Jo \) Doe) /Producer (old) >>", None),
+        ("a", 1, 5, "dictionary", rb"<< /Author (Jo \) Doe) /Producer (new) >>", None),
+        ("a", 1, 6, "stream", b"<< /Type /Metadata >>", b"<x:xmpmeta><dc:creator><rdf:Seq><rdf:li>Other</rdf:li></rdf:Seq></dc:creator><xmp:CreatorTool>Tool 1</xmp:CreatorTool></x:xmpmeta>"),
+        ("b", 0, 1, "dictionary", b"<< /mailto (x) /AA1 1 >>", None),
+    ]
+    o = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], "path string, version int, id int, kind string, raw binary, stream binary")
+    found = {(r.path, r.kind, r.element): (r.ids, r.cves) for r in P.suspicious(o).collect()}
+    assert found == {
+        ("a", "event", "/OpenAction"): ([1], []),
+        ("a", "element", "/U3D"): ([1], ["CVE-2009-3953", "CVE-2009-3959", "CVE-2011-2462"]),
+        ("a", "flaw", "util.printf"): ([2], ["CVE-2008-2992"]),
+        ("a", "flaw", "CoolType.SING.uniqueName"): ([3], ["CVE-2010-2883"]),
+        ("a", "flaw", "BMP/RLE heap corruption"): ([4], ["CVE-2013-2729"]),
+    }
+    m = {r.path: r for r in P.metadata(o).collect()}
+    assert (m["a"].author, m["a"].creator, m["a"].producer, m["a"].creation) == (r"Jo \) Doe", "Tool 1", "new", None)
+    assert m["b"].author is None
