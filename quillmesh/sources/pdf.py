@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pdf_filters
+from . import pdf_crypt, pdf_filters
 
 OBJECTS = "path string, version int, id int, kind string, tag string, refs array<int>, uri string, compressed_in int, raw binary, stream binary, errors array<string>"
 LINKS = "path string, uri string, object_id int, page_id int, page int, llx double, lly double, urx double, ury double, media_w double, media_h double, in_catalog boolean"
@@ -136,9 +136,32 @@ def text_of(uri: bytes | None) -> str | None:
         return "UnicodeDecodeError"
 
 
-def parse(data: bytes) -> list[dict]:
-    """Objects of all versions, those of object streams after the stream that holds them."""
+def security(data: bytes, password: bytes) -> tuple[pdf_crypt.Handler | None, int | None, list[str]]:
+    """The file's decryption, the id of the dictionary that describes it, and why there is none."""
+    if b"/Encrypt" not in data:
+        return None, None, []
+    starts = [m.end() for m in re.finditer(rb"trailer\s*(?=<<)", data)]
+    starts += [data.rfind(b"obj", 0, m.start()) + 3 for m in re.finditer(rb"/Type\s*/XRef\b", data)]
+    for at in reversed(starts):
+        try:
+            trailer = read_value(data, at)[0]
+            found = trailer.get("Encrypt") if isinstance(trailer, dict) else None
+            if found is None:
+                continue
+            oid = int(found) if isinstance(found, Ref) else None
+            if oid is not None:
+                found = read_value(data, [m.end() for m in re.finditer(rb"(?<!\d)%d\s+\d+\s+obj\b" % oid, data)][-1])[0]
+            ident = trailer.get("ID")
+            return pdf_crypt.Handler(found, ident[0] if isinstance(ident, list) and ident and isinstance(ident[0], bytes) else b"", password), oid, []
+        except Exception as e:
+            return None, None, [str(e)]
+    return None, None, []
+
+
+def parse(data: bytes, password: bytes = b"") -> list[dict]:
+    """Objects of all versions, those of object streams after the stream that holds them. Encrypted files open with their user password."""
     rows = []
+    handler, described, refused = security(data, password)
     for version, part in enumerate(data.split(b"%%EOF")):
         if version and not part.strip():
             continue
@@ -149,16 +172,26 @@ def parse(data: bytes) -> list[dict]:
             except Exception as e:
                 value, end, errors = None, 0, [str(e)]
             stream = None
+            oid, generation = int(m[1]) & 0x7FFFFFFF, int(m[2]) & 0xFFFF
+            closed = handler is not None and oid != described and not (isinstance(value, dict) and value.get("Type") == "XRef")
+            if closed:
+                value = handler.strings(value, oid, generation)
             if isinstance(value, dict) and (s := re.compile(rb"\s*stream(?:\r\n|\n|\r)?").match(m[3], end)):
                 raw = re.split(rb"\r?\n?endstream", m[3][s.end() :], maxsplit=1)[0]
                 names, parms = value.get("Filter", value.get("F", [])), value.get("DecodeParms", value.get("DP", []))
                 names, parms = names if isinstance(names, list) else [names], parms if isinstance(parms, list) else [parms]
+                own = any(n == "Crypt" for n in names)
+                if closed and not own and (handler.metadata or value.get("Type") != "Metadata"):
+                    raw = handler.open(raw, oid, generation, "stream")
+                if own:
+                    at = [i for i, n in enumerate(names) if n != "Crypt"]
+                    names, parms = [names[i] for i in at], [parms[i] for i in at if i < len(parms)]
                 stream, errors = pdf_filters.decode(raw, [str(n) for n in names if isinstance(n, Name)], parms)
             if stream is not None:
                 kind = "stream"
             else:
                 kind = kind_of(value)
-            rows.append({"version": version, "id": int(m[1]) & 0x7FFFFFFF, "kind": kind, "value": value, "compressed_in": None, "raw": m[3].strip(), "stream": stream, "errors": errors})
+            rows.append({"version": version, "id": int(m[1]) & 0x7FFFFFFF, "kind": kind, "value": value, "compressed_in": None, "raw": m[3].strip(), "stream": stream, "errors": errors + refused})
             if isinstance(value, dict) and value.get("Type") == "ObjStm" and stream:
                 first = value.get("First") if isinstance(value.get("First"), int) else 0
                 head = [int(x) for x in re.findall(rb"\d+", stream[:first])]
@@ -263,5 +296,5 @@ def document_links(pdfs: DataFrame) -> DataFrame:
     return pdfs.select("path", "content").mapInArrow(link_batches, LINKS)
 
 
-for _module in (__name__, pdf_filters.__name__):
+for _module in (__name__, pdf_crypt.__name__, pdf_filters.__name__):
     cloudpickle.register_pickle_by_value(sys.modules[_module])

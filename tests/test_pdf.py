@@ -124,3 +124,57 @@ def test_suspicious_and_metadata(spark):
     m = {r.path: r for r in P.metadata(o).collect()}
     assert (m["a"].author, m["a"].creator, m["a"].producer, m["a"].creation) == (r"Jo \) Doe", "Tool 1", "new", None)
     assert m["b"].author is None
+
+
+def locked(method, revision, password=b""):
+    """A file with a link whose target is encrypted, and its expected address."""
+    import hashlib
+
+    from quillmesh.sources import pdf_crypt as C
+
+    ident, uri, owner = b"0123456789abcdef", b"http://locked.example/a.pdf", b"O" * 32
+    if revision >= 5:
+        key, salts = b"k" * 32, b"saltsaltkeykeyke"
+        user = C.hardened(password, salts[:8], revision) + salts
+        wrapped = C.cbc_encrypt(C.hardened(password, salts[8:], revision), bytes(16), key)
+        extra, version = b"/UE <%s>" % wrapped.hex().encode(), 5
+    else:
+        version, n = {2: (1, 5), 3: (2, 16), 4: (4, 16)}[revision]
+        key = hashlib.md5((password + C.PAD)[:32] + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()
+        for _ in range(50 if revision > 2 else 0):
+            key = hashlib.md5(key[:n]).digest()
+        key, extra = key[:n], b"/Length 128"
+        user = C.rc4(key, C.PAD) if revision == 2 else hashlib.md5(C.PAD + ident).digest()
+        for i in range(20 if revision > 2 else 0):
+            user = C.rc4(bytes(b ^ i for b in key), user)
+    own = key if revision >= 5 else hashlib.md5(key + bytes([4, 0, 0, 0, 0]) + (b"sAlT" if method == b"AESV2" else b"")).digest()[: min(len(key) + 5, 16)]
+    pad = 16 - len(uri) % 16
+    secret = C.rc4(own, uri) if method == b"V2" else b"i" * 16 + C.cbc_encrypt(own, b"i" * 16, uri + bytes([pad]) * pad)
+    parts = [b"1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj", b"2 0 obj <</Type/Pages/Kids[3 0 R]>> endobj", b"3 0 obj <</Type/Page/MediaBox[0 0 9 9]/Annots[4 0 R]>> endobj"]
+    parts.append(b"4 0 obj <</Subtype/Link/Rect[0 0 1 1]/A<</S/URI/URI <%s>>>>> endobj" % secret.hex().encode())
+    parts.append(b"5 0 obj <</Filter/Standard/V %d/R %d/P -4/O <%s>/U <%s>/CF<</F<</CFM/%s>>>>/StmF/F/StrF/F %s>> endobj" % (version, revision, owner.hex().encode(), user.hex().encode(), method, extra))
+    return b"%PDF-1.7\n" + b"\n".join(parts) + b"\ntrailer <</Root 1 0 R/Encrypt 5 0 R/ID[<%s><00>]>>\nstartxref\n0\n%%%%EOF" % ident.hex().encode(), uri.decode()
+
+
+def test_ciphers():
+    """Published vectors of the ciphers."""
+    from quillmesh.sources import pdf_crypt as C
+
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        assert C.cbc_encrypt(bytes(range(size)), bytes(16), block).hex() == want
+        assert C.cbc_decrypt(bytes(range(size)), bytes(16), bytes.fromhex(want)) == block
+    long = bytes(range(256)) * 5
+    assert C.cbc_decrypt(b"k" * 16, b"i" * 16, C.cbc_encrypt(b"k" * 16, b"i" * 16, long)) == long
+    assert C.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and C.rc4(b"Wiki", b"pedia").hex() == "1021bf0420"
+    assert C.unwrap(b"k" * 16, b"") == C.unwrap(b"k" * 16, b"short") == b""
+
+
+@pytest.mark.parametrize("method, revision", [(b"V2", 2), (b"V2", 3), (b"V2", 4), (b"AESV2", 4), (b"AESV3", 5), (b"AESV3", 6)])
+def test_encrypted_files(method, revision):
+    data, uri = locked(method, revision)
+    assert [r["uri"] for r in pdf.links(pdf.parse(data))] == [uri]
+    data, uri = locked(method, revision, b"secret")
+    assert [r["uri"] for r in pdf.links(pdf.parse(data, b"secret"))] == [uri]
+    closed = pdf.parse(data)
+    assert [r["uri"] for r in pdf.links(closed)] != [uri] and all(r["errors"] == ["password needed"] for r in closed)
