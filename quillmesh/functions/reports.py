@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as texts
+from . import url as urls
+
 PRODUCTS = "struct<totalResults:int,products:array<struct<cpe:struct<cpeName:string,lastModified:string,titles:array<struct<title:string,lang:string>>,refs:array<struct<ref:string,type:string>>,cves:array<string>>>>>"
 FLAWS = "struct<id:string,descriptions:array<struct<lang:string,value:string>>,weaknesses:array<struct<description:array<struct<lang:string,value:string>>>>,references:array<struct<url:string>>>"
 
@@ -97,6 +100,37 @@ def name_answers(answers: DataFrame, domain: str = "domain") -> DataFrame:
     return answers.groupBy(domain).agg(*[of(t).alias(t.lower()) for t in RECORD_TYPES], F.max_by(text, F.when(text.isNotNull(), F.struct(asked, text))).alias("error"))
 
 
+JOB = "url string, addCmdLine string"
+PAGE = "result int, detected map<string,string>, detected_apps map<string,string>"
+REQUESTS = "array<struct<url:string,request_headers:array<string>,response_headers:array<string>,method:string,server_address:string,tls_version:string>>"
+
+
+def visit(job: Column, page: Column, posted: Column) -> dict[str, Column]:
+    """A browser visit's job and page from their JSON, and the error that the result's posting carries; absent fields are null."""
+    j, d = F.from_json(job, JOB), F.from_json(page, PAGE)
+    p = urls.split(j["url"])
+    folder = F.array_join(urls.directory(urls.path_parts(p["path"])), "/")
+    return {
+        "url": j["url"],
+        "url_hash": F.sha2(j["url"], 256),
+        "domain_path": F.concat(p["scheme"], F.lit("://"), p["netloc"], F.lit("/"), folder),
+        "cmdline": j["addCmdLine"],
+        "error_msg": error_of(posted),
+        "result": d["result"],
+        "detected": d["detected"],
+        "detected_apps": d["detected_apps"],
+    }
+
+
+def requests(netlog: Column) -> Column:
+    """One struct for each request of a visit's network log, with header maps and the status code."""
+    def one(r: Column) -> Column:
+        answer = texts.headers(r["response_headers"])
+        return F.struct(r["url"].alias("url"), r["method"].alias("method"), r["server_address"].alias("server_address"), r["tls_version"].alias("tls_version"), texts.headers(r["request_headers"]).alias("request_headers"), answer.alias("response_headers"), texts.status_code(answer["status"]).alias("status_code"))
+
+    return F.transform(F.from_json(netlog, REQUESTS), one)
+
+
 ADVISORY = "map<string,struct<friendly_name:string,latest_version:string,last_updated:string,popular:boolean,vulnerabilities:array<struct<id:string,title:string,fixed_in:string>>>>"
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +35,28 @@ def ladder(vectors: DataFrame, steps: list[float], min_points: int, good) -> Dat
     return labels
 
 
+#: About how many vectors a ring of triplets() has at most.
+RING = 10_000
+
+
 def triplets(vectors: DataFrame, label: str = "label", seed: str = "7") -> DataFrame:
     """One positive of the same and one negative of another label for each vector (id, v, label).
 
-    Vectors are put in a seeded ring within their label and over all labels; the next one is the positive, the next of
-    another label among fixed steps is the negative. Rings are dealt by blocks, so nothing is joined with everything.
+    Vectors are put in seeded rings within their label and over all labels; the next one is the positive, the next of
+    another label among fixed steps is the negative. Labels and the whole are dealt into rings of about RING vectors, so
+    no task sorts a whole label and nothing is joined with everything.
     """
     from pyspark.sql import Window
 
-    r = vectors.select("id", F.col(label).alias("label"), "v", draw(F.col("id"), seed=seed).alias("o"))
-    own = Window.partitionBy("label").orderBy("o")
+    r = vectors.select("id", F.col(label).alias("label"), draw(F.col("id"), seed=seed).alias("o"))
+    deal = lambda n: F.pmod(F.xxhash64("o"), F.greatest(F.ceil(n / RING), F.lit(1)))
+    sizes = r.groupBy("label").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("label", "ring").orderBy("o", "id")
     first = F.first("id").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pos = r.select("id", "label", F.coalesce(F.lead("id").over(own), first).alias("positive"))
-    block = Window.partitionBy(F.substring("o", 1, 2)).orderBy("o")
-    other = F.coalesce(*[F.when(F.lead("label", k).over(block) != F.col("label"), F.lead("id", k).over(block)) for k in range(1, 9)])
-    neg = r.select("id", other.alias("negative"))
+    pos = r.join(sizes, "label").withColumn("ring", deal(F.col("n"))).select("id", "label", F.coalesce(F.lead("id").over(own), first).alias("positive"))
+    ring = Window.partitionBy("ring").orderBy("o", "id")
+    other = F.coalesce(*[F.when(F.lead("label", k).over(ring) != F.col("label"), F.lead("id", k).over(ring)) for k in range(1, 9)])
+    neg = r.withColumn("ring", deal(F.lit(r.count()))).select("id", other.alias("negative"))
     return pos.join(neg, "id").where(F.col("negative").isNotNull() & (F.col("positive") != F.col("id")))
 
 
@@ -58,6 +70,45 @@ def triplet_loss(chosen: DataFrame, vectors: DataFrame, margin: float) -> DataFr
     return out.select("id", "positive", "negative", F.greatest(loss, F.lit(0.0)).alias("loss"))
 
 
+TRIPLETS = "anchor long, positive long, negative long, loss double, losses long, negatives long"
+
+
+def choose_triplets(frame, margin: float, rule: str, seed: int = 7):
+    """The triplets of one batch; see mine_triplets."""
+    frame = frame.sort_values("id")
+    ids, labels, v = frame["id"].to_numpy(), frame["label"].to_numpy(), np.array(frame["v"].tolist(), float)
+    norms = (v * v).sum(1)
+    squared = np.maximum(norms[:, None] + norms[None] - 2 * v @ v.T, 0)
+    random, out = np.random.default_rng([seed, int(ids[0]) & 0x7FFFFFFF]), []
+    for label in np.unique(labels):
+        own, others = np.flatnonzero(labels == label), np.flatnonzero(labels != label)
+        for n, a in enumerate(own if len(others) else []):
+            for p in own[n + 1 :]:
+                loss = squared[a, p] - squared[a, others] + margin
+                bad = int((loss <= 0).sum())
+                picks = np.flatnonzero((loss > 0) & (loss < margin) if rule == "semihard" else loss > 0)
+                if len(picks) and rule == "hardest":
+                    picks = [int(loss.argmax())]
+                elif len(picks) and rule in ("semihard", "random"):
+                    picks = [int(random.choice(picks))]
+                # the counts of a pair go with its first row, chosen or not
+                rows = [(ids[a], ids[p], ids[others[k]], loss[k]) for k in picks] or [(ids[a], ids[p], None, None)]
+                out += [(*r, len(loss) if not i else 0, bad if not i else 0) for i, r in enumerate(rows)]
+    names = [c.split()[0] for c in TRIPLETS.split(", ")]
+    return pd.DataFrame(out, columns=names).astype({"negative": "Int64", "loss": float})
+
+
+def mine_triplets(vectors: DataFrame, margin: float, rule: str = "hardest", batch: str = "batch") -> DataFrame:
+    """Triplets of batches (id, v, label, batch) by loss: squared distance to the positive less that to the negative plus margin.
+
+    Each pair of a label meets all other labels' vectors of its batch. rule: hardest (the greatest loss), semihard (one
+    below margin), random (one of all) or all; only losses above 0 count. losses and negatives add up to how many losses
+    there are and how many are at most 0; a pair without a negative has null there. A batch is what a training step
+    holds, so a task's work is bounded by its size; batches are never joined with each other.
+    """
+    return vectors.select("id", "v", "label", batch).groupBy(batch).applyInPandas(lambda f: choose_triplets(f, margin, rule), TRIPLETS)
+
+
 def reach(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
     """node and depth of what roots (node) lead to by edges (src, dst); a frontier a round, until it is empty."""
     from .storage import cut
@@ -71,3 +122,6 @@ def reach(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
             break
         seen = cut(seen.unionByName(front), "reach")
     return seen
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

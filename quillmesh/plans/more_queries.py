@@ -9,6 +9,8 @@ from quillmesh.operators import relational as R
 from quillmesh.operators import resolve as C
 from quillmesh.operators import vectors as V
 
+from quillmesh.sources.files import suffix_kind
+
 from .registry import literal, query, table, values_sql
 from .vector_queries import EPS, MIN_POINTS
 
@@ -75,6 +77,41 @@ def name_answers(spark, sf_dir):
     return J.name_answers(e).select("domain", F.array_join("a", ",").alias("a"), F.array_join("mx", ",").alias("mx"), "error")
 
 
+@query("""SELECT event_id, 'https://h' || user_id || '.example/a/b/c.pdf' AS url, sha256('https://h' || user_id || '.example/a/b/c.pdf') AS url_hash, 'https://h' || user_id || '.example/a/b' AS domain_path, CASE WHEN event_type = 'error' THEN 'timeout' END AS error_msg,
+  'CMS ' || user_id AS cms, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS requests, 404 AS status_code, 'text/html' AS content_type, NULL AS tls_version FROM events""")
+def visit_results(spark, sf_dir):
+    """Jobs, pages and requests of browser visits from their JSON."""
+    text = lambda c: F.col(c).cast("string")
+    job = F.concat(F.lit('{"url": "https://h'), text("user_id"), F.lit('.example/a/b/c.pdf"}'))
+    page = F.concat(F.lit('{"result": 0, "detected": {"CMS": "CMS '), text("user_id"), F.lit('"}}'))
+    request = '{"url": "u", "method": "GET", "response_headers": ["HTTP/1.1 404 Not Found", "content-type: text/html"]}'
+    log = F.when(F.col("event_id") % 2 == 0, F.lit(f"[{request}, {request}]")).otherwise(f"[{request}]")
+    posted = F.concat(F.lit("/done?id=1"), F.when(F.col("event_type") == "error", "&error=timeout").otherwise(""))
+    v, r = J.visit(job, page, posted), F.col("r")
+    e = table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in v.items()], J.requests(log).alias("r"))
+    first = F.get(r, F.lit(0))
+    return e.select("event_id", "url", "url_hash", "domain_path", "error_msg", F.col("detected")["CMS"].alias("cms"), F.size("r").alias("requests"), first["status_code"].alias("status_code"), first["response_headers"]["content-type"].alias("content_type"), first["tls_version"].alias("tls_version"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id // 64 AS batch FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, a.v AS av, a.label, a.batch, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.id < b.id),
+l AS (SELECT p.a, p.b, p.d - list_distance(p.av, n.v) ** 2 + 0.2 AS loss FROM p JOIN e n ON n.batch = p.batch AND n.label <> p.label), h AS (SELECT a, b, max(loss) AS top, count(*) AS n, count(*) FILTER (loss <= 0) AS bad FROM l GROUP BY 1, 2)
+SELECT count(*) FILTER (top > 0) AS triplets, round(sum(top) FILTER (top > 0), 3) AS loss, sum(n)::BIGINT AS losses, round(sum(bad) / sum(n), 6) AS ratio FROM h""")
+def hardest_triplets(spark, sf_dir):
+    """Loss of the hardest negative of each pair in training batches, and how many negatives are far enough."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", F.floor(F.col("vec_id") / 64).alias("batch"))
+    t = C.mine_triplets(e, 0.2)
+    return t.agg(F.count("negative").alias("triplets"), F.round(F.sum("loss"), 3).alias("loss"), F.sum("losses").alias("losses"), F.round(F.sum("negatives") / F.sum("losses"), 6).alias("ratio"))
+
+
+_SUFFIX_LINES = [("com", "com", "exact"), ("*.ck", "ck", "wildcard"), ("!www.ck", "!www.ck", "exact"), ('// xn--p1ai ("rf", Russian-Cyrillic) : RU', "xn--p1ai", "punycode"), ("// a comment", None, None)]
+
+
+@query("SELECT * FROM " + values_sql("t(line, suffix, kind)", _SUFFIX_LINES))
+def suffix_lines(spark, sf_dir):
+    k = suffix_kind(F.col("line"))
+    return literal(spark, "line string", [x[:1] for x in _SUFFIX_LINES]).select("line", *[c.alias(n) for n, c in k.items()])
+
+
 @query("SELECT p_partkey, p_name AS friendly_name, p_size::VARCHAR AS latest_version, p_size % 2 = 0 AS popular, 'flaw ' || p_brand AS title FROM part")
 def advisories(spark, sf_dir):
     """Components and flaws of advisories written as JSON objects."""
