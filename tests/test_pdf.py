@@ -178,3 +178,22 @@ def test_encrypted_files(method, revision):
     assert [r["uri"] for r in pdf.links(pdf.parse(data, b"secret"))] == [uri]
     closed = pdf.parse(data)
     assert [r["uri"] for r in pdf.links(closed)] != [uri] and all(r["errors"] == ["password needed"] for r in closed)
+
+
+def test_layout(spark):
+    from quillmesh.sources import pdf_layout as L
+
+    one = b"%PDF-1.4\n1 0 obj <</Type/Catalog>> endobj\n2 0 obj (xref trailer) endobj\n"
+    second = one.index(b"2 0 obj")
+    one += b"xref\n0 3\n0000000000 65535 f \n%010d 00000 n \n%010d 00000 n \ntrailer\n<</Root 1 0 R /Info 2 0 R /Size 3 /ID [<6162> <63>]>>\nstartxref\n%d\n%%%%EOF\n" % (9, second + 3, len(one))
+    table = zlib.compress(bytes([1, 0, 9, 0, 2, 0, 7, 1, 0, 0, 0, 0]))
+    two = one + b"5 0 obj <</Type/XRef /W [1 2 1] /Index [1 2 8 1] /Root 1 0 R /Prev 77 /Size 9 /Encrypt 3 0 R /Filter/FlateDecode>> stream\n" + table + b"\nendstream endobj\nstartxref\n0\n%%EOF"
+    rows = [("one", bytearray(one)), ("two", bytearray(two)), ("empty", bytearray()), ("none", None), ("junk", bytearray(b"\xff%PDF xref 1 2 trailer << obj"))]
+    d = spark.createDataFrame(rows, "path string, content binary")
+    parts = [r for r in L.file_parts(d).collect() if r.path == "two"]
+    assert [(r.version, r.part, r.id) for r in parts] == [(0, "header", None), (0, "object", 1), (0, "object", 2), (0, "xref", None), (0, "trailer", None), (0, "startxref", None), (0, "eof", None), (1, "object", 5), (1, "startxref", None), (1, "eof", None)]
+    assert all(two[r.start : r.start + r.size].startswith({"object": b"%d 0 obj" % (r.id or 0), "header": b"%PDF", "eof": b"%%EOF"}.get(r.part, r.part.encode())) for r in parts)
+    got = [(r.version, r.id, r.kind, r.start, r.holder, r.matches) for r in L.file_entries(d).collect() if r.path == "two"]
+    assert got == [(0, 0, "free", None, None, None), (0, 1, "used", 9, None, True), (0, 2, "used", second + 3, None, False), (1, 1, "used", 9, None, True), (1, 2, "compressed", None, 7, None), (1, 8, "free", None, None, None)]
+    t = [(r.path, r.version, r.root, r.info, r.size, r.prev, r.encrypted, r.ident and bytes(r.ident), r.hidden) for r in L.file_trailers(d).collect()]
+    assert t == [("one", 0, 1, 2, 3, None, False, b"ab", False), ("two", 0, 1, 2, 3, None, False, b"ab", False), ("two", 1, 1, None, 9, 77, True, None, True)]
