@@ -21,7 +21,7 @@ def fold(key, frames, state):
 
     count, online, offline, updated, seen = state.get if state.exists else (0, None, None, None, 0)
     visits = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for ts, failed in zip(visits["ts"].dt.to_pydatetime(), visits["failed"]):
+    for ts, failed in zip((t.to_pydatetime() for t in visits["ts"]), visits["failed"]):
         if failed:
             count, offline = count + 1, offline or ts
         else:
