@@ -40,23 +40,34 @@ RING = 10_000
 
 
 def triplets(vectors: DataFrame, label: str = "label", seed: str = "7") -> DataFrame:
-    """One positive of the same and one negative of another label for each vector (id, v, label).
+    """One positive of the same and one negative of another label for each vector (id, v, label) that has both.
 
     Vectors are put in seeded rings within their label and over all labels; the next one is the positive, the next of
-    another label among fixed steps is the negative. Labels and the whole are dealt into rings of about RING vectors, so
-    no task sorts a whole label and nothing is joined with everything.
+    another label is the negative, both around the ring's end. Labels and the whole are dealt into rings of about RING
+    vectors, so no task sorts a whole label and nothing is joined with everything. A ring that lacks one takes the
+    first vector of the label, or the first or last one of another label, over all rings. Rows without a label are left out.
     """
     from pyspark.sql import Window
 
-    r = vectors.select("id", F.col(label).alias("label"), draw(F.col("id"), seed=seed).alias("o"))
+    r = vectors.select("id", F.col(label).alias("label"), draw(F.col("id"), seed=seed).alias("o")).where("label IS NOT NULL")
     deal = lambda n: F.pmod(F.xxhash64("o"), F.greatest(F.ceil(n / RING), F.lit(1)))
-    sizes = r.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = r.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("o", "id")).alias("low"), F.max(F.struct("o", "id")).alias("high"))
+    # the labels of the first and of the last vector's first: two, if there are two
+    ends = F.broadcast(sizes.agg(F.sum("n").alias("all"), F.min(F.struct("low", "label")).alias("a"), F.max(F.struct("low", "label")).alias("b")))
     own = Window.partitionBy("label", "ring").orderBy("o", "id")
     first = F.first("id").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pos = r.join(sizes, "label").withColumn("ring", deal(F.col("n"))).select("id", "label", F.coalesce(F.lead("id").over(own), first).alias("positive"))
-    ring = Window.partitionBy("ring").orderBy("o", "id")
-    other = F.coalesce(*[F.when(F.lead("label", k).over(ring) != F.col("label"), F.lead("id", k).over(ring)) for k in range(1, 9)])
-    neg = r.withColumn("ring", deal(F.lit(r.count()))).select("id", other.alias("negative"))
+    in_ring = F.coalesce(F.lead("id").over(own), first)
+    elsewhere = F.when(F.col("low.id") != F.col("id"), F.col("low.id")).otherwise(F.col("high.id"))
+    pos = r.join(sizes, "label").withColumn("ring", deal(F.col("n"))).select("id", "label", F.when(in_ring != F.col("id"), in_ring).otherwise(elsewhere).alias("positive"))
+    back = Window.partitionBy("ring").orderBy(F.desc("o"), F.desc("id"))  # backwards: what follows a row is a running value
+    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = F.when(F.lead("label").over(back) != F.col("label"), F.col("id")).alias("start")  # of runs of a label but the first
+    runs = r.crossJoin(ends).withColumn("ring", deal(F.col("all"))).select("*", starts)
+    further = F.last("start", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    around = F.when(F.last("label").over(whole) != F.col("label"), F.last("id").over(whole))
+    second = F.last("start", ignorenulls=True).over(whole)
+    other = F.when(F.col("a.label") != F.col("label"), F.col("a.low.id")).when(F.col("b.label") != F.col("label"), F.col("b.low.id"))
+    neg = runs.select("id", F.coalesce(further, around, second, other).alias("negative"))
     return pos.join(neg, "id").where(F.col("negative").isNotNull() & (F.col("positive") != F.col("id")))
 
 

@@ -56,6 +56,28 @@ def test_clusters_settle(spark):
     assert loss.where("loss < 0").count() == 0 and loss.count() > 0
 
 
+@pytest.mark.parametrize("ring", [10_000, 3])
+def test_each_anchor_has_a_triplet(spark, ring, monkeypatch):
+    import hashlib
+
+    from quillmesh.operators import resolve
+
+    monkeypatch.setattr(resolve, "RING", ring)
+    # one label holds most rows; 8 is alone, so it is no anchor; no label is no label
+    rows = [(i, [float(i)], 1 if i < 95 else 2) for i in range(100)] + [(100, [0.0], 8), (101, [0.0], None)]
+    label = {i: k for i, _, k in rows}
+    got = resolve.triplets(spark.createDataFrame(rows, "id long, v array<double>, label int")).collect()
+    assert sorted(r.id for r in got) == list(range(100))
+    assert all(label[r.positive] == label[r.id] == r.label and r.positive != r.id and label[r.negative] not in (r.label, None) for r in got)
+    if ring == 10_000:  # a single ring: the next of another label, around the end
+        order = sorted((i for i, k in label.items() if k), key=lambda i: (hashlib.md5(f"{i}|7".encode()).hexdigest(), i))
+        for r in got:
+            at = order.index(r.id)
+            assert r.negative == next(i for i in order[at + 1 :] + order[:at] if label[i] != r.label)
+    alone = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 1)], "id long, v array<double>, label int")
+    assert resolve.triplets(alone).count() == 0
+
+
 def test_upserts(spark):
     from quillmesh.operators import relational as R
 
