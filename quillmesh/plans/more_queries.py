@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import reports as J
 from quillmesh.operators import relational as R
 from quillmesh.operators import resolve as C
+from quillmesh.operators import search as S
 from quillmesh.operators import vectors as V
 
 from quillmesh.sources.files import suffix_kind
@@ -154,6 +155,12 @@ def xor_search(spark, sf_dir):
     return keys.where(F.col("b").bitwiseXOR(F.col("key")).isin(65, 66)).select("item_id", "key")
 
 
+@query()
+def xor_documents(spark, sf_dir):
+    """Where whole texts have a string under any of the 256 single-byte keys."""
+    return S.xor_search(table(spark, sf_dir, "documents"), "doc_id", "text", b"token")
+
+
 @query("""WITH a AS (SELECT user_id, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), t AS (SELECT * FROM a WHERE n <= 3)
 SELECT user_id, coalesce(min(n) FILTER (NOT failed), max(n))::INT AS attempts, bool_or(NOT failed) AS reached FROM t GROUP BY 1""")
 def visit_retry(spark, sf_dir):

@@ -78,6 +78,28 @@ def test_each_anchor_has_a_triplet(spark, ring, monkeypatch):
     assert resolve.triplets(alone).count() == 0
 
 
+def test_xor_search(spark):
+    import re
+
+    from quillmesh.operators import search
+
+    def brute(content, needle, flags=0):
+        return [(k, m.start()) for k in range(256) for m in re.finditer(b"(?=" + re.escape(needle) + b")", bytes(c ^ k for c in content), flags)]
+
+    hidden = lambda k, t: bytes(c ^ k for c in t)
+    rows = [(1, b"GET http://a http://b"), (2, b"\x00" * 9 + hidden(0x5A, b"x http://a.b/ HTTP://c") + b"\xff"), (3, b""), (4, None), (5, hidden(255, b"http://")), (6, bytes(range(256)) * 2), (7, b"aaaa")]
+    d = spark.createDataFrame(rows, "i int, c binary")
+    for needle in (b"http://", b"aa", b"\x01", b"aB"):
+        for flags in (0, re.I):
+            got = sorted((r.i, r.key, r.offset) for r in search.xor_search(d, "i", "c", needle, bool(flags)).collect())
+            assert got == sorted((i, *h) for i, c in rows if c for h in brute(c, needle, flags))
+    with pytest.raises(ValueError):
+        search.xor_search(d, "i", "c", b"")
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    got = sorted(tuple(r) for r in catalog.QUERIES["xor_documents"](spark, SF).select("doc_id", "key", "offset").collect())
+    assert got == sorted((r.doc_id, *h) for r in docs for h in brute(r.text.encode(), b"token"))
+
+
 def test_upserts(spark):
     from quillmesh.operators import relational as R
 
