@@ -26,6 +26,21 @@ def resolve_clusters(clustered: DataFrame, anchors: DataFrame, campaigns: DataFr
     return by.select("cluster", verdict.alias("verdict"), F.when(F.size("all") == 1, F.get("all", F.lit(0))).alias("known"), "all")
 
 
+def settle_clusters(clustered: DataFrame, anchors: DataFrame, campaigns: DataFrame, centers: DataFrame) -> DataFrame:
+    """id, cluster, verdict and known of each element of clusters (id, cluster, v); centers are (known, centroid).
+
+    Verdicts are those of resolve_clusters. An element of a conflict goes to the nearest of the centroids of the known
+    clusters that are involved, the least one of equals; noise and what is unresolved go to -1, and a new cluster has no
+    known one yet.
+    """
+    verdicts = resolve_clusters(clustered.select("id", "cluster"), anchors, campaigns)
+    involved = verdicts.where("verdict = 'conflict'").select("cluster", F.explode("all").alias("known")).join(centers.select("known", "centroid"), "known")
+    choice = involved.groupBy("cluster").agg(F.collect_list(F.struct("known", "centroid")).alias("centers"))
+    nearest = F.array_min(F.transform("centers", lambda x: F.struct(V.squared_distance(F.col("v"), x["centroid"]).alias("d"), x["known"].alias("known"))))
+    known = F.when(F.col("verdict") == "conflict", nearest["known"]).when(F.col("verdict").isin("noise", "unresolved"), F.lit(-1)).otherwise(F.col("known"))
+    return clustered.select("id", "cluster", "v").join(verdicts.drop("all"), "cluster").join(choice, "cluster", "left").select("id", "cluster", "verdict", known.alias("known"))
+
+
 def ladder(vectors: DataFrame, steps: list[float], min_points: int, good) -> DataFrame:
     """Density clusters at falling eps until good(labels) holds; the last ones otherwise. There are a few steps."""
     for eps in steps:

@@ -191,6 +191,26 @@ def cluster_resolve(spark, sf_dir):
     return C.resolve_clusters(clustered, anchors, campaigns).select("cluster", "verdict")
 
 
+_SETTLED = """WITH e AS (SELECT vec_id, label, label - 1 AS cluster, embedding::DOUBLE[] AS v, CASE WHEN label % 4 > 0 THEN label * 10 + vec_id % (label % 4) END AS known FROM embeddings),
+a AS (SELECT vec_id, label, cluster, v, known, CASE WHEN label % 4 = 3 THEN known ELSE label END AS campaign FROM e WHERE known IS NOT NULL QUALIFY row_number() OVER (PARTITION BY known ORDER BY md5(vec_id::VARCHAR || '|7')) <= 20),
+c AS (SELECT known, list(x ORDER BY pos) AS centroid FROM (SELECT known, pos, avg(x) AS x FROM (SELECT known, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT cluster, count(DISTINCT known) AS n, count(DISTINCT campaign) AS m, min(known) AS one FROM a GROUP BY 1),
+w AS (SELECT e.vec_id, e.cluster, one, CASE WHEN e.cluster = -1 THEN 'noise' WHEN n IS NULL THEN 'new' WHEN n = 1 THEN 'known' WHEN m = 1 THEN 'conflict' ELSE 'unresolved' END AS verdict FROM e LEFT JOIN k ON k.cluster = e.cluster),
+d AS (SELECT e.vec_id, arg_min(c.known, list_distance(e.v, c.centroid)) AS nearest FROM e JOIN (SELECT DISTINCT cluster, known FROM a) i ON i.cluster = e.cluster JOIN c ON c.known = i.known GROUP BY 1)
+SELECT w.vec_id, w.cluster, verdict, CASE verdict WHEN 'conflict' THEN nearest WHEN 'known' THEN one WHEN 'new' THEN NULL ELSE -1 END AS known FROM w LEFT JOIN d ON d.vec_id = w.vec_id"""
+
+
+@query(_SETTLED)
+def cluster_settle(spark, sf_dir):
+    """Verdict and known cluster of every embedding of every label; 20 seeded anchors of each known cluster."""
+    label, parts = F.col("label").cast("long"), F.col("label") % 4
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), (label - 1).alias("cluster"), F.col("embedding").alias("v"), F.when(parts > 0, label * 10 + F.col("vec_id") % F.greatest(parts, F.lit(1))).alias("known"))
+    anchors = R.first_per(e.where("known IS NOT NULL"), ["known"], [R.draw(F.col("id"))], 20)
+    campaigns = anchors.select("known", F.when(F.col("label") % 4 == 3, F.col("known")).otherwise(F.col("label")).alias("campaign")).distinct()
+    settled = C.settle_clusters(e.select("id", "cluster", "v"), anchors.select("id", "known"), campaigns, V.centroids(anchors, "known", "v"))
+    return settled.withColumnRenamed("id", "vec_id")
+
+
 @query()
 def eps_ladder(spark, sf_dir):
     """Clusters at the first eps of a falling ladder that has more than one."""

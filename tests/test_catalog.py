@@ -100,6 +100,23 @@ def test_xor_search(spark):
     assert got == sorted((r.doc_id, *h) for r in docs for h in brute(r.text.encode(), b"token"))
 
 
+def test_conflicts_settle_by_element(spark):
+    from quillmesh.operators import resolve
+
+    # clusters: 0 conflict of 10 and 11, 1 known, 2 new, 3 unresolved, -1 noise; centroid 12 is nearest to all but not involved
+    rows = [(1, 0, 0.0), (2, 0, 1.0), (3, 0, 4.0), (4, 0, 5.0), (5, 0, 2.5), (6, 1, 0.0), (7, 1, 9.0), (8, 2, 0.0), (9, 3, 0.0), (10, 3, 1.0), (11, -1, 0.0)]
+    clustered = spark.createDataFrame([(i, c, [x, 0.0]) for i, c, x in rows], "id long, cluster long, v array<double>")
+    anchors = spark.createDataFrame([(1, 10), (4, 11), (6, 12), (9, 10), (10, 13)], "id long, known long")
+    campaigns = spark.createDataFrame([(10, 1), (11, 1), (12, 1), (13, 2)], "known long, campaign long")
+    centers = spark.createDataFrame([(10, [0.0, 0.0]), (11, [5.0, 0.0]), (12, [2.0, 0.0]), (13, [9.0, 0.0])], "known long, centroid array<double>")
+    got = {r.id: (r.cluster, r.verdict, r.known) for r in resolve.settle_clusters(clustered, anchors, campaigns, centers).collect()}
+    conflict = {1: 10, 2: 10, 3: 11, 4: 11, 5: 10}
+    assert got == {**{i: (0, "conflict", k) for i, k in conflict.items()}, 6: (1, "known", 12), 7: (1, "known", 12), 8: (2, "new", None), 9: (3, "unresolved", -1), 10: (3, "unresolved", -1), 11: (-1, "noise", -1)}
+    whole = catalog.QUERIES["cluster_settle"](spark, "/root/testdata/sf0.01")
+    assert whole.count() == spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
+    assert {r.verdict for r in whole.select("verdict").distinct().collect()} == {"noise", "new", "known", "conflict", "unresolved"}
+
+
 def test_upserts(spark):
     from quillmesh.operators import relational as R
 
