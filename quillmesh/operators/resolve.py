@@ -135,13 +135,17 @@ def mine_triplets(vectors: DataFrame, margin: float, rule: str = "hardest", batc
     return vectors.select("id", "v", "label", batch).groupBy(batch).applyInPandas(lambda f: choose_triplets(f, margin, rule), TRIPLETS)
 
 
-def reach(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
-    """node and depth of what roots (node) lead to by edges (src, dst); a frontier a round, until it is empty."""
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node and depth of what roots (node) lead to by edges (src, dst); a frontier a round, until it is empty.
+
+    Each round finds new nodes, so there is an end; there are as many rounds as the farthest node is away.
+    """
     from .storage import cut
 
     seen = cut(roots.select("node", F.lit(0).alias("depth")).distinct(), "reach")
-    front = seen
-    for depth in range(1, rounds + 1):
+    front, depth = seen, 0
+    while True:
+        depth += 1
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = cut(step.withColumn("depth", F.lit(depth)), "front")
         if not front.limit(1).count():

@@ -117,6 +117,15 @@ def test_conflicts_settle_by_element(spark):
     assert {r.verdict for r in whole.select("verdict").distinct().collect()} == {"noise", "new", "known", "conflict", "unresolved"}
 
 
+def test_walk_goes_to_the_end(spark, monkeypatch):
+    from quillmesh.operators import resolve, storage
+
+    monkeypatch.setattr(storage, "cut", lambda df, name: df.coalesce(1).localCheckpoint())  # many short rounds
+    chain = spark.range(102).selectExpr("id AS src", "(id + 1) % 102 AS dst").union(spark.createDataFrame([(200, 201)], "src long, dst long")).coalesce(1).localCheckpoint()
+    got = resolve.reach(chain, spark.range(1).selectExpr("id AS node")).collect()
+    assert {r.node: r.depth for r in got} == {n: n for n in range(102)}
+
+
 def test_upserts(spark):
     from quillmesh.operators import relational as R
 
