@@ -67,11 +67,11 @@ def base_spans(text: str) -> list[Span]:
 #: Generators: kind, what a quick look asks for (a digit where none is named), and a pattern whose group 1 is the span.
 GENERATORS = (
     ("email", "at", re.compile(r"(?i)\b(?=([a-z0-9][a-z0-9._%+-]{0,63}(?: ?[(\[{]at[)\]}] ?[a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){1,4}| at [a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}){1,4})))")),
-    ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?)(?![0-9A-Za-z-])")),
+    ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{0,2}(?:[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|[0-9]{3}(?:[ .-][0-9]{2}){2,5}|[0-9]{2}(?:[ .-][0-9]{2}){2,5}))(?![0-9A-Za-z-])")),
     ("card", None, re.compile(r"(?<![0-9])([0-9]{4}[. ]{1,2}[0-9]{4,6}[. ]{1,2}[0-9]{4,5}(?:[. ]{1,2}[0-9]{3,4})?)(?![0-9])")),
     ("iban", None, re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("ssn", None, re.compile(r"(?<![0-9-])([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9-])")),
-    ("secret", None, re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,256})")),
+    ("secret", None, re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,}+)")),
 )
 DIGIT = re.compile(r"[0-9]")
 OBFUSCATED = re.compile(r"(?i)[(\[{]at[)\]}]| dot |[(\[{]dot[)\]}]")
@@ -202,6 +202,12 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, Span, bool]]:
     cue = {"email": ["mail me at", "contact", "write to", "e-mail:"], "phone": ["call", "tel.", "phone:", "fax", "reach me at"], "card": ["card", "visa", "pay with"], "iban": ["IBAN", "account", "bank"], "ssn": ["SSN", "social security number"]}
     away = ["order", "version", "ISBN", "ref", "invoice", "pages", "score", "lot", "SKU", "part", "serial", "date", "sha1", "commit"]
     out = []
+
+    def add(kind: str, text: str, good: bool) -> None:
+        spans = [s for s in candidates(text) if s[0] == kind]
+        if spans:
+            out.append((text, max(spans, key=lambda s: s[2] - s[1]), good))
+
     while len(out) < n:
         kind, good = r.choice([k for k in KINDS if k != "ip"]), r.random() < 0.5
         lead = r.choice(cue.get(kind, ["the"])) if r.random() < (0.75 if good else 0.1) else r.choice(away) if not good and r.random() < 0.7 else word()
@@ -220,10 +226,23 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, Span, bool]]:
         else:
             lead = r.choice(["token =", "secret:", "password=", "api_key =", "token", "secret"]) if good else r.choice(["token", "secret", "bearer", "password:"])
             body = "".join(r.choice("0123456789abcdef") for _ in range(40)) if good and r.random() < 0.5 else "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(r.randint(20, 48))) if good else word(12, 20) if r.random() < 0.7 else f"{word(5, 8)}-{word(5, 8)}"
-        text = f"{word()} {word()} {lead} {body} {word()}, {word()}"
-        spans = [s for s in candidates(text) if s[0] == kind]
-        if spans:
-            out.append((text, max(spans, key=lambda s: s[2] - s[1]), good))
+        add(kind, f"{word()} {word()} {lead} {body} {word()}, {word()}", good)
+    # rarer shapes: phones without separators, which only a cue tells from other numbers, or in pairs; long and dotted tokens
+    code = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(k))
+    for i in range(n // 4):
+        good = r.random() < 0.5
+        if i % 2:
+            pairs = r.choice(" .").join([f"0{r.choice('123456789')}", *[digits(2) for _ in range(4)]])
+            body = r.choice([f"({digits(3)}){digits(3)}-{digits(4)}", f"{r.choice('23456789')}{digits(9)}", f"0{digits(r.randint(8, 10))}", pairs])
+            lead = r.choice(cue["phone"])
+            if not good:
+                body = r.choice([digits(r.randint(8, 16)), f"{digits(4)}-{digits(2)}-{digits(2)} {digits(2)}", " ".join(digits(2) for _ in range(r.randint(4, 6)))])
+                lead = r.choice([*away, word()])
+            add("phone", f"{word()} {word()} {lead} {body} {word()}, {word()}", good)
+        else:
+            lead = r.choice(["token =", "secret:", "api_key =", "token", "bearer", "Bearer", "Authorization: Bearer"]) if good else r.choice(["token", "secret", "bearer", "password:"])
+            body = r.choice([f"eyJ{code(r.randint(17, 40))}.eyJ{code(r.randint(40, 900))}.{code(r.randint(43, 342))}", code(r.randint(100, 1200))]) if good else "-".join(word(4, 9) for _ in range(r.randint(3, 40)))
+            add("secret", f"{word()} {word()} {lead} {body} {word()}, {word()}", good)
     return out
 
 

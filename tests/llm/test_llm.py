@@ -276,6 +276,25 @@ def test_personal_data(spark, awkward):
     assert spark.createDataFrame([("x a@b.com y",), (None,)], "t string").select(pii.redact("t").alias("r")).collect() == [("x [email] y",), (None,)]
 
 
+def test_long_secrets_and_plain_phones():
+    import base64
+    import random
+
+    r = random.Random(3)
+    model = pii.fitted()
+    b64 = lambda n: base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=")
+    for secret in (f"eyJ{b64(24)}.eyJ{b64(300)}.{b64(256)}", b64(900), b64(240)):
+        text = f"Authorization: Bearer {secret} and more words"
+        assert pii.redacted(text, pii.find_spans(text, model)[1]) == "Authorization: Bearer [secret] and more words"
+    for phone in ("(301)555-0346", "3015550346", "01 23 45 67 89", "01.23.45.67.89", "030 1234567", "044 668 18 00"):
+        assert ("phone", 5, 5 + len(phone)) in pii.candidates(f"call {phone} now")
+    for phone in ("(301)555-0346", "3015550346", "01 23 45 67 89"):
+        text = f"please call {phone} now"
+        assert pii.redacted(text, pii.find_spans(text, model)[1]) == "please call [phone] now"
+    for text in ("the order 3015550346 came", "on date 2024-01-15 10 it was", "see version 20240115 of it", "token of-the-old-and-very-slow-kind"):
+        assert pii.find_spans(text, model)[1] == []
+
+
 def test_sharding(spark, awkward):
     got = sharding.shard_documents(awkward).collect()
     texts = collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in awkward.collect())
