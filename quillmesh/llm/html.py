@@ -1,8 +1,9 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraphs pass points for their length and commas to their parent and, halved, to each further ancestor; a container's
-score is discounted by its link density. The best container and the siblings that score near it or read like text are
-kept, without menus, notices, adverts, forms and comments.
+score is discounted by its link density. The best container and the siblings that score near it, read like text or are
+headings, code or quotes are kept, without menus, notices, adverts, forms and comments. An element that looks like one of
+these and holds the page's article or most of its text is a wrapper, and stays; hidden elements and comments never do.
 """
 
 from __future__ import annotations
@@ -25,35 +26,51 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr"}, "tfoot": {"tr", "td", "th", "tbody"}}
 STOPS = frozenset("table ul ol dl html body article section div main".split())
 NOT_TEXT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertise(?:ment)?s?|adsense|sponsor(?:ed|s)?|promos?|promoted|promotion|banner|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|sidebars?|side-?bar|rail|menus?|nav|navbar|navigation|breadcrumbs?|masthead|site-?header|page-?header|header|footer|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|signup|search|skip-?link|hidden|sr-only|tags)(?:$|[\s_-])")
+#: Names that tell how a page or its article is laid out, not what an element is.
+LAYOUT = re.compile(r"(?i)(?<![^\s_-])(?:(?:has|no|with|without|overflow)[_-]\S+|(?:entry|post|article|content|story)[_-]header(?!\S))")
+#: Texts beside the main one, however long.
+ASIDE_TEXT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|related|recommended|recommendations|hidden|sr-only)(?:$|[\s_-])")
+#: Elements that may turn out to be wrappers.
+WRAPPERS = frozenset("nav footer aside form menu dialog fieldset header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 KEEP_ALWAYS = frozenset("html body article main".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 MIN_PARAGRAPH = 25
 SIBLING_SHARE = 0.2
+QUOTED = frozenset("h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: What is known of an element by its name and attributes: LOOKS is no main text unless it turns out to be a wrapper.
+TEXT, LOOKS, NEVER = 0, 1, 2
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "drop", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: int = TEXT):
         self.tag, self.parent, self.children, self.drop, self.score, self.chars, self.linked = tag, parent, [], drop, 0.0, 0, 0
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    """Whether an element's name or attributes mark it as no part of the main text."""
+def is_furniture(tag: str, attributes: str) -> int:
+    """Whether an element's name or attributes mark it as no part of the main text: TEXT, LOOKS or NEVER."""
+    found = TEXT
     if tag in DROP:
-        return True
-    if not attributes or attributes.isspace() or tag in KEEP_ALWAYS:
-        return False
+        found = LOOKS if tag in WRAPPERS else NEVER
+    if found == NEVER or not attributes or attributes.isspace() or tag in KEEP_ALWAYS:
+        return found
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and NOT_TEXT.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            value = LAYOUT.sub("", value)
+            if NOT_TEXT.search(value):
+                found = NEVER if ASIDE_TEXT.search(value) else max(found, LOOKS)
+        if name == "role" and value.lower() in ROLES:
+            found = max(found, LOOKS)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return NEVER
         if name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return NEVER
+        if found == NEVER:
+            return NEVER
+    return found
 
 
 def parse(html: str) -> Node:
@@ -102,7 +119,7 @@ def parse(html: str) -> Node:
             if found is not None:
                 here = found.parent
         in_text = tag == "header" and not any_above(here, ("article", "main"))
-        new = Node(tag, here, in_text or is_furniture(tag, attributes))
+        new = Node(tag, here, max(LOOKS if in_text else TEXT, is_furniture(tag, attributes)))
         here.children.append(new)
         if tag not in VOID and not attributes.endswith("/"):
             here = new
@@ -117,6 +134,34 @@ def any_above(node: Node | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def spare_wrappers(root: Node) -> None:
+    """Keep what only looks like furniture but holds the page's largest article or main, or most of its running text."""
+    order, stack, dropped = [], [(root, False, False)], False
+    while stack:
+        node, link, out = stack.pop()
+        order.append((node, link, out))
+        dropped = dropped or node.drop == LOOKS
+        stack += [(c, link or c.tag == "a", out or c.drop == LOOKS) for c in node.children if isinstance(c, Node) and c.drop != NEVER]
+    if not dropped:
+        return
+    mass, inside, kept = {}, {}, -1
+    for node, link, out in reversed(order):
+        # mass: characters of running text without links; inside: the most that an article or main in the node has
+        mass[node] = mass.get(node, 0) + (0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str) and len(c.strip()) >= MIN_PARAGRAPH))
+        if node.tag in ("article", "main"):
+            inside[node] = max(mass[node], inside.get(node, -1))
+            if not out:
+                kept = max(kept, mass[node])
+        if node.parent is not None:
+            mass[node.parent] = mass.get(node.parent, 0) + mass[node]
+            if node in inside:
+                inside[node.parent] = max(inside.get(node.parent, -1), inside[node])
+    largest = max(inside.values(), default=-1)
+    for node, _, _ in order:
+        if node.drop == LOOKS and (inside.get(node, -1) == largest > kept or 2 * mass[node] > mass[root]):
+            node.drop = TEXT
+
+
 def score(root: Node) -> list[Node]:
     """Containers with points, in page order."""
     order, stack = [], [(root, False)]
@@ -156,6 +201,7 @@ def score(root: Node) -> list[Node]:
 
 def best_nodes(root: Node) -> list[Node]:
     """The best container with the siblings that belong to it, in page order."""
+    spare_wrappers(root)
     scored = score(root)
     best = max(scored, key=lambda n: n.score, default=None)
     if best is None or best is root:
@@ -177,7 +223,7 @@ def best_nodes(root: Node) -> list[Node]:
             keep.append(c)
         elif isinstance(c, Node) and not c.drop and best.tag not in ("article", "main"):
             density = c.linked / max(1, c.chars)
-            if c.score >= max(5, SIBLING_SHARE * best.score) or c.tag == "p" and (c.chars > 80 and density < 0.25 or 0 < c.chars <= 80 and density == 0):
+            if c.score >= max(5, SIBLING_SHARE * best.score) or c.tag == "p" and (c.chars > 80 and density < 0.25 or 0 < c.chars <= 80 and density == 0) or c.tag in QUOTED and c.chars > 0 and density < 0.25:
                 keep.append(c)
     return keep
 

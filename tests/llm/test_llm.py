@@ -276,6 +276,24 @@ def test_personal_data(spark, awkward):
     assert spark.createDataFrame([("x a@b.com y",), (None,)], "t string").select(pii.redact("t").alias("r")).collect() == [("x [email] y",), (None,)]
 
 
+def test_html_wrappers():
+    long = ["A first paragraph, with a comma, and enough words to count as text of the page.", "A second paragraph, also with commas, and with as many words as the first one."]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    menu = '<div class="menu"><a href="/">Home</a> <a href="/b">Other</a></div>'
+    for wrapper in ("content has-sidebar", "no-sidebar", "overflow-hidden", "page with-search", "layout--has-menu", "sidebar", "header wrapper"):
+        assert html.main_text(f'<div class="{wrapper}"><article><h1>Title</h1>{body}</article></div>{menu}') == "\n\n".join(["Title", *long])
+        assert html.main_text(f'<div class="{wrapper}">{body}</div>{menu}') == "\n\n".join(long)
+    assert html.main_text(f"<form><div>{body}</div></form>{menu}") == "\n\n".join(long)
+    assert html.main_text(f'<article><div class="entry-header"><h1>Title</h1></div>{body}</article>') == "\n\n".join(["Title", *long])
+    # a longer thread of comments, hidden text and small furniture stay out
+    thread = '<div id="comments">' + f"<article>{body * 3}</article>" + "</div>"
+    assert html.main_text(f"<div>{body}</div>{thread}<div hidden>{body * 9}</div>") == "\n\n".join(long)
+    assert html.main_text(f'<article>{body}</article><div class="sidebar"><article><p>{long[0]}</p></article></div>') == "\n\n".join(long)
+    # titles, code and quotes beside the best container
+    beside = html.main_text(f"<body>{menu}<h1>Title</h1><div>{body}</div><pre>x = 1</pre><blockquote>Said so.</blockquote><h2><a href='/'>Linked</a></h2></body>")
+    assert beside == "\n\n".join(["Title", *long, "x = 1", "Said so."])
+
+
 def test_long_secrets_and_plain_phones():
     import base64
     import random
