@@ -19,7 +19,6 @@ from .minhash import mix
 
 #: About this many labelled rows of each language are learned from, chosen by a hash of their id.
 SAMPLE_PER_LANG = 300
-MAX_PIECE = 7
 #: Letters, in runs of at most this many; longer runs are scored slice by slice.
 MAX_WORD = 24
 WORD = re.compile(r"[^\W\d_]{1,24}")
@@ -27,6 +26,7 @@ ROUNDS = 4
 BLOCK_WORDS = 8192
 BASE = np.uint64(0x100000001B3)
 MARK = "▁"
+PIECE = re.compile(rf"{MARK}?[^\W\d_]*")
 
 
 def text_words(text: str | None) -> list[str]:
@@ -83,12 +83,14 @@ class Model:
 
     def __init__(self, pieces: list[str], langs: list[str]):
         self.langs, self.hashes = langs, hash_pieces(pieces)
+        #: Characters of the longest piece that a word can have, mark included.
+        self.longest = max((len(p) for p in pieces if PIECE.fullmatch(p)), default=1)
         self.p = np.full((len(pieces) + 2, len(langs)), 1.0 / max(1, len(pieces)))
         self.p[0], self.p[1] = 0, self.UNKNOWN
         self.find = None
 
     def __getstate__(self):
-        return {"langs": self.langs, "hashes": self.hashes, "p": self.p, "find": None}
+        return {"langs": self.langs, "hashes": self.hashes, "longest": self.longest, "p": self.p, "find": None}
 
     def lattice(self, words: list[str]):
         """Words by falling length, their lengths, starts, and the piece number at each end position for each piece length."""
@@ -101,7 +103,7 @@ class Model:
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         within = np.arange(len(flat)) - np.repeat(start, n)
         ids, h = [], np.zeros(len(flat), np.uint64)
-        for k in range(1, MAX_PIECE + 1):
+        for k in range(1, self.longest + 1):
             h = (np.concatenate([[np.uint64(0)], h[:-1]]) if k > 1 else h) * BASE + flat
             got = np.zeros(len(flat), np.int32)
             fits = np.flatnonzero(within >= k - 1)
@@ -117,7 +119,7 @@ class Model:
         for t in range(1, n[0] + 1):
             live = int(np.searchsorted(-n, -t, side="right"))
             at = start[:live] + t - 1
-            for k in range(1, min(t, MAX_PIECE) + 1):
+            for k in range(1, min(t, self.longest) + 1):
                 piece = ids[k - 1][at]
                 some = np.flatnonzero(piece)
                 alpha[some, t] += alpha[some, t - k] * self.p[piece[some]]
@@ -147,7 +149,7 @@ class Model:
                 for t in range(n[0], 0, -1):
                     live = int(np.searchsorted(-n, -t, side="right"))
                     at = start[:live] + t - 1
-                    for k in range(1, min(t, MAX_PIECE) + 1):
+                    for k in range(1, min(t, self.longest) + 1):
                         piece = ids[k - 1][at]
                         some = np.flatnonzero(piece)
                         back = self.p[piece[some]] * beta[some, t]
@@ -160,13 +162,13 @@ class Model:
 
 
 def vocabulary(name: str = "piece_bpe_32k") -> list[str]:
-    """Pieces of at most MAX_PIECE characters of the public vocabulary, without its control and byte pieces."""
+    """All pieces of the public vocabulary but its control and byte pieces."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
     every = range(model.get_piece_size())
-    return sorted({model.id_to_piece(i).lower() for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(model.id_to_piece(i)) <= MAX_PIECE})
+    return sorted({model.id_to_piece(i).lower() for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
 
 
 def held_out():

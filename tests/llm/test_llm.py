@@ -130,6 +130,19 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [0.25 + 0.1 * 0.2 + 0.15 * 0.3 + 0.15 * langid.Model.UNKNOWN * 0.2, 0.1 + 0.2 * 0.1 + 0.3 * 0.3 + 0.3 * langid.Model.UNKNOWN * 0.1])
 
 
+def test_long_pieces_count():
+    every = langid.vocabulary()
+    assert {"▁government", "▁information"} <= set(every)
+    model = langid.Model(every, ["x"])
+    word, known = "information", set(every)
+    sums = [1.0] + [0.0] * (len(word) + 1)  # over all segmentations, pieces of any length
+    for t in range(1, len(sums)):
+        for a in range(t):
+            piece = (langid.MARK + word)[a:t]
+            sums[t] += sums[a] * (1 / len(every) if piece in known else langid.Model.UNKNOWN if len(piece) == 1 else 0)
+    assert np.allclose(model.log_likelihoods([word])[0, 0], np.log(sums[-1]))
+
+
 def brute_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
