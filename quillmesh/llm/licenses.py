@@ -1,10 +1,7 @@
-"""Licence notices in documents: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
+"""Licence notices in documents: an index of the templates' shingles retrieves them, containment verifies.
 
-Documents and templates are cut into windows of shingles (five words each); a band is one minimum or maximum of their
-hashes. Window sizes follow template sizes: templates of 11 shingles or more use windows of 8 at every fourth shingle, so
-at least one document window lies wholly inside a copy and collides for certain; templates of 4 to 10 use windows of 4 at
-every shingle; smaller ones their shingles. Edited copies collide with probability 1 - (1 - j) ** bands for each window
-pair of similarity j. All in DataFrame functions.
+A shingle is five words. Every shingle of a document is looked up, so a template with three quarters of its shingles in a
+document is found for certain. All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -50,34 +47,15 @@ def none():
     return F.array().cast("array<bigint>")
 
 
-def small_bands(sh):
-    """One minimum for each window of 4 shingles."""
-    n = F.size(sh)
-    return F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 4), lambda i: F.xxhash64(F.lit(4), F.array_min(F.slice(sh, i + 1, F.lit(4)))))).otherwise(none())
-
-
-def large_bands(sh, step: int):
-    """The minimum and the maximum of each window of 8 shingles, `step` apart."""
-    n = F.size(sh)
-
-    def bands(i):
-        w = F.slice(sh, i + 1, F.lit(8))
-        return F.array(F.xxhash64(F.lit(8), F.array_min(w)), F.xxhash64(F.lit(9), F.array_max(w)))
-
-    return F.when(n >= 8, F.flatten(F.transform(F.sequence(F.lit(0), n - 8, F.lit(step)), bands))).otherwise(none())
-
-
 def with_shingles(df: DataFrame) -> DataFrame:
     """Adds sh, the shingles of column text; fewer than five words have none."""
     return df.withColumn("_w", item_words(F.col("text"))).withColumn("sh", shingles(F.col("_w"))).drop("_w", "text")
 
 
 def index(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
-    """key, license_id, m (the template's shingles) and idx: the shingle's number, or null for a band."""
+    """key, license_id, m (the template's shingles) and idx, the shingle's number."""
     t = with_shingles(templates(spark, texts)).withColumn("sh", F.array_distinct("sh")).withColumn("m", F.size("sh"))
-    exact = t.select("license_id", "m", F.posexplode("sh").alias("idx", "key"))
-    bands = F.when(F.col("m") >= 11, large_bands(F.col("sh"), 1)).when(F.col("m") >= 4, small_bands(F.col("sh"))).otherwise(none())
-    return exact.unionByName(t.select("license_id", "m", F.lit(None).cast("int").alias("idx"), F.explode(F.array_distinct(bands)).alias("key")))
+    return t.select("license_id", "m", F.posexplode("sh").alias("idx", "key"))
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -87,13 +65,11 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFra
     first_word is the position of the first word that belongs to the template. Further columns are ignored.
     """
     base = with_shingles(docs.select("doc_id", F.xxhash64("text").alias("_text"), "text"))
-    keys = F.concat(F.col("sh"), small_bands(F.col("sh")), large_bands(F.col("sh"), 4))
-    rows = base.select("doc_id", "_text", F.posexplode(keys).alias("pos", "key"))
+    rows = base.select("doc_id", "_text", F.posexplode("sh").alias("pos", "key"))
     found = rows.join(maybe_broadcast(index(docs.sparkSession, texts)), "key")
     by = found.groupBy("doc_id", "_text", "license_id", "m").agg(
         F.collect_set("idx").alias("_idx"),
-        F.max(F.col("idx").isNull() | (F.col("m") < 4)).alias("_retrieved"),
-        F.min(F.when(F.col("idx").isNotNull(), F.col("pos"))).alias("first_word"),
+        F.min("pos").alias("first_word"),
     )
-    by = by.where(F.col("_retrieved")).withColumn("n_found", F.size("_idx").cast("long")).where(100 * F.col("n_found") >= CONTAINMENT_PERCENT * F.col("m"))
+    by = by.withColumn("n_found", F.size("_idx").cast("long")).where(100 * F.col("n_found") >= CONTAINMENT_PERCENT * F.col("m"))
     return by.select("doc_id", "license_id", F.col("m").cast("long").alias("n_shingles"), "n_found", F.col("first_word").cast("long").alias("first_word"))

@@ -130,6 +130,18 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [0.25 + 0.1 * 0.2 + 0.15 * 0.3 + 0.15 * langid.Model.UNKNOWN * 0.2, 0.1 + 0.2 * 0.1 + 0.3 * 0.3 + 0.3 * langid.Model.UNKNOWN * 0.1])
 
 
+def test_edited_licenses_are_all_found(spark):
+    import random
+
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    made = {f"t{i}": words(r.choice([15, 16, 24])) for i in range(300)}
+    # 9 of 11, 9 or 10 of 12, or 15 of 20 shingles are left
+    rows = [(i, " ".join(words(i % 4) + (["x", "y", *t[2:]] if len(t) < 24 else [*t[:11], "x", *t[12:]]))) for i, t in enumerate(made.values())]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {k: " ".join(v) for k, v in made.items()})
+    assert sorted((r.doc_id, r.license_id) for r in got.collect()) == sorted((i, k) for i, k in enumerate(made))
+
+
 def test_long_pieces_count():
     every = langid.vocabulary()
     assert {"▁government", "▁information"} <= set(every)
