@@ -19,22 +19,26 @@ from .minhash import mix
 
 #: About this many labelled rows of each language are learned from, chosen by a hash of their id.
 SAMPLE_PER_LANG = 300
-#: Letters, in runs of at most this many; longer runs are scored slice by slice.
-MAX_WORD = 24
-WORD = re.compile(r"[^\W\d_]{1,24}")
+WORD = re.compile(r"[^\W\d_]+")
 ROUNDS = 4
-BLOCK_WORDS = 8192
+#: Letters of the words that are scored at once, so that arrays stay small however many words there are.
+BLOCK_LETTERS = 1 << 17
+#: Positions after which running probabilities are scaled back to 1, so that words of any length stay within range.
+RESCALE = 8
+#: With fewer words than this left, all piece lengths are taken in one step.
+FEW = 64
 BASE = np.uint64(0x100000001B3)
 MARK = "▁"
 PIECE = re.compile(rf"{MARK}?[^\W\d_]*")
 
 
 def text_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters; a text without any letter has none."""
+    """Lower-case runs of letters, whole; a text without any letter has none."""
     words = WORD.findall(text.lower()) if text else []
-    if words and not words[0][0].isalpha():
-        words = [w for w in words if any(c.isalpha() for c in w)]
-    return words
+    if all(map(str.isalpha, words)):
+        return words
+    # characters such as fractions count as parts of words, but are no letters
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def hash_pieces(pieces: list[str]) -> np.ndarray:
@@ -92,74 +96,102 @@ class Model:
     def __getstate__(self):
         return {"langs": self.langs, "hashes": self.hashes, "longest": self.longest, "p": self.p, "find": None}
 
+    def blocks(self, words: list[str]):
+        """Indexes of words by falling length, as many as have about BLOCK_LETTERS letters together, each with lattice()."""
+        order, a = np.argsort([-len(w) for w in words], kind="stable"), 0
+        while a < len(order):
+            own = order[a : a + max(1, BLOCK_LETTERS // (len(words[order[a]]) + 1))]
+            yield own, *self.lattice([words[i] for i in own])
+            a += len(own)
+
     def lattice(self, words: list[str]):
-        """Words by falling length, their lengths, starts, and the piece number at each end position for each piece length."""
+        """Lengths and starts of words of falling length, and the piece number at each end position for each piece length."""
         if self.find is None:
             self.find = Lookup(self.hashes)
-        order = np.argsort([-len(w) for w in words], kind="stable")
-        words = [words[i] for i in order]
         n = np.array([len(w) + 1 for w in words])
         flat = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         within = np.arange(len(flat)) - np.repeat(start, n)
-        ids, h = [], np.zeros(len(flat), np.uint64)
-        for k in range(1, self.longest + 1):
+        ids, h = np.zeros((min(self.longest, n[0]), len(flat)), np.int32), np.zeros(len(flat), np.uint64)
+        for k in range(1, len(ids) + 1):
             h = (np.concatenate([[np.uint64(0)], h[:-1]]) if k > 1 else h) * BASE + flat
-            got = np.zeros(len(flat), np.int32)
             fits = np.flatnonzero(within >= k - 1)
             found = self.find(mix(h[fits])) + 2
             found[found == 1] = 1 if k == 1 else 0
-            got[fits] = found
-            ids.append(got)
-        return order, n, start, ids
-
-    def forward(self, n, start, ids) -> np.ndarray:
-        alpha = np.zeros((len(n), n[0] + 1, len(self.langs)))
-        alpha[:, 0] = 1
+            ids[k - 1, fits] = found
+        return n, start, ids
+
+    def totals(self, n, start, ids) -> np.ndarray:
+        """Log probabilities by language over all segmentations of words of falling length.
+
+        Only as many positions as the longest piece reaches back are kept, in a ring; a word's values are divided by their
+        latest one now and then, and its logarithm is kept.
+        """
+        slots, langs = len(ids) + 1, len(self.langs)
+        ring = np.zeros((slots, len(n), langs))
+        ring[0] = 1
+        scale, out = np.zeros((len(n), langs)), np.zeros((len(n), langs))
+        live = len(n)
         for t in range(1, n[0] + 1):
-            live = int(np.searchsorted(-n, -t, side="right"))
-            at = start[:live] + t - 1
-            for k in range(1, min(t, self.longest) + 1):
-                piece = ids[k - 1][at]
-                some = np.flatnonzero(piece)
-                alpha[some, t] += alpha[some, t - k] * self.p[piece[some]]
-        return alpha
+            at, now, reach = start[:live] + t - 1, ring[t % slots, :live], min(t, len(ids))
+            if live < FEW:
+                back = (t - np.arange(1, reach + 1)) % slots
+                now[:] = (ring[back, :live] * self.p[ids[:reach, at]]).sum(axis=0)
+            else:
+                now[:] = 0
+                for k in range(1, reach + 1):
+                    piece = ids[k - 1][at]
+                    some = np.flatnonzero(piece)
+                    now[some] += ring[(t - k) % slots][some] * self.p[piece[some]]
+            if t % RESCALE == 0:
+                last = now.copy()
+                ring[:, :live] /= last
+                scale[:live] += np.log(last)
+            rest = int(np.searchsorted(-n, -t - 1, side="right"))
+            out[rest:live] = np.log(ring[t % slots, rest:live]) + scale[rest:live]
+            live = rest
+        return out
 
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
         """A row of log probabilities, by language, for each word."""
         out = np.zeros((len(words), len(self.langs)))
-        for a in range(0, len(words), BLOCK_WORDS):
-            order, n, start, ids = self.lattice(words[a : a + BLOCK_WORDS])
-            alpha = self.forward(n, start, ids)
-            out[a + order] = np.log(np.maximum(alpha[np.arange(len(n)), n], 1e-300))
+        for own, n, start, ids in self.blocks(words):
+            out[own] = self.totals(n, start, ids)
         return out
 
-    def learn(self, counts: dict[str, np.ndarray], rounds: int = ROUNDS) -> Model:
-        """Expectation maximisation from words' counts by language, with a little of a uniform prior."""
-        words = sorted(counts)
-        blocks = [words[a : a + BLOCK_WORDS] for a in range(0, len(words), BLOCK_WORDS)]
-        lattices = [(self.lattice(b), np.array([counts[w] for w in b], float)) for b in blocks]
-        for _ in range(rounds):
-            seen = np.full(self.p.shape, 0.01)
-            for (order, n, start, ids), weight in lattices:
-                alpha = self.forward(n, start, ids)
-                total = np.maximum(alpha[np.arange(len(n)), n], 1e-300)
-                beta = np.zeros_like(alpha)
-                beta[np.arange(len(n)), n] = weight[order] / total
-                for t in range(n[0], 0, -1):
-                    live = int(np.searchsorted(-n, -t, side="right"))
-                    at = start[:live] + t - 1
-                    for k in range(1, min(t, self.longest) + 1):
-                        piece = ids[k - 1][at]
-                        some = np.flatnonzero(piece)
-                        back = self.p[piece[some]] * beta[some, t]
-                        use = back * alpha[some, t - k]
-                        beta[some, t - k] += back
-                        for lang in range(len(self.langs)):
-                            seen[:, lang] += np.bincount(piece[some], use[:, lang], len(seen))
-            self.p[2:] = seen[2:] / seen[2:].sum(axis=0)
+    def learn(self, counts: dict[str, dict[str, int]], rounds: int = ROUNDS) -> Model:
+        """Expectation maximisation from each language's own word counts, with a little of a uniform prior; in logarithms."""
+        for j, lang in enumerate(self.langs):
+            words = sorted(counts.get(lang, ()))
+            weights = np.array([counts[lang][w] for w in words], float)
+            blocks = list(self.blocks(words))
+            for _ in range(rounds):
+                seen = sum((self.expected(np.log(np.maximum(self.p[:, j], 1e-300)), np.log(weights[own]), *rest) for own, *rest in blocks), np.full(len(self.p), 0.01))
+                self.p[2:, j] = seen[2:] / seen[2:].sum()
         return self
 
+    def expected(self, log_p, log_weight, n, start, ids) -> np.ndarray:
+        """How often each piece occurs over all segmentations of words, by the logarithms of probabilities and counts."""
+        alpha, steps, each = np.full((n[0] + 1, len(n)), -np.inf), [], np.arange(len(n))
+        alpha[0] = 0
+        for t in range(1, n[0] + 1):
+            live = int(np.searchsorted(-n, -t, side="right"))
+            at = start[:live] + t - 1
+            for k in range(1, min(t, len(ids)) + 1):
+                piece = ids[k - 1][at]
+                some = np.flatnonzero(piece)
+                if len(some):
+                    steps.append((t, k, some, piece[some]))
+                    alpha[t, some] = np.logaddexp(alpha[t, some], alpha[t - k, some] + log_p[piece[some]])
+        beta = np.full_like(alpha, -np.inf)
+        beta[n, each] = log_weight - alpha[n, each]
+        seen = np.zeros(len(log_p))
+        for t, k, some, piece in reversed(steps):
+            back = log_p[piece] + beta[t, some]
+            np.add.at(seen, piece, np.exp(back + alpha[t - k, some]))
+            beta[t - k, some] = np.logaddexp(beta[t - k, some], back)
+        return seen
+
 
 def vocabulary(name: str = "piece_bpe_32k") -> list[str]:
     """All pieces of the public vocabulary but its control and byte pieces."""
@@ -176,7 +208,12 @@ def held_out():
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """A model from about per_lang labelled rows of each language that are not held out, whole texts."""
+    """A model from about per_lang labelled rows of each language that are not held out, whole texts.
+
+    Null texts and labels teach nothing; where no row is left, the model has no languages. Words are counted by the
+    executors, and those of the sample come to the driver.
+    """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = dict(rows.groupBy("lang").count().collect())  # as many as there are languages
     langs = sorted(sizes)
@@ -185,13 +222,24 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
         return model
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)).cast("double") / float(1 << 30)
     rate = F.coalesce(F.create_map(*[F.lit(x) for lang in langs for x in (lang, per_lang / sizes[lang])])[F.col("lang")], F.lit(0.0))
-    counts: dict[str, np.ndarray] = {}
-    for lang, text in rows.where(draw < rate).select("lang", "text").toLocalIterator():
-        for w in text_words(text):
-            counts.setdefault(w, np.zeros(len(langs)))[langs.index(lang)] += 1
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in langs}
+    sample = rows.where(draw < rate).select("lang", "text").mapInArrow(count_words, "lang string, word string, n long")
+    for lang, word, n in sample.groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():  # words of the sample, not texts
+        counts[lang][word] = n
     return model.learn(counts)
 
 
+def count_words(batches):
+    """How often each word occurs in each language's texts."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            seen: dict[tuple[str, str], int] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for w in text_words(text):
+                    seen[lang, w] = seen.get((lang, w), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score, the posterior of lang_pred under equal priors, for each document.
 

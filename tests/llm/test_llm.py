@@ -142,6 +142,56 @@ def test_edited_licenses_are_all_found(spark):
     assert sorted((r.doc_id, r.license_id) for r in got.collect()) == sorted((i, k) for i, k in enumerate(made))
 
 
+def test_words_of_any_length_are_scored_whole():
+    r = np.random.default_rng(2)
+    model = langid.Model(["▁a", "b", "ab", "▁ab", "▁", "ba", "aab", "bbbb"], ["x", "y"])
+    model.p[2:] = r.dirichlet(np.ones(8), 2).T
+    number = {p: i + 2 for i, p in enumerate(["▁a", "b", "ab", "▁ab", "▁", "ba", "aab", "bbbb"])}
+    words = ["".join(r.choice(list("abc"), n)) for n in [*range(1, 30), 500, 3000]]
+    from fractions import Fraction
+
+    for few in (1, 64):
+        langid.FEW, old = few, langid.FEW
+        got = model.log_likelihoods(words)
+        langid.FEW = old
+        for w, row in zip(words, got):
+            text = langid.MARK + w
+            for lang in (0, 1):
+                sums = [Fraction(1)]
+                for t in range(1, len(text) + 1):
+                    terms = (sums[t - k] * Fraction(float(model.p[number[text[t - k : t]], lang])) for k in range(1, min(t, 4) + 1) if text[t - k : t] in number)
+                    # exact numbers are cut to 200 bits, far beyond a float's
+                    total = sum(terms) + (sums[t - 1] * Fraction(langid.Model.UNKNOWN) if text[t - 1] not in number else 0)
+                    shift = max(0, total.denominator.bit_length() - total.numerator.bit_length() + 200)
+                    sums.append(Fraction(int(total * (1 << shift)), 1 << shift))
+                want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+                assert math.isclose(row[lang], want, rel_tol=1e-9)
+    assert langid.text_words("½ abc") == langid.text_words("abc ½") == ["abc"] and langid.text_words("a½bc x") == ["a", "bc", "x"]
+    assert langid.text_words("x" * 100) == ["x" * 100]
+
+
+def test_learning_counts_all_segmentations():
+    model = langid.Model(["▁", "a", "▁a", "aa"], ["x"])
+    model.p[2:, 0] = [0.4, 0.3, 0.2, 0.1]
+    way = {("▁", "a", "a"): 0.4 * 0.3 * 0.3, ("▁", "aa"): 0.4 * 0.1, ("▁a", "a"): 0.2 * 0.3}
+    want = {p: 0.01 + 5 * sum(v for w, v in way.items() for x in w if x == p) / sum(way.values()) for p in ("▁", "a", "▁a", "aa")}
+    model.learn({"x": {"aa": 5}}, 1)
+    assert np.allclose(model.p[2:, 0], np.array(list(want.values())) / sum(want.values()))
+
+
+def test_language_of_odd_rows(spark, awkward):
+    docs = spark.createDataFrame([(i, BASE if i % 2 else "der die das und nicht ist mit " * 5, "en" if i % 2 else "de", "s") for i in range(60)] + [(100, None, "en", "s"), (101, "alone", None, "s")], "doc_id long, text string, lang string, source string")
+    model = langid.train(docs)
+    assert model.langs == ["de", "en"]
+    twice = awkward.union(awkward).withColumnRenamed("label", "score").withColumnRenamed("kept", "lang_pred")
+    got = collections.Counter(tuple(r) for r in langid.identify(twice, model).collect())
+    assert sum(got.values()) == 2 * awkward.count() and all(n % 2 == 0 for n in got.values())
+    unlabelled = langid.identify(awkward, langid.train(awkward.selectExpr("doc_id", "text", "nullif(lang, lang) AS lang"))).collect()
+    assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
+    long = spark.createDataFrame([(1, "nicht" * 4000), (2, "und " * 100_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(long, model).orderBy("doc_id").collect()] == ["de", "de"]
+
+
 def test_long_pieces_count():
     every = langid.vocabulary()
     assert {"▁government", "▁information"} <= set(every)
