@@ -9,6 +9,7 @@ these and holds the page's article or most of its text is a wrapper, and stays;
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame
 
 from .batches import by_value, chunks, small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
+#: A mark's beginning, and what follows a tag's name with its quoted values, as far as the first bare end.
+MARK = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*))")
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup, and no text of the page.
@@ -24,8 +27,9 @@ RAW = frozenset("script style noscript textarea title iframe xmp noembed noframe
 DROP = frozenset("nav footer aside form button select option datalist svg math canvas object audio video menu dialog template fieldset head map picture".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr"}, "tfoot": {"tr", "td", "th", "tbody"}}
+LISTS = ("table", "ul", "ol", "dl", "select")
 STOPS = frozenset("table ul ol dl html body article section div main".split())
-NOT_TEXT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertise(?:ment)?s?|adsense|sponsor(?:ed|s)?|promos?|promoted|promotion|banner|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|sidebars?|side-?bar|rail|menus?|nav|navbar|navigation|breadcrumbs?|masthead|site-?header|page-?header|header|footer|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|signup|search|skip-?link|hidden|sr-only|tags)(?:$|[\s_-])")
+NOT_TEXT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertise(?:ment)?s?|adsense|sponsor(?:ed|s)?|promos?|promoted|promotion|banner|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|sidebars?|side-?bar|rail|menus?|nav|navbar|navigation|breadcrumbs?|masthead|site-?header|page-?header|header|footer|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|recommendations|widgets|widget-area|toolbar|pagination|pager|login|signup|search|skip-?link|hidden|sr-only|tags)(?:$|[\s_-])")
 #: Names that tell how a page or its article is laid out, not what an element is.
 LAYOUT = re.compile(r"(?i)(?<![^\s_-])(?:(?:has|no|with|without|overflow)[_-]\S+|(?:entry|post|article|content|story)[_-]header(?!\S))")
 #: Texts beside the main one, however long.
@@ -73,67 +77,113 @@ def is_furniture(tag: str, attributes: str) -> int:
     return found
 
 
+def tokens(html: str):
+    """Texts, and tags as (name, closing, attributes, end), in page order; time is in proportion to the page's length.
+
+    A tag ends at the first bare `>`. Where quotes leave none, it ends at the first `>` of any kind, and so do all later
+    tags, so that a broken quote is looked for once. A mark that has no `>` after it is text, like the rest of the page.
+    """
+    at, from_, end, quotes = 0, 0, len(html), True
+    while (m := MARK.search(html, at)) is not None:
+        if m["comment"]:
+            close = html.find("-->", m.end())
+            stop = close + 3 if close >= 0 else end
+        else:
+            close = html.find(">", m.end())
+            if close < 0:
+                break
+            if quotes and m["name"]:
+                close = INSIDE.match(html, m.end()).end()
+                if html[close : close + 1] != ">":
+                    quotes, close = False, html.find(">", m.end())
+            stop = close + 1
+        if m.start() > from_:
+            yield html[from_ : m.start()]
+        at = from_ = stop
+        if m["name"]:
+            skip = yield m["name"].lower(), bool(m["close"]), html[m.end() : close], stop
+            if skip is not None:
+                at = from_ = skip
+                yield None
+    if from_ < end:
+        yield html[from_:]
+
+
+def raw_end(html: str, tag: str, at: int) -> int:
+    """Where an element whose content is no markup ends, or the end of the page."""
+    m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+    close = html.find(">", m.end()) if m else -1
+    return close + 1 if close >= 0 else len(html)
+
+
+class Open:
+    """The open elements: a stack, where it has each tag, and where it has elements that tags don't reach beyond."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.stops = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in STOPS:
+            self.stops.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, n: int) -> None:
+        """Close all elements from the n-th on."""
+        while len(self.stack) > n:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in STOPS:
+                self.stops.pop()
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of this tag is, or 0."""
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def within(self, tag: str) -> int:
+        """The same, if no element that tags don't reach beyond is above it in the stack."""
+        n = self.last(tag)
+        return n if not self.stops or self.stops[-1] <= n else 0
+
+
 def parse(html: str) -> Node:
     """The element tree, forgiving: unclosed and stray tags, raw elements, comments; nesting of any depth."""
-    root = here = Node("html", None)
-    at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            here.children.append(html[at:])
-            break
-        if m.start() > at:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    root = Node("html", None)
+    opened, stream = Open(root), tokens(html)
+    for x in stream:
+        here = opened.stack[-1]
+        if isinstance(x, str):
+            here.children.append(x)
             continue
-        tag, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
+        tag, closing, attributes, stop = x
         if closing:
-            node = here
-            while node is not None and node.tag != tag and not (tag not in STOPS and node.tag in STOPS and tag not in BLOCK):
-                node = node.parent
-            if node is not None and node.tag == tag and node.parent is not None:
-                here = node.parent
+            if n := opened.last(tag) if tag in STOPS or tag in BLOCK else opened.within(tag):
+                opened.cut(n)
             elif tag == "br":
                 here.children.append(Node("br", here))
             continue
         if tag in ("html", "body") and here is root:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
+            stream.send(raw_end(html, tag, stop))
             continue
-        if tag in BLOCK:  # an open paragraph ends at the next block
-            node = here
-            while node is not None and node.tag != "p" and node.tag not in STOPS:
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
+        if tag in BLOCK and (n := opened.within("p")):  # an open paragraph ends at the next block
+            opened.cut(n)
         if ends := CLOSES.get(tag):
-            node, found = here, None
-            while node is not None and node.tag not in ("table", "ul", "ol", "dl", "select", "html"):
-                if node.tag in ends:
-                    found = node
-                node = node.parent
-            if found is not None:
-                here = found.parent
-        in_text = tag == "header" and not any_above(here, ("article", "main"))
+            bound = max(opened.last(t) for t in LISTS)
+            first = [a[i] for t in ends if (a := opened.at.get(t)) and (i := bisect_right(a, bound)) < len(a)]
+            if first:
+                opened.cut(min(first))
+        here = opened.stack[-1]
+        in_text = tag == "header" and not opened.last("article") and not opened.last("main")
         new = Node(tag, here, max(LOOKS if in_text else TEXT, is_furniture(tag, attributes)))
         here.children.append(new)
         if tag not in VOID and not attributes.endswith("/"):
-            here = new
+            opened.push(new)
     return root
 
 
-def any_above(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def spare_wrappers(root: Node) -> None:
     """Keep what only looks like furniture but holds the page's largest article or main, or most of its running text."""
     order, stack, dropped = [], [(root, False, False)], False
@@ -255,7 +305,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         elif x.drop:
             continue
         elif x.tag in ("br", "wbr", "img"):
-            run.append(" " if x.tag == "br" else "")
+            run.append("" if x.tag == "wbr" else " ")
         else:
             block = x.tag in BLOCK
             if block:
@@ -279,7 +329,10 @@ def extract_batches(batches):
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each page, repeated rows included; further columns are ignored."""
+    """page_id, url, text and n_chars for each page, repeated rows included.
+
+    A null or empty page has an empty text; ids and URLs may be null; further columns are ignored; no rows give no rows.
+    """
     small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(extract_batches, "page_id long, url string, text string, n_chars long")
 

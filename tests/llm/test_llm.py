@@ -420,3 +420,61 @@ def test_pipeline(spark):
         got[r.doc_id] += r.length
         assert r.ids_crc32 == zlib.crc32(np.append(encode(docs[r.doc_id]), np.uint32(0))[r.start : r.start + r.length].astype("<u4").tobytes())
     assert got == {i: len(encode(t)) + 1 for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("page", [lambda n: "<a " * n, lambda n: "<div>" * n + "</i>" * n, lambda n: "<b>" * n + "<h1></h1>" * n, lambda n: '<a ">x" ' * n, lambda n: "<script></script " * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "<li>x" * n, lambda n: "<! " * n])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    html.main_text(page(60_000))
+    assert time.perf_counter() - start < 8  # quadratic time is a minute and more
+
+
+def test_html_of_widgets_and_images():
+    texts = [f"The {k} paragraph has a comma, and words enough to count as text of the page." for k in ("first", "second", "third")]
+    for name in ("elementor-widget elementor-widget-text-editor", "widget", "content no-sidebar"):
+        assert html.main_text('<div class="menu"><a href="/">Home</a></div>' + "".join(f'<div class="{name}"><p>{t}</p></div>' for t in texts)) == "\n\n".join(texts)
+    assert html.main_text(f'<div class="layout with-sidebar"><main><p>{texts[0]}</p></main></div>') == texts[0]
+    assert html.main_text("<p>a long<img src=x>word, a ve<wbr>ry long one, and some more of them</p>") == "a long word, a very long one, and some more of them"
+    assert html.main_text('<p title="a > b">words, and more words, in a paragraph of them</p>') == "words, and more words, in a paragraph of them"
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>words, and more words, in a paragraph</p>", "x", 1), (1, "u", "<p>words, and more words, in a paragraph</p>", "x", 1), (2, None, None, "x", 1), (None, "u", "", None, 1), (3, "u", "<p>" + "many words, " * 50_000, "x", 1)]
+    got = collections.Counter(tuple(r) for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect())
+    one, long = "words, and more words, in a paragraph", ("many words, " * 50_000).strip()
+    assert got == {(1, "u", one, len(one)): 2, (2, None, "", 0): 1, (None, "u", "", 0): 1, (3, "u", long, len(long)): 1}
+
+
+def test_html_against_another_parser(spark):
+    """All pages of a table: they have one article, whose blocks are found by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if self.depth and tag in ("p", "h1", "li", "ul", "div"):
+                self.blocks.append("")
+            elif self.depth and tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if self.depth and tag in ("p", "h1", "li", "ul", "div"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r.html)
+        assert got[r.page_id] == "\n\n".join(t for b in a.blocks if (t := " ".join(b.split())))
