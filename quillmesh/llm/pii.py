@@ -8,13 +8,15 @@ where selected spans overlap.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import by_value, chunks, per_process, small_batches
@@ -64,33 +66,46 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: Generators: kind, what a quick look asks for (a digit where none is named), and a pattern whose group 1 is the span.
+#: Written-out addresses: what stands for the sign, and a host with its dots, which a bare sign may not leave plain.
+SIGN = re.compile(r"(?i) ?[(\[{]at[)\]}] ?| at ")
+HOST = {
+    True: re.compile(r"(?i)[a-z0-9-]++(?:(?: ?[(\[{]dot[)\]}] ?| dot |\.)[a-z0-9-]++)+"),
+    False: re.compile(r"(?i)[a-z0-9-]++(?:(?: ?[(\[{]dot[)\]}] ?| dot )[a-z0-9-]++)+"),
+}
+
+
+def written_addresses(text: str):
+    """Starts and ends of addresses whose sign is written out: the run of characters before it, and a host after it."""
+    done = 0
+    for m in SIGN.finditer(text):
+        a = m.start()
+        while a > done and text[a - 1] in LOCAL:
+            a -= 1
+        while a < m.start() and not text[a].isalnum():
+            a += 1
+        done = m.end()
+        if a < m.start() and (host := HOST[m[0] != " at "].match(text, m.end())):
+            yield a, host.end()
+
+
+#: Further generators, which need a digit: kind and a pattern whose group 1 is the span.
 GENERATORS = (
-    ("email", "at", re.compile(r"(?i)\b(?=([a-z0-9][a-z0-9._%+-]{0,63}(?: ?[(\[{]at[)\]}] ?[a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){1,4}| at [a-z0-9-]{1,63}(?: ?[(\[{]dot[)\]}] ?[a-z0-9-]{1,63}| dot [a-z0-9-]{1,63}){1,4})))")),
-    ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{0,2}(?:[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|[0-9]{3}(?:[ .-][0-9]{2}){2,5}|[0-9]{2}(?:[ .-][0-9]{2}){2,5}))(?![0-9A-Za-z-])")),
-    ("card", None, re.compile(r"(?<![0-9])([0-9]{4}[. ]{1,2}[0-9]{4,6}[. ]{1,2}[0-9]{4,5}(?:[. ]{1,2}[0-9]{3,4})?)(?![0-9])")),
-    ("iban", None, re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
-    ("ssn", None, re.compile(r"(?<![0-9-])([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9-])")),
-    ("secret", None, re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,}+)")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{0,2}(?:[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|[0-9]{3}(?:[ .-][0-9]{2}){2,5}|[0-9]{2}(?:[ .-][0-9]{2}){2,5}))(?![0-9A-Za-z-])")),
+    ("card", re.compile(r"(?<![0-9])([0-9]{4}[. ]{1,2}[0-9]{4,6}[. ]{1,2}[0-9]{4,5}(?:[. ]{1,2}[0-9]{3,4})?)(?![0-9])")),
+    ("iban", re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
+    ("ssn", re.compile(r"(?<![0-9-])([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9-])")),
+    ("secret", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,}+)")),
 )
 DIGIT = re.compile(r"[0-9]")
-OBFUSCATED = re.compile(r"(?i)[(\[{]at[)\]}]| dot |[(\[{]dot[)\]}]")
 CUES = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|e-?mail|mail|contact|write|reach|ssn|social|security|card|visa|pay|iban|account|bank|token|secret|passw(?:or)?d|key|bearer|credential)")
 AWAY = re.compile(r"(?i)\b(?:order|version|isbn|issn|ref|invoice|page|pages|score|line|lot|sku|part|model|serial|dates?|year|sha1?|md5|commit|look|was|is|were|it)\W*$")
 
 
 def candidates(text: str) -> list[Span]:
-    out = []
-    digits = None
-    for kind, need, pattern in GENERATORS:
-        if need is None:
-            if digits is None:
-                digits = DIGIT.search(text) is not None
-            if not digits:
-                continue
-        elif not OBFUSCATED.search(text):
-            continue
-        out += [(kind, m.start(1), m.end(1)) for m in pattern.finditer(text)]
+    """Spans that may be personal, whatever the trees say; they overlap."""
+    out = [("email", a, b) for a, b in written_addresses(text)]
+    if DIGIT.search(text):
+        out += [(kind, m.start(1), m.end(1)) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
     return out
 
 
@@ -275,18 +290,20 @@ def find_spans(text: str, model: tuple[Trees, dict[str, float]]) -> tuple[list[S
         return base, base
     trees, limits = model
     scores = trees.predict(np.array([features(text, s) for s in proposed]))
-    taken = sorted((a, b) for _, a, b in base)
+    fixed = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in fixed], list(itertools.accumulate((b for _, b in fixed), max))
+    own: list[tuple[int, int]] = []  # selected spans, which never overlap
     chosen = []
-    starts = [a for a, _ in taken]
-    from bisect import bisect_left, insort
 
-    ends_before = lambda a, b: any(x < b and a < y for x, y in taken[max(0, bisect_left(starts, a) - 3) : bisect_left(starts, b)])
+    def taken(a: int, b: int) -> bool:
+        """Whether a span that begins before b ends after a: the farthest end of the fixed ones, and the last selected one."""
+        i, j = bisect_left(starts, b), bisect_left(own, (b, 0))
+        return i > 0 and reach[i - 1] > a or j > 0 and own[j - 1][1] > a
+
     for score, span in sorted(zip(scores, proposed), key=lambda x: (-x[0], x[1])):
-        if score < limits[span[0]] or ends_before(span[1], span[2]):
-            continue
-        chosen.append(span)
-        insort(taken, (span[1], span[2]))
-        insort(starts, span[1])
+        if score >= limits[span[0]] and not taken(span[1], span[2]):
+            chosen.append(span)
+            insort(own, (span[1], span[2]))
     return base, sorted(base + chosen, key=order)
 
 
@@ -294,32 +311,41 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def span_batches(batches):
-    model = per_process("pii", fitted)
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            rows = [find_spans(t or "", model) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS[:4]]
-            digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in rows])
-            yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([listed(s) for _, s in rows])], names=["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans"])
+def shared_model(spark: SparkSession):
+    """The fitted model, made once by the driver, as a broadcast variable."""
+    return spark.sparkContext.broadcast(per_process("pii", fitted))
+
+
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, has_personal_data boolean"
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Counts and checksum of the fixed patterns' spans, and all spans, for each document.
+    """Counts and checksum of the fixed patterns' spans, all spans, their number and whether there is any, for each document.
 
-    Null and empty texts have no spans; repeated rows are searched each; further columns are ignored.
+    Null and empty texts have no spans; repeated rows are searched each; further columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(span_batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    model = shared_model(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = [find_spans(t or "", model.value) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS[:4]]
+                digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in rows])
+                every = [pa.array([listed(s) for _, s in rows]), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([bool(s) for _, s in rows])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, *every], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
 
 def redact(text: Column) -> Column:
     """The text with each span replaced by its kind in brackets; null stays null."""
+    model = shared_model(SparkSession.active())
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        model = per_process("pii", fitted)
-        return pa.array([None if t is None else redacted(t, find_spans(t, model)[1]) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else redacted(t, find_spans(t, model.value)[1]) for t in texts.to_pylist()], pa.string())
 
     return run(text)
 

@@ -478,3 +478,45 @@ def test_html_against_another_parser(spark):
         a = Article()
         a.feed(r.html)
         assert got[r.page_id] == "\n\n".join(t for b in a.blocks if (t := " ".join(b.split())))
+
+
+def test_spans_never_overlap_fixed_ones():
+    model = pii.fitted()
+    for head in ("", "1.1.1.1_2.2.2.2_3.3.3.3_4.4.4.4_5.5.5.5.", "1.1.1.1_" * 40):
+        text = f"{head}ssn.123-45-6789@x.com"
+        base, every = pii.find_spans(text, model)
+        assert every == base and ("email", 0, len(text)) in base
+
+
+def test_long_written_addresses():
+    local, host = "joe." * 40 + "doe", "a" * 80
+    for text, span in ((f"mail me at {local}(at){host}(dot)org now", f"{local}(at){host}(dot)org"), (f"write to joe [at] {host} [dot] x [dot] org", f"joe [at] {host} [dot] x [dot] org"), ("contact ann at mail dot org", "ann at mail dot org")):
+        assert span in [text[a:b] for k, a, b in pii.candidates(text) if k == "email"]
+    start = __import__("time").perf_counter()
+    pii.candidates("a.a (at) " * 50_000 + "b-" * 100_000 + " at 1")
+    assert __import__("time").perf_counter() - start < 5
+
+
+def test_added_spans_of_documents(spark):
+    """What the trees add in a whole table: secrets after a word that names one, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = pii.find_personal_data(docs).collect()
+    added = collections.Counter()
+    for r in got:
+        base = brute_spans(texts[r.doc_id] or "")
+        assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() == r.base_sha256
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS[:4])
+        every = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(every) and r.n_spans == len(every) and r.has_personal_data == bool(every)
+        for kind, a, b in set(every) - set(base):
+            added[kind] += 1
+            assert kind == "secret" and re.search(r"(?i)(token|secret|key|password)\W*$", texts[r.doc_id][:a])
+            assert not re.match(r"[A-Za-z0-9+/_.-]", texts[r.doc_id][b : b + 1])
+    assert added["secret"] == sum(len(re.findall(r"(?i)\b(?:token|secret|password|api_key)\W{1,6}(?=\w*\d)[0-9A-Za-z]{20,}", t or "")) for t in texts.values())
+
+
+def test_personal_data_of_repeated_rows(spark):
+    rows = [(1, "a@b.com", "x"), (1, "a@b.com", "x"), (None, "10.0.0.1 is it", "x"), (2, None, "x")]
+    got = collections.Counter((r.doc_id, r.spans, r.has_personal_data) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect())
+    assert got == {(1, "email:0:7", True): 2, (None, "ip:0:8", True): 1, (2, "", False): 1}
