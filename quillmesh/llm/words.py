@@ -19,3 +19,13 @@ def ascii_lower(text: Column) -> Column:
 def item_words(text: Column) -> Column:
     """The words of a whole text; null has none. Splitting is several times faster than extracting matches."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ITEM_GAP, -1), "")
+
+
+def word_hashes(words: Column) -> Column:
+    """A hash of each word."""
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def run_hash(hashes: Column, at: Column, size: int, seed: int = 0) -> Column:
+    """A hash of the run of `size` words that begins at `at`, from the words' hashes."""
+    return F.xxhash64(F.lit(seed), *[F.get(hashes, at + j if j else at) for j in range(size)])
