@@ -31,8 +31,9 @@ MAX_DIFFERENT = 46
 SALTS = 16
 #: Rounds with a leader for each bucket before pairs that are still apart are compared directly.
 LEADER_ROUNDS = 2
-#: Members of a bucket in a block.
+#: Members of a bucket in a block, and about how many shingles they have together at most.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 21
 
 #: Bytes of text hashed at a time; numpy needs some fifty times as much.
 CHUNK_BYTES = 1 << 20
@@ -238,18 +239,20 @@ def _led(members: DataFrame, turn: int) -> DataFrame:
 def _apart(members: DataFrame, ids: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between members of a bucket that are not connected yet, all pairs considered.
 
-    Members of a large bucket are dealt into blocks, and each pair of blocks is one group, so no group is larger than two
-    blocks and only links leave it. A pair is looked at in the first band it shares. A shingle that no other open
+    Members of a large bucket are dealt into blocks by their number and by their shingles, and each pair of blocks is one
+    group, so no group is larger than two blocks, or two long texts, and only links leave it. A pair is looked at in the first band it shares. A shingle that no other open
     document has can't be shared: with u of them among n, a pair has at most min(n_a - u_a, n_b - u_b) in common and at
     least max(n_a + u_b, n_b + u_a) together. What this bound and the sketches leave is compared on whole sets.
     """
-    by = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sized = members.join(ids.select("rep", "n"), "rep")
+    by = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("n")).where(F.col("lo") != F.col("hi"))
+    by = by.select("key", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rest = materialise(members.join(by, "key"), "open")
     own = sets.join(rest.select("rep").distinct(), "rep")
     single = own.select("rep", F.explode("set").alias("g")).groupBy("g").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where(F.col("rep") == F.col("other")).groupBy("rep").agg(F.count("*").alias("single"))
     several = own.groupBy("rep").agg((F.count("*") > 1).alias("several"))
     unshared = several.join(single, "rep", "left").select("rep", F.when(F.col("several"), F.lit(0)).otherwise(F.coalesce("single", F.lit(0))).cast("long").alias("u"))
-    own = own.join(unshared, "rep").join(ids, "rep")
+    own = own.join(unshared, "rep").join(ids.select("rep", "bands"), "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
     dealt = rest.select("key", "band", "rep", "label", block.alias("block"), F.explode(pairs).alias("p")).select("key", "band", "rep", "label", "block", "p.i", "p.j")
@@ -308,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("rep", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
     members = materialise(banded.join(shared, "key").select("key", "band", "rep"), "members")
-    ids = materialise(reps.join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("bands").alias("bands")), "candidates")
+    ids = materialise(reps.join(members.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("bands").alias("bands"), F.max("n_shingles").alias("n")), "candidates")
     sketches = ids.select("rep", F.slice("bands", BANDS + 1, WORDS).alias("sketch"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(maybe_broadcast(ids.select("rep")), "rep", "left_semi")
     sets = texts.mapInArrow(set_batches, "rep long, set array<bigint>")
@@ -318,6 +321,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = None
     for turn in range(LEADER_ROUNDS + 1):
         open_members = members.join(labels, "rep")
+        ends = open_members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        if not ends.where(F.col("lo") != F.col("hi")).limit(1).count():
+            break  # no bucket has members that are not connected
         found = _confirmed(_led(open_members.join(sketches, "rep"), turn), sets) if turn < LEADER_ROUNDS else _apart(open_members, ids, sets)
         found = materialise(found, "links")
         if found.limit(1).count():

@@ -565,3 +565,18 @@ def test_personal_data_of_repeated_rows(spark):
     rows = [(1, "a@b.com", "x"), (1, "a@b.com", "x"), (None, "10.0.0.1 is it", "x"), (2, None, "x")]
     got = collections.Counter((r.doc_id, r.spans, r.has_personal_data) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect())
     assert got == {(1, "email:0:7", True): 2, (None, "ip:0:8", True): 1, (2, "", False): 1}
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """The family of edited copies again, in blocks of a few hundred shingles."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        w = [f"v{k}" for k in range(100)]
+        for k in rng.choice(100, 4, replace=False):
+            w[k] = f"e{i}n{k}"
+        rows.append((i + 1, " ".join(w)))
+    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
