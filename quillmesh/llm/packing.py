@@ -3,7 +3,7 @@
 Tasks pack what they read in groups of bounded size; nothing is shuffled. In a group, documents are cut into full
 sequences and a rest. Open sequences hold exactly the rests' tokens together, the last ones with capacities that are
 powers of two, so that no sequence needs padding. Rests go, longest first, to the sequence of the lowest estimated cost
-(linear plus quadratic in each piece's length) that has room; one that fits nowhere is cut at the room of the cheapest.
+(linear plus quadratic in each piece's length) that has room; one that fits nowhere is cut at the most room that is left.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def tokenizer(name: str = "byte_bpe_50k"):
         if not _PLAIN.search(text):
             try:
                 return fast.encode_to_numpy(text, allowed_special="all")
-            except Exception:  # e.g. the pattern's backtracking limit on a very long run of spaces
+            except ValueError:  # the pattern's backtracking limit, on a very long run of spaces
                 pass
         return np.array(per_process(("slow", name), slow).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -144,7 +144,7 @@ def pack_batches(batches):
 def pack_documents(docs: DataFrame) -> DataFrame:
     """A row for each piece: document, start, length and checksum of its ids, sequence, offset there and the sequence's cost.
 
-    Null and empty texts hold the closing id alone. Repeated rows are packed each. A text of any length is cut into
+    Null and empty texts hold the closing id alone; a null doc_id stays null. Repeated rows are packed each. A text of any length is cut into
     sequences. sequence_id is the task's number times 2**33 plus a count. Further columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)

@@ -95,6 +95,7 @@ def host_rates(docs: DataFrame, host: str = "host", failed: str = "failed") -> D
     between = F.when(weight > 0, (q - (F.col("hosts") - 1) * noise) / weight)
     strength = F.when((between > 0) & (noise > between), noise / between - 1).otherwise(F.lit(DEFAULT_STRENGTH))
     prior = m.select(F.coalesce("mean", F.lit(0.0)).alias("_mean"), F.greatest(strength, F.lit(1.0)).alias("_strength"))
+    # the prior is one row, so each host meets one row
     return by.join(F.broadcast(prior)).select(host, "n", "n_failed", ((F.col("n_failed") + F.col("_mean") * F.col("_strength")) / (F.col("n") + F.col("_strength"))).alias("rate"))
 
 

@@ -580,3 +580,75 @@ def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
+
+
+def test_packing_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "some words here", 5), (7, "twice", 6), (7, "twice", 6), (8, None, 7), (9, "", 8), (10, "x " * 3000, 9)], "doc_id long, text string, start int")
+    pieces = packing.pack_documents(docs).collect()
+    by = collections.Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0)
+    assert by[7, by_len(pieces, 7)] == 2 and by[None, by_len(pieces, None)] == 1 and by[8, 1] == by[9, 1] == 1
+    tokens = collections.Counter()
+    for p in pieces:
+        tokens[p.doc_id] += p.length
+    assert tokens[7] == 2 * by_len(pieces, 7) and tokens[10] == by_len(pieces, 10) > 1024
+    spaces = "a" + " " * 2_000_000 + "c"  # too long a run for the fast library
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.tokenizer()(spaces).tolist() == own.encode(spaces, add_special_tokens=False).ids
+
+
+def by_len(pieces, doc):
+    return next(p.doc_tokens for p in pieces if p.doc_id == doc)
+
+
+def test_quality_of_odd_rows(spark):
+    """Hosts at exactly the limit stay, rows without a host have their own rules only, repeated rows are judged each."""
+    rows = [(1, BASE, "en", None), (1, BASE, "en", None), (2, None, "en", None), (3, "short", "en", None)]
+    got = collections.Counter((r.doc_id, r.base_failed, r.kept) for r in quality.judge_documents(docs_of(spark, rows)).collect())
+    assert got == {(1, False, True): 2, (2, True, False): 1, (3, True, False): 1} and len(BASE.split()) >= 50
+    half = [(i, BASE if i % 2 else "short", "en", f"h{i % 4 // 2}") for i in range(40)]  # every host fails by half
+    judged = quality.judge_documents(docs_of(spark, half)).collect()
+    assert {r.host_rate for r in judged} == {None} and all(r.kept == (r.doc_id % 2 == 1) for r in judged)
+    assert {r.rate for r in quality.host_rates(spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", False)], "host string, failed boolean")).collect()} == {0.5}
+    long = "word " * 60_000 + " ".join(f"w{i}" for i in range(70_000))
+    assert quality.counts(long) == brute_counts(long)
+
+
+def test_lines_of_odd_rows(spark):
+    """Ties in doc_id, repeated rows and a null doc_id: the first occurrence stays, rows alike are treated alike."""
+    rows = [(1, "shared line", "a"), (1, "shared line", "a"), (2, "shared line\nown", "b"), (3, "shared line\nown two", "c"), (4, "shared line\nmore", "d"), (5, None, "e"), (6, "", None)]
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.chars_left) for r in linededup.line_digest(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, _h string")).collect())
+    assert got == {(1, 1, 0, 11): 2, (2, 2, 1, 3): 1, (3, 2, 1, 7): 1, (4, 2, 1, 4): 1, (5, 0, 0, 0): 1, (6, 1, 0, 0): 1}
+
+
+def test_sharding_of_ties(spark):
+    """Rows alike in all that slots follow have slots each, without a gap."""
+    rows = [(1, "same", 3)] * 50 + [(None, None, 4)] * 30 + [(2, "x", 5)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, slot int")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 81 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1 and all(r.size == 1 and r.text_crc32 == 0 for r in got if r.doc_id is None)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null texts and sources, repeated doc_ids, further columns with the stages' own names, and an empty table."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(30))), (2, None)], "item_id long, text string")
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(1, text(1), "a"), (1, text(1), "a"), (2, text(1), "b"), (3, None, None), (4, "", "a"), (5, text(5), None), (6, text(6) + " " + " ".join(f"q{i}" for i in range(30)), "c"), (None, text(7), "d"), (8, "word " * 5000, "d")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), True, 3, "z", 9, [1], 2.5) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words int, host string, n_hit int, lines_removed array<int>, cost double")
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()}
+    assert got == {1, 5, None}
+    step = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path / "full"))
+        assert step.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
