@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents to packed sequences in five stages, each written and read again."""
+"""The corpus pipeline: documents to packed sequences in five stages, each written and read again.
+
+Null and empty texts fail the quality rules. A document without a source is judged by its own rules and counts for no site.
+A null doc_id is a document of its own; rows that repeat a doc_id and text stay or go alike. Further columns stay until the
+last stage, whatever their names, but for names that begin with _qm_. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -41,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage makes of the documents below sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
