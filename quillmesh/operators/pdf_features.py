@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.reports import looks_like_script
@@ -28,14 +28,26 @@ def search(objects: DataFrame, pattern: str) -> DataFrame:
     return objects.where(match(F.col("raw")) | F.coalesce(match(F.col("stream")), F.lit(False))).select("path", "version", "id")
 
 
-def change_log(objects: DataFrame) -> DataFrame:
-    """Objects that each later version adds or modifies."""
-    o = objects.select("path", "id", "version", F.md5("raw").alias("digest")).groupBy("path", "id", "version").agg(F.min("digest").alias("digest"))
-    before = o.select("path", "id", F.col("version").alias("v0"), F.col("digest").alias("d0"))
-    pairs = o.where("version > 0").join(before, ["path", "id"], "left").where(F.col("v0").isNull() | (F.col("v0") <= F.col("version")))
-    last = pairs.groupBy("path", "id", "version", "digest").agg(F.max_by("d0", F.when(F.col("v0") < F.col("version"), F.col("v0"))).alias("d0"))
-    change = F.when(F.col("d0").isNull(), "added").when(F.col("d0") != F.col("digest"), "modified")
-    return last.select("path", "version", "id", change.alias("change")).where(F.col("change").isNotNull())
+def change_log(objects: DataFrame, entries: DataFrame) -> DataFrame:
+    """What each later version does to objects: added, modified (written again), removed, or mismatch.
+
+    entries are cross-reference entries (path, version, id, kind). An object is removed where a version's entries free it and
+    the version has it not. mismatch: it is written and not listed as used, or listed as free; or it is known, not written,
+    and listed as used. One pass over each object's versions in order.
+    """
+    from pyspark.sql import Window
+
+    written = objects.select("path", "id", "version", F.lit("written").alias("what"))
+    listed = entries.where("kind IN ('used', 'free', 'compressed')").select("path", "id", "version", F.when(F.col("kind") == "free", "free").otherwise("used").alias("what"))
+    each = written.unionByName(listed).groupBy("path", "id", "version").agg(*[F.bool_or(F.col("what") == w).alias(w) for w in ("written", "used", "free")])
+    # the newest state before: known if it was written last, gone if it was freed; what is only listed as used changes nothing
+    state = F.when(F.col("written"), F.lit(True)).when(F.col("free"), F.lit(False))
+    before = F.last(state, ignorenulls=True).over(Window.partitionBy("path", "id").orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
+    known = F.coalesce(before, F.lit(False))
+    change = F.when(F.col("written"), F.when(F.col("known"), "modified").otherwise("added")).when(F.col("known") & F.col("free"), "removed")
+    odd = F.when(F.col("written"), ~F.col("used") | F.col("free")).otherwise(F.col("known") & F.col("used"))
+    both = F.array_compact(F.array(change, F.when(odd, F.lit("mismatch"))))
+    return each.withColumn("known", known).where("version > 0").select("path", "version", "id", F.explode(both).alias("change"))
 
 
 #: What can act on a reader, by kind. A name that ends in a blank is a whole name.
@@ -105,6 +117,51 @@ def stats(objects: DataFrame) -> DataFrame:
     return objects.groupBy("path", "version").agg(F.count("*").alias("objects"), F.count_if(F.col("kind") == "stream").alias("streams"), F.count_if(F.col("uri").isNotNull()).alias("uris"), F.count_if(F.decode("raw", "ISO-8859-1").contains("/JS")).alias("scripts"), F.sum(F.size("errors")).alias("errors"), F.count_if(F.col("compressed_in").isNotNull()).alias("compressed"))
 
 
+def object_facts(objects: DataFrame) -> DataFrame:
+    """Digests, sizes and marks of each object: what it is, what it refers to, whether it has a script, and its action."""
+    raw = F.decode("raw", "ISO-8859-1")
+    name = lambda key: F.nullif(F.regexp_extract(raw, rf"/{key}\s*/([^\s/<>\[\]()]+)", 1), F.lit(""))
+    script = raw.rlike(r"/JS(?![A-Za-z0-9])") | F.coalesce(looks_like_script(F.decode("stream", "ISO-8859-1")), F.lit(False))
+    return objects.select("path", "version", "id", "kind", "tag", "compressed_in", F.md5("raw").alias("md5"), F.sha1("raw").alias("sha1"), F.md5("stream").alias("stream_md5"), F.length("raw").alias("size"), "refs", F.size("refs").alias("n_refs"), script.alias("has_script"), name("Subtype").alias("subtype"), name("S").alias("action"), F.col("uri"), F.size("errors").alias("n_errors"))
+
+
+def errors(objects: DataFrame) -> DataFrame:
+    """One row for each error of an object."""
+    return objects.select("path", "version", "id", F.explode("errors").alias("error"))
+
+
+def tree(objects: DataFrame) -> DataFrame:
+    """path, version, id, tag and refs: the logical tree of each version; an object without a tag is named by its kind."""
+    return objects.select("path", "version", "id", F.coalesce("tag", "kind").alias("tag"), "refs")
+
+
+def dot(objects: DataFrame) -> DataFrame:
+    """Each file's graph of newest objects as text in the dot language, nodes and edges in order."""
+    o = newest(objects)
+    nodes = F.concat(F.lit("  "), F.col("id").cast("string"), F.lit(' [label="'), F.col("id").cast("string"), F.lit(" "), F.coalesce("tag", "kind"), F.lit('"];'))
+    arrows = F.transform("refs", lambda r: F.concat(F.lit("  "), F.col("id").cast("string"), F.lit(" -> "), r.cast("string"), F.lit(";")))
+    lines = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat(F.array(nodes), arrows).alias("l")))), lambda x: x["l"])), "\n")
+    return o.groupBy("path").agg(F.concat(F.lit("digraph {\n"), lines, F.lit("\n}")).alias("dot"))
+
+
+def has_area(llx: Column, lly: Column, urx: Column, ury: Column) -> Column:
+    """Whether a rectangle is there and isn't empty."""
+    return F.coalesce((llx != urx) & (lly != ury), F.lit(False))
+
+
+def clickable_areas(facts: DataFrame, image_w: Column, image_h: Column) -> DataFrame:
+    """facts (of pdf_paths.uri_facts) with each URI's rectangle on the page's image, and its area.
+
+    Vertices are rounded, scaled by image over media box and rounded again, half to even; the image's y begins at the top.
+    Without a rectangle or a media box, all are null and clickable_area_gt_zero is false.
+    """
+    at = lambda v, image, media: F.bround(F.bround(v, 0) * image / media, 0)
+    x0, x1 = at(F.col("llx"), image_w, F.col("media_w")), at(F.col("urx"), image_w, F.col("media_w"))
+    y0, y1 = image_h - at(F.col("lly"), image_h, F.col("media_h")), image_h - at(F.col("ury"), image_h, F.col("media_h"))
+    area = F.abs(x1 - x0) * F.abs(y0 - y1)
+    return facts.select("*", x0.alias("left"), y1.alias("top"), x1.alias("right"), y0.alias("bottom"), area.alias("clickable_area"), F.coalesce(area > 0, F.lit(False)).alias("clickable_area_gt_zero"))
+
+
 def geometry(links: DataFrame) -> DataFrame:
     """links with the clickable area and the page's area."""
     w, h = F.abs(F.col("urx") - F.col("llx")), F.abs(F.col("ury") - F.col("lly"))
@@ -112,10 +169,10 @@ def geometry(links: DataFrame) -> DataFrame:
 
 
 def aggregate(links: DataFrame) -> DataFrame:
-    """Link and area features of each file."""
+    """Link and area features of each file; per_page lists each page's links and their mean area."""
     g = geometry(links)
     pages = g.where(F.col("page").isNotNull()).groupBy("path", "page").agg(F.count("*").alias("n"), F.avg("clickable_area").alias("area"), F.first("media_w").alias("w"), F.first("media_h").alias("h"))
-    by_page = pages.groupBy("path").agg(F.bround(F.avg("n"), 2).alias("avg_uris_per_page"), F.bround(F.stddev_samp("n"), 2).alias("stdev_uris_per_page"), F.array_sort(F.collect_list(F.struct("page", "n"))).alias("num_urls_per_page"))
+    by_page = pages.groupBy("path").agg(F.bround(F.avg("n"), 2).alias("avg_uris_per_page"), F.bround(F.stddev_samp("n"), 2).alias("stdev_uris_per_page"), F.array_sort(F.collect_list(F.struct("page", "n", "area"))).alias("per_page"))
     sizes = pages.select("path", "w", "h").distinct().groupBy("path").agg(F.bround(F.avg(F.col("w") * F.col("h")), 2).alias("avg_page_area"))
     whole = g.groupBy("path").agg(F.count("*").alias("tot_num_urls"), F.countDistinct("uri").alias("num_unique_urls"), F.count_if(F.col("uri") == "UnicodeDecodeError").alias("num_unparsable_urls"), F.count_if(F.col("page") == 0).alias("n_uris_first_page"), F.bround(F.avg("clickable_area"), 2).alias("avg_click_area"))
     out = whole.join(by_page, "path", "left").join(sizes, "path", "left")

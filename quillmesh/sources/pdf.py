@@ -211,39 +211,54 @@ def newest(rows: list[dict]) -> dict[int, dict]:
     return out
 
 
-def links(rows: list[dict]) -> list[dict]:
-    """Link annotations of the newest versions with their page, rectangle and the nearest media box above them."""
-    objects = newest(rows)
+def followed(objects: dict[int, dict], v, hops: int = 32):
+    """The value that a reference leads to."""
+    while isinstance(v, Ref) and hops:
+        v, hops = objects[v]["value"] if v in objects else None, hops - 1
+    return v
 
-    def value(v, hops: int = 32):
-        while isinstance(v, Ref) and hops:
-            v, hops = objects[v]["value"] if v in objects else None, hops - 1
-        return v
 
-    numbers = lambda v: [float(x) for x in v] if isinstance(v, list) and len(v) == 4 and all(isinstance(x := value(y), (int, float)) for y in v) else None
-    catalogs = [i for i, r in objects.items() if isinstance(r["value"], dict) and r["value"].get("Type") == "Catalog"]
-    seen, stack = set(), list(catalogs)
-    while stack:
-        i = stack.pop()
-        if i not in seen and i in objects:
-            seen.add(i)
-            stack += references(objects[i]["value"])
-    pages: list[tuple[int, list | None]] = []
-    walked: set[int] = set()
-    todo = [(objects[c]["value"].get("Pages"), None) for c in sorted(catalogs, reverse=True)]
+def four_numbers(objects: dict[int, dict], v) -> list[float] | None:
+    found = [followed(objects, x) for x in v] if isinstance(v, list) and len(v) == 4 else []
+    return [float(x) for x in found] if found and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in found) else None
+
+
+def catalogs_of(objects: dict[int, dict]) -> list[int]:
+    return sorted(i for i, r in objects.items() if isinstance(r["value"], dict) and r["value"].get("Type") == "Catalog")
+
+
+def page_list(objects: dict[int, dict]) -> list[tuple[int, int, list | None, bool]]:
+    """Id, depth, media box (its own or the nearest above) and whether the box is its own, of the leaves of the page tree in order."""
+    pages, walked = [], set()
+    todo = [(objects[c]["value"].get("Pages"), None, 0) for c in reversed(catalogs_of(objects))]
     while todo:
-        ref, box = todo.pop()
-        node = value(ref)
+        ref, box, depth = todo.pop()
+        node = followed(objects, ref)
         if not isinstance(node, dict) or isinstance(ref, Ref) and ref in walked:
             continue
         if isinstance(ref, Ref):
             walked.add(int(ref))
-        box = numbers(value(node.get("MediaBox"))) or box
-        kids = value(node.get("Kids"))
+        own = four_numbers(objects, followed(objects, node.get("MediaBox")))
+        kids = followed(objects, node.get("Kids"))
         if isinstance(kids, list):
-            todo += [(k, box) for k in reversed(kids)]
+            todo += [(k, own or box, depth + 1) for k in reversed(kids)]
         elif isinstance(ref, Ref):
-            pages.append((int(ref), box))
+            pages.append((int(ref), depth, own or box, own is not None))
+    return pages
+
+
+def links(rows: list[dict]) -> list[dict]:
+    """Link annotations of the newest versions with their page, rectangle and the nearest media box above them."""
+    objects = newest(rows)
+    value = lambda v: followed(objects, v)
+    numbers = lambda v: four_numbers(objects, v)
+    seen, stack = set(), catalogs_of(objects)
+    while stack:
+        i = stack.pop()
+        if i not in seen and i in objects:
+            seen.add(i)
+            stack += references(objects[i]["value"])
+    pages = [(i, box) for i, _, box, _ in page_list(objects)]
     out, placed = [], set()
 
     def emit(annotation, own_id, page_id, page, box):

@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from quillmesh.operators import pdf_features as P
-from quillmesh.sources import pdf, pdf_filters
+from quillmesh.sources import pdf, pdf_filters, pdf_layout, pdf_paths
 
 
 def a_pdf(links, extra=b""):
@@ -63,8 +63,9 @@ def test_features(spark, pdfs):
     pages = pdfs.where("path is not null").selectExpr("path", "1 AS n_pages")
     assert {r.path for r in P.is_seo(links, pages).collect() if r.is_seo} == {"many.pdf"}
     o = pdf.objects(pdfs).cache()
-    changes = {(r.version, r.id, r.change) for r in P.change_log(o).where("path = 'versions.pdf'").collect()}
-    assert changes == {(1, 10, "modified"), (1, 60, "added")}
+    entries = pdf_layout.file_entries(pdfs)
+    changes = {(r.version, r.id, r.change) for r in P.change_log(o, entries).where("path = 'versions.pdf'").collect()}
+    assert changes == {(1, 10, "modified"), (1, 60, "added"), (1, 10, "mismatch"), (1, 60, "mismatch")}
     assert {(r.path, r.element) for r in P.suspicious(o).collect()} == {("packed.pdf", "/JS")}
     one = pages.withColumn("n_pages", P.F.lit(6))
     assert not P.is_seo(links, one).where("is_seo").collect()
@@ -197,3 +198,37 @@ def test_layout(spark):
     assert got == [(0, 0, "free", None, None, None), (0, 1, "used", 9, None, True), (0, 2, "used", second + 3, None, False), (1, 1, "used", 9, None, True), (1, 2, "compressed", None, 7, None), (1, 8, "free", None, None, None)]
     t = [(r.path, r.version, r.root, r.info, r.size, r.prev, r.encrypted, r.ident and bytes(r.ident), r.hidden) for r in L.file_trailers(d).collect()]
     assert t == [("one", 0, 1, 2, 3, None, False, b"ab", False), ("two", 0, 1, 2, 3, None, False, b"ab", False), ("two", 1, 1, None, 9, 77, True, None, True)]
+
+
+def test_ways_and_pages(spark):
+    """Cycles, two levels of pages, an orphan, a rectangle above its URI, and no catalog."""
+    body = b"""%PDF-1.5
+1 0 obj <</Type /Catalog /Pages 2 0 R /Outlines 20 0 R>> endobj
+2 0 obj <</Type /Pages /Kids [3 0 R 4 0 R] /Count 2>> endobj
+3 0 obj <</Type /Pages /Parent 2 0 R /Kids [5 0 R] /MediaBox [0 0 100.4 200]>> endobj
+4 0 obj <</Type /Page /Parent 2 0 R /Annots [7 0 R]>> endobj
+5 0 obj <</Type /Page /Parent 3 0 R /Annots [6 0 R] /MediaBox [0 0 0 0]>> endobj
+6 0 obj <</Type /Annot /Subtype /Link /Rect [1 2 3.5 4] /A 8 0 R>> endobj
+7 0 obj <</Type /Annot /Subtype /Link /Rect [1 2 3 4] /A <</S /URI /URI (http://no.box/)>>>> endobj
+8 0 obj <</S /URI /URI (http://a\xff/)>> endobj
+9 0 obj <</Type /Annot /Rect [0 0 1 1] /A <</URI (http://orphan/)>>>> endobj
+20 0 obj <</First 21 0 R>> endobj
+21 0 obj <</Next 20 0 R /A <</S /URI /URI (http://outline/)>>>> endobj
+"""
+    d = spark.createDataFrame([("a", bytearray(body)), ("b", bytearray(body.replace(b"/Catalog", b"/Nothing"))), ("c", None)], "path string, content binary")
+    got = {(r.path, r.uri_id): r for r in pdf_paths.uri_facts(d).collect()}
+    a = lambda i: got["a", i]
+    assert (a(8).way, a(8).mediabox_id, a(8).media_w, a(8).rect_id, a(8).urx, a(8).uri, a(8).is_uri_unicode, a(8).page_id, a(8).tentative_page_num) == ([1, 2, 3, 5, 6, 8], 3, 100.0, 6, 3.5, "UnicodeDecodeError", False, 5, 1)
+    assert (a(7).is_in_catalog_path, a(7).rect_id, a(7).has_annot, a(9).way, a(9).rect_id, a(21).has_annot) == (False, 7, True, [], 9, False)
+    assert all(not r.is_in_catalog_path and r.mediabox_id is None for (p, _), r in got.items() if p == "b") and {p for p, _ in got} == {"a", "b"}
+    assert [(r.page, r.page_id, r.depth, r.media_w, r.own_box, r.n_pages, r.counted) for r in pdf_paths.page_tree(d).orderBy("page").collect()] == [(0, 5, 2, 0.0, True, 2, True), (1, 4, 1, None, False, 2, True)]
+    chain = b"1 0 obj <</Type /Catalog /N 2 0 R /MediaBox [0 0 1 1] /Annots 1>> endobj\n" + b"".join(b"%d 0 obj <</N %d 0 R>> endobj\n" % (i, i + 1) for i in range(2, 3000)) + b"3000 0 obj <</URI (x)>> endobj"
+    assert len(pdf_paths.facts(pdf.parse(chain))[0]["way"]) == 3000
+
+
+def test_changes_by_versions(spark):
+    """Removed objects come back as added; what is free elsewhere changes nothing."""
+    o = spark.createDataFrame([("a", v, i) for v, i in [(0, 1), (0, 2), (1, 2), (2, 1), (3, 1)]], "path string, version int, id int")
+    e = spark.createDataFrame([("a", v, i, k) for v, i, k in [(1, 1, "free"), (1, 2, "used"), (2, 1, "used"), (2, 2, "used"), (3, 1, "used"), (3, 1, "free"), (3, 9, "free")]], "path string, version int, id int, kind string")
+    got = sorted((r.version, r.id, r.change) for r in P.change_log(o, e).collect())
+    assert got == [(1, 1, "removed"), (1, 2, "modified"), (2, 1, "added"), (2, 2, "mismatch"), (3, 1, "mismatch"), (3, 1, "modified")]
