@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERSION = r"^(.*?) ((\d+[. ]?)+)"
@@ -14,6 +14,17 @@ def component_version(text: Column) -> dict[str, Column]:
     return {"what": F.when(version != "", what).otherwise(F.trim(text)), "version": F.nullif(F.trim(version), F.lit(""))}
 
 
+def unfold(df: DataFrame, detected: str) -> DataFrame:
+    """df without column `detected` (a JSON map of labels to comma-separated components), with label, what and version.
+
+    A row for each component; a map without labels, or none, gives one row of nulls.
+    """
+    rest = [c for c in df.columns if c != detected]
+    named = df.select(*rest, F.explode_outer(F.from_json(detected, "map<string,string>")).alias("label", "_list"))
+    one = named.select(*rest, "label", F.explode_outer(F.split("_list", ",")).alias("_raw"))
+    return one.select(*rest, "label", *[c.alias(n) for n, c in component_version(F.col("_raw")).items()])
+
+
 def status_code(raw: Column) -> Column:
     """The number, or that of the first three characters, or null."""
     return F.coalesce(raw.try_cast("int"), F.substring(F.trim(raw), 1, 3).try_cast("int"))
@@ -46,6 +57,11 @@ def headers(lines: Column) -> Column:
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: k != x["k"]), F.create_map(x["k"], x["v"])))
 
 
+def headers_of_job(requests: Column, job: Column) -> Column:
+    """The header lists of the requests (url, headers) whose URL is the job's; a slash at a request's end doesn't count."""
+    return F.transform(F.filter(requests, lambda r: F.regexp_replace(r["url"], "/$", "") == job), lambda r: r["headers"])
+
+
 #: What a token of a registry line looks like, in this order; prefixes have two digits.
 REGISTRY_KINDS = (("ip", r"^\d+\.\d+\.\d+\.\d+$"), ("bgp_prefix", r"^\d+\.\d+\.\d+\.\d+/\d{2}$"), ("cc", r"^[A-Z]{2}$"), ("registry", r"^[a-z]+$"), ("allocated", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("autonomous_sys", r"^\d+$"))
 
@@ -61,6 +77,7 @@ def registry_line(line: Column) -> dict[str, Column]:
     return {n: like(p) for n, p in REGISTRY_KINDS} | {"as_name": F.element_at(tokens, -1)}
 
 
+#: The groups that grants name, and the rights that they give.
 ALL_USERS = "http://acs.amazonaws.com/groups/global/AllUsers"
 AUTH_USERS = "http://acs.amazonaws.com/groups/global/AuthenticatedUsers"
 RIGHTS = (("Read", "READ"), ("Write", "WRITE"), ("ReadACP", "READ_ACP"), ("WriteACP", "WRITE_ACP"), ("FullControl", "FULL_CONTROL"))

@@ -50,16 +50,9 @@ LOCAL_PARTS, LOCAL_NAME = ("127.0.0", "192.168."), "localhost"
 INVALID_HOST = r"(?U)[^(*?:*?@)+(\w\-\.\~ )(:\d)+]"
 
 
-def flags(url: Column, exact: list[str], wildcards: list[str]) -> dict[str, Column]:
-    """The properties that clean() asks about. exact and wildcards: public suffixes, without `*.`."""
+def flags(url: Column, suffix: Column) -> dict[str, Column]:
+    """The properties that clean() asks about. suffix: the host's public suffix, or null (operators.hosts.with_suffix)."""
     p = split(url)
-    host = F.lower(F.regexp_replace(F.regexp_replace(p["netloc"], r"^.*@", ""), r":\d*$", ""))
-    tail = F.substring_index(host, ".", -1)
-    known = F.lit(False)
-    for s in exact:
-        known = known | host.endswith(f".{s}") if "." in s else known | (tail == s)
-    for s in wildcards:
-        known = known | host.endswith(f".{s}")
     return {
         "is_relative_url": url.rlike(r"^[/#]"),
         "is_empty": url.rlike(r"^http(s)?(://)?\z"),
@@ -67,7 +60,7 @@ def flags(url: Column, exact: list[str], wildcards: list[str]) -> dict[str, Colu
         "has_http_scheme": p["scheme"].startswith("http"),
         "is_local": p["netloc"].contains(LOCAL_PARTS[0]) | p["netloc"].contains(LOCAL_PARTS[1]) | (p["netloc"] == LOCAL_NAME),
         "has_invalid_char": p["netloc"].rlike(INVALID_HOST),
-        "has_valid_tld": known | host.rlike(r"^\d+\.\d+\.\d+\.\d+"),
+        "has_valid_tld": suffix.isNotNull() | p["netloc"].rlike(r"^([^@]*@)?\d+\.\d+\.\d+\.\d+"),
         "is_pdf": F.substring(url, F.length(p["scheme"]) + 4 + F.length(p["netloc"]), F.length(url)).contains(".pdf"),
     }
 
@@ -97,12 +90,34 @@ def service(url: Column) -> Column:
     return F.coalesce(*[F.when(url.contains(part), F.lit(name)) for part, name in SERVICES])
 
 
-HREF = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
+HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: Character references that are decoded by name; numbered ones are decoded whatever their number.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def hrefs(html: Column) -> Column:
-    """The quoted href values of a page's links, in order."""
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    """The href values of a page's links in order, quoted or bare, with references decoded."""
+    bare = lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda x: unescape(bare(x)))
+
+
+def unescape(text: Column) -> Column:
+    """text with character references decoded, numbered ones first and &amp; last; unknown ones stay."""
+    number = r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));"
+
+    def one(x: Column) -> Column:
+        ten, hexa = F.regexp_extract(x, rf"^{number}", 1), F.regexp_extract(x, rf"^{number}", 2)
+        code = F.when(ten != "", ten.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(wide, F.regexp_replace(x, rf"^{number}", ""))).otherwise(x)
+
+    # pieces begin at each reference, so each has one at most
+    pieces = F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)")
+    out = F.when(text.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    for mark, plain in REFERENCES:
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    return F.when(text.contains("&"), out).otherwise(text)
 
 
 def resolve(site: Column, href: Column) -> Column:
@@ -114,9 +129,17 @@ def resolve(site: Column, href: Column) -> Column:
     return F.when((h["scheme"] != "") | (h["netloc"] != ""), own).when((href == "") | href.rlike(r"^[?#/]"), F.concat(base, F.regexp_replace(href, r"^[?#]$", ""))).otherwise(F.concat(base, F.lit("/"), href))
 
 
-def is_ipv4(host: Column) -> Column:
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return host.rlike(rf"^{octet}(\.{octet}){{3}}$")
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+GROUP = r"[0-9A-Fa-f]{1,4}"
+
+
+def is_ip(host: Column) -> Column:
+    """Whether a host is an IPv4 address, or an IPv6 address with or without :: and a final IPv4 address."""
+    full = host.rlike(rf"^(?:{GROUP}:){{7}}{GROUP}\z") | host.rlike(rf"^(?:{GROUP}:){{6}}{IPV4}\z")
+    short = host.rlike(rf"^(?:{GROUP}(?::{GROUP})*)?::(?:(?:{GROUP}:)*(?:{GROUP}|{IPV4}))?\z")
+    groups = F.size(F.filter(F.split(host, ":"), lambda x: x != "")) + F.when(host.rlike(rf"{IPV4}\z"), 1).otherwise(0)
+    return host.rlike(rf"^{IPV4}\z") | full | (short & (groups <= 7))
 
 
 #: Fixed value: names of buckets: 3 to 63 characters, labels of lower-case letters, digits and inner hyphens, no address.
@@ -159,13 +182,18 @@ def safe_key(key: Column, folder: Column, working: str = "/w") -> Column:
     return F.slice(parts(whole(top, key)), 1, F.size(parts(top))) == parts(top)
 
 
+#: Ends of schools' hosts, the folder of a path of two parts, the first part of any path, and the first three of a path of four.
+SCHOOLS, SCHOOL_FOLDER, SCHOOL_SYSTEM, SHARED_FOLDERS = ("ac.id", "sch.id"), "repository", "slims7", ("__statics", "gudangsoal", "files")
+
+
 def library_path(host: Column, path: Column) -> Column:
     """Whether a path is one that a library system uploads to."""
     parts = F.filter(F.split(path, "/"), lambda x: F.trim(x) != "")
     n, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
-    school = host.endswith("ac.id") | host.endswith("sch.id")
-    known = school & (((n == 2) & (at(0) == "repository")) | (at(0) == "slims7"))
-    return F.coalesce(known, F.lit(False)) | F.coalesce((n == 4) & (at(0) == "__statics") & (at(1) == "gudangsoal") & (at(2) == "files"), F.lit(False))
+    school = host.endswith(SCHOOLS[0]) | host.endswith(SCHOOLS[1])
+    known = school & (((n == 2) & (at(0) == SCHOOL_FOLDER)) | (at(0) == SCHOOL_SYSTEM))
+    shared = (n == 4) & (at(0) == SHARED_FOLDERS[0]) & (at(1) == SHARED_FOLDERS[1]) & (at(2) == SHARED_FOLDERS[2])
+    return F.coalesce(known, F.lit(False)) | F.coalesce(shared, F.lit(False))
 
 
 def shard_path(digest: Column, depth: int = 4) -> Column:

@@ -61,3 +61,80 @@ def fold_visits(visits: DataFrame, key: str, at: list[str], failed: Column) -> D
         F.min(F.when(after, F.col(at[0]))).alias("first_offline"),
         F.max(F.col(at[0])).alias("last_updated"),
     )
+
+
+def update_from(target: DataFrame, values: DataFrame, keys: list[str], columns: list[str], only_null: bool = True) -> DataFrame:
+    """target with columns taken from the row of values with equal keys, where they are null (or wherever there is such a row).
+
+    values must have at most one row for each key; the least is taken where it has more.
+    """
+    one = values.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_new"))
+    joined = target.join(one, keys, "left")
+    new = lambda c: F.coalesce(F.col(c), F.col("_new")[c]) if only_null else F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c))
+    return joined.select(*[new(c).alias(c) if c in columns else F.col(c) for c in target.columns])
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "row", parts: int | None = None) -> tuple[DataFrame, int]:
+    """df with its rows numbered from 0 in an order, and how many there are; no task holds more than a range of the order.
+
+    Rows are dealt by ranges and sorted there; numbers follow from each range's own count and those before it. Rows equal
+    in all of order are numbered in any way. The result is written, so numbers stay.
+    """
+    from .storage import cut
+
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    at = cut(ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    # a row for each range, as many as there are tasks
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, (F.col("_before") + place).alias(out)), total
+
+
+def near_equal(row: Column, total: int, parts: int) -> Column:
+    """The part, from 1, of a row numbered from 0, if `total` rows are cut into contiguous parts whose sizes differ by one at most."""
+    base, more = divmod(total, parts)
+    head = more * (base + 1)
+    return (F.when(row < head, F.floor(row / (base + 1))).otherwise(more + F.floor((row - head) / max(base, 1))) + 1).cast("int")
+
+
+def new_ids(df: DataFrame, existing: DataFrame, id: str, order: list[str]) -> DataFrame:
+    """df with an id for each row: the numbers after the greatest of existing, in an order."""
+    most = existing.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
+    return numbered(df, order, id)[0].withColumn(id, F.col(id) + most + 1)
+
+
+def split_by_class(df: DataFrame, label: str, order: list[Column], train: int, val: int, least: int) -> DataFrame:
+    """df with `split`: the first rows of each class in an order for training, the next for validation, the rest for the test.
+
+    Classes of fewer than `least` rows are for the test. Only the first rows of a class are sorted, each task its own before
+    they meet; the rest are never dealt by class.
+    """
+    from .sizes import small
+
+    key = [c for c in df.columns]
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(label)
+    first = df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_rn") <= train + val)
+    first = first.join(small(sizes), label, "left_semi").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.when(F.col("_rn") <= train, "train").otherwise("val").alias("split"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return df.join(small(first), cond, "left").select(*key, F.coalesce("split", F.lit("test")).alias("split"))
+
+
+def spaced_attempts(visits: DataFrame, key: str, at: str, failed: Column, retries: int = 2, wait: str = "5 minutes") -> DataFrame:
+    """key, attempts, and whether one reached: a first visit and up to `retries` more, each at least `wait` after a failure.
+
+    One aggregate for each attempt, combined before it is dealt; keys are never sorted.
+    """
+    v = visits.select(F.col(key), F.col(at).alias("_at"), failed.alias("_failed"))
+    state = v.groupBy(key).agg(F.min(F.struct("_at", "_failed")).alias("_last")).select(key, "_last", F.lit(1).alias("attempts"))
+    for _ in range(retries):
+        due = v.join(state, key).where(F.col("_last")["_failed"] & (F.col("_at") >= F.col("_last")["_at"] + F.expr(f"INTERVAL {wait}")))
+        nxt = due.groupBy(key).agg(F.min(F.struct("_at", "_failed")).alias("_next"))
+        state = state.join(nxt, key, "left").select(key, F.coalesce("_next", "_last").alias("_last"), (F.col("attempts") + F.when(F.col("_next").isNotNull(), 1).otherwise(0)).alias("attempts"))
+    return state.select(key, "attempts", (~F.col("_last")["_failed"]).alias("reached"))

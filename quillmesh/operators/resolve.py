@@ -41,6 +41,25 @@ def settle_clusters(clustered: DataFrame, anchors: DataFrame, campaigns: DataFra
     return clustered.select("id", "cluster", "v").join(verdicts.drop("all"), "cluster").join(choice, "cluster", "left").select("id", "cluster", "verdict", known.alias("known"))
 
 
+def conflict_log(clustered: DataFrame, anchors: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """first and second (the lesser before) of known clusters of different campaigns that have anchors in one cluster, once each.
+
+    Within a cluster, pairs are of its known clusters, not of its elements.
+    """
+    known = clustered.join(anchors.join(campaigns, "known"), "id").select("cluster", "known", "campaign").distinct()
+    by = known.groupBy("cluster").agg(F.array_sort(F.collect_set(F.struct("known", "campaign"))).alias("all"))
+    one = by.select("all", F.explode("all").alias("x"))
+    two = one.select("x", F.explode(F.filter("all", lambda y: (y["known"] > F.col("x")["known"]) & (y["campaign"] != F.col("x")["campaign"]))).alias("y"))
+    return two.select(F.col("x.known").alias("first"), F.col("y.known").alias("second")).distinct()
+
+
+def new_cluster_notice(clusters: DataFrame, day: str) -> DataFrame:
+    """text: a message that lists the ids of the clusters (id, made_on) of a day; no row where there are none."""
+    ids = clusters.where(F.col("made_on") == F.lit(day).cast("date")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    line = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("New cluster with id:"), i.cast("string"))), " \n")
+    return ids.where(F.size("ids") > 0).select(F.concat(F.lit("A new cluster has been created: \n"), line).alias("text"))
+
+
 def ladder(vectors: DataFrame, steps: list[float], min_points: int, good) -> DataFrame:
     """Density clusters at falling eps until good(labels) holds; the last ones otherwise. There are a few steps."""
     for eps in steps:

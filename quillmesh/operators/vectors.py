@@ -98,4 +98,34 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) ->
     return out.select(key, F.col("own").isNotNull().alias("core"), F.coalesce("own", "via", F.lit(-1)).alias("cluster"))
 
 
+def principal_axes(df: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and the first k principal axes (rows) of vectors, each axis with its greatest entry positive.
+
+    Sums of vectors and of products of their entries are made by tasks; the driver sees one square matrix for each task.
+    """
+
+    def sums(batches):
+        n, first, second = 0, None, None
+        for batch in batches:
+            m = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else None
+            if m is not None:
+                n += len(m)
+                first, second = (m.sum(0), m.T @ m) if first is None else (first + m.sum(0), second + m.T @ m)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "s": [first.tolist()], "p": [second.ravel().tolist()]})
+
+    parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).mapInArrow(sums, "n long, s array<double>, p array<double>").collect()
+    n, total = sum(r.n for r in parts), sum(np.array(r.s) for r in parts)
+    mean = total / n
+    cov = sum(np.array(r.p) for r in parts).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
+    return mean, axes * np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def projected(df: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """df with the coordinates of its vectors along the axes."""
+    dot = lambda axis: F.aggregate(F.zip_with(F.col(vector), F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(m)).alias("m")) for a, m in zip(axis, mean)]), lambda v, w: (v.cast("double") - w["m"]) * w["a"]), F.lit(0.0), lambda s, x: s + x)
+    return df.select("*", *[dot(a).alias(n) for n, a in zip(names, axes)])
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

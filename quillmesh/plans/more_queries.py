@@ -12,23 +12,35 @@ from quillmesh.operators import vectors as V
 
 from quillmesh.sources.files import suffix_kind
 
-from .registry import literal, query, table, values_sql
+from .registry import query, table
+from .url_queries import _SUFFIXES, suffix_lines_table
 from .vector_queries import EPS, MIN_POINTS
 
-_CPE = [(1, '{"totalResults": 1, "products": [{"cpe": {"cpeName": "cpe:2.3:a:x:y:1", "lastModified": "2021-01-01", "titles": [{"title": "", "lang": "fr"}, {"title": "Y 1", "lang": "en"}], "refs": [{"ref": "r1", "type": "Advisory"}, {"ref": "http://v", "type": "Vendor"}], "cves": ["CVE-1", "CVE-2"]}}]}'), (2, '{"totalResults": 0, "products": []}'), (3, "broken")]
-_CVE = [(1, '{"id": "CVE-1", "descriptions": [{"lang": "es", "value": "mal"}, {"lang": "en", "value": "bad"}], "weaknesses": [{"description": [{"lang": "en", "value": "CWE-79"}]}, {"description": [{"lang": "en", "value": "CWE-79"}, {"lang": "en", "value": "CWE-80"}]}], "references": [{"url": "http://r"}]}')]
-
-
-@query("SELECT * FROM (VALUES (1, 'cpe:2.3:a:x:y:1', 'Y 1', 'http://v', 'CVE-1,CVE-2'), (2, NULL, NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL)) t(id, cpe, title, vendor, cves)")
+@query("""SELECT p_partkey, n, CASE WHEN p_partkey % 3 = 0 THEN 'cpe:2.3:a:x:' || replace(p_name, ' ', '_') || ':' || p_size || '.' || n END AS cpe, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_size END AS title, CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'http://v/' || p_partkey END AS vendor, CASE WHEN p_partkey % 3 = 0 THEN 'CVE-' || p_size || ',CVE-' || n END AS cves
+FROM part, (SELECT unnest([0, 1]) AS n) WHERE p_partkey % 3 = 0 OR n = 0""")
 def nvd_cpe(spark, sf_dir):
-    d = literal(spark, "id int, body string", _CPE).select("id", F.explode_outer(J.products(F.col("body"))).alias("p"))
-    return d.select("id", "p.cpe", "p.title", "p.vendor", F.when(F.col("p.cves").isNotNull(), F.array_join("p.cves", ",")).alias("cves"))
-
-
-@query("SELECT 1 AS id, 'CVE-1' AS cve_id, 'bad' AS description, 'CWE-79,CWE-80' AS cwes, 'http://r' AS reference_data")
+    """Products of answers: two of them, none, or a body that is no JSON; without any, one row of nulls."""
+    name, size, i = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey")
+    titles = F.array(F.struct(F.lit("").alias("title"), F.lit("fr").alias("lang")), F.struct(F.concat_ws(" ", name, size).alias("title"), F.lit("en").alias("lang")))
+    refs = F.array(F.struct(F.lit("r").alias("ref"), F.lit("Advisory").alias("type")), F.struct(F.concat(F.lit("http://v/"), i.cast("string")).alias("ref"), F.when(F.col("p_size") % 2 == 0, "Vendor").otherwise("Other").alias("type")))
+    one = lambda n: F.struct(F.struct(F.concat(F.lit("cpe:2.3:a:x:"), F.replace(name, F.lit(" "), F.lit("_")), F.lit(":"), size, F.lit(f".{n}")).alias("cpeName"), F.lit("2021").alias("lastModified"), titles.alias("titles"), refs.alias("refs"), F.array(F.concat(F.lit("CVE-"), size), F.lit(f"CVE-{n}")).alias("cves")).alias("cpe"))
+    full = F.to_json(F.struct(F.lit(2).alias("totalResults"), F.array(one(0), one(1)).alias("products")))
+    body = F.when(i % 3 == 0, full).when(i % 3 == 1, '{"totalResults": 0, "products": []}').otherwise("broken")
+    d = table(spark, sf_dir, "part").select("p_partkey", F.posexplode_outer(J.products(body)).alias("n", "p"))
+    return d.select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), "p.cpe", "p.title", "p.vendor", F.when(F.col("p.cves").isNotNull(), F.array_join("p.cves", ",")).alias("cves"))
+
+
+@query("SELECT p_partkey, 'CVE-' || p_partkey AS cve_id, 'bad ' || p_name || CASE WHEN p_size % 2 = 0 THEN ',worse' ELSE '' END AS description, 'CWE-' || p_size || CASE WHEN p_size <> 7 THEN ',CWE-7' ELSE '' END AS cwes, 'http://r/' || p_partkey AS reference_data FROM part")
 def nvd_cve(spark, sf_dir):
-    f = J.flaw(F.col("body"))
-    return literal(spark, "id int, body string", _CVE).select("id", f["cve_id"].alias("cve_id"), *[F.array_join(f[k], ",").alias(k) for k in ("description", "cwes", "reference_data")])
+    """English descriptions, weaknesses of both levels without repeats, and references of flaws' reports."""
+    i, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    say = lambda lang, value: F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+    worse = say("en", F.lit("worse"))
+    told = F.array(say("es", F.lit("mal")), say("en", F.concat(F.lit("bad "), "p_name")))
+    weak = lambda *x: F.struct(F.array(*[say("en", v) for v in x]).alias("description"))
+    body = F.to_json(F.struct(F.concat(F.lit("CVE-"), i).alias("id"), F.when(F.col("p_size") % 2 == 0, F.concat(told, F.array(worse))).otherwise(told).alias("descriptions"), F.array(weak(F.concat(F.lit("CWE-"), size)), weak(F.concat(F.lit("CWE-"), size), F.lit("CWE-7"))).alias("weaknesses"), F.array(F.struct(F.concat(F.lit("http://r/"), i).alias("url"))).alias("references")))
+    f = J.flaw(body)
+    return table(spark, sf_dir, "part").select("p_partkey", f["cve_id"].alias("cve_id"), *[F.array_join(f[k], ",").alias(k) for k in ("description", "cwes", "reference_data")])
 
 
 @query("SELECT p_partkey, 'cpe:2.3:a:*:' || replace(lower(p_name), ' ', '-') || ':' || p_size AS cpe FROM part")
@@ -36,12 +48,14 @@ def cpe_string(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", J.match_string(F.lit(None), J.slug(F.col("p_name")), F.col("p_size").cast("string")).alias("cpe"))
 
 
-_ANSWERS = [(1, 200, "application/pdf", "application/pdf"), (2, 404, "text/html", None), (3, 200, "text/html", "text/html"), (4, None, None, None), (5, 200, "x-pdf", "application/pdf")]
+_STATUS = "CASE WHEN event_id % 11 > 0 THEN 150 + event_id % 300 END"
+_KIND = "CASE event_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' ELSE 'x-pdf; v=' || user_id END"
+_HEAD = "CASE event_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'x-pdf; v=' || user_id END"
 
 
-@query(f"SELECT id, CASE WHEN s IS NULL THEN 'No answer' WHEN s < 200 OR s > 299 THEN 'Bad status code ' || s WHEN NOT contains(k, 'pdf') THEN 'Bad content type' WHEN h <> k THEN 'Inconsistent content type' END AS error FROM {values_sql('t(id, s, k, h)', _ANSWERS)}")
+@query(f"WITH t AS (SELECT event_id, {_STATUS} AS s, {_KIND} AS k, {_HEAD} AS h FROM events) SELECT event_id, CASE WHEN s IS NULL THEN 'No answer' WHEN s < 200 OR s > 299 THEN 'Bad status code ' || s WHEN NOT contains(k, 'pdf') THEN 'Bad content type' WHEN h <> k THEN 'Inconsistent content type' END AS error FROM t")
 def answer_outcome(spark, sf_dir):
-    return literal(spark, "id int, s int, k string, h string", _ANSWERS).select("id", J.outcome(F.col("s"), F.col("k"), F.col("h")).alias("error"))
+    return table(spark, sf_dir, "events").select("event_id", J.outcome(F.expr(_STATUS).cast("int"), F.expr(_KIND), F.expr(_HEAD)).alias("error"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'x' END AS error FROM events")
@@ -55,12 +69,13 @@ def storage_answers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", J.storage_answer(F.col("url"), F.col("html")).alias("storage"))
 
 
-_RECTS = [(1, "0.5 1.5  2.5 -3.5"), (2, "10 20 30 40"), (3, "")]
+_RECT = "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE (o_orderkey % 40) || '.5 ' || (o_orderkey % 7) || '.25  -' || (o_orderkey % 30) || '.5 ' || (o_orderkey % 500) END"
 
 
-@query("SELECT * FROM (VALUES (1, '0,2,2,-4'), (2, '10,20,30,40'), (3, '')) t(id, rect)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE round_even(o_orderkey % 40 + 0.5, 0)::INT || ',' || (o_orderkey % 7) || ',' || round_even(-(o_orderkey % 30 + 0.5), 0)::INT || ',' || (o_orderkey % 500) END AS rect FROM orders")
 def rect_rounding(spark, sf_dir):
-    return literal(spark, "id int, raw string", _RECTS).select("id", F.array_join(J.rect(F.col("raw")), ",").alias("rect"))
+    """Lists of coordinates, rounded half to even."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(J.rect(F.expr(_RECT)), ",").alias("rect"))
 
 
 @query(f"""WITH x AS (SELECT page_id, html, list_transform([{', '.join(repr(p) for p in J.SCRIPT_PARTS)}], lambda p: ((length(html) - length(replace(html, p, ''))) / length(p))::INT) AS n FROM pages)
@@ -79,14 +94,15 @@ def name_answers(spark, sf_dir):
 
 
 @query("""SELECT event_id, 'https://h' || user_id || '.example/a/b/c.pdf' AS url, sha256('https://h' || user_id || '.example/a/b/c.pdf') AS url_hash, 'https://h' || user_id || '.example/a/b' AS domain_path, CASE WHEN event_type = 'error' THEN 'timeout' END AS error_msg,
-  'CMS ' || user_id AS cms, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS requests, 404 AS status_code, 'text/html' AS content_type, NULL AS tls_version FROM events""")
+  'CMS ' || user_id AS cms, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS requests, (200 + event_id % 300)::INT AS status_code, 'text/' || event_type AS content_type, CASE WHEN event_id % 3 = 0 THEN 'TLS 1.' || event_id % 4 END AS tls_version FROM events""")
 def visit_results(spark, sf_dir):
     """Jobs, pages and requests of browser visits from their JSON."""
     text = lambda c: F.col(c).cast("string")
     job = F.concat(F.lit('{"url": "https://h'), text("user_id"), F.lit('.example/a/b/c.pdf"}'))
     page = F.concat(F.lit('{"result": 0, "detected": {"CMS": "CMS '), text("user_id"), F.lit('"}}'))
-    request = '{"url": "u", "method": "GET", "response_headers": ["HTTP/1.1 404 Not Found", "content-type: text/html"]}'
-    log = F.when(F.col("event_id") % 2 == 0, F.lit(f"[{request}, {request}]")).otherwise(f"[{request}]")
+    tls = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "tls_version": "TLS 1.'), (F.col("event_id") % 4).cast("string"), F.lit('"'))).otherwise("")
+    request = F.concat(F.lit('{"url": "u", "method": "GET", "response_headers": ["HTTP/1.1 '), (200 + F.col("event_id") % 300).cast("string"), F.lit(' X", "content-type: text/'), "event_type", F.lit('"]'), tls, F.lit("}"))
+    log = F.concat(F.lit("["), request, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(", "), request)).otherwise(""), F.lit("]"))
     posted = F.concat(F.lit("/done?id=1"), F.when(F.col("event_type") == "error", "&error=timeout").otherwise(""))
     v, r = J.visit(job, page, posted), F.col("r")
     e = table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in v.items()], J.requests(log).alias("r"))
@@ -104,13 +120,11 @@ def hardest_triplets(spark, sf_dir):
     return t.agg(F.count("negative").alias("triplets"), F.round(F.sum("loss"), 3).alias("loss"), F.sum("losses").alias("losses"), F.round(F.sum("negatives") / F.sum("losses"), 6).alias("ratio"))
 
 
-_SUFFIX_LINES = [("com", "com", "exact"), ("*.ck", "ck", "wildcard"), ("!www.ck", "!www.ck", "exact"), ('// xn--p1ai ("rf", Russian-Cyrillic) : RU', "xn--p1ai", "punycode"), ("// a comment", None, None)]
-
-
-@query("SELECT * FROM " + values_sql("t(line, suffix, kind)", _SUFFIX_LINES))
+@query(f"WITH {_SUFFIXES} SELECT line, suffix, kind FROM sk")
 def suffix_lines(spark, sf_dir):
+    """What each line of a list of thousands of rules says."""
     k = suffix_kind(F.col("line"))
-    return literal(spark, "line string", [x[:1] for x in _SUFFIX_LINES]).select("line", *[c.alias(n) for n, c in k.items()])
+    return suffix_lines_table(spark).select("line", *[c.alias(n) for n, c in k.items()])
 
 
 @query("SELECT p_partkey, p_name AS friendly_name, p_size::VARCHAR AS latest_version, p_size % 2 = 0 AS popular, 'flaw ' || p_brand AS title FROM part")
@@ -131,28 +145,34 @@ def storage_listings(spark, sf_dir):
     return x.select("s_suppkey", F.col("x.Name").alias("name"), F.size("x.Contents").alias("files"), F.aggregate("x.Contents", F.lit(0).cast("bigint"), lambda acc, c: acc + c["Size"]).alias("bytes"))
 
 
-_ESCAPED = [(1, "%u4142%43", "42414300"), (2, "plain", "706C61696E"), (3, "a%zz%41", "610025007A007A004100"), (4, None, None), (5, "%u00e9x", "E9007800")]
-
-
-@query("SELECT id, bytes FROM " + values_sql("t(id, escaped, bytes)", _ESCAPED))
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lpad(hex(c_custkey % 256), 2, '0') || lpad(hex(c_custkey // 256), 2, '0') || lpad(hex(c_custkey % 128), 2, '0') || '00' || hex('k') || '00' WHEN 1 THEN hex(c_name) ELSE hex('%') || '00' || hex('z') || '00' || lpad(hex(c_custkey % 256), 2, '0') || '00' END AS bytes FROM customer""")
 def script_unescape(spark, sf_dir):
-    return literal(spark, "id int, escaped string", [e[:2] for e in _ESCAPED]).select("id", F.hex(J.unescape(F.col("escaped"))).alias("bytes"))
+    """Bytes of wide and narrow escapes, of texts without any, and of broken ones."""
+    i = F.col("c_custkey")
+    code = lambda c, n: F.lpad(F.hex(c), n, "0")
+    text = F.when(i % 3 == 0, F.concat(F.lit("%u"), code(i, 4), F.lit("%"), code(i % 128, 2), F.lit("k"))).when(i % 3 == 1, F.col("c_name")).otherwise(F.concat(F.lit("%z%"), code(i % 256, 2)))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.hex(J.unescape(text)).alias("bytes"))
 
 
-@query("SELECT page_id, 'eval(function(){return 1})' || ';' AS call, 'function(){return 1}' AS arguments, true AS returns, 'e' || page_id AS alias FROM pages")
+@query("SELECT page_id, 'eval(' || CASE WHEN page_id % 2 = 0 THEN 'function(){return ' || page_id || '}' ELSE 'unpack_' || page_id END || ');' AS call, CASE WHEN page_id % 2 = 0 THEN 'function(){return ' || page_id || '}' ELSE 'unpack_' || page_id END AS arguments, page_id % 2 = 0 AS returns, 'e' || page_id AS alias FROM pages")
 def script_calls(spark, sf_dir):
     """Calls of a function that hides code, and the names it goes by."""
-    code = F.concat(F.lit("var e"), F.col("page_id").cast("string"), F.lit(" = eval; eval(function(){return 1});"))
+    i = F.col("page_id").cast("string")
+    hidden = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("function(){return "), i, F.lit("}"))).otherwise(F.concat(F.lit("unpack_"), i))
+    code = F.concat(F.lit("var e"), i, F.lit(" = eval; eval("), hidden, F.lit(");"))
     d = table(spark, sf_dir, "pages").select("page_id", F.get(J.calls(code, "eval"), F.lit(0)).alias("c"), F.get(J.aliases(code, "eval"), F.lit(0)).alias("alias"))
     return d.select("page_id", "c.call", "c.arguments", "c.returns", "alias")
 
 
-@query("SELECT item_id, k::INT AS key FROM benchmark, (SELECT unnest(range(0, 256)) AS k) WHERE xor(97 + item_id % 5, k) = 65 OR xor(97 + item_id % 5, k) = 66")
+@query(r"""WITH h AS (SELECT item_id, hex(encode(text)) AS x, item_id % 256 AS k FROM benchmark), d AS (SELECT item_id, k, x, unnest(range(0, length(x) // 2)) AS i FROM h),
+b AS (SELECT item_id, k, i, ('0x' || substr(x, 2 * i + 1, 2))::INT AS c FROM d), n AS (SELECT *, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2 FROM b WINDOW w AS (PARTITION BY item_id ORDER BY i))
+SELECT item_id, xor(k::INT, xor(c, 116)) AS key, i::BIGINT AS "offset" FROM n WHERE xor(c, 116) = xor(c1, 104) AND xor(c, 116) = xor(c2, 101)""")
 def xor_search(spark, sf_dir):
-    """Single-byte keys under which a byte becomes one that is sought; 256 keys a row, no more."""
-    b = (F.lit(97) + F.col("item_id") % 5).cast("int")
-    keys = table(spark, sf_dir, "benchmark").select("item_id", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("key"))
-    return keys.where(F.col("b").bitwiseXOR(F.col("key")).isin(65, 66)).select("item_id", "key")
+    """Where whole texts, each hidden by its own key, have a string under any single-byte key."""
+    code, k = F.hex(F.col("text").cast("binary")), F.col("item_id") % 256
+    each = F.regexp_extract_all(code, F.lit("(..)"), F.lit(1))
+    hidden = F.unhex(F.array_join(F.transform(each, lambda x: F.lpad(F.hex(F.conv(x, 16, 10).cast("long").bitwiseXOR(k)), 2, "0")), ""))
+    return S.xor_search(table(spark, sf_dir, "benchmark").select("item_id", hidden.alias("content")), "item_id", "content", b"the")
 
 
 @query()
@@ -181,14 +201,23 @@ def scan_counters(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(on).alias("times_on"), F.count_if(~on).alias("times_off"), last(on).alias("value_on"), last(~on).alias("value_off"))
 
 
-@query("""WITH c AS (SELECT vec_id, label FROM embeddings WHERE label < 6), k AS (SELECT label AS cluster, list_sort(list(DISTINCT vec_id % 4)) AS a FROM c WHERE vec_id % 7 = 0 AND label > 0 GROUP BY 1)
-SELECT DISTINCT c.label - 1 AS cluster, CASE WHEN c.label = 0 THEN 'noise' WHEN a IS NULL THEN 'new' WHEN len(a) = 1 THEN 'known' WHEN len(list_distinct(list_transform(a, lambda x: x % 2))) = 1 THEN 'conflict' ELSE 'unresolved' END AS verdict FROM c LEFT JOIN k ON k.cluster = c.label""")
+@query("""WITH e AS (SELECT vec_id, label, label - 1 AS cluster, CASE WHEN label % 4 > 0 THEN label * 10 + vec_id % (label % 4) END AS known FROM embeddings),
+a AS (SELECT cluster, known, CASE WHEN label % 4 = 3 THEN known ELSE label END AS campaign FROM e WHERE known IS NOT NULL QUALIFY row_number() OVER (PARTITION BY known ORDER BY md5(vec_id::VARCHAR || '|7')) <= 20),
+k AS (SELECT cluster, count(DISTINCT known) AS n, count(DISTINCT campaign) AS m FROM a GROUP BY 1)
+SELECT DISTINCT e.cluster::BIGINT AS cluster, CASE WHEN e.cluster = -1 THEN 'noise' WHEN n IS NULL THEN 'new' WHEN n = 1 THEN 'known' WHEN m = 1 THEN 'conflict' ELSE 'unresolved' END AS verdict FROM e LEFT JOIN k ON k.cluster = e.cluster""")
 def cluster_resolve(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("label < 6")
-    clustered = e.select(F.col("vec_id").alias("id"), (F.col("label") - 1).alias("cluster"))
-    anchors = e.where("vec_id % 7 = 0 AND label > 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("known"))
-    campaigns = spark.range(4).select(F.col("id").alias("known"), (F.col("id") % 2).alias("campaign"))
-    return C.resolve_clusters(clustered, anchors, campaigns).select("cluster", "verdict")
+    """Verdicts of the clusters of all embeddings from 20 seeded anchors of each known cluster."""
+    e, anchors, campaigns = _clusters(spark, sf_dir)
+    return C.resolve_clusters(e.select("id", "cluster"), anchors.select("id", "known"), campaigns).select("cluster", "verdict")
+
+
+def _clusters(spark, sf_dir):
+    """Embeddings with their cluster and known cluster, anchors, and the campaigns of known clusters."""
+    label, parts = F.col("label").cast("long"), F.col("label") % 4
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), (label - 1).alias("cluster"), F.col("embedding").alias("v"), F.when(parts > 0, label * 10 + F.col("vec_id") % F.greatest(parts, F.lit(1))).alias("known"))
+    anchors = R.first_per(e.where("known IS NOT NULL"), ["known"], [R.draw(F.col("id"))], 20)
+    campaigns = anchors.select("known", F.when(F.col("label") % 4 == 3, F.col("known")).otherwise(F.col("label")).alias("campaign")).distinct()
+    return e, anchors, campaigns
 
 
 _SETTLED = """WITH e AS (SELECT vec_id, label, label - 1 AS cluster, embedding::DOUBLE[] AS v, CASE WHEN label % 4 > 0 THEN label * 10 + vec_id % (label % 4) END AS known FROM embeddings),
@@ -197,45 +226,47 @@ c AS (SELECT known, list(x ORDER BY pos) AS centroid FROM (SELECT known, pos, av
 k AS (SELECT cluster, count(DISTINCT known) AS n, count(DISTINCT campaign) AS m, min(known) AS one FROM a GROUP BY 1),
 w AS (SELECT e.vec_id, e.cluster, one, CASE WHEN e.cluster = -1 THEN 'noise' WHEN n IS NULL THEN 'new' WHEN n = 1 THEN 'known' WHEN m = 1 THEN 'conflict' ELSE 'unresolved' END AS verdict FROM e LEFT JOIN k ON k.cluster = e.cluster),
 d AS (SELECT e.vec_id, arg_min(c.known, list_distance(e.v, c.centroid)) AS nearest FROM e JOIN (SELECT DISTINCT cluster, known FROM a) i ON i.cluster = e.cluster JOIN c ON c.known = i.known GROUP BY 1)
-SELECT w.vec_id, w.cluster, verdict, CASE verdict WHEN 'conflict' THEN nearest WHEN 'known' THEN one WHEN 'new' THEN NULL ELSE -1 END AS known FROM w LEFT JOIN d ON d.vec_id = w.vec_id"""
+SELECT w.vec_id, w.cluster::BIGINT AS cluster, verdict, CASE verdict WHEN 'conflict' THEN nearest WHEN 'known' THEN one WHEN 'new' THEN NULL ELSE -1 END AS known FROM w LEFT JOIN d ON d.vec_id = w.vec_id"""
 
 
 @query(_SETTLED)
 def cluster_settle(spark, sf_dir):
     """Verdict and known cluster of every embedding of every label; 20 seeded anchors of each known cluster."""
-    label, parts = F.col("label").cast("long"), F.col("label") % 4
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), (label - 1).alias("cluster"), F.col("embedding").alias("v"), F.when(parts > 0, label * 10 + F.col("vec_id") % F.greatest(parts, F.lit(1))).alias("known"))
-    anchors = R.first_per(e.where("known IS NOT NULL"), ["known"], [R.draw(F.col("id"))], 20)
-    campaigns = anchors.select("known", F.when(F.col("label") % 4 == 3, F.col("known")).otherwise(F.col("label")).alias("campaign")).distinct()
+    e, anchors, campaigns = _clusters(spark, sf_dir)
     settled = C.settle_clusters(e.select("id", "cluster", "v"), anchors.select("id", "known"), campaigns, V.centroids(anchors, "known", "v"))
     return settled.withColumnRenamed("id", "vec_id")
 
 
-@query()
+def _clusters_sql(name: str, eps: float) -> str:
+    """CTE of density clusters at an eps."""
+    return f"""p_{name} AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {eps}),
+core_{name} AS (SELECT a AS id FROM p_{name} GROUP BY a HAVING count(*) + 1 >= {MIN_POINTS}), cc_{name} AS (SELECT p.a, p.b FROM p_{name} p JOIN core_{name} x ON x.id = p.a JOIN core_{name} y ON y.id = p.b),
+reach_{name}(id, r) AS (SELECT id, id FROM core_{name} UNION SELECT r.id, cc.b FROM reach_{name} r JOIN cc_{name} cc ON cc.a = r.r), l_{name} AS (SELECT id, min(r) AS cluster FROM reach_{name} GROUP BY id),
+near_{name} AS (SELECT p.b AS id, min(p.a) AS c FROM p_{name} p JOIN core_{name} x ON x.id = p.a GROUP BY 1),
+{name} AS (SELECT vec_id AS id, l.id IS NOT NULL AS core, coalesce(l.cluster, l2.cluster, -1) AS cluster FROM embeddings LEFT JOIN l_{name} l ON l.id = vec_id LEFT JOIN near_{name} n ON n.id = vec_id LEFT JOIN l_{name} l2 ON l2.id = n.c)"""
+
+
+@query(f"WITH RECURSIVE {_clusters_sql('wide', EPS)}, {_clusters_sql('narrow', 1.1)}, several AS (SELECT count(DISTINCT cluster) > 1 AS yes FROM wide WHERE cluster >= 0) SELECT id, core, cluster FROM wide, several WHERE yes UNION ALL SELECT id, core, cluster FROM narrow, several WHERE NOT yes")
 def eps_ladder(spark, sf_dir):
     """Clusters at the first eps of a falling ladder that has more than one."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return C.ladder(v, [EPS, 1.1], MIN_POINTS, lambda x: x.where("cluster >= 0").select("cluster").distinct().limit(2).count() > 1)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, md5(vec_id::VARCHAR || '|7') AS o FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT id, coalesce(lead(id) OVER w, first_value(id) OVER w) AS positive FROM e WINDOW w AS (PARTITION BY label ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT a.id, coalesce(arg_min(b.id, (b.o, b.id)) FILTER ((b.o, b.id) > (a.o, a.id)), arg_min(b.id, (b.o, b.id))) AS negative FROM e a JOIN e b ON b.label <> a.label GROUP BY a.id),
+l AS (SELECT greatest(list_distance(a.v, x.v) ** 2 - list_distance(a.v, y.v) ** 2 + 0.2, 0) AS loss FROM p JOIN n USING (id) JOIN e a USING (id) JOIN e x ON x.id = positive JOIN e y ON y.id = negative WHERE positive <> p.id)
+SELECT count(*) AS n, round(sum(loss), 4) AS loss, round(count(*) FILTER (loss <= 0) / count(*), 6) AS ratio FROM l""")
 def triplet_stats(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     loss = C.triplet_loss(C.triplets(v), v, 0.2)
     return loss.agg(F.count("*").alias("n"), F.round(F.sum("loss"), 4).alias("loss"), F.round(F.count_if(F.col("loss") <= 0) / F.count("*"), 6).alias("ratio"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 100 + 1 AS dst FROM lineitem WHERE l_linenumber <= 2), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 30)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def graph_walk(spark, sf_dir):
-    """Breadth-first depth from a root."""
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 100 + 1).alias("dst")).distinct()
-    return C.reach(e, spark.range(1, 2).select(F.col("id").alias("node")))
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, (l_suppkey * 7 + l_linenumber) % 100 + 1 AS dst FROM lineitem), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 100)
 SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def graph_walk_all(spark, sf_dir):
+def graph_walk(spark, sf_dir):
     """Breadth-first depth from a root over all line items; they lead to 100 nodes, so no way is longer than SQL's 100 steps."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 100 + 1).alias("dst")).distinct()
     return C.reach(e, spark.range(1, 2).select(F.col("id").alias("node")))
@@ -249,13 +280,10 @@ def hash_propagation(spark, sf_dir):
     return d.join(first, ["h1", "h2"]).where("doc_id <> twin").select("doc_id", "twin")
 
 
-@query("SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY md5(n_name || '|7'))::INT AS turn FROM nation QUALIFY turn <= 3")
+@query("SELECT p_type, p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_brand ORDER BY md5(p_partkey::VARCHAR || '|7')) <= 3")
 def balanced_batch(spark, sf_dir):
-    """The same number of rows of each class."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(R.draw(F.col("n_name"))))
-    return table(spark, sf_dir, "nation").select("n_regionkey", "n_name", n.alias("turn")).where("turn <= 3")
+    """The same number of rows of each subclass."""
+    return R.first_per(table(spark, sf_dir, "part").select("p_type", "p_brand", "p_partkey"), ["p_type", "p_brand"], [R.draw(F.col("p_partkey"))], 3)
 
 
 @query("SELECT DISTINCT r_name, n_name FROM region, nation WHERE n_regionkey = r_regionkey AND n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey IN (SELECT c_nationkey FROM customer)")

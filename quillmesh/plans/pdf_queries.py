@@ -125,13 +125,13 @@ def pdf_offsets(spark, sf_dir):
     return _id(p.select("path", "id", "start", "size"))
 
 
-@query("""WITH d AS (SELECT page_id AS doc FROM pages) SELECT doc, version, id, generation, kind, start, matches FROM d, (VALUES (0, 0, 65535, 'free', NULL, NULL), (0, 1, 0, 'used', 9, true), (1, 3, 0, 'used', 0, false), (1, 4, 1, 'free', NULL, NULL), (1, 60, 0, 'used', 0, false)) t(version, id, generation, kind, start, matches) WHERE version = 0 OR doc % 2 = 0""")
+@query("""WITH d AS (SELECT page_id AS doc FROM pages) SELECT doc, version, id, generation, kind, start::BIGINT AS start, matches FROM d, (VALUES (0, 0, 65535, 'free', NULL, NULL), (0, 1, 0, 'used', 9, true), (1, 3, 0, 'used', 0, false), (1, 4, 1, 'free', NULL, NULL), (1, 60, 0, 'used', 0, false)) t(version, id, generation, kind, start, matches) WHERE version = 0 OR doc % 2 = 0""")
 def pdf_entries(spark, sf_dir):
     """Cross-reference entries, and whether an object begins where one says."""
     return _id(pdf_layout.file_entries(written(spark, sf_dir)).drop("holder"))
 
 
-@query("""WITH d AS (SELECT page_id AS doc FROM pages) SELECT doc, 0 AS version, 1 AS root, 3 AS info, 2000 AS size, NULL AS prev, '0' || doc % 10 AS ident, false AS encrypted FROM d UNION ALL SELECT doc, 1, 1, NULL, 2001, 9, NULL, false FROM d WHERE doc % 2 = 0""")
+@query("""WITH d AS (SELECT page_id AS doc FROM pages) SELECT doc, 0 AS version, 1 AS root, 3 AS info, 2000 AS size, NULL::BIGINT AS prev, '0' || doc % 10 AS ident, false AS encrypted FROM d UNION ALL SELECT doc, 1, 1, NULL, 2001, 9, NULL, false FROM d WHERE doc % 2 = 0""")
 def pdf_trailers(spark, sf_dir):
     """What each version's trailer names."""
     t = pdf_layout.file_trailers(written(spark, sf_dir))
@@ -242,7 +242,7 @@ def pdf_suspicious(spark, sf_dir):
     return _id(s.withColumn("ids", F.array_join("ids", ",")).withColumn("cves", F.array_join("cves", ",")))
 
 
-@query(f"WITH {_OBJECTS} SELECT doc, version, count(*) AS objects, count(*) FILTER (kind = 'stream') AS streams, count(uri) AS uris, count(*) FILTER (id = 5) AS scripts, 0 AS errors, count(holder) AS compressed FROM o GROUP BY 1, 2")
+@query(f"WITH {_OBJECTS} SELECT doc, version, count(*) AS objects, count(*) FILTER (kind = 'stream') AS streams, count(uri) AS uris, count(*) FILTER (id = 5) AS scripts, 0::BIGINT AS errors, count(holder) AS compressed FROM o GROUP BY 1, 2")
 def pdf_stats(spark, sf_dir):
     """Counts of each version's objects, streams, URIs, scripts and errors."""
     return _id(P.stats(pdf.objects(written(spark, sf_dir))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import relational as R
@@ -147,16 +146,19 @@ def two_per_group(spark, sf_dir):
     return p.select("p_brand", F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"))
 
 
-@query("SELECT s_suppkey, ntile(7) OVER (ORDER BY md5(s_suppkey::VARCHAR || '|7'))::INT AS part FROM supplier")
+@query("SELECT l_orderkey, l_linenumber, ntile(7) OVER (ORDER BY md5(l_orderkey::VARCHAR || '|' || l_linenumber || '|7'), l_orderkey, l_linenumber)::INT AS part FROM lineitem")
 def ntile_assign(spark, sf_dir):
-    """Seven near-equal parts of a shuffled work list. One list is ordered as a whole, so this is for lists of work, not of data."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.ntile(7).over(Window.orderBy(R.draw(F.col("s_suppkey")))).alias("part"))
+    """Seven near-equal parts of a shuffled table, by numbers that ranges of the order are given in turn."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", R.draw(F.col("l_orderkey"), F.col("l_linenumber")).alias("draw"))
+    rows, total = R.numbered(d, ["draw", "l_orderkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", R.near_equal(F.col("row"), total, 7).alias("part"))
 
 
-@query("SELECT s_suppkey, 'agent' || ((row_number() OVER (ORDER BY s_suppkey) - 1) % 5) AS agent, ((row_number() OVER (ORDER BY s_suppkey) - 1) // 50)::BIGINT AS chunk FROM supplier")
+@query("SELECT o_orderkey, 'agent' || ((row_number() OVER (ORDER BY o_orderkey) - 1) % 5) AS agent, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 50)::BIGINT AS chunk FROM orders")
 def round_robin(spark, sf_dir):
-    n = F.row_number().over(Window.orderBy("s_suppkey")) - 1
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("agent"), (n % 5).cast("string")).alias("agent"), F.floor(n / 50).alias("chunk"))
+    """Workers in turn, and chunks of fifty, by a row's place in the order of keys."""
+    rows, _ = R.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return rows.select("o_orderkey", F.concat(F.lit("agent"), (F.col("row") % 5).cast("string")).alias("agent"), F.floor(F.col("row") / 50).alias("chunk"))
 
 
 @query("""WITH x AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR || '|7')) AS n, count(*) OVER (PARTITION BY label) AS c FROM embeddings)
@@ -164,9 +166,7 @@ SELECT vec_id, CASE WHEN c < 40 THEN 'test' WHEN n <= 20 THEN 'train' WHEN n <=
 def split_train_val_test(spark, sf_dir):
     """Fixed numbers of each class for training and validation, the rest for the test; small classes only for the test."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    w = Window.partitionBy("label")
-    n, c = F.row_number().over(w.orderBy(R.draw(F.col("vec_id")))), F.count("*").over(w)
-    return e.select("vec_id", F.when(c < 40, "test").when(n <= 20, "train").when(n <= 30, "val").otherwise("test").alias("split"))
+    return R.split_by_class(e, "label", [R.draw(F.col("vec_id"))], 20, 10, 40).select("vec_id", "split")
 
 
 @query("SELECT p_brand, p_partkey FROM part QUALIFY count(*) OVER (PARTITION BY p_brand) >= 10 AND row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR || '|7')) <= 30")

@@ -6,52 +6,60 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as X
 
-from .registry import literal, query, table, values_sql
+from .registry import query, table, values_sql
 
-_COMPONENTS = [(1, "WordPress 5.8.1"), (2, "jQuery 3.5.1 "), (3, "Moment.js"), (4, " PHP "), (5, None), (6, "Apache HTTP Server 2.4 ")]
-_CODES = [("200",), ("404 Not Found",), ("abc",), (None,), (" 301x",)]
-_LINES = [("15169 | 8.8.8.8 | 8.8.8.0/24 | US | arin | 1992-12-01 | GOOGLE, US",), ("3215 | 2.3.4.5 | 2.0.0.0/12 | FR | ripencc | | ORANGE, FR",)]
-_SIZES = [(8096,), (4143,), (2,), (1048576,), (5000000000,)]
+# Inputs are written by one expression that both engines evaluate, so they differ from row to row.
+_COMPONENT = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' ' || p_size || '.' || p_partkey % 9 || '.1' WHEN 1 THEN ' ' || p_name || ' ' WHEN 2 THEN p_name || ' ' || p_size || ' ' WHEN 3 THEN p_brand || '.js' END"
+_CODE = "CASE event_id % 5 WHEN 0 THEN '' || (200 + event_id % 300) WHEN 1 THEN (100 + event_id % 400) || ' ' || event_type WHEN 2 THEN event_type WHEN 3 THEN ' ' || (300 + event_id % 9) || 'x' END"
+_LINE = "(1000 + c_custkey) || ' | ' || CASE WHEN c_custkey % 4 <> 3 THEN '8.8.' || c_custkey % 256 || '.1' ELSE 'none' END || ' | 8.' || c_custkey % 256 || '.0.0/' || (7 + c_custkey % 10) || ' | ' || CASE c_custkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'FR' ELSE 'DEU' END || ' | ' || CASE c_custkey % 2 WHEN 0 THEN 'arin' ELSE 'ripencc' END || ' | ' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '19' || (80 + c_custkey % 20) || '-1-0' || (1 + c_custkey % 9) END || ' | ' || c_mktsegment || ', US'"
+_SIZE = "c_custkey * CASE c_custkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN 1000000000000 ELSE 7 END"
 
 
-@query(rf"""WITH t AS (SELECT * FROM {values_sql('t(id, raw)', _COMPONENTS)}) SELECT id, CASE WHEN regexp_matches(raw, '^(.*?) ((\d+[. ]?)+)') THEN regexp_extract(raw, '^(.*?) ((\d+[. ]?)+)', 1) ELSE trim(raw) END AS what, nullif(trim(regexp_extract(raw, '^(.*?) ((\d+[. ]?)+)', 2)), '') AS version FROM t""")
+@query(rf"""WITH t AS (SELECT p_partkey, {_COMPONENT} AS raw FROM part) SELECT p_partkey, CASE WHEN regexp_matches(raw, '^(.*?) ((\d+[. ]?)+)') THEN regexp_extract(raw, '^(.*?) ((\d+[. ]?)+)', 1) ELSE trim(raw) END AS what, nullif(trim(regexp_extract(raw, '^(.*?) ((\d+[. ]?)+)', 2)), '') AS version FROM t""")
 def component_versions(spark, sf_dir):
     v = X.component_version(F.col("raw"))
-    return literal(spark, "id int, raw string", _COMPONENTS).select("id", *[c.alias(n) for n, c in v.items()])
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_COMPONENT).alias("raw")).select("p_partkey", *[c.alias(n) for n, c in v.items()])
 
 
-@query(f"SELECT raw, coalesce(try_cast(raw AS INT), try_cast(substr(trim(raw), 1, 3) AS INT)) AS code FROM {values_sql('t(raw)', _CODES)}")
+@query(f"WITH t AS (SELECT event_id, {_CODE} AS raw FROM events) SELECT event_id, coalesce(try_cast(raw AS INT), try_cast(substr(trim(raw), 1, 3) AS INT)) AS code FROM t")
 def status_code(spark, sf_dir):
-    return literal(spark, "raw string", _CODES).select("raw", X.status_code(F.col("raw")).alias("code"))
+    return table(spark, sf_dir, "events").select("event_id", X.status_code(F.expr(_CODE)).alias("code"))
 
 
-@query(f"SELECT n, CASE WHEN n < 1024 THEN format('{{:.1f}}B', n::DOUBLE) WHEN n < 1048576 THEN format('{{:.1f}}KB', n / 1024) WHEN n < 1073741824 THEN format('{{:.1f}}MB', n / 1048576) ELSE format('{{:.1f}}GB', n / 1073741824) END AS size FROM {values_sql('t(n)', _SIZES)}")
+@query(f"WITH t AS (SELECT c_custkey, ({_SIZE})::BIGINT AS n FROM customer) SELECT c_custkey, CASE WHEN n < 1024 THEN format('{{:.1f}}B', n::DOUBLE) WHEN n < 1048576 THEN format('{{:.1f}}KB', n / 1024) WHEN n < 1073741824 THEN format('{{:.1f}}MB', n / 1048576) WHEN n < 1099511627776 THEN format('{{:.1f}}GB', n / 1073741824) WHEN n < 1125899906842624 THEN format('{{:.1f}}TB', n / 1099511627776) ELSE format('{{:.1f}}PB', n / 1125899906842624) END AS size FROM t")
 def human_size(spark, sf_dir):
-    return literal(spark, "n long", _SIZES).select(F.col("n").cast("long").alias("n"), X.human_size(F.col("n").cast("double")).alias("size"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.human_size(F.expr(_SIZE).cast("double")).alias("size"))
 
 
-@query(rf"""WITH t AS (SELECT line, list_transform(string_split(line, '|'), lambda x: trim(x)) AS a FROM {values_sql('t(line)', _LINES)}), u AS (SELECT a, a[:len(a) - 1] AS k FROM t)
-SELECT list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+$'))[-1] AS ip, list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+/\d\d$'))[-1] AS bgp_prefix, list_filter(k, lambda x: regexp_matches(x, '^[A-Z][A-Z]$'))[-1] AS cc, list_filter(k, lambda x: regexp_matches(x, '^[a-z]+$'))[-1] AS registry,
-  list_filter(k, lambda x: regexp_matches(x, '^\d{{4}}-\d\d-\d\d$'))[-1] AS allocated, list_filter(k, lambda x: regexp_matches(x, '^\d+$'))[-1] AS autonomous_sys, a[-1] AS as_name FROM u""")
+@query(rf"""WITH t AS (SELECT c_custkey, list_transform(string_split({_LINE}, '|'), lambda x: trim(x)) AS a FROM customer), u AS (SELECT c_custkey, a, a[:len(a) - 1] AS k FROM t)
+SELECT c_custkey, list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+$'))[-1] AS ip, list_filter(k, lambda x: regexp_matches(x, '^\d+\.\d+\.\d+\.\d+/\d\d$'))[-1] AS bgp_prefix, list_filter(k, lambda x: regexp_matches(x, '^[A-Z][A-Z]$'))[-1] AS cc, list_filter(k, lambda x: regexp_matches(x, '^[a-z]+$'))[-1] AS registry,
+  list_filter(k, lambda x: regexp_matches(x, '^\d{{4}}-\d\d?-\d\d?$'))[-1] AS allocated, list_filter(k, lambda x: regexp_matches(x, '^\d+$'))[-1] AS autonomous_sys, a[-1] AS as_name FROM u""")
 def registry_lines(spark, sf_dir):
-    return literal(spark, "line string", _LINES).select(*[c.alias(n) for n, c in X.registry_line(F.col("line")).items()])
+    return table(spark, sf_dir, "customer").select("c_custkey", *[c.alias(n) for n, c in X.registry_line(F.expr(_LINE)).items()])
 
 
-@query("SELECT 'HTTP/1.1 200 OK' AS line, '200' AS status, 'text/html' AS content_type, 'b c' AS x, 'a' AS capital, '' AS bare, 6 AS n")
+@query("""SELECT event_id, 'HTTP/1.1 ' || (200 + event_id % 300) || ' OK' AS line, '' || (200 + event_id % 300) AS status, 'text/' || event_type AS content_type, CASE WHEN event_id % 2 = 0 THEN 'b c' || event_id ELSE 'z' || event_id END AS x, 'a' || user_id AS capital, '' AS bare, 6 AS n FROM events""")
 def header_map(spark, sf_dir):
-    lines = F.array(*map(F.lit, ("HTTP/1.1 200 OK", "content-type: text/html", "x: z", "X: a", "x: b : c", "empty:")))
-    m = spark.range(1).select(X.headers(lines).alias("m"))
+    """Header lines as a map: repeated names, values with colons, a status line, and a name without a value."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    i, kind = F.col("event_id"), F.col("event_type")
+    lines = F.array(text("HTTP/1.1 ", 200 + i % 300, " OK"), text("content-type: text/", kind), text("x: z", i), text("X: a", F.col("user_id")), F.when(i % 2 == 0, text("x: b : c", i)).otherwise(text("x: z", i)), F.lit("empty:"))
+    m = table(spark, sf_dir, "events").select("event_id", X.headers(lines).alias("m"))
     at = lambda k, n: F.col("m")[k].alias(n)
-    return m.select(at("custom_codphish", "line"), at("status", "status"), at("content-type", "content_type"), at("x", "x"), at("X", "capital"), at("empty", "bare"), F.size("m").alias("n"))
+    return m.select("event_id", at("custom_codphish", "line"), at("status", "status"), at("content-type", "content_type"), at("x", "x"), at("X", "capital"), at("empty", "bare"), F.size("m").alias("n"))
 
 
-_BODIES = [(1, "/* Copyright (c) 2003-2012, CKSource */"), (2, "Copyright (C) 2003 - 2010 Frederico Caldeira Knabben. All rights reserved"), (3, "version:'4.5.11',revision:'de8f0'"), (4, "## CKEditor 4.7"), (5, "CKFinder.version = '2.3.1';CKFinder.revision = '3'"), (6, "<title> CKFinder 3.4 </title>"), (7, "### Version 3.1.2"), (8, '<h2 id="version1">Version 1.2</h2>'), (9, "@version 2.2 @package Fck @copyright 2003, 2009"), (10, 'window.FCKeditorAPI = { Version : "2.6", VersionBuild : "22"'), (11, "FCKeditorAPI.Version='2.6.3'"), (12, None), (13, "no mark")]
+_V = "(1 + event_id % 9) || '.' || event_id % 7"
+_MARKED = f"""CASE event_id % 13 WHEN 0 THEN '/* Copyright (c) 2003-20' || (10 + event_id % 10) || ', CKSource - Frederico Knabben. All rights reserved */' WHEN 1 THEN 'Copyright (C) 2003 - 20' || (10 + event_id % 10) || ' Frederico Caldeira Knabben. All' WHEN 2 THEN 'version:\"' || {_V} || '\",revision:\"r' || user_id || '\"' WHEN 3 THEN '## CKEditor ' || {_V}
+WHEN 4 THEN 'CKFinder.version = \"' || {_V} || '\";CKFinder.revision = \"3\"' WHEN 5 THEN '<title> CKFinder ' || {_V} || ' </title>' WHEN 6 THEN '### Version ' || {_V} WHEN 7 THEN '<h2 id=\"version1\">Version ' || {_V} || '</h2>' WHEN 8 THEN '@version ' || {_V} || ' @package Fck @copyright 2003, 20' || (10 + event_id % 10)
+WHEN 9 THEN 'window.FCKeditorAPI = {{ Version : \"' || {_V} || '\", VersionBuild : \"' || user_id || '\"' WHEN 10 THEN 'FCKeditorAPI.Version=' || {_V} WHEN 11 THEN event_type END""".replace("\n", " ")
 _BODY_MARKS = ", ".join("nullif(regexp_extract(replace(body, '\\', ''), '" + p.replace("'", "''") + f"', 0, 's'), '') AS {k}" for k, p in X.MARKS.items())
 
 
-@query(f"SELECT id, {_BODY_MARKS} FROM {values_sql('t(id, body)', _BODIES)}")
+@query(f"WITH t AS (SELECT event_id, {_MARKED} AS body FROM events) SELECT event_id, {_BODY_MARKS} FROM t")
 def release_marks(spark, sf_dir):
-    return literal(spark, "id int, body string", _BODIES).select("id", *[c.alias(k) for k, c in X.marks(F.col("body")).items()])
+    """Marks of releases in bodies of thirteen kinds, with their own versions and years."""
+    return table(spark, sf_dir, "events").select("event_id", F.expr(_MARKED).alias("body")).select("event_id", *[c.alias(k) for k, c in X.marks(F.col("body")).items()])
 
 
 @query("SELECT page_id, contains(lower(html), '&copy;') AS copyright, contains(lower(html), 'track(') AS tracked, contains(lower(html), '<form') AND contains(lower(html), 'password') AS asks, contains(lower(html), 'slims') AND (contains(lower(html), '<meta name=\"description\" content=\"') OR contains(lower(html), '<meta name=\"generator\" content=\"')) AS slims, contains(lower(html), '<title>e-learning madrasah') AS elearning FROM pages")
@@ -61,14 +69,34 @@ def ioc_flags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", low.contains("&copy;").alias("copyright"), low.contains("track(").alias("tracked"), (low.contains("<form") & low.contains("password")).alias("asks"), *[c.alias(n) for n, c in system.items()])
 
 
-_GRANTS = [(1, "AllUsers:READ,AllUsers:WRITE_ACP", '{"allUsersPermissions":["Read","WriteACP"]}', "AuthUsers: [], AllUsers: [Read, WriteACP]"), (2, "AuthenticatedUsers:FULL_CONTROL,AllUsers:READ_ACP", '{"authUsersPermissions":["FullControl"],"allUsersPermissions":["ReadACP"]}', "AuthUsers: [FullControl], AllUsers: [ReadACP]"), (3, "x:READ", "{}", "AuthUsers: [], AllUsers: []"), (4, None, "{}", "AuthUsers: [], AllUsers: []")]
+_RIGHT = "CASE {0} % 5 WHEN 0 THEN 'READ' WHEN 1 THEN 'WRITE' WHEN 2 THEN 'READ_ACP' WHEN 3 THEN 'WRITE_ACP' ELSE 'FULL_CONTROL' END"
+_GROUP = "CASE {0} % 3 WHEN 0 THEN 'AllUsers' WHEN 1 THEN 'AuthenticatedUsers' ELSE 'other' END"
+_GRANTS = f"CASE WHEN c_custkey % 17 <> 0 THEN {_GROUP.format('c_custkey')} || ':' || {_RIGHT.format('(c_custkey // 3)')} || ',' || {_GROUP.format('(c_custkey // 15)')} || ':' || {_RIGHT.format('(c_custkey // 45)')} END"
+_NAMES = "[['READ', 'Read'], ['WRITE', 'Write'], ['READ_ACP', 'ReadACP'], ['WRITE_ACP', 'WriteACP']]"
+_GIVEN = f"""t AS (SELECT c_custkey, {_GRANTS} AS g FROM customer), u AS (SELECT c_custkey, g, string_split(coalesce(g, ''), ',') AS l FROM t), v AS (SELECT c_custkey, g,
+CASE WHEN list_contains(l, 'AuthenticatedUsers:FULL_CONTROL') THEN ['FullControl'] ELSE list_transform(list_filter({_NAMES}, lambda n: list_contains(l, 'AuthenticatedUsers:' || n[1])), lambda n: n[2]) END AS auth,
+CASE WHEN list_contains(l, 'AllUsers:FULL_CONTROL') THEN ['FullControl'] ELSE list_transform(list_filter({_NAMES}, lambda n: list_contains(l, 'AllUsers:' || n[1])), lambda n: n[2]) END AS every FROM u)"""
 
 
-@query("SELECT * FROM " + values_sql("t(id, grants, report, line)", _GRANTS))
-def permission_reports(spark, sf_dir):
+def _granted(spark, sf_dir):
+    """c_custkey and permissions of access lists of up to two grants; some have no list."""
     entry = lambda x: F.struct(F.concat(F.lit("http://acs.amazonaws.com/groups/global/"), F.substring_index(x, ":", 1)).alias("uri"), F.substring_index(x, ":", -1).alias("permission"))
-    p = X.permissions(F.transform(F.split("grants", ","), entry))
-    return literal(spark, "id int, grants string", [g[:2] for g in _GRANTS]).select("id", "grants", X.permission_report(p).alias("report"), X.permission_line(p).alias("line"))
+    d = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_GRANTS.replace("//", "div")).alias("g"))
+    return d, X.permissions(F.transform(F.split("g", ","), entry))
+
+
+@query(f"""WITH {_GIVEN}, j AS (SELECT c_custkey, auth, every, '["' || array_to_string(auth, '","') || '"]' AS a, '["' || array_to_string(every, '","') || '"]' AS e FROM v)
+SELECT c_custkey, '{{' || CASE WHEN len(auth) > 0 THEN '"authUsersPermissions":' || a ELSE '' END || CASE WHEN len(auth) > 0 AND len(every) > 0 THEN ',' ELSE '' END || CASE WHEN len(every) > 0 THEN '"allUsersPermissions":' || e ELSE '' END || '}}' AS report, 'AuthUsers: [' || array_to_string(auth, ', ') || '], AllUsers: [' || array_to_string(every, ', ') || ']' AS line FROM j""")
+def permission_reports(spark, sf_dir):
+    d, p = _granted(spark, sf_dir)
+    return d.select("c_custkey", X.permission_report(p).alias("report"), X.permission_line(p).alias("line"))
+
+
+@query(f"""WITH {_GIVEN}, s AS (SELECT c_custkey, g IS NULL AS unknown, auth, every FROM v) SELECT c_custkey, {', '.join(f"CASE WHEN unknown THEN 'UNKNOWN' WHEN list_contains({side}, '{n}') OR list_contains({side}, 'FullControl') THEN 'ALLOWED' ELSE 'DENIED' END AS {group}_{n}" for side, group in (("every", "all"), ("auth", "auth")) for n in ("Read", "Write", "ReadACP", "WriteACP", "FullControl"))} FROM s""")
+def acl_permissions(spark, sf_dir):
+    """The ten flags of access lists: full control implies the rest, other groups give nothing, no list is unknown."""
+    d, p = _granted(spark, sf_dir)
+    return d.select("c_custkey", *[p[f"{group}{n}"].alias(f"{short}_{n}") for group, short in (("AllUsers", "all"), ("AuthUsers", "auth")) for n, _ in X.RIGHTS])
 
 
 @query("""SELECT event_id, CASE WHEN signed THEN 'UNKNOWN' ELSE v END AS all_read, CASE WHEN signed THEN v ELSE 'UNKNOWN' END AS auth_read FROM
@@ -89,21 +117,22 @@ def keyword_scan(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(hits).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query("SELECT regexp_extract(props, '\"k\":\\s*(\\d+)', 1)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+_LABELS = """'{"CMS": "Press ' || user_id || '.' || event_id % 5 || ',Other", "' || event_type || '": "' || CASE WHEN event_id % 3 = 0 THEN 'lib 1.' || event_id % 4 ELSE 'plain' END || '"}'"""
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, event_id % 7 <> 0 AS named FROM events), x AS (SELECT event_id, 'CMS' AS label, 'Press ' || user_id || '.' || event_id % 5 AS raw FROM e WHERE named UNION ALL SELECT event_id, 'CMS', 'Other' FROM e WHERE named UNION ALL SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 'lib 1.' || event_id % 4 ELSE 'plain' END FROM e WHERE named UNION ALL SELECT event_id, NULL, NULL FROM e WHERE NOT named)
+SELECT event_id, label, CASE WHEN regexp_matches(raw, '^(.*?) ((\\d+[. ]?)+)') THEN regexp_extract(raw, '^(.*?) ((\\d+[. ]?)+)', 1) ELSE trim(raw) END AS what, nullif(trim(regexp_extract(raw, '^(.*?) ((\\d+[. ]?)+)', 2)), '') AS version FROM x""")
 def props_unfold(spark, sf_dir):
-    """Key and value of JSON maps with an open set of keys."""
-    m = F.from_json("props", "map<string,bigint>")
-    return table(spark, sf_dir, "events").select(F.explode(m).alias("key", "k")).where("key = 'k'").groupBy("k").agg(F.count("*").alias("n"))
+    """Labels of detected maps, the components listed under each, and their versions; a page without labels has one row of nulls."""
+    body = F.when(F.col("event_id") % 7 != 0, F.expr(_LABELS)).otherwise("{}")
+    return X.unfold(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "body")
 
 
-@query("""SELECT * FROM (VALUES (1, 'ALLOWED', 'ALLOWED', 'DENIED'), (2, 'DENIED', 'DENIED', 'ALLOWED'), (3, 'DENIED', 'DENIED', 'DENIED'), (4, 'UNKNOWN', 'UNKNOWN', 'UNKNOWN')) t(id, all_read, all_full, auth_read)""")
-def acl_permissions(spark, sf_dir):
-    grant = lambda uri, right: F.array(F.struct(F.lit(uri).alias("uri"), F.lit(right).alias("permission")))
-    none = F.lit(None).cast("array<struct<uri:string,permission:string>>")
-    rows = [grant(X.ALL_USERS, "FULL_CONTROL"), grant(X.AUTH_USERS, "READ"), grant("asdfasdf", "READ"), none]
-    df = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("id"), g.alias("grants")) for i, g in enumerate(rows)])).alias("x")).select("x.*")
-    p = X.permissions(F.col("grants"))
-    return df.select("id", p["AllUsersRead"].alias("all_read"), p["AllUsersFullControl"].alias("all_full"), p["AuthUsersRead"].alias("auth_read"))
+@query("SELECT regexp_extract(props, '\"k\":\\s*(\\d+)', 1)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def props_counts(spark, sf_dir):
+    """How often each value of a JSON map's key occurs."""
+    m = F.from_json("props", "map<string,bigint>")
+    return table(spark, sf_dir, "events").groupBy(m["k"].alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -70,10 +70,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def suffix_kind(line: Column) -> dict[str, Column]:
-    """suffix and kind (exact, wildcard, punycode) of a line of a public suffix list; both null for comments."""
-    coded, wild = F.regexp_extract(line, r"^// (xn--\S+)", 1), line.rlike(r"^\*\.\S+$")
-    kind = F.when(coded != "", "punycode").when(wild, "wildcard").when(~line.startswith("// ") & (line != ""), "exact")
-    return {"suffix": F.when(coded != "", coded).when(wild, F.substring(line, 3, 1 << 20)).when(kind.isNotNull(), line), "kind": kind}
+    """suffix and kind (exact, wildcard, exception, punycode) of a line of a public suffix list; both null for comments."""
+    coded, wild, no = F.regexp_extract(line, r"^// (xn--\S+)", 1), line.rlike(r"^\*\.\S+$"), line.rlike(r"^!\S+$")
+    kind = F.when(coded != "", "punycode").when(wild, "wildcard").when(no, "exception").when(~line.startswith("//") & (line != ""), "exact")
+    cut = lambda n: F.substring(line, F.lit(n), F.length(line))
+    return {"suffix": F.when(coded != "", coded).when(wild, cut(3)).when(no, cut(2)).when(kind.isNotNull(), line), "kind": kind}
 
 
 def public_suffixes(spark: SparkSession, path: str) -> DataFrame:

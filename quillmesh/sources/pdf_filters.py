@@ -1,4 +1,4 @@
-"""Stream filters of PDF files: decoding, and the encodings that tests need."""
+"""Stream filters of PDF files: decoding and encoding."""
 
 from __future__ import annotations
 
@@ -120,3 +120,101 @@ def decode(data: bytes, names: list[str], parms: list[dict]) -> tuple[bytes, lis
         except Exception as e:
             return b"", [f"{name}: {e}"]
     return data, []
+
+
+def run_length_encode(data: bytes) -> bytes:
+    """Runs of two to 128 equal bytes as a count and the byte, all else as it is, then the end mark."""
+    out, plain = bytearray(), bytearray()
+
+    def flush():
+        for i in range(0, len(plain), 128):
+            part = plain[i : i + 128]
+            out.append(len(part) - 1)
+            out.extend(part)
+        plain.clear()
+
+    for m in re.finditer(rb"(?s)(.)\1*", data):
+        run = m.end() - m.start()
+        if run == 1:
+            plain += m[0]
+            continue
+        flush()
+        for n in [128] * (run // 128) + [run % 128] * (run % 128 > 0):
+            out.append(257 - n if n > 1 else 0)
+            out += m[1]
+    flush()
+    return bytes(out) + b"\x80"
+
+
+def lzw_encode(data: bytes, early: int = 1) -> bytes:
+    """Codes of 9 to 12 bits; the table is cleared before it is full."""
+    held, have, out = 0, 0, bytearray()
+    table, width, known = {}, 9, 0
+
+    def emit(code: int) -> None:
+        nonlocal held, have
+        held, have = held << width | code, have + width
+        while have >= 8:
+            have -= 8
+            out.append(held >> have & 255)
+        held &= (1 << have) - 1
+
+    def clear() -> None:
+        nonlocal table, width, known
+        emit(256)
+        table, width, known = {bytes([i]): i for i in range(256)}, 9, 257  # known: what a reader's table holds
+
+    clear()
+    word = b""
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        emit(table[word])
+        known += 1
+        table[longer] = len(table) + 2
+        if known + early >= 1 << width and width < 12:
+            width += 1
+        if len(table) + 2 >= 4094:
+            clear()
+        word = data[i : i + 1]
+    if word:
+        emit(table[word])
+        known += 1
+        if known + early >= 1 << width and width < 12:
+            width += 1
+    emit(257)
+    if have:
+        out.append(held << 8 - have & 255)
+    return bytes(out)
+
+
+def predict(data: bytes, columns: int, mode: int = 2) -> bytes:
+    """Rows of bytes with a PNG predictor: none, left (1) or above (2)."""
+    out, above = bytearray(), bytes(columns)
+    for at in range(0, len(data), columns):
+        row = data[at : at + columns]
+        out.append(mode)
+        other = bytes(columns) if mode == 0 else b"\0" + row[:-1] if mode == 1 else above
+        out += bytes(x - y & 255 for x, y in zip(row, other))
+        above = row.ljust(columns, b"\0")
+    return bytes(out)
+
+
+ENCODERS = {
+    "ASCIIHexDecode": lambda d: d.hex().encode() + b">",
+    "ASCII85Decode": lambda d: base64.a85encode(d) + b"~>",
+    "FlateDecode": zlib.compress,
+    "RunLengthDecode": run_length_encode,
+    "LZWDecode": lzw_encode,
+}
+
+
+def encode(data: bytes, names: list[str]) -> bytes:
+    """Data that decode() with these filters gives back."""
+    for name in reversed(names):
+        if name not in ENCODERS:
+            raise ValueError(f"filter not supported: {name}")
+        data = ENCODERS[name](data)
+    return data

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quillmesh.operators.storage import cut  # noqa: F401  (sets the shared folder up)
+from quillmesh.operators.storage import shared_root
 
 OUT = "user_id long, offline_count long, first_online timestamp_ntz, first_offline timestamp_ntz, last_updated timestamp_ntz, seen long"
 STATE = "offline_count long, first_online timestamp_ntz, first_offline timestamp_ntz, last_updated timestamp_ntz, seen long"
@@ -48,11 +48,7 @@ def run_to_end(spark: SparkSession, states: DataFrame, key: str = "user_id", ord
     """
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        cut(spark.range(1), "probe")
-        root = spark.conf.get("spark.checkpoint.dir")
-    at = f"{root.rstrip('/')}/quillmesh/stream-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
     q = states.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     q.awaitTermination()
     out = spark.read.schema(states.schema).parquet(f"{at}/out/batch=*")

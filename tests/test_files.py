@@ -88,3 +88,79 @@ def test_rings_are_dealt(spark):
     finally:
         resolve.RING = old
     assert len(got) > 360 and all(r.id % 2 == r.positive % 2 != r.negative % 2 and r.id != r.positive for r in got)
+
+
+def test_sinks(spark, tmp_path):
+    from quillmesh.sources import sinks
+
+    d = spark.range(5).selectExpr("id", "md5(cast(id AS string)) AS url_hash", "cast('x' AS binary) AS content")
+    for _ in range(2):
+        sinks.append(d, str(tmp_path / "added"))
+        sinks.dated(d, str(tmp_path / "copies"), "2024-01-15")
+    sinks.dated(d, str(tmp_path / "copies"), "2024-01-16")
+    assert spark.read.parquet(str(tmp_path / "added")).count() == 10 and spark.read.parquet(str(tmp_path / "copies")).count() == 10
+    sinks.bodies(d, str(tmp_path / "bodies"))
+    sinks.bodies(d.limit(2), str(tmp_path / "bodies"), rescan=True)
+    got = spark.read.parquet(str(tmp_path / "bodies"))
+    assert got.where("rescan = 1").count() == 2 and got.where("rescan = 0 and path = concat_ws('/', substr(url_hash, 1, 2), substr(url_hash, 3, 2), substr(url_hash, 5, 2), substr(url_hash, 7, 2), '')").count() == 5
+    objects = spark.createDataFrame([("a", 0, 1, [2, 3]), ("a", 1, 2, [])], "path string, version int, id int, refs array<int>")
+    sinks.dump(objects, str(tmp_path / "dump"))
+    assert sorted((r.version, r.src, r.dst) for r in spark.read.parquet(str(tmp_path / "dump" / "references")).collect()) == [(0, 1, 2), (0, 1, 3)]
+
+
+def test_queue(spark, tmp_path):
+    from quillmesh.sources import sinks
+
+    q = sinks.Queue(spark, str(tmp_path / "queue"), "url string, first boolean", ["url"])
+    items = spark.createDataFrame([("a", True), ("b", False), ("b", False), ("c", True)], "url string, first boolean")
+    assert q.count() == 0
+    q.push(items)
+    q.push(items)
+    assert q.count() == 3
+    shares = [{r.url for r in q.take(2, k).collect()} for k in range(2)]
+    assert shares[0] | shares[1] == {"a", "b", "c"} and not shares[0] & shares[1]
+    q.done(items.where("url = 'b'"))
+    assert {r.url for r in q.waiting().collect()} == {"a", "c"}
+    q.clean()
+    assert q.count() == 0
+
+
+def test_saving_and_polling(spark, tmp_path):
+    from quillmesh.sources import sinks
+
+    d, calls = spark.range(3), []
+
+    def broken(df, times):
+        calls.append(1)
+        if len(calls) <= times:
+            raise OSError("no space")
+        df.write.parquet(str(tmp_path / "good"))
+
+    assert sinks.save(d, lambda df: broken(df, 2), str(tmp_path / "aside")) and len(calls) == 3
+    calls.clear()
+    assert not sinks.save(d, lambda df: broken(df, 9), str(tmp_path / "aside")) and len(calls) == 3
+    assert {r.error for r in spark.read.parquet(str(tmp_path / "aside")).collect()} == {"no space"}
+    found, waits = iter([2, 0, 0, 3, 0, 0, 0]), []
+    assert sinks.poll(lambda: next(found), sleep=waits.append) == 5 and waits == [2, 4, 2, 4]
+
+
+def test_two_passes(spark):
+    from pyspark.sql import functions as F
+
+    from quillmesh.sources import sinks
+
+    direct = spark.createDataFrame([(1, "x"), (2, None), (3, None)], "k int, r string")
+    again = spark.createDataFrame([(1, "no"), (2, "y")], "k int, r string")
+    assert sorted(map(tuple, sinks.two_pass(direct, again, ["k"], F.col("r").isNotNull()).collect()), key=str) == [(1, "x"), (2, "y"), (3, None)]
+
+
+def test_jdbc(spark, tmp_path):
+    from quillmesh.sources import sinks
+
+    url = f"jdbc:derby:{tmp_path}/base;create=true"
+    d = spark.range(100).selectExpr("id AS k", "concat('v', id) AS v")
+    sinks.write_jdbc(d, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    sinks.write_jdbc(d.limit(1), url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = sinks.read_jdbc(spark, url, "things", "k", parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 101 and got.selectExpr("sum(K)").first()[0] == 4950
+    assert sinks.read_jdbc(spark, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 101
