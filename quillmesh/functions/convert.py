@@ -40,7 +40,10 @@ CONTROLS = (("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "
 
 
 def string_escape(text: Column) -> Column:
-    """A PDF string's brackets, backslashes that begin no octal code, and control characters escaped; what is escaped stays."""
+    """A PDF string's brackets, backslashes that begin no octal code, and control characters escaped.
+
+    What follows a backslash stays as it is.
+    """
     out = F.regexp_replace(text, r"(?<!\\)(?:[()]|\\(?![0-7]))", r"\\$0")
     for plain, written in CONTROLS:
         out = F.replace(out, F.lit(plain), F.lit(written))

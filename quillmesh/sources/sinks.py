@@ -80,7 +80,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     read = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=rows, **options)
     if key is None:
         return read.load()
-    low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({key}) AS low, max({key}) AS high FROM {table}", **options).load().first()
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({name}) AS low, max({name}) AS high FROM {table}", **options).load().first()
     if low is None:
         return read.load()
     return read.options(partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts).load()

@@ -162,5 +162,5 @@ def test_jdbc(spark, tmp_path):
     sinks.write_jdbc(d, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     sinks.write_jdbc(d.limit(1), url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     got = sinks.read_jdbc(spark, url, "things", "k", parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    assert got.rdd.getNumPartitions() == 4 and got.count() == 101 and got.selectExpr("sum(K)").first()[0] == 4950
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 101 and got.selectExpr("sum(k)").first()[0] == 4950
     assert sinks.read_jdbc(spark, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 101

@@ -76,7 +76,7 @@ def test_conversions(spark):
     names = ["/A B", "Name1", "/é"]
     coded = column(spark, names, "string", K.name_encode)
     assert coded == ["/#41#20#42", "/#4e#61#6d#65#31", "/#e9"] and column(spark, coded, "string", K.name_decode) == ["/A B", "/Name1", "/é"]
-    assert column(spark, ["a(b)", "\\101 \\x", "a\\(b", "x\n\t", None], "string", K.string_escape) == ["a\\(b\\)", "\\101 \\\\x", "a\\(b", "x\\n\\t", None]
+    assert column(spark, ["a(b)", "\\101 \\x", "a\\(b", "x\n\t", None], "string", K.string_escape) == ["a\\(b\\)", "\\101 \\\\x", "a\\\\(b", "x\\n\\t", None]
     plain = ["Ab é", "", None]
     octal = column(spark, plain, "string", K.octal_encode)
     assert octal == ["\\101\\142\\040\\351", "", None] and column(spark, octal, "string", K.octal_decode) == plain
