@@ -52,9 +52,8 @@ def string_escape(text: Column) -> Column:
 
 def octal_encode(text: Column) -> Column:
     """Every byte of a Latin-1 text as a backslash and three octal digits."""
-    code = F.hex(F.encode(text, "ISO-8859-1"))
-    one = lambda i: F.concat(F.lit("\\"), F.lpad(F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 8), 3, "0"))
-    return F.when(F.length(code) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(code) / 2 - 1), lambda i: one(i.cast("int"))), "")).otherwise(code)
+    each = F.regexp_extract_all(F.hex(F.encode(text, "ISO-8859-1")), F.lit("(..)"), F.lit(1))
+    return F.array_join(F.transform(each, lambda x: F.concat(F.lit("\\"), F.lpad(F.conv(x, 16, 8), 3, "0"))), "")
 
 
 def octal_decode(text: Column) -> Column:
