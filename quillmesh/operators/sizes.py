@@ -9,15 +9,23 @@ from pyspark.sql import types as T
 ROWS, BYTES = 500_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows and bytes (strings by their length, arrays by eight bytes an
-    element, others as eight), else df as it is, for a join that shuffles.
-    """
-    def width(f: T.StructField):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(c), F.lit(0))
-        return F.coalesce(8 * F.size(c), F.lit(0)) if isinstance(f.dataType, T.ArrayType) else F.lit(8)
+def width(field: T.StructField):
+    """About the bytes of a column's value: strings by their length, arrays by their elements, others as eight."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16) if isinstance(kind.elementType, T.StringType) else 8 * F.size(c)
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(8)
+
 
+def is_small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> bool:
+    """Whether a count of df's rows and bytes is within the limits."""
     n, total = df.agg(F.count("*"), F.sum(sum((width(f).cast("long") for f in df.schema.fields), F.lit(0)))).first()
-    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+    return n <= rows and (total or 0) <= size
+
+
+def small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small, else df as it is, for a join that shuffles."""
+    return F.broadcast(df) if is_small(df, rows, size) else df

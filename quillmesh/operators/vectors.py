@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
 from .storage import cut
 
 #: Vectors in a block of the range join.
@@ -36,30 +38,52 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Principal axes by which the range join lays its cells.
+AXES = 2
+
+
 def range_join(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """Pairs a < b of keys whose vectors are within eps, by blocks: each pair of blocks is a matrix product in one task.
+    """Pairs a < b of keys whose vectors are within eps.
 
-    Blocks grow with the table, so groups have a fixed size; only pairs within eps leave a task.
+    Vectors are laid into cells as wide as eps along their principal axes: a pair within eps is in one cell or in two that
+    touch, so all others never meet. A cell's vectors are dealt into blocks, and two blocks that may hold a pair are a
+    matrix product in one task; groups have a fixed size and only pairs within eps leave a task. Where eps is as wide as the
+    data, all are in one cell and every two blocks meet.
     """
-    n = df.count()
-    blocks = max(1, -(-n // BLOCK))
-    v = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    pair = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = v.select("k", "v", "block", F.explode(pair).alias("p")).select("k", "v", "block", "p.i", "p.j")
+    v = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    kind = df.schema[key].dataType.simpleString()
+    if not v.limit(1).count():
+        return v.select(F.col("k").cast("long").alias("a"), F.col("k").cast("long").alias("b"), F.lit(0.0).alias("distance"))
+    mean, axes = principal_axes(v, "v", AXES)
+    names = [f"x{i}" for i in range(len(axes))]
+    placed = cut(projected(v, "v", mean, axes, names), "placed")
+    low = placed.agg(*[F.min(n).alias(n) for n in names]).first()
+    width = eps * (1 + 1e-9) + 1e-12
+    placed = placed.select("k", "v", F.array(*[F.floor((F.col(n) - F.lit(low[n])) / F.lit(width)) for n in names]).alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = cut(sizes, "cells")
+    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in step]) for step in itertools.product((-1, 0, 1), repeat=len(names))])
+    own = placed.join(small(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")
+    # a vector goes to each block that touches its own, its own included
+    beside = own.select("k", "v", "cell", "block", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda x, y: x + y))).alias("other"))
+    met = beside.join(small(sizes.select(F.col("cell").alias("other"), "blocks")), "other").select("k", "v", F.struct("cell", "block").alias("me"), "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    it = F.struct(F.col("other").alias("cell"), F.col("j").alias("block"))
+    dealt = met.select("k", "v", (F.col("me") <= it).alias("first"), (F.col("me") == it).alias("same"), F.least("me", it).alias("i"), F.greatest("me", it).alias("j"))
 
     def near(t: pa.Table) -> pa.Table:
-        k, block = t["k"].to_numpy(), t["block"].to_numpy()
+        k, same, first = t["k"].to_numpy(), t["same"][0].as_py(), t["first"].to_numpy()
         m = t["v"].combine_chunks().flatten().to_numpy().reshape(len(k), -1)
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = (np.arange(len(k)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
         square = (m * m).sum(axis=1)
         d2 = square[left][:, None] + square[right][None, :] - 2 * m[left] @ m[right].T
         x, y = np.nonzero(d2 <= eps * eps + 1e-9)
         a, b = k[left[x]], k[right[y]]
         d = np.sqrt(((m[left[x]] - m[right[y]]) ** 2).sum(axis=1))
-        ok = (d <= eps) & ((a < b) if i == j else (a != b))
-        return pa.table({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "distance": d[ok]})
+        ok = (d <= eps) & ((a < b) if same else (a != b))
+        return pa.table({"a": np.minimum(a, b)[ok].astype(np.int64), "b": np.maximum(a, b)[ok].astype(np.int64), "distance": d[ok]})
 
+    if kind not in ("int", "bigint", "smallint", "tinyint"):
+        raise TypeError(f"keys must be numbers: {kind}")
     return dealt.groupBy("i", "j").applyInArrow(near, "a long, b long, distance double")
 
 

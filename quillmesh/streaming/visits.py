@@ -21,19 +21,24 @@ def fold(key, frames, state):
 
     count, online, offline, updated, seen = state.get if state.exists else (0, None, None, None, 0)
     visits = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for ts, failed in zip((t.to_pydatetime() for t in visits["ts"]), visits["failed"]):
-        if failed:
-            count, offline = count + 1, offline or ts
-        else:
-            count, offline, online = 0, None, online or ts
-        updated = ts
+    failed, ts = visits["failed"].to_numpy(bool), visits["ts"]
+    reached = (~failed).nonzero()[0]
+    if len(reached):  # what failed before the last success counts no more
+        online, count, offline = online or ts.iloc[reached[0]].to_pydatetime(), 0, None
+    rest = ts.iloc[reached[-1] + 1 :] if len(reached) else ts
+    if len(rest):
+        count, offline = count + len(rest), offline or rest.iloc[0].to_pydatetime()
+    updated = ts.iloc[-1].to_pydatetime()
     seen += len(visits)
     state.update((count, online, offline, updated, seen))
     yield pd.DataFrame({"user_id": [key[0]], "offline_count": [count], "first_online": pd.Series([online], dtype="datetime64[us]"), "first_offline": pd.Series([offline], dtype="datetime64[us]"), "last_updated": pd.Series([updated], dtype="datetime64[us]"), "seen": [seen]})
 
 
 def visit_states(visits: DataFrame) -> DataFrame:
-    """A stream of states from a stream (user_id, ts, event_id, failed)."""
+    """A stream of states from a stream (user_id, ts, event_id, failed).
+
+    A state is a few numbers a key and is kept as long as the stream: a key that is visited again goes on from it.
+    """
     return visits.groupBy("user_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -109,3 +109,19 @@ def test_encoders():
     assert pdf_filters.encode(b"x", ["ASCII85Decode"]) == base64.a85encode(b"x") + b"~>"
     with pytest.raises(ValueError):
         pdf_filters.encode(b"x", ["Nope"])
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_range_join(spark, monkeypatch, block):
+    """Blobs far apart, a line across many cells, repeated vectors and a null, with cells of several blocks."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    r = np.random.default_rng(3)
+    m = np.concatenate([r.normal(c, 0.05, (25, 4)) for c in (0, 3, -5)] + [np.linspace(-8, 8, 40)[:, None] * np.array([1, 0.5, 0, 0]), np.zeros((3, 4))])
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(m)] + [(999, None)]
+    d = spark.createDataFrame(rows, "id int, v array<double>")
+    for eps in (0.1, 0.5, 30.0):
+        far = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+        want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if far[i, j] <= eps}
+        got = V.range_join(d, "id", "v", eps).collect()
+        assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
+    assert V.range_join(d.limit(0), "id", "v", 1.0).count() == 0
