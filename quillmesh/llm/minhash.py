@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.operators.vectors import components
+
 from .batches import by_value, chunks, per_process, raw, small_batches
 from .store import materialise, maybe_broadcast
 
@@ -184,26 +186,6 @@ def link_batches(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label, the least node that links lead to, for every node in links (a, b).
-
-    Labels take the least label of their neighbours, then the label of their label, until nothing changes; each round
-    is written, so a lost executor costs at most one round.
-    """
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    edges = materialise(edges, "edges")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = materialise(stepped.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was"), "labels")
-        changed = new.where(F.col("label") != F.col("was")).limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough on their whole sets."""
     pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")

@@ -1,63 +1,21 @@
-"""Intermediate tables in shared storage, and size checks before broadcasts."""
+"""Intermediate tables in shared storage, and size checks before broadcasts; both are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: A side is broadcast only if it has at most this many rows and bytes.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local session
-    gets a folder of its own; on a cluster that is an error, since no other machine would see it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = f"file://{tempfile.mkdtemp(prefix='quillmesh-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from quillmesh.operators.sizes import is_small, small
+from quillmesh.operators.storage import cut
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it again: lineage ends here and lost executors lose nothing.
-
-    The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to shared storage and read it again: lineage ends here and lost executors lose nothing."""
+    return cut(df, name)
 
 
-def width(field: T.StructField):
-    """About the bytes of a column's value."""
-    c, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        inner = F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16) if isinstance(kind.elementType, T.StringType) else 8 * F.size(c)
-        return F.coalesce(inner, F.lit(0)) + 16
-    return F.lit(8)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a count of df's rows and bytes is within the limits."""
-    n, total = df.agg(F.count("*"), F.sum(sum((width(f).cast("long") for f in df.schema.fields), F.lit(0)))).first()
-    return n <= rows and (total or 0) <= size
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count of its rows and bytes shows that it is small, else df as it is."""
+    return small(df)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if a count of its rows and bytes shows that it is small, else df as it is."""
-    return F.broadcast(df) if is_small(df, rows, size) else df
+__all__ = ["is_small", "materialise", "maybe_broadcast"]
