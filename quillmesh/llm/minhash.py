@@ -38,7 +38,7 @@ BLOCK = 512
 BLOCK_SHINGLES = 1 << 21
 
 #: Bytes of text hashed at a time; numpy needs some fifty times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 M = np.uint64(0x9E3779B97F4A7C15 | 1)
 M_INVERSE = np.uint64(pow(int(M), -1, 1 << 64))
 STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
