@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The call that ends a packed script: template, base, count and the words, split at bars.
 PACKED = re.compile(r"}\s*\(\s*'((?:[^'\\]|\\.)*)'\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*'((?:[^'\\]|\\.)*)'\s*\.split\(\s*'\|'\s*\)", re.S)
 HEAD = re.compile(r"eval\s*\(\s*function\s*\(\s*p\s*,\s*a\s*,\s*c\s*,\s*k\s*,\s*[er]")
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ROUNDS = 8
+#: Layers that are taken off unless a caller asks for more.
+ROUNDS = 64
 
 
 def number(word: str, base: int) -> int | None:
@@ -30,9 +30,9 @@ def number(word: str, base: int) -> int | None:
     return n
 
 
-def unpacked(script: str | None) -> str | None:
-    """A script with its layers of packing taken off, at most ROUNDS; others come back as they are."""
-    for _ in range(ROUNDS):
+def unpacked(script: str | None, rounds: int = ROUNDS) -> str | None:
+    """A script with its layers of packing taken off; others come back as they are. More layers than rounds are an error."""
+    for _ in range(rounds + 1):
         if not script:
             return script
         m = PACKED.search(script) if HEAD.search(script) else None
@@ -53,12 +53,19 @@ def unpacked(script: str | None) -> str | None:
         if plain == script:
             return script
         script = plain
-    return script
+    raise ValueError(f"more than {rounds} layers")
 
 
-def unpack(script: Column) -> Column:
-    """unpacked() over Arrow batches."""
-    run = F.pandas_udf(lambda s: pd.Series([unpacked(x) for x in s], index=s.index, dtype=object), T.StringType())
+def unpack(script: Column, rounds: int = ROUNDS) -> Column:
+    """script and whole of unpacked() over Arrow batches; where there are more layers, script is as it was and not whole."""
+
+    def one(text):
+        try:
+            return unpacked(text, rounds), True
+        except ValueError:
+            return text, False
+
+    run = F.pandas_udf(lambda s: pd.DataFrame([one(x) for x in s], columns=["script", "whole"], index=s.index), "script string, whole boolean")
     return run(script)
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import convert as K
 from quillmesh.functions import predicates as P
+from quillmesh.functions import scripts as S
 from quillmesh.functions import text as X
+from quillmesh.functions import unpack
 from quillmesh.functions import url as U
 from quillmesh.operators import hosts as H
 from quillmesh.operators import relational as R
 from quillmesh.operators import resolve as C
 from quillmesh.operators import vectors as V
-from quillmesh.sources import pdf_filters, sinks
+from quillmesh.sources import files, pdf_filters, sinks
 
 from .more_queries import _clusters
 from .registry import query, table
@@ -345,3 +347,94 @@ def array_superset(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (every[0] | every[1] | every[2]).alias("covered"))
 
 
+
+
+def _escaped_script(i, url):
+    """A script that hides a URL in wide escapes behind many others, in one string or in two variables."""
+    pairs = F.regexp_extract_all(F.hex(url.cast("binary")), F.lit("(..)(..)"), F.lit(0))
+    wide = F.array_join(F.transform(pairs, lambda x: F.concat(F.lit("%u"), F.substring(x, 3, 2), F.substring(x, 1, 2))), "")
+    whole = F.concat(F.lit('var s = unescape("'), F.lit("%u9090" * 40), wide, F.lit('");'))
+    split = F.concat(F.lit("var a = '" + "%u9090" * 40 + "'; var b = '"), wide, F.lit("'; var s = unescape(a + b);"))
+    return F.when(i % 3 == 0, whole).when(i % 3 == 1, split).otherwise('var s = unescape("%u7468%u7074");')
+
+
+@query("SELECT page_id, url || repeat('/', (length(url) % 2)::INT) AS url FROM pages WHERE page_id % 3 <> 2")
+def script_urls(spark, sf_dir):
+    """URLs in long escaped strings of scripts, whose variables are followed."""
+    even = F.concat("url", F.when(F.length("url") % 2 == 1, "/").otherwise(""))
+    d = table(spark, sf_dir, "pages").select("page_id", _escaped_script(F.col("page_id"), even).alias("code"))
+    return d.select("page_id", F.explode(S.hidden_urls(F.col("code"))).alias("url"))
+
+
+@query("SELECT c_custkey, 'var x=' || chr(39) || c_name || chr(39) || ';alert(x)' AS script, true AS whole FROM customer")
+def unpacked_scripts(spark, sf_dir):
+    """Packed scripts made readable: a template in base 62, and percent encoding around it in every second one."""
+    packed = F.concat(F.lit("eval(function(p,a,c,k,e,d){while(c--){p=p.replace(c,k[c])}return p}('0 1=\\'2\\';3(1)',62,4,'var|x|"), F.col("c_name"), F.lit("|alert'.split('|'),0,{}))"))
+    coded = F.url_encode(packed)
+    coded = F.replace(coded, F.lit("+"), F.lit("%20"))
+    d = table(spark, sf_dir, "customer").select("c_custkey", unpack.unpack(F.when(F.col("c_custkey") % 2 == 0, packed).otherwise(coded)).alias("u"))
+    return d.select("c_custkey", "u.script", "u.whole")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 3) ** 2)) ** 0.5 / 3, 4) AS length, 1.0::DOUBLE AS unit FROM embeddings")
+def unit_vectors(spark, sf_dir):
+    """Lengths of vectors, and of the same three times as long brought to unit length."""
+    long = F.transform("embedding", lambda x: x.cast("double") * 3)
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(size(F.col("embedding")), 4).alias("length"), F.round(size(V.normalise(long)), 6).alias("unit"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id // 64 AS batch FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, a.v AS av, a.label, a.batch, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.id < b.id),
+l AS (SELECT p.a, p.b, n.id, p.d - list_distance(p.av, n.v) ** 2 + 0.2 AS loss FROM p JOIN e n ON n.batch = p.batch AND n.label <> p.label)
+SELECT count(*) AS triplets, round(sum(loss), 3) AS loss FROM l WHERE loss > 0""")
+def all_triplets(spark, sf_dir):
+    """Every triplet of a training batch whose loss is above zero."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", F.floor(F.col("vec_id") / 64).alias("batch"))
+    return C.mine_triplets(e, 0.2, "all").where("negative IS NOT NULL").agg(F.count("*").alias("triplets"), F.round(F.sum("loss"), 3).alias("loss"))
+
+
+@query("SELECT page_id, member, md5(url || '|' || member) AS body FROM pages, (SELECT unnest(['job.json', 'bodies.zip/body.txt', 'log.json']) AS member)")
+def archive_members(spark, sf_dir):
+    """Members of zip archives made of pages, one of them an archive itself and one packed by gzip."""
+    import gzip
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def made(url, i):
+        text = lambda member: f"{url}|{member}".encode()
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as z:
+            z.writestr("body.txt", text("bodies.zip/body.txt"))
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("job.json", text("job.json"))
+            z.writestr("bodies.zip", inner.getvalue())
+            z.writestr("log.json.gz", gzip.compress(text("log.json")))
+        return {"path": str(i), "content": outer.getvalue()}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([made(u, i) for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    zips = table(spark, sf_dir, "pages").select("page_id", "url").mapInArrow(run, "path string, content binary")
+    found = files.archive_members(zips).where("error IS NULL")
+    return found.select(F.col("path").cast("long").alias("page_id"), "member", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS line, 2 AS copies FROM nation")
+def files_round_trip(spark, sf_dir):
+    """Lines and dated copies, written to the shared folder and read again."""
+    import uuid
+
+    from quillmesh.operators.storage import shared_root
+
+    root = f"{shared_root(spark)}/quillmesh/files-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n.select(F.concat_ws(" ", F.lit(""), F.col("n_nationkey").cast("string"), F.upper("n_name"), F.lit("")).alias("value")).write.text(f"{root}/lines")
+    for day in ("2024-01-14", "2024-01-15", "2024-01-15"):
+        sinks.dated(n, f"{root}/copies", day)
+    parts = F.split("line", " ", 2)
+    lines = files.lines(spark, f"{root}/lines").select(parts[0].cast("int").alias("n_nationkey"), parts[1].alias("line"))
+    copies = spark.read.parquet(f"{root}/copies").groupBy("n_nationkey").agg(F.count("*").cast("int").alias("copies"))
+    return lines.join(copies, "n_nationkey")

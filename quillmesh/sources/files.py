@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "path string, member string, body string, error string"
-#: Archives within archives are opened to this depth; deeper ones are rows with an error.
-DEPTH = 4
+#: Archives within archives are opened to this depth unless a reader asks for another; deeper ones are rows that say so.
+DEPTH = 16
 
 
-def members(name: str, content: bytes, depth: int = 0):
-    """(name, text, error) of an archive's members one at a time, those of inner archives under outer/inner; .gz members unpacked."""
+def members(name: str, content: bytes, depth: int = DEPTH):
+    """(name, text, error) of an archive's members one at a time, those of inner archives under outer/inner; .gz members unpacked.
+
+    depth: archives within each other that are opened; one beyond is a row with the error "nested too deep".
+    """
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except Exception as e:
@@ -31,8 +34,8 @@ def members(name: str, content: bytes, depth: int = 0):
         try:
             data = archive.read(info)
             if inner.endswith(".zip"):
-                if depth + 1 < DEPTH:
-                    yield from members(inner, data, depth + 1)
+                if depth > 1:
+                    yield from members(inner, data, depth - 1)
                 else:
                     yield inner, None, "nested too deep"
                 continue
@@ -43,18 +46,23 @@ def members(name: str, content: bytes, depth: int = 0):
             yield inner, None, str(e)
 
 
-def member_batches(batches):
+def archive_members(zips: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """path, member, body and error of all files in archives (path, content); a damaged archive is one row with its error."""
     schema = pa.schema([(n, pa.string()) for n in ("path", "member", "body", "error")])
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for name, body, error in members("", content or b""):
-                yield pa.RecordBatch.from_pylist([{"path": path, "member": name, "body": body, "error": error}], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for name, body, error in members("", content or b"", depth):
+                    yield pa.RecordBatch.from_pylist([{"path": path, "member": name, "body": body, "error": error}], schema=schema)
+
+    return zips.select("path", "content").mapInArrow(run, MEMBERS)
 
 
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """path, member, body and error of all files in the .zip files below a folder; a damaged archive is one row with its error."""
+def archives(spark: SparkSession, folder: str, depth: int = DEPTH) -> DataFrame:
+    """archive_members() of the .zip files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
-    return found.select("path", "content").mapInArrow(member_batches, MEMBERS)
+    return archive_members(found, depth)
 
 
 def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

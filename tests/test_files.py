@@ -38,7 +38,8 @@ def test_nested_too_deep():
     data = packed(x_txt="x")
     for _ in range(6):
         data = packed(in_zip=data)
-    assert [e for _, _, e in files.members("", data)] == ["nested too deep"]
+    assert [(b, e) for _, b, e in files.members("", data)] == [("x", None)]
+    assert [e for _, _, e in files.members("", data, 6)] == ["nested too deep"] and [b for _, b, _ in files.members("", data, 7)] == ["x"]
 
 
 def test_lists_and_folders(spark, tmp_path):
@@ -76,7 +77,20 @@ def test_unpack(spark):
     assert [unpack.unpacked(x) for x in (None, "", "plain", "eval(function(p,a,c,k,e,d){}('0',99,1,'a'.split('|'))")] == [None, "", "plain", "eval(function(p,a,c,k,e,d){}('0',99,1,'a'.split('|'))"]
     assert [unpack.number(x, b) for x, b in (("10", 36), ("Z", 62), ("Z", 36))] == [36, 61, None]
     d = spark.createDataFrame([(1, packed_script), (2, None)], "id int, s string")
-    assert {r.id: r.s for r in d.select("id", unpack.unpack(d.s).alias("s")).collect()} == {1: "var x='hi';alert(x)", 2: None}
+    assert {r.id: tuple(r.s) for r in d.select("id", unpack.unpack(d.s).alias("s")).collect()} == {1: ("var x='hi';alert(x)", True), 2: (None, True)}
+    assert [tuple(r.s) for r in d.where("id = 1").select(unpack.unpack(d.s, 0).alias("s")).collect()] == [(packed_script, False)]
+
+
+def test_urls_in_scripts():
+    from quillmesh.functions import scripts
+
+    wide = lambda t: "".join(f"%u{ord(b):02x}{ord(a):02X}" for a, b in zip(t[::2], t[1::2]))
+    fill, url = "%u9090" * 30, "https://a.org/x.exe?1"
+    url += "" if len(url) % 2 == 0 else "2"
+    assert scripts.found(f'var s = unescape("{fill}{wide(url)}"); t=unescape("{wide(url)}")') == [url]
+    assert scripts.found(f"x='{fill}', y = \"{wide(url)}\"; s = unescape(x\n+ y); r=unescape(x+y)") == [url]
+    assert scripts.found("a = a + b; s = unescape(a)") == scripts.found(None) == scripts.found("") == []
+    assert scripts.plain_bytes("%41b%zz") == b"A\0b\0%\0z\0z\0" and scripts.plain_bytes("plain") == b"plain"
 
 
 def test_rings_are_dealt(spark):
