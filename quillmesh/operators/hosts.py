@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizes import small
+from .sizes import BYTES, ROWS, small
 
 
 def host_of(netloc: Column) -> Column:
@@ -27,12 +27,14 @@ def with_suffix(df: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     """
     rules = suffixes.where("suffix IS NOT NULL AND suffix <> ''").select("suffix", F.size(F.split("suffix", r"\.")).alias("n"), "kind")
     by = rules.groupBy("suffix", "n").agg(*[F.bool_or(F.col("kind").isin(*kinds)).alias(name) for name, kinds in (("_plain", ("exact", "punycode")), ("_wild", ("wildcard",)), ("_not", ("exception",)))])
-    depth = by.agg(F.max("n")).first()[0] or 0  # labels of the longest rule, a handful
+    count, size, depth = by.agg(F.count("*"), F.sum(F.octet_length("suffix") + 32), F.max("n")).first()
+    depth = depth or 0  # labels of the longest rule, a handful
+    hint = F.broadcast if count <= ROWS and (size or 0) <= BYTES else lambda side: side
     out = df.withColumn("_labels", F.split(F.col(host), r"\."))
     n = F.size("_labels")
     found, exceptions = [], []
     for k in range(1, depth + 1):
-        side = small(by.where(F.col("n") == k).select(F.col("suffix").alias(f"_s{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("_plain", "_wild", "_not")]))
+        side = hint(by.where(F.col("n") == k).select(F.col("suffix").alias(f"_s{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("_plain", "_wild", "_not")]))
         tail = F.when(n >= k, F.array_join(F.slice("_labels", -k, k), "."))
         out = out.join(side, tail == F.col(f"_s{k}"), "left")
         exceptions.append(F.when(F.col(f"_not{k}"), F.lit(k - 1)))
@@ -41,9 +43,9 @@ def with_suffix(df: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     length = F.coalesce(F.greatest(*exceptions, none, none), F.greatest(*found, none, none)) if depth else none
     last = lambda m: F.array_join(F.slice("_labels", -m, m), ".")
     out = out.withColumn("_length", length)
-    size = F.coalesce("_length", F.lit(1))
-    out = out.withColumn("suffix", F.when(F.col("_length").isNotNull(), last(size)))
-    out = out.withColumn("registered", F.when(F.col("_length").isNotNull() & (n > F.col("_length")), last(F.least(size + 1, n))))
+    labels = F.coalesce("_length", F.lit(1))
+    out = out.withColumn("suffix", F.when(F.col("_length").isNotNull(), last(labels)))
+    out = out.withColumn("registered", F.when(F.col("_length").isNotNull() & (n > F.col("_length")), last(F.least(labels + 1, n))))
     return out.select(*df.columns, "suffix", "registered")
 
 

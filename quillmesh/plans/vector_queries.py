@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.operators import vectors as V
+from quillmesh.operators.sizes import small
+from quillmesh.operators.storage import cut
 
 from .registry import query, table
 
@@ -23,17 +25,16 @@ def centroid(spark, sf_dir):
 def shift_matrix(spark, sf_dir):
     """Mean distance of each class to each centroid; there are as many centroids as classes, which is few."""
     e = table(spark, sf_dir, "embeddings")
-    c = F.broadcast(V.centroids(e, "label", "embedding").withColumnRenamed("label", "other"))
+    c = small(cut(V.centroids(e, "label", "embedding").withColumnRenamed("label", "other"), "centroids"))
     d = V.distance(F.col("embedding"), F.col("centroid"))
-    return e.join(c).groupBy("label", "other").agg(F.round(F.avg(d), 4).alias("shift"))
+    return e.crossJoin(c).groupBy("label", "other").agg(F.round(F.avg(d), 4).alias("shift"))
 
 
 @query(f"WITH {_CENTROIDS} SELECT vec_id, arg_min(c.label, list_distance(embedding::DOUBLE[], centroid)) AS nearest, round(min(list_distance(embedding::DOUBLE[], centroid)), 4) AS distance FROM embeddings, c GROUP BY vec_id")
 def nearest_centroid(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    c = V.centroids(e, "label", "embedding").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("all"))
-    best = F.array_min(F.transform("all", lambda x: F.struct(V.distance(F.col("embedding"), x["centroid"]).alias("d"), x["label"].alias("label"))))
-    return e.join(F.broadcast(c)).select("vec_id", best.alias("b")).select("vec_id", F.col("b.label").alias("nearest"), F.round("b.d", 4).alias("distance"))
+    found = V.nearest(e, "vec_id", "embedding", V.centroids(e, "label", "embedding"), "label", "centroid")
+    return found.select("vec_id", "nearest", F.round("distance", 4).alias("distance"))
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EPS}")

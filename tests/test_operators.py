@@ -125,3 +125,17 @@ def test_range_join(spark, monkeypatch, block):
         got = V.range_join(d, "id", "v", eps).collect()
         assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
     assert V.range_join(d.limit(0), "id", "v", 1.0).count() == 0
+
+
+def test_nearest_centers(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v, c = r.normal(size=(60, 3)), r.normal(size=(23, 3))
+    c[7] = c[3]  # equal centers
+    rows = lambda m: [(i, [float(x) for x in row]) for i, row in enumerate(m)]
+    d, centers = spark.createDataFrame(rows(v), "k int, v array<double>"), spark.createDataFrame(rows(c), "i int, c array<double>")
+    far = np.sqrt(((v[:, None] - c[None]) ** 2).sum(-1))
+    for block in (256, 4):
+        monkeypatch.setattr(V, "CENTERS", block)
+        got = {x.k: x for x in V.nearest(d, "k", "v", centers, "i", "c").collect()}
+        assert {k: x.nearest for k, x in got.items()} == dict(enumerate(far.argmin(1)))
+        assert all(abs(x.distance - far[k].min()) < 1e-9 for k, x in got.items())
