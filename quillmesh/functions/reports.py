@@ -87,15 +87,17 @@ NAME_ERRORS = {
     "NoNameservers": "Server 8.8.8.8 UDP port 53 answered SERVFAIL.",
     "LabelTooLong": "A DNS label is > 63 octets long.",
 }
+#: Failures that are no error, and what is written for any other.
+NO_ERROR, OTHER_ERROR = ("NoAnswer",), "Error while processing the DNS record."
 
 
 def name_answers(answers: DataFrame, domain: str = "domain") -> DataFrame:
     """A row a domain with a sorted list of each record type and the last asked type's error.
 
-    answers: domain, rtype, value, failure (a name of NAME_ERRORS, or null). One aggregate, combined before the shuffle.
+    answers: domain, rtype, value, failure (a class of failures, or null). One aggregate, combined before the shuffle.
     """
     of = lambda t: F.array_sort(F.collect_list(F.when((F.col("rtype") == t) & F.col("value").isNotNull(), F.col("value"))))
-    text = F.coalesce(*[F.when(F.col("failure") == k, F.lit(v)) for k, v in NAME_ERRORS.items()])
+    text = F.coalesce(*[F.when(F.col("failure") == k, F.lit(v)) for k, v in NAME_ERRORS.items()], F.when(~F.col("failure").isin(*NO_ERROR), F.lit(OTHER_ERROR)))
     asked = F.array_position(F.array(*map(F.lit, RECORD_TYPES)), F.col("rtype"))
     return answers.groupBy(domain).agg(*[of(t).alias(t.lower()) for t in RECORD_TYPES], F.max_by(text, F.when(text.isNotNull(), F.struct(asked, text))).alias("error"))
 
@@ -148,6 +150,35 @@ def listing(xml: Column) -> Column:
     return F.from_xml(xml, LISTING)
 
 
+def xml_as_json(xml: Column) -> Column:
+    """XML of any schema as a JSON object: children by tag, texts as strings, repeated tags as lists of all of them.
+
+    Broken XML is null. Python over Arrow batches, since no schema is known.
+    """
+    import json
+    import xml.etree.ElementTree as tree
+
+    import pandas as pd
+
+    def held(node):
+        out: dict = {}
+        for child in node:
+            value = held(child) if len(child) else child.text or ""
+            if child.tag not in out:
+                out[child.tag] = [value]
+            else:
+                out[child.tag].append(value)
+        return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+    def one(text):
+        try:
+            return None if text is None or "<!DOCTYPE" in text else json.dumps(held(tree.fromstring(text)), ensure_ascii=False, separators=(",", ":"))
+        except (tree.ParseError, RecursionError):
+            return None
+
+    return F.pandas_udf(lambda s: pd.Series([one(x) for x in s], index=s.index, dtype=object), "string")(xml)
+
+
 def unescape(text: Column) -> Column:
     """Bytes of %uXXXX (low byte first) and %XX escapes, as a binary; other characters as one byte and a zero, as scripts hold them.
 

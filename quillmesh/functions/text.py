@@ -115,6 +115,16 @@ def permission_line(p: dict[str, Column]) -> Column:
 DENIALS = ("AccessDenied", "AllAccessDisabled")
 
 
+def access_list_right(code: Column, signed: Column, grants: Column) -> dict[str, Column]:
+    """What a recorded attempt to read a bucket's access list says: where it succeeded, the list itself tells all rights;
+    where it was denied, the group that asked may not read it; other errors leave all UNKNOWN.
+    """
+    denied = code.isin(*DENIALS)
+    own = permissions(F.when(code.isNull(), grants))
+    asked = {"AllUsersReadACP": ~signed, "AuthUsersReadACP": signed}
+    return {k: F.when(denied & asked[k], "DENIED").otherwise(v) if k in asked else v for k, v in own.items()}
+
+
 def read_right(code: Column, signed: Column, all_users: Column) -> dict[str, Column]:
     """What a recorded attempt to list a bucket says: code is its error or null, signed whether it used an account.
 

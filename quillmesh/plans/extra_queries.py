@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import convert as K
 from quillmesh.functions import predicates as P
+from quillmesh.functions import reports as J
 from quillmesh.functions import scripts as S
 from quillmesh.functions import text as X
 from quillmesh.functions import unpack
@@ -438,3 +439,22 @@ def files_round_trip(spark, sf_dir):
     lines = files.lines(spark, f"{root}/lines").select(parts[0].cast("int").alias("n_nationkey"), parts[1].alias("line"))
     copies = spark.read.parquet(f"{root}/copies").groupBy("n_nationkey").agg(F.count("*").cast("int").alias("copies"))
     return lines.join(copies, "n_nationkey")
+
+
+@query("SELECT s_suppkey, '{\"Name\":\"n&' || s_suppkey || '\",\"Contents\":' || CASE WHEN s_suppkey % 2 = 0 THEN '[{\"Key\":\"a\",\"Size\":\"' || s_nationkey || '\"},{\"Key\":\"b\",\"Size\":\"\"}]' ELSE '{\"Key\":\"a\",\"Size\":\"' || s_nationkey || '\"}' END || '}' AS json FROM supplier")
+def xml_objects(spark, sf_dir):
+    """XML without a schema as JSON, repeated tags as lists."""
+    one = lambda key, size: F.concat(F.lit(f"<Contents><Key>{key}</Key><Size>"), size, F.lit("</Size></Contents>"))
+    xml = F.concat(F.lit("<r><Name>n&amp;"), F.col("s_suppkey").cast("string"), F.lit("</Name>"), one("a", F.col("s_nationkey").cast("string")), F.when(F.col("s_suppkey") % 2 == 0, one("b", F.lit(""))).otherwise(""), F.lit("</r>"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", J.xml_as_json(xml).alias("json"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'UNKNOWN' ELSE 'DENIED' END WHEN event_type = 'purchase' OR event_id % 5 = 0 THEN 'UNKNOWN' ELSE 'DENIED' END AS all_acl, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'DENIED' ELSE 'UNKNOWN' END WHEN event_type = 'purchase' OR event_id % 5 = 0 THEN 'UNKNOWN' WHEN event_id % 3 = 0 THEN 'ALLOWED' ELSE 'DENIED' END AS auth_acl,
+CASE WHEN event_type IN ('error', 'purchase') OR event_id % 5 = 0 THEN 'UNKNOWN' WHEN event_id % 3 <> 0 THEN 'ALLOWED' ELSE 'DENIED' END AS all_write FROM events""")
+def access_list_rights(spark, sf_dir):
+    """What attempts to read access lists say: the list's own grants, a denial for the group that asked, or nothing."""
+    i = F.col("event_id")
+    code = F.when(F.col("event_type") == "error", "AllAccessDisabled").when(F.col("event_type") == "purchase", "SlowDown")
+    grant = F.when(i % 3 == 0, F.struct(F.lit(X.AUTH_USERS).alias("uri"), F.lit("READ_ACP").alias("permission"))).otherwise(F.struct(F.lit(X.ALL_USERS).alias("uri"), F.lit("WRITE").alias("permission")))
+    r = X.access_list_right(code, i % 2 == 0, F.when(i % 5 != 0, F.array(grant)))
+    return table(spark, sf_dir, "events").select("event_id", r["AllUsersReadACP"].alias("all_acl"), r["AuthUsersReadACP"].alias("auth_acl"), r["AllUsersWrite"].alias("all_write"))

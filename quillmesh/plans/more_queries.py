@@ -85,11 +85,11 @@ def js_detect(spark, sf_dir):
 
 
 @query("""SELECT 'd' || user_id AS domain, coalesce(string_agg('v' || event_id % 5, ',' ORDER BY event_id % 5) FILTER (event_type = 'view'), '') AS a, coalesce(string_agg('v' || event_id % 5, ',' ORDER BY event_id % 5) FILTER (event_type = 'click'), '') AS mx,
-  CASE WHEN bool_or(event_type = 'error') THEN 'The DNS operation timed out.' END AS error FROM events GROUP BY 1""")
+  CASE WHEN bool_or(event_type = 'error') THEN 'The DNS operation timed out.' WHEN bool_or(event_type = 'signup') THEN 'Error while processing the DNS record.' END AS error FROM events GROUP BY 1""")
 def name_answers(spark, sf_dir):
     """Record lists and errors of domains from single answers."""
     kind = F.col("event_type")
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain"), F.when(kind == "view", "A").when(kind == "click", "MX").otherwise("TXT").alias("rtype"), F.when(kind.isin("view", "click"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("value"), F.when(kind == "error", "Timeout").alias("failure"))
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("domain"), F.when(kind == "view", "A").when(kind == "click", "MX").when(kind == "signup", "NS").otherwise("TXT").alias("rtype"), F.when(kind.isin("view", "click"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("value"), F.when(kind == "error", "Timeout").when(kind == "signup", "Strange").when(kind == "purchase", "NoAnswer").alias("failure"))
     return J.name_answers(e).select("domain", F.array_join("a", ",").alias("a"), F.array_join("mx", ",").alias("mx"), "error")
 
 
@@ -175,7 +175,9 @@ def xor_search(spark, sf_dir):
     return S.xor_search(table(spark, sf_dir, "benchmark").select("item_id", hidden.alias("content")), "item_id", "content", b"the")
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM h), b AS (SELECT doc_id, i, ('0x' || substr(x, 2 * i + 1, 2))::INT AS c FROM d),
+n AS (SELECT *, lead(c, 1) OVER w AS c1, lead(c, 2) OVER w AS c2, lead(c, 3) OVER w AS c3, lead(c, 4) OVER w AS c4 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, xor(c, 116) AS key, i::BIGINT AS "offset" FROM n WHERE xor(c, 116) = xor(c1, 111) AND xor(c, 116) = xor(c2, 107) AND xor(c, 116) = xor(c3, 101) AND xor(c, 116) = xor(c4, 110)""")
 def xor_documents(spark, sf_dir):
     """Where whole texts have a string under any of the 256 single-byte keys."""
     return S.xor_search(table(spark, sf_dir, "documents"), "doc_id", "text", b"token")
