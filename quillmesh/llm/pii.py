@@ -95,8 +95,13 @@ GENERATORS = (
     ("iban", re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("ssn", re.compile(r"(?<![0-9-])([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9-])")),
     ("secret", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,}+)")),
+    ("secret", re.compile(r"(?i)\b(?:passw(?:or)?d|passphrase|pwd|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,}+)")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_-])((?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
+    ("secret", re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----)")),
 )
 DIGIT = re.compile(r"[0-9]")
+#: How secrets of public formats begin.
+KNOWN = re.compile(r"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}\Z|(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16}|eyJ[A-Za-z0-9_-]{8,}\.|-----BEGIN ")
 CUES = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|e-?mail|mail|contact|write|reach|ssn|social|security|card|visa|pay|iban|account|bank|token|secret|passw(?:or)?d|key|bearer|credential)")
 AWAY = re.compile(r"(?i)\b(?:order|version|isbn|issn|ref|invoice|page|pages|score|line|lot|sku|part|model|serial|dates?|year|sha1?|md5|commit|look|was|is|were|it)\W*$")
 
@@ -139,6 +144,8 @@ def features(text: str, span: Span) -> list[float]:
         float(any(x in s.lower() for x in ("(at)", "[at]", "{at}", "(dot)", "[dot]"))),
         float(any(c.isdigit() for c in s) and any(c.isalpha() for c in s)),
         float(s[:1] == "("),
+        float(bool(KNOWN.match(s))),
+        float(any(c.isupper() for c in s) and any(c.islower() for c in s)),
     ]
 
 
@@ -242,6 +249,22 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, Span, bool]]:
             lead = r.choice(["token =", "secret:", "password=", "api_key =", "token", "secret"]) if good else r.choice(["token", "secret", "bearer", "password:"])
             body = "".join(r.choice("0123456789abcdef") for _ in range(40)) if good and r.random() < 0.5 else "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789") for _ in range(r.randint(20, 48))) if good else word(12, 20) if r.random() < 0.7 else f"{word(5, 8)}-{word(5, 8)}"
         add(kind, f"{word()} {word()} {lead} {body} {word()}, {word()}", good)
+    # short secrets, whose digits tell them from words, and public formats, which need no word before them
+    some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    lower, upper, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for i in range(n // 3):
+        good, lead = r.random() < 0.5, r.choice(["password=", "password: ", "passwd=", "token = ", "secret=", "api_key=", "pwd="])
+        if i % 2:
+            if good:
+                k = r.randint(6, 24)
+                body = r.choice([some("0123456789abcdef", max(k, 12)), some(lower, k), some(mixed, k), word(4, 8) + digits(2) + r.choice("!?#*") + word(1, 3)])
+                body += "" if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) else "a7"
+            else:
+                body = r.choice([word(6, 14), word(6, 10).capitalize(), f"{word(5, 8)}-{word(5, 8)}", f"{word(4, 8)}_{word(4, 8)}", f"{word(3, 6)}.{word(3, 6)}", "********"])
+            add("secret", f"{word()} {word()} {lead}{body} {word()}, {word()}", good)
+        else:
+            body = r.choice([r.choice(["AKIA", "ASIA"]) + some(upper, 16), r.choice(["ghp_", "gho_", "glpat-", "sk-", "sk_live_", "AIza"]) + some(mixed, r.randint(20, 48)), f"xoxb-{digits(11)}-{some(mixed, 24)}", f"eyJ{some(mixed, 30)}.eyJ{some(mixed, 60)}.{some(mixed, 43)}"]) if good else r.choice(["AKIA" + word(16, 16).upper(), "sk-" + "-".join(word(5, 8) for _ in range(3))])
+            add("secret", f"{word()} {word(3, 9)} {'1 ' if r.random() < 0.5 else ''}{body} {word()}, {word()} {digits(1)}", good)
     # rarer shapes: phones without separators, which only a cue tells from other numbers, or in pairs; long and dotted tokens
     code = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(k))
     for i in range(n // 4):
