@@ -12,6 +12,8 @@ from .store import maybe_broadcast, materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: A text with more than one symbol for so many words is no prose.
+WORDS_A_SYMBOL = 10
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: A host is rejected if its shrunk failure rate is above this.
@@ -73,6 +75,11 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def rule_failed():
+    """base_failed(), and the rule on symbols."""
+    return base_failed() | (WORDS_A_SYMBOL * F.col("n_symbols") > F.col("n_words"))
+
+
 def host_rates(docs: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
     """host, n, n_failed and the failure rate shrunk towards the mean of hosts by a beta prior fitted to their moments.
 
@@ -102,16 +109,18 @@ def host_rates(docs: DataFrame, host: str = "host", failed: str = "failed") -> D
 def judge_documents(docs: DataFrame) -> DataFrame:
     """Counts, rule failures, the host's rate and the verdict for each document; `source` is the host.
 
+    rule_failed is base_failed or the rule on symbols; hosts are judged by it.
+
     A document without a host is judged by its own rules only. Empty and null texts have no words and fail. Repeated
     rows are judged each; further columns are ignored. A host is rejected only if most of its documents fail, after shrinking.
     """
     small_batches(docs.sparkSession)
     schema = f"doc_id long, host string, {COUNTS}"
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, schema)
-    got = materialise(got.withColumn("base_failed", base_failed()), "quality")  # a few numbers a document, used twice
-    bad = host_rates(got, failed="base_failed").where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"), F.col("rate").alias("host_rate"))
+    got = materialise(got.withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed()), "quality")  # a few numbers a document, used twice
+    bad = host_rates(got, failed="rule_failed").where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"), F.col("rate").alias("host_rate"))
     out = got.join(maybe_broadcast(bad), F.col("host") == F.col("_bad"), "left")
-    return out.withColumn("host_failed", F.col("_bad").isNotNull()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_bad")
+    return out.withColumn("host_failed", F.col("_bad").isNotNull()).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed")).drop("_bad")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, f"doc_id long, host string, {COUNTS}")
-    bad = host_rates(got.withColumn("failed", base_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_qm_bad"))
+    bad = host_rates(got.withColumn("failed", rule_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_qm_bad"))
     passed = docs.withColumn("_qm_keep", passes(F.col("text"))).where("_qm_keep").drop("_qm_keep")
     return passed.join(maybe_broadcast(materialise(bad, "hosts")), F.col("source") == F.col("_qm_bad"), "left_anti")
 
@@ -132,7 +141,7 @@ def passes(text):
     @F.arrow_udf("boolean")
     def run(t: pa.Array) -> pa.Array:
         got = [counts(x) for x in t.to_pylist()]
-        return pa.array([not (g[0] < MIN_WORDS or 100 * g[4] > MAX_REPEAT_PERCENT * g[0]) for g in got], pa.bool_())
+        return pa.array([not (g[0] < MIN_WORDS or 100 * g[4] > MAX_REPEAT_PERCENT * g[0] or WORDS_A_SYMBOL * g[2] > g[0]) for g in got], pa.bool_())
 
     return run(text)
 

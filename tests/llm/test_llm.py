@@ -616,6 +616,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.counts(long) == brute_counts(long)
 
 
+def test_symbols_are_judged(spark):
+    """Tables and noise go, prose with a few symbols stays; hosts count what fails by symbols, too."""
+    noise, few = " ".join(f"w{i}{'#*$'[i % 3] * 3}" for i in range(80)), BASE + " costs $5 & more | <b>"
+    rows = [(1, noise, "en", "a"), (2, few, "en", "a"), (3, " ".join(f"w{i} |" for i in range(60)), "en", "b"), (4, BASE, "en", "b")]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge_documents(docs_of(spark, rows)).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, False), 4: (False, True)}
+    assert {r.doc_id for r in quality.filter_quality(docs_of(spark, rows)).collect()} == {2, 4}
+    hosts = [(i, noise if i % 10 else BASE, "en", "bad") for i in range(40)] + [(100 + i, BASE, "en", "good") for i in range(40)]
+    assert {r.doc_id for r in quality.judge_documents(docs_of(spark, hosts)).where("kept").collect()} == set(range(100, 140))
+
+
 def test_lines_of_odd_rows(spark):
     """Ties in doc_id, repeated rows and a null doc_id: the first occurrence stays, rows alike are treated alike."""
     rows = [(1, "shared line", "a"), (1, "shared line", "a"), (2, "shared line\nown", "b"), (3, "shared line\nown two", "c"), (4, "shared line\nmore", "d"), (5, None, "e"), (6, "", None)]
