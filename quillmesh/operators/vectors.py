@@ -146,23 +146,27 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) ->
 def principal_axes(df: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The mean and the first k principal axes (rows) of vectors, each axis with its greatest entry positive.
 
-    Sums of vectors and of products of their entries are made by tasks; the driver sees one square matrix for each task.
+    Tasks sum vectors and products of their entries, and these sums are added by position on the executors: the driver
+    receives one triangle of a matrix, however many tasks there are.
     """
 
     def sums(batches):
-        n, first, second = 0, None, None
+        n, total = 0, None
         for batch in batches:
-            m = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else None
-            if m is not None:
-                n += len(m)
-                first, second = (m.sum(0), m.T @ m) if first is None else (first + m.sum(0), second + m.T @ m)
-        if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "s": [first.tolist()], "p": [second.ravel().tolist()]})
-
-    parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).mapInArrow(sums, "n long, s array<double>, p array<double>").collect()
-    n, total = sum(r.n for r in parts), sum(np.array(r.s) for r in parts)
-    mean = total / n
-    cov = sum(np.array(r.p) for r in parts).reshape(len(mean), -1) / n - np.outer(mean, mean)
+            if batch.num_rows:
+                m = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                m = np.column_stack([np.ones(len(m)), m])  # row 0 has the count and the sums
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "s": total[i, j]})
+
+    parts = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).mapInArrow(sums, "i int, j int, s double")
+    got = parts.groupBy("i", "j").agg(F.sum("s").alias("s")).orderBy("i", "j").toPandas()
+    gram = np.zeros((got["j"].max() + 1,) * 2)
+    gram[got["i"], got["j"]] = gram[got["j"], got["i"]] = got["s"]
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
     return mean, axes * np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])[:, None]
 
