@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import gridjoin, licenses, manifest, quantiles
 from .linededup import SITES
 from .quality import DEFAULT_STRENGTH, MAX_HOST_RATE, WORDS_A_SYMBOL
 
@@ -90,10 +90,98 @@ SELECT doc_id, license_id, m::BIGINT AS n_shingles, n_found::BIGINT AS n_found,
 FROM f JOIN tn USING (license_id) WHERE 100 * n_found >= {licenses.CONTAINMENT_PERCENT} * m
 """
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, i, 1))::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs of the nodes of each level above {name}0 (g, pos, node, n), and of each node's siblings; as many levels as given."""
+    a, out = manifest.ARITY, []
+    for k in range(levels):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT g, pos // {a} AS run, list(node ORDER BY pos) AS run_nodes, any_value(n) AS n FROM {name}{k} WHERE n > 1 GROUP BY 1, 2)")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, run AS pos, sha256(array_to_string(run_nodes, '')) AS node, (n + {a - 1}) // {a} AS n FROM {name}r{k})")
+    joins = " ".join(f"LEFT JOIN {name}r{k} ON {name}r{k}.g = {name}0.g AND {name}r{k}.run = {name}0.pos // {a ** (k + 1)}" for k in range(levels))
+    at = [f"({name}0.pos // {a**k} % {a})" for k in range(levels)]
+    steps = ", ".join(f"CASE WHEN {name}r{k}.g IS NOT NULL THEN {{'before': array_to_string({name}r{k}.run_nodes[:{at[k]}], ''), 'after': array_to_string({name}r{k}.run_nodes[{at[k]} + 2:], '')}} END" for k in range(levels))
+    out.append(f"{name}p AS MATERIALIZED (SELECT {name}0.*, list_filter([{steps}], lambda s: s IS NOT NULL) AS path FROM {name}0 {joins})")
+    out.append(f"{name}t AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, node AS top FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _told(*columns: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns) + "))"
+
+
+_RECORD = ("doc_id", "source", "lang", "n_chars")
+
+#: Levels that are written out suffice for 3 ** 12 documents of a source and 3 ** 8 sources.
+OP11 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce('s' || source, '') AS g, {_told(*_RECORD, "text")} AS node,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_told(*_RECORD, "replace(text, chr(10), '')")} END AS met FROM documents
+), m0 AS MATERIALIZED (SELECT doc_id, g, node, met, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree("m", 12)},
+b0 AS MATERIALIZED (SELECT mt.g AS source, '' AS g, top AS node, row_number() OVER (ORDER BY encode(mt.g)) - 1 AS pos, count(*) OVER () AS n FROM mt),
+{_tree("b", 8)},
+proven AS (SELECT a.doc_id, a.node AS leaf, a.met, b.node AS subroot, bt.top AS root, list_concat(a.path, b.path) AS path FROM mp a JOIN bp b ON b.source = a.g, bt),
+met AS (SELECT *, list_reduce(list_prepend({{'before': '', 'after': coalesce(met, leaf)}}, path), lambda x, s: {{'before': '', 'after': sha256(concat(s.before, x.after, s.after))}}).after AS folded_root FROM proven)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.before || s.after), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM met
+"""
+
+OP12 = f"""
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {gridjoin.COSINE}),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+_CENTS = "floor(100 * {} + 0.5)::BIGINT + 1000 * batch AS x"
+
+OP13 = rf"""
+WITH once AS (SELECT DISTINCT click_id, client_id, value FROM clicks),
+v AS (SELECT client_id::VARCHAR AS grp, {_crc32("click_id::VARCHAR")} % {quantiles.BATCHES} AS batch, value FROM once WHERE client_id IS NOT NULL AND value IS NOT NULL),
+vendor AS MATERIALIZED (SELECT vendor_id, {_crc32("vendor_id::VARCHAR")} % {quantiles.BATCHES} AS batch FROM (SELECT DISTINCT vendor_id FROM sale_lines)),
+p AS (SELECT brand AS grp, batch, price FROM sale_lines JOIN items USING (item_id) JOIN vendor USING (vendor_id) WHERE brand IS NOT NULL AND price IS NOT NULL),
+x AS (SELECT 'value' AS stream, grp, batch, {_CENTS.format("value")} FROM v UNION ALL SELECT 'price', grp, batch, {_CENTS.format("price")} FROM p),
+c AS MATERIALIZED (SELECT stream, grp, batch, x, count(*) AS w FROM x GROUP BY ALL),
+r AS (SELECT *, sum(w) OVER (PARTITION BY stream, grp, batch ORDER BY x) AS least, sum(w) OVER (PARTITION BY stream, grp, batch) AS n, row_number() OVER (PARTITION BY stream, grp, batch ORDER BY x) AS k, count(*) OVER (PARTITION BY stream, grp, batch) AS d FROM c),
+own AS MATERIALIZED (
+  SELECT stream, grp, batch, x, least, least - w AS most, n FROM r
+  WHERE d <= {quantiles.KEEP} OR k = 1 OR least * {quantiles.CUTS} // n > (least - w) * {quantiles.CUTS} // n OR k * {quantiles.SPREAD} // d > (k - 1) * {quantiles.SPREAD} // d
+), spot AS (SELECT DISTINCT stream, grp, x FROM own),
+bounds AS (
+  SELECT spot.stream, spot.grp, spot.x, o.batch, coalesce(max(o.least) FILTER (o.x <= spot.x), 0) AS least, coalesce(min(o.most) FILTER (o.x >= spot.x), any_value(o.n)) AS most, any_value(o.n) AS n
+  FROM spot JOIN own o USING (stream, grp) GROUP BY ALL
+), both_ AS (SELECT * FROM own UNION ALL SELECT stream, grp, -1, x, sum(least), sum(most), sum(n) FROM bounds GROUP BY stream, grp, x),
+s AS MATERIALIZED (SELECT *, count(*) OVER w AS points, lag(x) OVER o AS x_before, coalesce(lag(least) OVER o, 0) AS reached FROM both_ WINDOW w AS (PARTITION BY stream, grp, batch), o AS (PARTITION BY stream, grp, batch ORDER BY x)),
+q AS (SELECT DISTINCT stream, grp, batch, n, points, i, (i * n + {quantiles.PARTS - 1}) // {quantiles.PARTS} AS target FROM s, range(1, {quantiles.PARTS}) AS t(i) WHERE n >= {quantiles.LEAST_ROWS}),
+a AS MATERIALIZED (
+  SELECT q.*, CASE WHEN x_before IS NOT NULL AND target - reached < most + 1 - target THEN x_before ELSE x END AS answer
+  FROM q JOIN s USING (stream, grp, batch) WHERE reached < target AND target <= least
+), every_ AS MATERIALIZED (SELECT * FROM c UNION ALL SELECT stream, grp, -1, x, sum(w) FROM c GROUP BY stream, grp, x),
+e AS (SELECT *, sum(w) OVER (PARTITION BY stream, grp, batch ORDER BY x) AS upto FROM every_),
+told AS (
+  SELECT a.stream, a.grp, a.batch, a.i, any_value(a.n) AS n, any_value(a.target) AS target, min(e.x) FILTER (e.upto >= a.target) AS exact_x, any_value(a.points) AS points, any_value(a.answer) AS answer,
+    coalesce(sum(e.w) FILTER (e.x < a.answer), 0) AS n_below, coalesce(sum(e.w) FILTER (e.x <= a.answer), 0) AS n_upto
+  FROM a JOIN e ON e.stream = a.stream AND e.grp = a.grp AND e.batch = a.batch GROUP BY a.stream, a.grp, a.batch, a.i
+), f AS (SELECT *, greatest(0, n_below + 1 - target, target - n_upto) AS rank_error FROM told)
+SELECT stream, grp, batch::INT AS batch, i::INT AS i, n::BIGINT AS n, target::BIGINT AS target, exact_x, points::BIGINT AS points, answer, n_below::BIGINT AS n_below, n_upto::BIGINT AS n_upto, rank_error::BIGINT AS rank_error, 1000 * rank_error <= 50 * n AS within FROM f
+"""
+
 ORACLE_SQL = {
     "op1_minhash": OP1,
     "op4_quality": OP4,
     "op5_decontaminate": OP5,
     "op6_lines": OP6,
     "op7_licenses": OP7,
+    "op11_manifest": OP11,
+    "op12_vectors": OP12,
+    "op13_quantiles": OP13,
 }

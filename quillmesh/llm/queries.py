@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, licenses, linededup, minhash, packing, pii, quality, sharding
+from . import decontaminate, gridjoin, html, langid, licenses, linededup, manifest, minhash, packing, pii, quality, quantiles, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,17 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.quantile_report(quantiles.streams(*[table(spark, sf_dir, n) for n in ("clicks", "sale_lines", "items")]))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_html, op3_langid, op4_quality, op5_decontaminate, op6_lines, op7_licenses, op8_packing, op9_pii, op10_shards)}
+    return {f.__name__: f for f in (op1_minhash, op2_html, op3_langid, op4_quality, op5_decontaminate, op6_lines, op7_licenses, op8_packing, op9_pii, op10_shards, op11_manifest, op12_vectors, op13_quantiles)}
