@@ -5,6 +5,7 @@ Functions of this subpackage are pickled by value, so executors need no copy of
 
 from __future__ import annotations
 
+import pickle
 import sys
 
 import numpy as np
@@ -35,6 +36,24 @@ def per_process(key, make):
     return kept[key]
 
 
+def shared(spark, name: str, value):
+    """A function that gives value on executors, read once by each Python worker.
+
+    The broadcast is bytes in which classes of this subpackage are whole, as a plain broadcast would name their module only.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    number = packed._jbroadcast.id()
+
+    def get():
+        kept = per_process(("shared", name), dict)
+        if number not in kept:
+            kept.clear()  # an earlier model of this name goes
+            kept[number] = pickle.loads(packed.value)
+        return kept[number]
+
+    return get
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of batch with at most limit bytes in column, or a single row."""
     arr = batch.column(batch.schema.get_field_index(column))

@@ -24,7 +24,7 @@ ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup, and no text of the page.
 RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
-DROP = frozenset("nav footer aside form button select option datalist svg math canvas object audio video menu dialog template fieldset head map picture".split())
+DROP = frozenset("nav footer aside form button select option datalist svg canvas audio video menu dialog template fieldset head picture annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr"}, "tfoot": {"tr", "td", "th", "tbody"}}
 LISTS = ("table", "ul", "ol", "dl", "select")
@@ -271,7 +271,10 @@ def best_nodes(root: Node) -> list[Node]:
     for c in best.parent.children:
         if c is best:
             keep.append(c)
-        elif isinstance(c, Node) and not c.drop and best.tag not in ("article", "main"):
+        elif isinstance(c, Node) and not c.drop and best.tag in ("article", "main"):
+            if c.tag == best.tag and c.score >= SIBLING_SHARE * best.score:  # another article of the page, no teaser
+                keep.append(c)
+        elif isinstance(c, Node) and not c.drop:
             density = c.linked / max(1, c.chars)
             if c.score >= max(5, SIBLING_SHARE * best.score) or c.tag == "p" and (c.chars > 80 and density < 0.25 or 0 < c.chars <= 80 and density == 0) or c.tag in QUOTED and c.chars > 0 and density < 0.25:
                 keep.append(c)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_value, chunks, small_batches
+from .batches import by_value, chunks, shared, small_batches
 from .minhash import mix
 
 #: About this many labelled rows of each language are learned from, chosen by a hash of their id.
@@ -247,10 +247,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rows are scored each; further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # piece probabilities; as large as vocabulary times languages
+    given = shared(docs.sparkSession, "langid", model)  # piece probabilities; as large as vocabulary times languages
 
     def run(batches):
-        model = shared.value
+        model = given()
         for batch in batches:
             for part in chunks(batch, "text", 8 << 20):
                 words, ends = [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import gridjoin, licenses, manifest, quantiles
 from .linededup import SITES
-from .quality import DEFAULT_STRENGTH, MAX_HOST_RATE, WORDS_A_SYMBOL
+from .quality import DEFAULT_STRENGTH, LONG_WORD, MARGIN, SHORT_WORD, SURE, WORDS_A_DUP_LINE, WORDS_A_SYMBOL
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -39,13 +39,15 @@ base AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(dup.c, 0)::BIGINT AS n_dup_lines, coalesce(hit.c, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id)
-), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR {WORDS_A_SYMBOL} * n_symbols > n_words AS failed FROM base),
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR {WORDS_A_SYMBOL} * n_symbols > n_words
+    OR word_chars < {SHORT_WORD} * n_words OR word_chars > {LONG_WORD} * n_words OR {WORDS_A_DUP_LINE} * n_dup_lines > n_words AS failed FROM base),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS k FROM f WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT sum(k) / sum(n) AS mean, count(*) AS hosts, sum(n) AS total, sum(n * n) AS squares, sum(k * k / n) AS second FROM h),
 b AS (SELECT *, mean * (1 - mean) AS noise, CASE WHEN total - squares / total > 0 THEN (second - mean * mean * total - (hosts - 1) * mean * (1 - mean)) / (total - squares / total) END AS between_ FROM m),
 prior AS (SELECT coalesce(mean, 0) AS mean, greatest(CASE WHEN between_ > 0 AND noise > between_ THEN noise / between_ - 1 ELSE {DEFAULT_STRENGTH} END, 1) AS strength FROM b),
-bad AS (SELECT source FROM h, prior WHERE (k + mean * strength) / (n + strength) > {MAX_HOST_RATE})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND bad.source IS NULL AS kept
+post AS (SELECT source, mean, (k + mean * strength) / (n + strength) AS rate, n + strength AS weight FROM h, prior),
+bad AS (SELECT source FROM post WHERE rate - {SURE} * sqrt(rate * (1 - rate) / (weight + 1)) > mean + {MARGIN})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept
 FROM f LEFT JOIN bad ON f.source = bad.source
 """
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import by_value, chunks, per_process, small_batches
+from .batches import by_value, chunks, per_process, shared, small_batches
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,16 +88,20 @@ def written_addresses(text: str):
             yield a, host.end()
 
 
-#: Further generators, which need a digit: kind and a pattern whose group 1 is the span.
-GENERATORS = (
-    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(\(?[0-9]{2,4}\)?[ ./-]{0,2}(?:[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|[0-9]{3}(?:[ .-][0-9]{2}){2,5}|[0-9]{2}(?:[ .-][0-9]{2}){2,5}))(?![0-9A-Za-z-])")),
+#: Further generators: kind and a pattern whose group 1 is the span. Every match of the numeric ones has a digit.
+NUMERIC = (
+    # no phone number begins as a date
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?!(?:19|20)[0-9]{2}[-./ ](?:0[1-9]|1[0-2])[-./ ](?:0[1-9]|[12][0-9]|3[01])(?![0-9]))(\(?[0-9]{2,4}\)?[ ./-]{0,2}(?:[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?|[0-9]{3}(?:[ .-][0-9]{2}){2,5}|[0-9]{2}(?:[ .-][0-9]{2}){2,5}))(?![0-9A-Za-z-])")),
     ("card", re.compile(r"(?<![0-9])([0-9]{4}[. ]{1,2}[0-9]{4,6}[. ]{1,2}[0-9]{4,5}(?:[. ]{1,2}[0-9]{3,4})?)(?![0-9])")),
     ("iban", re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("ssn", re.compile(r"(?<![0-9-])([0-9]{3}[- ][0-9]{2}[- ][0-9]{4})(?![0-9-])")),
+)
+WORDED = (
     ("secret", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|bearer)\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?([a-z0-9+/_.-]{12,}+)")),
     ("secret", re.compile(r"(?i)\b(?:passw(?:or)?d|passphrase|pwd|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,}+)")),
     ("secret", re.compile(r"(?<![A-Za-z0-9_-])((?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
-    ("secret", re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----)")),
+    # a key block with its headers
+    ("secret", re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.]|-(?!----))++-----END [A-Z ]{0,20}PRIVATE KEY-----)")),
 )
 DIGIT = re.compile(r"[0-9]")
 #: How secrets of public formats begin.
@@ -109,9 +113,8 @@ AWAY = re.compile(r"(?i)\b(?:order|version|isbn|issn|ref|invoice|page|pages|scor
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal, whatever the trees say; they overlap."""
     out = [("email", a, b) for a, b in written_addresses(text)]
-    if DIGIT.search(text):
-        out += [(kind, m.start(1), m.end(1)) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
-    return out
+    generators = NUMERIC + WORDED if DIGIT.search(text) else WORDED
+    return out + [(kind, m.start(1), m.end(1)) for kind, pattern in generators for m in pattern.finditer(text)]
 
 
 def iban_ok(s: str) -> bool:
@@ -146,6 +149,7 @@ def features(text: str, span: Span) -> list[float]:
         float(s[:1] == "("),
         float(bool(KNOWN.match(s))),
         float(any(c.isupper() for c in s) and any(c.islower() for c in s)),
+        float("-" in s),
     ]
 
 
@@ -265,6 +269,18 @@ def examples(n: int = 4000, seed: int = 11) -> list[tuple[str, Span, bool]]:
         else:
             body = r.choice([r.choice(["AKIA", "ASIA"]) + some(upper, 16), r.choice(["ghp_", "gho_", "glpat-", "sk-", "sk_live_", "AIza"]) + some(mixed, r.randint(20, 48)), f"xoxb-{digits(11)}-{some(mixed, 24)}", f"eyJ{some(mixed, 30)}.eyJ{some(mixed, 60)}.{some(mixed, 43)}"]) if good else r.choice(["AKIA" + word(16, 16).upper(), "sk-" + "-".join(word(5, 8) for _ in range(3))])
             add("secret", f"{word()} {word(3, 9)} {'1 ' if r.random() < 0.5 else ''}{body} {word()}, {word()} {digits(1)}", good)
+    # what no word leads to: well-formed social security numbers, and tokens without a digit, which mixed case tells from words
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for i in range(n // 4):
+        good = r.random() < 0.5
+        if i % 2:
+            area = r.choice([f"{r.choice('12345')}{digits(2)}", f"00{r.choice('123456789')}", f"8{digits(2)}"]) if good else r.choice(["000", "666", "9" + digits(2)])
+            body = f"{area}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+            lead = r.choice(["number is", "is", "was", word(), "my number:", "look,"])
+            add("ssn", f"{word()} {word()} {lead} {body} {word()}, {word()}", good)
+        else:
+            body = some(letters, r.randint(16, 64)) if good else r.choice([word(12, 20), word(12, 20).capitalize(), f"{word(6, 9)}_{word(6, 9)}", f"{word(6, 9).capitalize()}-{word(6, 9)}", word(12, 18).upper()])
+            add("secret", f"{word()} {word()} {r.choice(['token =', 'secret:', 'token', 'bearer', 'Bearer', 'Authorization: Bearer', 'api_key='])} {body} {word()}, {word()}", good)
     # rarer shapes: phones without separators, which only a cue tells from other numbers, or in pairs; long and dotted tokens
     code = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(k))
     for i in range(n // 4):
@@ -335,8 +351,8 @@ def listed(spans: list[Span]) -> str:
 
 
 def shared_model(spark: SparkSession):
-    """The fitted model, made once by the driver, as a broadcast variable."""
-    return spark.sparkContext.broadcast(per_process("pii", fitted))
+    """The fitted model, made once by the driver, as a function for executors."""
+    return shared(spark, "pii", per_process("pii", fitted))
 
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, has_personal_data boolean"
@@ -353,7 +369,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows = [find_spans(t or "", model.value) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                rows = [find_spans(t or "", model()) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS[:4]]
                 digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in rows])
                 every = [pa.array([listed(s) for _, s in rows]), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([bool(s) for _, s in rows])]
@@ -368,7 +384,7 @@ def redact(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redacted(t, find_spans(t, model.value)[1]) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else redacted(t, find_spans(t, model())[1]) for t in texts.to_pylist()], pa.string())
 
     return run(text)
 

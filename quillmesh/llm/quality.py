@@ -1,4 +1,8 @@
-"""Quality rules at host level: document rules, failure rates by host shrunk by a beta prior, and verdicts joined back."""
+"""Quality rules at host level: failures of document rules by host, rates shrunk by a beta prior, verdicts joined back.
+
+Several rules on a document feed its host's failures; only the base rules reject a document by itself. A host is rejected,
+with all its documents, where its posterior rate surely stands out from the rate of all.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,16 @@ from .store import maybe_broadcast, materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A text with more than one symbol for so many words is no prose.
+#: Rules that only feed the host's failures, with the limits that published filters of web text use: more than one symbol for
+#: so many words, words shorter or longer than this on average, and a repeated line for fewer words than this.
 WORDS_A_SYMBOL = 10
+SHORT_WORD, LONG_WORD = 3, 10
+WORDS_A_DUP_LINE = 20
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-#: A host is rejected if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its rate is over that of all documents by more than MARGIN with a probability of 0.999: SURE
+#: standard deviations of its posterior lie above.
+MARGIN, SURE = 0.2, 3.09
 #: Strength, in documents, of the prior where hosts do not differ or there are too few to tell.
 DEFAULT_STRENGTH = 20.0
 
@@ -71,19 +79,23 @@ def count_batches(batches):
 
 
 def base_failed():
-    """The rules on a single document."""
+    """The rules that reject a document by itself."""
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def rule_failed():
-    """base_failed(), and the rule on symbols."""
-    return base_failed() | (WORDS_A_SYMBOL * F.col("n_symbols") > F.col("n_words"))
+    """Whether any rule that feeds the host's failures is broken."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    length = (chars < SHORT_WORD * n) | (chars > LONG_WORD * n)
+    return base_failed() | (WORDS_A_SYMBOL * F.col("n_symbols") > n) | length | (WORDS_A_DUP_LINE * F.col("n_dup_lines") > n)
 
 
 def host_rates(docs: DataFrame, host: str = "host", failed: str = "failed") -> DataFrame:
-    """host, n, n_failed and the failure rate shrunk towards the mean of hosts by a beta prior fitted to their moments.
+    """host, n, n_failed, rate (the failure rate shrunk towards the mean of hosts by a beta prior fitted to their moments),
+    its posterior's standard deviation (spread), the mean, and whether the host stands out.
 
-    The prior's mean is the overall rate, its strength follows from how much host rates vary beyond binomial noise.
+    The prior's mean is the overall rate, its strength follows from how much host rates vary beyond binomial noise. The
+    posterior's tail is taken as a normal one.
     Rows without a host belong to none. No rows give no rows.
     """
     by = docs.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
@@ -103,24 +115,25 @@ def host_rates(docs: DataFrame, host: str = "host", failed: str = "failed") -> D
     strength = F.when((between > 0) & (noise > between), noise / between - 1).otherwise(F.lit(DEFAULT_STRENGTH))
     prior = m.select(F.coalesce("mean", F.lit(0.0)).alias("_mean"), F.greatest(strength, F.lit(1.0)).alias("_strength"))
     # the prior is one row, so each host meets one row
-    return by.join(F.broadcast(prior)).select(host, "n", "n_failed", ((F.col("n_failed") + F.col("_mean") * F.col("_strength")) / (F.col("n") + F.col("_strength"))).alias("rate"))
+    weight = F.col("n") + F.col("_strength")
+    rate = (F.col("n_failed") + F.col("_mean") * F.col("_strength")) / weight
+    rated = by.join(F.broadcast(prior)).select(host, "n", "n_failed", rate.alias("rate"), F.sqrt(rate * (1 - rate) / (weight + 1)).alias("spread"), F.col("_mean").alias("mean"))
+    return rated.withColumn("stands_out", F.col("rate") - SURE * F.col("spread") > F.col("mean") + MARGIN)
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
     """Counts, rule failures, the host's rate and the verdict for each document; `source` is the host.
 
-    rule_failed is base_failed or the rule on symbols; hosts are judged by it.
-
-    A document without a host is judged by its own rules only. Empty and null texts have no words and fail. Repeated
-    rows are judged each; further columns are ignored. A host is rejected only if most of its documents fail, after shrinking.
+    rule_failed feeds the hosts' rates; a document goes by base_failed or with its host. A document without a host is judged
+    by itself only. Empty and null texts have no words and fail. Repeated rows are judged each; further columns are ignored.
     """
     small_batches(docs.sparkSession)
     schema = f"doc_id long, host string, {COUNTS}"
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, schema)
     got = materialise(got.withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed()), "quality")  # a few numbers a document, used twice
-    bad = host_rates(got, failed="rule_failed").where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_bad"), F.col("rate").alias("host_rate"))
+    bad = host_rates(got, failed="rule_failed").where("stands_out").select(F.col("host").alias("_bad"), F.col("rate").alias("host_rate"))
     out = got.join(maybe_broadcast(bad), F.col("host") == F.col("_bad"), "left")
-    return out.withColumn("host_failed", F.col("_bad").isNotNull()).withColumn("kept", ~F.col("rule_failed") & ~F.col("host_failed")).drop("_bad")
+    return out.withColumn("host_failed", F.col("_bad").isNotNull()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_bad")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
@@ -130,18 +143,18 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     got = docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(count_batches, f"doc_id long, host string, {COUNTS}")
-    bad = host_rates(got.withColumn("failed", rule_failed())).where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_qm_bad"))
+    bad = host_rates(got.withColumn("failed", rule_failed())).where("stands_out").select(F.col("host").alias("_qm_bad"))
     passed = docs.withColumn("_qm_keep", passes(F.col("text"))).where("_qm_keep").drop("_qm_keep")
     return passed.join(maybe_broadcast(materialise(bad, "hosts")), F.col("source") == F.col("_qm_bad"), "left_anti")
 
 
 def passes(text):
-    """The single-document rules as a vectorised column."""
+    """The rules that reject a document by itself, as a vectorised column."""
 
     @F.arrow_udf("boolean")
     def run(t: pa.Array) -> pa.Array:
         got = [counts(x) for x in t.to_pylist()]
-        return pa.array([not (g[0] < MIN_WORDS or 100 * g[4] > MAX_REPEAT_PERCENT * g[0] or WORDS_A_SYMBOL * g[2] > g[0]) for g in got], pa.bool_())
+        return pa.array([not (g[0] < MIN_WORDS or 100 * g[4] > MAX_REPEAT_PERCENT * g[0]) for g in got], pa.bool_())
 
     return run(text)
 

@@ -39,33 +39,32 @@ def multiselect(counts: DataFrame, keys: list[str], cuts: int = CUTS, spread: in
     """Points of each group of counts (keys, x, w; one row a value): its least value, the value of rank ceil(k n / cuts) for
     k in 1..cuts, the value of rank ceil(k d / spread) among its d distinct ones, or all of at most `keep`.
 
-    x are integers less than 2 ** 57 apart. No rows give no points.
+    x are integers less than 2 ** 57 apart. Keys are any columns but x, w, least, most, n and names that begin with _. No rows
+    give no points.
     """
-    key = [F.col(c) for c in keys]
-    groups = counts.groupBy(*keys).agg(F.sum("w").alias("n"), F.count("*").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    groups = counts.groupBy(*keys).agg(F.sum("w").alias("n"), F.count("*").alias("_d"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     zero = F.lit(0).cast("long")
-    rows = materialise(counts.join(groups, keys).select(*keys, "x", "w", "n", "d", "lo", "hi", zero.alias("below"), zero.alias("d_below")), "intervals")
+    rows = materialise(counts.join(groups, keys).select(*keys, "x", "w", "n", "_d", "_lo", "_hi", zero.alias("_below"), zero.alias("_d_below")), "intervals")
     ranked = F.sum("w").over(Window.partitionBy(*keys).orderBy("x"))  # of at most `keep` rows
-    points = [rows.where(F.col("d") <= keep).select(*keys, "x", ranked.alias("least"), (ranked - F.col("w")).alias("most"), "n")]
-    rows = rows.where(F.col("d") > keep)
+    points = [rows.where(F.col("_d") <= keep).select(*keys, "x", ranked.alias("least"), (ranked - F.col("w")).alias("most"), "n")]
+    rows = rows.where(F.col("_d") > keep)
     while True:
-        part = F.expr(f"((x - lo) * {1 << STEP}L) div (hi - lo + 1)")
-        rows = rows.withColumn("part", part)
-        inside = rows.groupBy(*keys, "lo", "part").agg(F.sum("w").alias("w"), F.count("*").alias("k"), F.min("x").alias("a"), F.max("x").alias("b"), *[F.max(c).alias(c) for c in ("n", "d", "below", "d_below")])
-        order = Window.partitionBy(*keys, "lo").orderBy("part")  # at most 2 ** STEP rows
-        upto = inside.select(*key, "lo", "part", "a", "b", "n", "d", "w", "k", (F.col("below") + F.sum("w").over(order)).alias("upto"), (F.col("d_below") + F.sum("k").over(order)).alias("d_upto"))
-        upto = upto.select(*key, "lo", "part", "a", "b", "n", "d", "upto", "d_upto", (F.col("upto") - F.col("w")).alias("below"), (F.col("d_upto") - F.col("k")).alias("d_below"))
-        holds = (F.col("below") == 0) | F.expr(f"upto * {cuts} div n > below * {cuts} div n")
+        rows = rows.withColumn("_part", F.expr(f"((x - _lo) * {1 << STEP}L) div (_hi - _lo + 1)"))
+        inside = rows.groupBy(*keys, "_lo", "_part").agg(F.sum("w").alias("w"), F.count("*").alias("_k"), F.min("x").alias("_a"), F.max("x").alias("_b"), *[F.max(c).alias(c) for c in ("n", "_d", "_below", "_d_below")])
+        order = Window.partitionBy(*keys, "_lo").orderBy("_part")  # at most 2 ** STEP rows
+        upto, d_upto = F.col("_below") + F.sum("w").over(order), F.col("_d_below") + F.sum("_k").over(order)
+        inside = inside.select(*keys, "_lo", "_part", "_a", "_b", "n", "_d", upto.alias("_upto"), d_upto.alias("_d_upto"), (upto - F.col("w")).alias("_below"), (d_upto - F.col("_k")).alias("_d_below"))
+        holds = (F.col("_below") == 0) | F.expr(f"_upto * {cuts} div n > _below * {cuts} div n")
         if spread:
-            holds = holds | F.expr(f"d_upto * {spread} div d > d_below * {spread} div d")
-        held = materialise(upto.where(holds), "parts")
-        points.append(held.where("a = b").select(*key, F.col("a").alias("x"), F.col("upto").alias("least"), F.col("below").alias("most"), "n"))
-        held = held.where("a < b")
+            holds = holds | F.expr(f"_d_upto * {spread} div _d > _d_below * {spread} div _d")
+        held = materialise(inside.where(holds), "parts")
+        points.append(held.where("_a = _b").select(*keys, F.col("_a").alias("x"), F.col("_upto").alias("least"), F.col("_below").alias("most"), "n"))
+        held = held.where("_a < _b")
         if not held.limit(1).count():
             break
-        inner = held.select(*key, "lo", "part", "a", "b", F.col("below").alias("_below"), F.col("d_below").alias("_d_below"))
-        rows = rows.drop("below", "d_below").join(inner, [*keys, "lo", "part"])
-        rows = materialise(rows.select(*keys, "x", "w", "n", "d", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("_below").alias("below"), F.col("_d_below").alias("d_below")), "intervals")
+        inner = held.select(*keys, "_lo", "_part", "_a", "_b", F.col("_below").alias("_now"), F.col("_d_below").alias("_d_now"))
+        rows = rows.join(inner, [*keys, "_lo", "_part"])
+        rows = materialise(rows.select(*keys, "x", "w", "n", "_d", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_now").alias("_below"), F.col("_d_now").alias("_d_below")), "intervals")
     return reduce(DataFrame.unionByName, points)
 
 
@@ -82,11 +81,11 @@ def merge(points: DataFrame, keys: list[str], over: list[str]) -> DataFrame:
     by `over` meet in one task: as many summaries as one step combines, each of bounded size.
     """
     within = Window.partitionBy(*keys).orderBy("x")
-    steps = points.select(*keys, "x", "n", (F.col("least") - F.coalesce(F.lag("least").over(within), F.lit(0))).alias("rise"), (F.coalesce(F.lead("most").over(within), F.col("n")) - F.col("most")).alias("ahead"), F.when(F.lag("x").over(within).isNull(), F.struct("n", "most")).alias("start"))
-    at = steps.groupBy(*over, "x").agg(F.sum("rise").alias("rise"), F.sum("ahead").alias("ahead"), F.coalesce(F.sum("start.n"), F.lit(0)).alias("n"), F.coalesce(F.sum("start.most"), F.lit(0)).alias("start"))
+    steps = points.select(*keys, "x", "n", (F.col("least") - F.coalesce(F.lag("least").over(within), F.lit(0))).alias("_rise"), (F.coalesce(F.lead("most").over(within), F.col("n")) - F.col("most")).alias("_ahead"), F.when(F.lag("x").over(within).isNull(), F.struct("n", "most")).alias("_start"))
+    at = steps.groupBy(*over, "x").agg(F.sum("_rise").alias("_rise"), F.sum("_ahead").alias("_ahead"), F.coalesce(F.sum("_start.n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_start.most"), F.lit(0)).alias("_start"))
     group, order = Window.partitionBy(*over), Window.partitionBy(*over).orderBy("x")
-    most = F.sum("start").over(group) + F.sum("ahead").over(order) - F.col("ahead")
-    return at.select(*over, "x", F.sum("rise").over(order).alias("least"), most.alias("most"), F.sum("n").over(group).alias("n"))
+    most = F.sum("_start").over(group) + F.sum("_ahead").over(order) - F.col("_ahead")
+    return at.select(*over, "x", F.sum("_rise").over(order).alias("least"), most.alias("most"), F.sum("n").over(group).alias("n"))
 
 
 def compress(points: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -112,11 +111,11 @@ def answers(points: DataFrame, keys: list[str], parts: int = 10) -> DataFrame:
     farther from its target than that.
     """
     order = Window.partitionBy(*keys).orderBy("x")
-    at = points.select(*keys, "x", "least", "most", "n", F.lag("x").over(order).alias("x_before"), F.coalesce(F.lag("least").over(order), F.lit(0).cast("long")).alias("reached"))
-    each = at.select(*keys, "x", "x_before", "most", "reached", "n", F.explode(_targets(F.col("reached"), F.col("least"), F.col("n"), parts)).alias("i"))
+    at = points.select(*keys, "x", "least", "most", "n", F.lag("x").over(order).alias("_x_before"), F.coalesce(F.lag("least").over(order), F.lit(0).cast("long")).alias("_reached"))
+    each = at.select(*keys, "x", "_x_before", "most", "_reached", "n", F.explode(_targets(F.col("_reached"), F.col("least"), F.col("n"), parts)).alias("i"))
     each = each.withColumn("target", F.expr(f"(i * n + {parts - 1}) div {parts}"))
-    nearer = F.col("x_before").isNotNull() & (F.col("target") - F.col("reached") < F.col("most") + 1 - F.col("target"))
-    return each.select(*keys, F.col("i").cast("int").alias("i"), "n", "target", F.when(nearer, F.col("x_before")).otherwise(F.col("x")).alias("answer"))
+    nearer = F.col("_x_before").isNotNull() & (F.col("target") - F.col("_reached") < F.col("most") + 1 - F.col("target"))
+    return each.select(*keys, F.col("i").cast("int").alias("i"), "n", "target", F.when(nearer, F.col("_x_before")).otherwise(F.col("x")).alias("answer"))
 
 
 def exact(points: DataFrame, keys: list[str], parts: int = 10) -> DataFrame:
