@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sizes import BYTES, ROWS, small
+from .storage import cut
 
 
 def host_of(netloc: Column) -> Column:
@@ -49,34 +50,54 @@ def with_suffix(df: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     return out.select(*df.columns, "suffix", "registered")
 
 
-def first_contained(df: DataFrame, text: str, names: DataFrame, name: str, order: str, out: str) -> DataFrame:
-    """df with column out: the first of names, by order, that column text contains, or null.
+#: Characters of the pieces by which names are found in texts; shorter names are their own piece.
+GRAM = 8
+
+
+def _grams(text: Column, size: int | Column) -> Column:
+    """The distinct pieces of a text with so many characters."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: text.substr(i, F.lit(size) if isinstance(size, int) else size))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def occurrences(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """text and name of every pair in which the text contains the name, each pair once; both tables may be of any size.
 
-    names is a table of any content and at most a broadcast's size, which is checked; each row of df meets each name once.
+    Of a name's pieces, the one that the fewest texts have is its anchor. Texts meet the anchors by equality, and what meets
+    is verified as strings, so no text is held against every name. A piece that no text has rules its name out. Nulls are in
+    no pair; an empty name is in every text.
     """
-    listed = names.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("_names"))
-    hit = F.filter("_names", lambda x: F.col(text).contains(x["n"]))
-    return df.join(_one(listed, names)).withColumn(out, F.get(hit, F.lit(0))["n"]).drop("_names")
+    t = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    n = cut(names.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct().withColumn("size", F.least(F.length("name"), F.lit(GRAM))), "names")
+    sizes = [r[0] for r in n.select("size").distinct().collect()]  # GRAM + 1 at most
+    pieces = t.select("text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), s) for s in sizes if s], F.array().cast("array<string>")))).alias("piece"))
+    # texts have pieces of several sizes, and a piece of a name is one of its own size, so sizes need no comparing
+    named = n.where("size > 0").select("name", F.explode(_grams(F.col("name"), F.col("size"))).alias("piece"))
+    common = pieces.join(small(cut(named.select("piece").distinct(), "pieces")), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    anchors = named.join(common, "piece", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("a")).where("a.n > 0")
+    anchors = small(cut(anchors.select("name", F.col("a.piece").alias("piece")), "anchors"))
+    found = pieces.join(anchors, "piece").where(F.col("text").contains(F.col("name"))).select("text", "name")
+    return found.unionByName(t.withColumn("name", F.lit(""))) if 0 in sizes else found
 
 
-def without_any(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """The rows of df whose column text contains none of names; null texts stay. Sizes as for first_contained()."""
-    listed = names.agg(F.collect_set(name).alias("_names"))
-    return df.join(_one(listed, names)).where(~F.coalesce(F.exists("_names", lambda x: F.col(text).contains(x)), F.lit(False))).drop("_names")
+def first_contained(df: DataFrame, text: str, names: DataFrame, name: str, order: str, out: str) -> DataFrame:
+    """df with column out: the first of names, by order, that column text contains, or null. Tables of any size."""
+    first = names.groupBy(F.col(name).alias("name")).agg(F.min(order).alias("o"))
+    found = occurrences(df, text, names, name).join(first, "name").groupBy("text").agg(F.min(F.struct("o", "name")).alias("r"))
+    best = small(cut(found.select(F.col("text").alias("_text"), F.col("r.name").alias("_first")), "contained"))
+    return df.join(best, F.col(text) == F.col("_text"), "left").drop("_text").withColumnRenamed("_first", out)
 
 
-def within_none(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """The rows of df whose column text occurs in none of names. Sizes as for first_contained()."""
-    listed = names.agg(F.collect_set(name).alias("_names"))
-    return df.join(_one(listed, names)).where(~F.coalesce(F.exists("_names", lambda x: x.contains(F.col(text))), F.lit(False))).drop("_names")
+def without_any(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose column text contains none of names; null texts stay. Tables of any size."""
+    hit = small(cut(occurrences(df, text, names, name).select(F.col("text").alias("_text")).distinct(), "contained"))
+    return df.join(hit, F.col(text) == F.col("_text"), "left_anti")
 
 
-def _one(listed: DataFrame, names: DataFrame, limit: int = 1 << 20) -> DataFrame:
-    """A single row that lists names, broadcast; more than a million bytes of names are an error."""
-    size = names.agg(*[F.sum(F.octet_length(F.col(c).cast("string"))) for c in names.columns]).first()
-    if sum(x or 0 for x in size) > limit:
-        raise ValueError("too many names to hold against every row")
-    return F.broadcast(listed)
+def within_none(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose column text occurs in none of names; null texts stay. Tables of any size."""
+    hit = small(cut(occurrences(names, name, df, text).select(F.col("name").alias("_text")).distinct(), "contained"))
+    return df.join(hit, F.col(text) == F.col("_text"), "left_anti")
 
 
 def decoded(host: str | None) -> str | None:

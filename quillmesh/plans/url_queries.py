@@ -29,7 +29,7 @@ def suffixes(spark):
     return suffix_lines_table(spark).select(*[c.alias(n) for n, c in k.items()]).where("kind IS NOT NULL").distinct()
 
 
-_SUFFIXES = f"""sl AS (SELECT CASE id % 5 WHEN 0 THEN '*.w' || id || '.zone' WHEN 1 THEN '!x.w' || (id - 1) || '.zone' WHEN 2 THEN '// xn--' || id || ' ("made") : XX' ELSE 's' || id || '.b.co' END AS line FROM range({SUFFIXES}) t(id) UNION ALL SELECT * FROM (VALUES {', '.join("('" + x.replace("'", "''") + "')" for x in SUFFIX_LINES)}) v(line)),
+_SUFFIXES = rf"""sl AS (SELECT CASE id % 5 WHEN 0 THEN '*.w' || id || '.zone' WHEN 1 THEN '!x.w' || (id - 1) || '.zone' WHEN 2 THEN '// xn--' || id || ' ("made") : XX' ELSE 's' || id || '.b.co' END AS line FROM range({SUFFIXES}) t(id) UNION ALL SELECT * FROM (VALUES {', '.join("('" + x.replace("'", "''") + "')" for x in SUFFIX_LINES)}) v(line)),
 sk AS (SELECT line, CASE WHEN line LIKE '// xn--%' THEN regexp_extract(line, '^// (\S+)', 1) WHEN line LIKE '//%' THEN NULL WHEN line LIKE '*.%' THEN substr(line, 3) WHEN line LIKE '!%' THEN substr(line, 2) ELSE line END AS suffix,
   CASE WHEN line LIKE '// xn--%' THEN 'punycode' WHEN line LIKE '//%' THEN NULL WHEN line LIKE '*.%' THEN 'wildcard' WHEN line LIKE '!%' THEN 'exception' ELSE 'exact' END AS kind FROM sl)"""
 
@@ -218,7 +218,7 @@ def exclusion_filter(spark, sf_dir):
     return H.without_any(hosts, "netloc", names, "name")
 
 
-@query(f"WITH {_PARTS}, {_PROVIDER_SQL}, hh AS (SELECT DISTINCT regexp_extract(netloc, '([^.]+\.[^.]+)$', 1) AS domain FROM p UNION SELECT lower(replace(c_name, '#', '-')) FROM customer UNION SELECT lower(replace(s_name, '#', '-')) FROM supplier) SELECT domain FROM hh WHERE NOT EXISTS (SELECT 1 FROM pr WHERE contains(provider, domain))")
+@query(rf"WITH {_PARTS}, {_PROVIDER_SQL}, hh AS (SELECT DISTINCT regexp_extract(netloc, '([^.]+\.[^.]+)$', 1) AS domain FROM p UNION SELECT lower(replace(c_name, '#', '-')) FROM customer UNION SELECT lower(replace(s_name, '#', '-')) FROM supplier) SELECT domain FROM hh WHERE NOT EXISTS (SELECT 1 FROM pr WHERE contains(provider, domain))")
 def reverse_substring_anti(spark, sf_dir):
     """Domains that occur in no provider's name."""
     domains = table(spark, sf_dir, "pages").select(F.regexp_extract(U.split(F.col("url"))["netloc"], r"([^.]+\.[^.]+)$", 1).alias("domain"))

@@ -3,7 +3,6 @@
 import html
 import ipaddress
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import url as U
@@ -61,8 +60,26 @@ def test_names_in_hosts(spark):
     assert {r.i for r in H.without_any(d, "h", names, "n").collect()} == {2, 3}
     assert {r.i for r in H.within_none(d, "h", names.withColumn("n", F.lit("x.plain.net")), "n").collect()} == {1, 3}
     assert {r.i for r in H.without_any(d, "h", names.limit(0), "n").collect()} == {1, 2, 3}
-    with pytest.raises(ValueError):
-        H.without_any(d, "h", spark.createDataFrame([("x" * (2 << 20),)], "n string"), "n")
+    assert {r.i for r in H.without_any(d, "h", spark.createDataFrame([("",)], "n string"), "n").collect()} == {3}
+
+
+def test_occurrences_of_any_size(spark):
+    import random
+
+    r = random.Random(2)
+    word = lambda a, b: "".join(r.choice("abcü.") for _ in range(r.randint(a, b)))
+    texts = [(i, word(0, 40) if i % 7 else None) for i in range(300)] + [(1000, "hot.example.org")] * 50
+    names = [(word(0, 12) if i % 9 else None,) for i in range(200)] + [("example",), ("example",), ("longer than any of the texts that are here",)]
+    d, n = spark.createDataFrame(texts, "text int, piece string"), spark.createDataFrame(names, "size string")
+    got = H.occurrences(d, "piece", n, "size")
+    want = sorted({(t, x) for _, t in texts for (x,) in names if t is not None and x is not None and x in t})
+    assert sorted(map(tuple, got.collect())) == want
+    many = spark.range(200_000).select(F.concat(F.lit("provider"), F.col("id"), F.lit(".net")).alias("size"))  # over a megabyte
+    hosts = spark.createDataFrame([(i, f"shop.provider{i}.net") for i in (5, 77_777, 199_999, 200_000)], "i int, h string")
+    found = H.first_contained(hosts, "h", many, "size", "size", "p")
+    assert {x.i: x.p for x in found.collect()} == {5: "provider5.net", 77_777: "provider77777.net", 199_999: "provider199999.net", 200_000: None}
+    for plan in (found, got):
+        assert "NestedLoop" not in (text := plan._jdf.queryExecution().toString()) and "Cartesian" not in text
 
 
 def test_small_sides(spark):
