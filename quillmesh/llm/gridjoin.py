@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmesh.operators.vectors import components, normalise, principal_axes
+from quillmesh.operators.vectors import components, principal_axes
 
 from .batches import by_value, small_batches
 from .store import materialise, maybe_broadcast
@@ -54,6 +54,14 @@ def flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
+def units(batches):
+    """Batches of vectors of one length at unit length."""
+    for batch in batches:
+        if batch.num_rows:
+            u = unit(flat(batch.column(0)).reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * u.shape[1], pa.int32()), pa.array(u.ravel()))], names=["v"])
+
+
 def turned(m: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Coordinates along the axes; vectors of another length than these stay as they are."""
     return m @ axes.T if m.shape[1] == axes.shape[1] else m
@@ -225,8 +233,7 @@ def near_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding", l
     if not common:
         return df.select(F.col(id), F.lit(0).cast("long").alias("n_links"), F.col(id).alias("component_id"), F.lit(True).alias("kept"))
     d, eps2 = common[0].d, 2 - 2 * cosine
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    mean, axes = principal_axes(reps.where(F.size("v") == d).select(normalise(F.transform("v", lambda x: x.cast("double") / largest)).alias("v")), "v", d)
+    mean, axes = principal_axes(reps.where(F.size("v") == d).select("v").mapInArrow(units, "v array<double>"), "v", d)
     schema = T.StructType([*reps.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
     order = ["g", "cells", "h1"]
     placed = materialise(reps.mapInArrow(placer(mean, axes, CELL * math.sqrt(eps2)), schema), "placed").repartitionByRange(*order).sortWithinPartitions(*order)
