@@ -43,6 +43,7 @@ def multiselect(counts: DataFrame, keys: list[str], cuts: int = CUTS, spread: in
     give no points.
     """
     groups = counts.groupBy(*keys).agg(F.sum("w").alias("n"), F.count("*").alias("_d"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    groups = materialise(groups, "groups")  # so that the join below deals both its sides, and can split a hot group
     zero = F.lit(0).cast("long")
     rows = materialise(counts.join(groups, keys).select(*keys, "x", "w", "n", "_d", "_lo", "_hi", zero.alias("_below"), zero.alias("_d_below")), "intervals")
     ranked = F.sum("w").over(Window.partitionBy(*keys).orderBy("x"))  # of at most `keep` rows
