@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.streaming import retries as T
 from quillmesh.streaming import visits as S
 
+from .extra_queries import ORACLE_SQL as EXTRA_SQL
 from .registry import query, table
 from .relational_queries import ORACLE_SQL
 
 
+def stream_of(spark, sf_dir, name):
+    """A table as a stream; a pattern, as a stream takes a folder or files that match one."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 @query(ORACLE_SQL["visit_state"])
 def stream_visit_state(spark, sf_dir):
     """The state of each key from a stream of its visits; the same rows as the batch fold."""
@@ -17,3 +24,12 @@ def stream_visit_state(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).parquet(path).select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
     return S.run_to_end(spark, S.visit_states(e)).drop("seen")
+
+
+@query(EXTRA_SQL["spaced_retries"])
+def stream_retries(spark, sf_dir):
+    """Attempts of each key from a stream with timers; the same rows as the batch fold, `spaced_retries`."""
+    e = stream_of(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    with T.rocks(spark):
+        events = S.drained(spark, T.retries(e, "user_id", "ts", "failed", wait_ms=5 * 3_600_000, keep_ms=10_000 * 86_400_000))
+    return T.outcomes(events, "user_id")

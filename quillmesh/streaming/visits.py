@@ -47,16 +47,21 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def run_to_end(spark: SparkSession, states: DataFrame, key: str = "user_id", order: str = "seen") -> DataFrame:
-    """All that is available now, folded; the newest state of each key. Batches are written under their number, so a repeated
-    batch replaces itself.
+def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All rows that a stream gives until what is available now is read. Batches are written under their number, so a batch
+    that is repeated after a failure replaces itself; with a folder, a later call goes on from there and gives all rows so far.
     """
     import uuid
 
-    at = f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
-    q = states.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
+    at = folder or f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     q.awaitTermination()
-    out = spark.read.schema(states.schema).parquet(f"{at}/out/batch=*")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*")
+
+
+def run_to_end(spark: SparkSession, states: DataFrame, key: str = "user_id", order: str = "seen") -> DataFrame:
+    """All that is available now, folded; the newest state of each key."""
+    out = drained(spark, states)
     rest = [c for c in out.columns if c != key]
     return out.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
