@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from quillmesh.streaming import retries as T
 from quillmesh.streaming import visits as S
 
-from .extra_queries import ORACLE_SQL as EXTRA_SQL
-from .registry import query, table
-from .relational_queries import ORACLE_SQL
+from . import extra_queries, relational_queries  # noqa: F401  (their SQL holds for streams, too)
+from .registry import ORACLE_SQL, query, table
 
 
 def stream_of(spark, sf_dir, name):
@@ -26,7 +25,7 @@ def stream_visit_state(spark, sf_dir):
     return S.run_to_end(spark, S.visit_states(e)).drop("seen")
 
 
-@query(EXTRA_SQL["spaced_retries"])
+@query(ORACLE_SQL["spaced_retries"])
 def stream_retries(spark, sf_dir):
     """Attempts of each key from a stream with timers; the same rows as the batch fold, `spaced_retries`."""
     e = stream_of(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
