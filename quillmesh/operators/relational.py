@@ -63,6 +63,19 @@ def fold_visits(visits: DataFrame, key: str, at: list[str], failed: Column) -> D
     )
 
 
+def fold_states(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """States as of fold_visits() of all visits, from those of earlier visits and those of later ones."""
+    o, n = lambda c: F.col(f"o.{c}"), lambda c: F.col(f"n.{c}")
+    reached = n("first_online").isNotNull()
+    return old.alias("o").join(new.alias("n"), key, "full").select(
+        key,
+        F.when(reached, n("offline_count")).otherwise(F.coalesce(o("offline_count"), F.lit(0)) + F.coalesce(n("offline_count"), F.lit(0))).alias("offline_count"),
+        F.coalesce(o("first_online"), n("first_online")).alias("first_online"),
+        F.when(reached, n("first_offline")).otherwise(F.coalesce(o("first_offline"), n("first_offline"))).alias("first_offline"),
+        F.coalesce(n("last_updated"), o("last_updated")).alias("last_updated"),
+    )
+
+
 def update_from(target: DataFrame, values: DataFrame, keys: list[str], columns: list[str], only_null: bool = True) -> DataFrame:
     """target with columns taken from the row of values with equal keys, where they are null (or wherever there is such a row).
 
