@@ -173,4 +173,37 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+#: Parts into which the edges of a hub are dealt.
+HUB_PARTS = 8
+
+
+def ways(edges: DataFrame, starts: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """doc, node, depth and way (the nodes from a start on) of what the starts (doc, node) of many graphs lead to by edges
+    (doc, src, dst): of a node's shortest ways the least one. One search runs over all graphs, a round for each depth.
+
+    With goals (doc, node) a graph is left once all of its goals are found, or its frontier is empty. Edges are dealt by a
+    part of their other end, too, so a hub's are met by several tasks. Rows with nulls are no edges, starts or goals.
+    """
+    from .storage import cut
+
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(HUB_PARTS)).cast("int")
+    dealt = cut(edges.select("doc", "src", "dst").where("doc IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("part", part("dst")), "edges")
+    front = starts.select("doc", "node").where("doc IS NOT NULL AND node IS NOT NULL").distinct()
+    front = seen = cut(front.select("doc", "node", F.lit(0).alias("depth"), F.array("node").alias("way")), "ways")
+    left = None if goals is None else cut(goals.select("doc", "node").where("doc IS NOT NULL AND node IS NOT NULL").distinct(), "goals")
+    depth = 0
+    while True:
+        if left is not None:
+            left = cut(left.join(front.select("doc", "node"), ["doc", "node"], "left_anti"), "goals")
+            front = front.join(left.select("doc").distinct(), "doc", "left_semi")
+        depth += 1
+        each = front.select("doc", F.col("node").alias("src"), "way", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
+        step = each.join(dealt, ["doc", "src", "part"]).groupBy("doc", F.col("dst").alias("node")).agg(F.min("way").alias("way"))
+        step = step.join(seen.select("doc", "node"), ["doc", "node"], "left_anti")
+        front = cut(step.select("doc", "node", F.lit(depth).alias("depth"), F.concat("way", F.array("node")).alias("way")), "front")
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front) if depth % 8 else cut(seen.unionByName(front), "ways")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

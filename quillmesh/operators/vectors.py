@@ -168,7 +168,7 @@ def principal_axes(df: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray,
     n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
     cov = gram[1:, 1:] / n - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k].T
-    return mean, axes * np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])[:, None]
+    return mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
 
 
 def projected(df: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, names: tuple[str, ...] = ("x", "y")) -> DataFrame:

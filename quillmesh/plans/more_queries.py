@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import reports as J
 from quillmesh.operators import relational as R
 from quillmesh.operators import resolve as C
+from quillmesh.operators import sampling
 from quillmesh.operators import search as S
 from quillmesh.operators import vectors as V
 
@@ -288,6 +289,31 @@ def balanced_batch(spark, sf_dir):
     return R.first_per(table(spark, sf_dir, "part").select("p_type", "p_brand", "p_partkey"), ["p_type", "p_brand"], [R.draw(F.col("p_partkey"))], 3)
 
 
+_DRAW = "('0x' || substr(md5({} || '|7'), 1, 13))::BIGINT"
+
+
+@query(f"SELECT kind, item_id, price FROM items WHERE price > 0 AND item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY -ln(({_DRAW.format('item_id::VARCHAR')} + 0.5) / 4503599627370496.0) / price, item_id) <= 20")
+def weighted_picks(spark, sf_dir):
+    """Twenty items of each kind, the dearer the likelier."""
+    return sampling.weighted_sample(table(spark, sf_dir, "items").select("kind", "item_id", "price"), ["kind"], "item_id", "price", 20)
+
+
+#: Subclasses and rows in a batch of the epoch.
+CLASSES, BATCH_ROWS = 8, 32
+
+
+@query(f"""WITH r AS (SELECT brand, item_id, row_number() OVER (PARTITION BY brand ORDER BY md5(item_id || '|7'), item_id) - 1 AS i, count(*) OVER (PARTITION BY brand) AS n FROM items WHERE brand IS NOT NULL AND item_id IS NOT NULL),
+s AS (SELECT brand, n, row_number() OVER (ORDER BY md5(brand || '|7'), brand) - 1 AS place, count(*) OVER () AS s FROM (SELECT DISTINCT brand, n FROM r)),
+b AS (SELECT unnest(range(0, (SELECT count(*) FROM r) // {BATCH_ROWS})) AS batch), t AS (SELECT batch, stratum, any_value.s FROM b, range(0, {CLASSES}) x(stratum), (SELECT max(s) AS s FROM s) any_value),
+p AS (SELECT batch, stratum, stratum * s // {CLASSES} AS low, (stratum + 1) * s // {CLASSES} AS high FROM t),
+q AS (SELECT batch, stratum, low + {_DRAW.format("batch || '|' || stratum")} % (high - low) AS place FROM p),
+f AS (SELECT batch, stratum, brand, n, {_DRAW.format("batch || '|' || stratum || '|row'")} % n AS first FROM q JOIN s USING (place))
+SELECT batch, (stratum * {BATCH_ROWS // CLASSES} + j)::INT AS slot, f.brand AS label, item_id AS key FROM f, range(0, {BATCH_ROWS // CLASSES}) y(j) JOIN r ON r.brand = f.brand AND r.i = (first + j) % f.n""")
+def epoch_batches(spark, sf_dir):
+    """An epoch of batches, each with as many items of eight different brands."""
+    return sampling.balanced_batches(table(spark, sf_dir, "items"), "brand", "item_id", CLASSES, BATCH_ROWS)
+
+
 @query("SELECT DISTINCT r_name, n_name FROM region, nation WHERE n_regionkey = r_regionkey AND n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey IN (SELECT c_nationkey FROM customer)")
 def shared_nations(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import url as U
 from quillmesh.operators import pdf_features as P
+from quillmesh.operators import resolve
+from quillmesh.operators.storage import cut
 from quillmesh.sources import pdf, pdf_layout, pdf_paths
 
 from .registry import query, table
@@ -150,6 +152,18 @@ def pdf_edges(spark, sf_dir):
     return _id(P.edges(pdf.objects(written(spark, sf_dir))))
 
 
+@query(f"""WITH RECURSIVE {_OBJECTS}, edge AS (SELECT doc, id AS src, unnest(refs) AS dst FROM newest), root AS (SELECT doc, id FROM newest WHERE tag = '/Catalog'),
+walk(doc, node, way) AS (SELECT doc, id, [id] FROM root UNION ALL SELECT w.doc, e.dst, list_append(w.way, e.dst) FROM walk w JOIN edge e ON e.doc = w.doc AND e.src = w.node WHERE NOT list_contains(w.way, e.dst))
+SELECT doc, node, len(w) - 1 AS depth, array_to_string(w, ' ') AS way FROM (SELECT doc, node, min_by(way, (len(way), way)) AS w FROM walk GROUP BY 1, 2)""")
+def pdf_ways(spark, sf_dir):
+    """The first shortest way from each file's catalog to each object, by one search over all files' graphs."""
+    objects = cut(P.newest(pdf.objects(written(spark, sf_dir))), "objects")
+    roots = objects.where("tag = '/Catalog'").select(F.col("path").alias("doc"), F.col("id").alias("node"))
+    edges = objects.select(F.col("path").alias("doc"), F.col("id").alias("src"), F.explode("refs").alias("dst"))
+    found = resolve.ways(edges, roots).withColumnRenamed("doc", "path")
+    return _id(found.withColumn("way", F.array_join("way", " ")))
+
+
 @query(f"WITH {_OBJECTS}, x AS (SELECT doc, list(id || ' [label=\"' || id || ' ' || coalesce(tag, kind) || '\"];' || array_to_string(list_transform(refs, lambda r: '{chr(10)}  ' || id || ' -> ' || r || ';'), '') ORDER BY id) AS a FROM newest GROUP BY 1) SELECT doc, md5('digraph {{{chr(10)}  ' || array_to_string(a, '{chr(10)}  ') || '{chr(10)}}}') AS dot FROM x")
 def pdf_graph(spark, sf_dir):
     """Each file's graph in the dot language, as its digest."""

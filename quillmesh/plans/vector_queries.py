@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.operators import incremental, lsh
 from quillmesh.operators import vectors as V
 from quillmesh.operators.sizes import small
 from quillmesh.operators.storage import cut
@@ -49,3 +50,29 @@ near AS (SELECT p.b AS id, min(p.a) AS c FROM p JOIN core ON core.id = p.a GROUP
 SELECT vec_id, l.id IS NOT NULL AS core, coalesce(l.cluster, l2.cluster, -1) AS cluster FROM embeddings LEFT JOIN l ON l.id = vec_id LEFT JOIN near ON near.id = vec_id LEFT JOIN l l2 ON l2.id = near.c""")
 def dbscan_labels(spark, sf_dir):
     return V.dbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS, MIN_POINTS)
+
+
+#: Vectors near one another: every GROUP neighbours by number lie around the first of them.
+GROUP, SPREAD, NEAR = 25, 0.1, 0.25
+_PLANTED = f"a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), planted AS (SELECT x.vec_id, list_transform(list_zip(a.v, x.v), lambda p: p[1] + {SPREAD} * p[2]) AS v FROM a x JOIN a ON a.vec_id = x.vec_id - x.vec_id % {GROUP})"
+
+
+def planted(spark, sf_dir):
+    """vec_id and v: embeddings drawn together around the first of each GROUP."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    first = e.where(F.col("vec_id") % GROUP == 0).select(F.col("vec_id").alias("at"), F.col("e").alias("anchor"))
+    return e.join(first, F.col("vec_id") - F.col("vec_id") % GROUP == F.col("at")).select("vec_id", F.zip_with("anchor", "e", lambda a, x: a + F.lit(SPREAD) * x).alias("v"))
+
+
+@query(f"WITH {_PLANTED} SELECT x.vec_id AS a, y.vec_id AS b, round(list_distance(x.v, y.v), 6) AS distance FROM planted x JOIN planted y ON x.vec_id < y.vec_id AND list_distance(x.v, y.v) <= {NEAR}")
+def lsh_pairs(spark, sf_dir):
+    """Near pairs by hashing, with so many tables that a pair is lost once in a million."""
+    found = lsh.lsh_join(cut(planted(spark, sf_dir), "planted"), "vec_id", "v", NEAR, recall=1 - 1e-6)
+    return found.select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_PLANTED}, n AS (SELECT vec_id - vec_id % {GROUP} AS g, min(vec_id) AS least, count(*) AS n FROM planted GROUP BY 1) SELECT vec_id, CASE WHEN n >= {MIN_POINTS} THEN least ELSE -1 END AS cluster FROM planted JOIN n ON g = vec_id - vec_id % {GROUP}")
+def batch_clusters(spark, sf_dir):
+    """Clusters found over at least four batches; the groups lie apart, so they are those of one run."""
+    p = cut(planted(spark, sf_dir), "planted")
+    return incremental.batch_clusters(p, "vec_id", "v", NEAR, MIN_POINTS, batch=max(100, -(-p.count() // 4)))
