@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quillmesh.functions import variants
+from quillmesh.operators.storage import shared_root
+from quillmesh.sources.queue import StreamQueue
+
 from quillmesh.streaming import retries as T
 from quillmesh.streaming import visits as S
 
@@ -32,3 +38,37 @@ def stream_retries(spark, sf_dir):
     with T.rocks(spark):
         events = S.drained(spark, T.retries(e, "user_id", "ts", "failed", wait_ms=5 * 3_600_000, keep_ms=10_000 * 86_400_000))
     return T.outcomes(events, "user_id")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, (SELECT count(*) FROM events) AS seen, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed FROM events GROUP BY 1")
+def stream_progress(spark, sf_dir):
+    """Counts by kind, with the counters that were taken while the stream ran."""
+    e = stream_of(spark, sf_dir, "events").select("user_id", "event_type")
+    rows, counters = S.metered(spark, e, {"seen": F.count("*"), "failed": F.count_if(F.col("event_type") == "error")})
+    total = {name: sum(c[name] for c in counters) for name in ("seen", "failed")}
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select("*", *[F.lit(v).alias(k) for k, v in total.items()])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 1 THEN 'first' ELSE 'second' END AS since, c_custkey % 5 = 0 AS done FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 2 = 0")
+def queue_stream(spark, sf_dir):
+    """Customers that overlapping pushes brought into a queue, one of them repeated, as two runs of a stream took them out."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    at = f"{shared_root(spark)}/quillmesh/queue-{uuid.uuid4().hex}"
+    q = StreamQueue(spark, at, "c_custkey long, c_name string", ["c_custkey"])
+    one, two = c.where("c_custkey % 3 <> 1"), c.where("c_custkey % 2 = 0")
+    q.push(one.unionByName(one), "first")
+    S.drained(spark, q.stream(), f"{at}/worker")
+    for run in ("second", "first", "second"):
+        q.push(two if run == "second" else one, run)
+    taken = S.drained(spark, q.stream(), f"{at}/worker")
+    q.finish(taken.where("c_custkey % 5 = 0"), "fifth")
+    return taken.join(q.waiting().select("c_custkey", F.lit(False).alias("_w")), "c_custkey", "left").select("c_custkey", "since", F.coalesce("_w", F.lit(True)).alias("done"))
+
+
+@query("""WITH j AS (SELECT click_id, props::JSON AS p FROM clicks WHERE json_valid(props)),
+x AS (SELECT j.click_id, regexp_replace(replace(substr(fullkey, 3), '"', ''), '\\[\\d+\\]', '[]', 'g') AS path, type, atom FROM j, json_tree(j.p) WHERE type NOT IN ('OBJECT', 'ARRAY') AND fullkey <> '$')
+SELECT path, count(*) AS n, count(DISTINCT click_id) AS clicks, min(json_extract_string(atom, '$')) AS least, max(json_extract_string(atom, '$')) AS most FROM x GROUP BY path""")
+def click_labels(spark, sf_dir):
+    """Every label in the clicks' properties, known ahead or not; broken JSON has none."""
+    found = variants.labels(table(spark, sf_dir, "clicks").select("click_id", "props"), "props", ["click_id"])
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("click_id").alias("clicks"), F.min("value").alias("least"), F.max("value").alias("most"))

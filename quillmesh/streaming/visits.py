@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -51,12 +51,31 @@ def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None) -
     """All rows that a stream gives until what is available now is read. Batches are written under their number, so a batch
     that is repeated after a failure replaces itself; with a folder, a later call goes on from there and gives all rows so far.
     """
+    at = folder or _fresh(spark)
+    _run(stream, at)
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*")
+
+
+def _fresh(spark: SparkSession) -> str:
     import uuid
 
-    at = folder or f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
+
+
+def _run(stream: DataFrame, at: str):
     q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*")
+    return q
+
+
+def metered(spark: SparkSession, stream: DataFrame, counters: dict[str, Column], folder: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """drained(), and for each trigger that had rows its number and counters, aggregates that are taken as the rows pass by:
+    no pass of its own is made for them, and nothing but the numbers comes to the driver.
+    """
+    at = folder or _fresh(spark)
+    q = _run(stream.observe("counters", *[c.alias(n) for n, c in counters.items()]), at)
+    seen = {p["batchId"]: p["observedMetrics"]["counters"].asDict() for p in q.recentProgress if p["observedMetrics"].get("counters")}
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*"), [{"batch": n} | c for n, c in sorted(seen.items())]
 
 
 def run_to_end(spark: SparkSession, states: DataFrame, key: str = "user_id", order: str = "seen") -> DataFrame:
