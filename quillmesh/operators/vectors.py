@@ -38,22 +38,29 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-#: Centers in a block that a vector meets at once.
-CENTERS = 256
+#: Centers in a block that a vector meets at once, blocks that are broadcast or make a key, and parts of a key.
+CENTERS, TOGETHER, PARTS = 256, 64, 64
 
 
 def nearest(df: DataFrame, key: str, vector: str, centers: DataFrame, id: str, center: str) -> DataFrame:
     """key, nearest (the id of the nearest center, the least of equals) and its distance.
 
-    Centers are dealt into blocks of about CENTERS; every vector meets every block, by broadcast if they are few, and the
-    best of the blocks stays. Only one row a vector and block is ever made.
+    Centers are dealt into blocks of about CENTERS, and every vector meets every block once, as that is what nearest asks
+    for. A few blocks go to all vectors by broadcast; of more, TOGETHER make a key, and vectors are dealt to each key and a
+    part of it, so it is an equi-join without a large task.
     """
     blocks = max(1, -(-centers.count() // CENTERS))
     listed = centers.select(F.pmod(F.xxhash64(id), F.lit(blocks)).alias("_b"), F.struct(F.col(id).alias("id"), F.col(center).alias("c")).alias("x"))
-    listed = cut(listed.groupBy("_b").agg(F.array_sort(F.collect_list("x")).alias("_all")), "centers").drop("_b")
+    listed = cut(listed.groupBy("_b").agg(F.array_sort(F.collect_list("x")).alias("_all")), "centers")
     best = F.array_min(F.transform("_all", lambda x: F.struct(distance(F.col(vector), x["c"]).alias("d"), x["id"].alias("id"))))
-    side = F.broadcast(listed) if blocks * CENTERS <= 1 << 14 else listed
-    met = df.select(key, vector).crossJoin(side).select(key, best.alias("b"))
+    v = df.select(key, vector)
+    if blocks <= TOGETHER:
+        met = v.crossJoin(F.broadcast(listed))
+    else:
+        keys = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        v = v.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).withColumn("_key", keys(-(-blocks // TOGETHER)))
+        met = v.join(listed.withColumn("_key", F.floor(F.col("_b") / TOGETHER)).withColumn("_part", keys(PARTS)), ["_key", "_part"])
+    met = met.select(key, best.alias("b"))
     if blocks > 1:
         met = met.groupBy(key).agg(F.min("b").alias("b"))
     return met.select(key, F.col("b.id").alias("nearest"), F.col("b.d").alias("distance"))

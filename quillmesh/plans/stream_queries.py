@@ -10,6 +10,7 @@ from quillmesh.functions import variants
 from quillmesh.operators.storage import shared_root
 from quillmesh.sources.queue import StreamQueue
 
+from quillmesh.streaming import passes
 from quillmesh.streaming import retries as T
 from quillmesh.streaming import visits as S
 
@@ -72,3 +73,18 @@ def click_labels(spark, sf_dir):
     """Every label in the clicks' properties, known ahead or not; broken JSON has none."""
     found = variants.labels(table(spark, sf_dir, "clicks").select("click_id", "props"), "props", ["click_id"])
     return found.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("click_id").alias("clicks"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate AS at, o_orderkey % 3 = 0 AS ok, 'direct' AS source FROM orders), r AS (SELECT o_orderkey, o_orderdate + INTERVAL 30 MINUTE AS at, true AS ok, 'rescan' AS source FROM orders WHERE o_orderkey % 2 = 0)
+SELECT d.o_orderkey, coalesce(r.at, d.at) AS at, coalesce(r.ok, d.ok) AS ok, coalesce(r.source, d.source) AS source FROM d LEFT JOIN r ON r.o_orderkey = d.o_orderkey AND NOT d.ok WHERE d.at < (SELECT max(o_orderdate) - INTERVAL 1 DAY FROM orders)""")
+def stream_two_pass(spark, sf_dir):
+    """Orders as results of a scan and of a later one, joined as they arrive; those of the last day still wait."""
+    o = stream_of(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    direct = o.select("o_orderkey", "at", (F.col("o_orderkey") % 3 == 0).alias("ok"), F.lit("direct").alias("source"))
+    again = stream_of(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 MINUTES")).alias("at")).where("o_orderkey % 2 = 0")
+    rescan = again.select("o_orderkey", "at", F.lit(True).alias("ok"), F.lit("rescan").alias("source"))
+    out = S.drained(spark, passes.two_pass(direct, rescan, "o_orderkey", "at", "ok"), mode="append")
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("m"))  # one row
+    start = F.col("at") - F.when(F.col("second"), F.expr("INTERVAL 30 MINUTES")).otherwise(F.expr("INTERVAL 0 MINUTES"))
+    out = out.join(F.broadcast(last), start.cast("timestamp_ntz") < F.col("m") - F.expr("INTERVAL 1 DAY"))
+    return out.select("o_orderkey", F.col("at").cast("timestamp_ntz").alias("at"), "ok", "source")

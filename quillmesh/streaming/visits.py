@@ -47,12 +47,12 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None, mode: str = "update") -> DataFrame:
     """All rows that a stream gives until what is available now is read. Batches are written under their number, so a batch
     that is repeated after a failure replaces itself; with a folder, a later call goes on from there and gives all rows so far.
     """
     at = folder or _fresh(spark)
-    _run(stream, at)
+    _run(stream, at, mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*")
 
 
@@ -62,8 +62,8 @@ def _fresh(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/quillmesh/stream-{uuid.uuid4().hex}"
 
 
-def _run(stream: DataFrame, at: str):
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
+def _run(stream: DataFrame, at: str, mode: str = "update"):
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
     q.awaitTermination()
     return q
 

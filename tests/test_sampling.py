@@ -122,3 +122,16 @@ def test_ways(spark, monkeypatch):
     goals = spark.createDataFrame([(9, 3), (7, 2), (7, 4)], "doc int, node int")
     some = {(r.doc, r.node): r.depth for r in resolve.ways(e, s, goals).collect()}
     assert some[9, 3] == 1 and some[7, 4] == 4 and (7, 6) not in some and (9, 101) not in some
+
+
+def test_nearest_of_many_centers(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CENTERS", 4)
+    monkeypatch.setattr(vectors, "TOGETHER", 3)
+    rng = np.random.default_rng(1)
+    centers, points = rng.normal(size=(50, 3)), rng.normal(size=(80, 3))
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centers)], "cid long, c array<double>")
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, v array<double>")
+    got = vectors.nearest(p, "id", "v", c, "cid", "c")
+    d = np.sqrt(((points[:, None] - centers[None]) ** 2).sum(-1))
+    assert {r.id: r.nearest for r in got.collect()} == dict(enumerate(d.argmin(axis=1).tolist()))
+    assert "Cartesian" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan

@@ -53,3 +53,46 @@ def test_retries_by_the_clock(spark, tmp_path):
     finally:
         q.stop()
     assert {(1, "seen", 1), (1, "due", 2)} <= {(r.key, r.event, r.attempt) for r in spark.read.parquet(out).collect()}
+
+
+def test_second_pass_joins_as_it_arrives(spark, tmp_path):
+    from quillmesh.streaming import passes
+
+    t0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    schema = "k long, at timestamp, ok boolean, s string"
+    for name in ("direct", "rescan"):
+        (tmp_path / name).mkdir()
+    streams = [spark.readStream.schema(schema).parquet(str(tmp_path / name)) for name in ("direct", "rescan")]
+
+    def step(direct, rescan):
+        for name, rows in (("direct", direct), ("rescan", rescan)):
+            data = [(k, t0 + datetime.timedelta(minutes=m), ok, name) for k, m, ok in rows]
+            spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        out = S.drained(spark, passes.two_pass(*streams, "k", "at", "ok"), str(tmp_path / "state"), "append")
+        return sorted((r.k, r.s, r.ok) for r in out.collect())
+
+    got = step([(1, 0, True), (2, 0, False), (3, 1, False), (2, 1, False), (4, 1, None)], [(1, 5, True), (3, 9, False)])
+    assert (1, "direct", True) in got and (3, "rescan", False) in got and not any(k == 2 for k, _, _ in got)
+    got = step([(9, 20, True)], [(2, 21, True)])
+    assert (2, "rescan", True) in got and not any(k == 4 for k, _, _ in got)
+    got = step([(9, 300, True)], [(8, 300, True)])
+    assert got == [(1, "direct", True), (2, "rescan", True), (3, "rescan", False), (4, "direct", None), (9, "direct", True), (9, "direct", True)]
+
+
+def test_failed_writes_go_aside(spark, tmp_path):
+    from quillmesh.streaming import passes
+
+    calls = []
+
+    def write(df, n):
+        calls.append(n)
+        if n == 1 or len(calls) == 1:
+            raise OSError("no room")
+        df.write.mode("overwrite").parquet(str(tmp_path / f"out/{n}"))
+
+    run = passes.saved(write, str(tmp_path / "aside"), retries=1)
+    for n in (0, 1, 1):
+        run(spark.range(3), n)
+    assert calls == [0, 0, 1, 1, 1, 1] and spark.read.parquet(str(tmp_path / "out/0")).count() == 3
+    aside = spark.read.parquet(str(tmp_path / "aside")).collect()
+    assert len(aside) == 3 and {(r.batch, r.error) for r in aside} == {(1, "no room")}
