@@ -385,8 +385,11 @@ def unit_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(size(F.col("embedding")), 4).alias("length"), F.round(size(V.normalise(long)), 6).alias("unit"))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id // 64 AS batch FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, a.v AS av, a.label, a.batch, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.id < b.id),
-l AS (SELECT p.a, p.b, n.id, p.d - list_distance(p.av, n.v) ** 2 + 0.2 AS loss FROM p JOIN e n ON n.batch = p.batch AND n.label <> p.label)
+_LOSSES = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, vec_id // 64 AS batch FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, a.v AS av, a.label, a.batch, list_distance(a.v, b.v) ** 2 AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.id < b.id),
+l AS (SELECT p.a, p.b, n.id, p.d - list_distance(p.av, n.v) ** 2 + 0.2 AS loss FROM p JOIN e n ON n.batch = p.batch AND n.label <> p.label)"""
+
+
+@query(f"""{_LOSSES}
 SELECT count(*) AS triplets, round(sum(loss), 3) AS loss FROM l WHERE loss > 0""")
 def all_triplets(spark, sf_dir):
     """Every triplet of a training batch whose loss is above zero."""
@@ -394,6 +397,35 @@ def all_triplets(spark, sf_dir):
     return C.mine_triplets(e, 0.2, "all").where("negative IS NOT NULL").agg(F.count("*").alias("triplets"), F.round(F.sum("loss"), 3).alias("loss"))
 
 
+def _mined(spark, sf_dir, rule, within):
+    """How many pairs of training batches get a triplet by a rule, that each has one, and that its loss is of the rule's kind."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", F.floor(F.col("vec_id") / 64).alias("batch"))
+    t = C.mine_triplets(e, 0.2, rule).where("negative IS NOT NULL")
+    return t.groupBy("anchor", "positive").agg(F.count("*").alias("picked"), F.bool_and(within(F.col("loss"))).alias("fits"))
+
+
+@query(f"{_LOSSES} SELECT a AS anchor, b AS positive, 1::BIGINT AS picked, true AS fits FROM l WHERE loss > 0 GROUP BY ALL")
+def random_triplets(spark, sf_dir):
+    """One triplet for each pair that has any with a loss above zero, drawn among them."""
+    return _mined(spark, sf_dir, "random", lambda loss: loss > 0)
+
+
+@query(f"{_LOSSES} SELECT a AS anchor, b AS positive, 1::BIGINT AS picked, true AS fits FROM l WHERE loss > 0 AND loss < 0.2 GROUP BY ALL")
+def semihard_triplets(spark, sf_dir):
+    """One triplet for each pair that has any whose negative is farther than the positive, by less than the margin."""
+    return _mined(spark, sf_dir, "semihard", lambda loss: (loss > 0) & (loss < 0.2))
+
+
+@query("""WITH k AS (SELECT client_id, list_sort(list(DISTINCT kind)) AS kinds FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL GROUP BY 1)
+SELECT c.client_id, array_to_string(list_sort(list_intersect(a.kinds, b.kinds)), ',') AS both_kinds, list_has_all(a.kinds, b.kinds) AS has_all FROM clients c JOIN k a ON a.client_id = c.client_id JOIN k b ON b.client_id = c.master_id""")
+def kind_sets(spark, sf_dir):
+    """Kinds of clicks that a client and its master share, and whether the client has all of the master's."""
+    k = table(spark, sf_dir, "clicks").where("client_id IS NOT NULL AND kind IS NOT NULL").groupBy("client_id").agg(F.collect_set("kind").alias("kinds"))
+    c = table(spark, sf_dir, "clients").select("client_id", "master_id")
+    met = c.join(k, "client_id").join(k.select(F.col("client_id").alias("master_id"), F.col("kinds").alias("theirs")), "master_id")
+    return met.select("client_id", F.array_join(F.array_sort(F.array_intersect("kinds", "theirs")), ",").alias("both_kinds"), (F.size(F.array_except("theirs", "kinds")) == 0).alias("has_all"))
+
+
 @query("SELECT page_id, member, md5(url || '|' || member) AS body FROM pages, (SELECT unnest(['job.json', 'bodies.zip/body.txt', 'log.json']) AS member)")
 def archive_members(spark, sf_dir):
     """Members of zip archives made of pages, one of them an archive itself and one packed by gzip."""
