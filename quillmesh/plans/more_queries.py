@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import reports as J
+from quillmesh.functions.url import split
 from quillmesh.operators import relational as R
 from quillmesh.operators import resolve as C
 from quillmesh.operators import sampling
@@ -14,7 +15,7 @@ from quillmesh.operators import vectors as V
 from quillmesh.sources.files import suffix_kind
 
 from .registry import query, table
-from .url_queries import _SUFFIXES, suffix_lines_table
+from .url_queries import _PARTS, _SUFFIXES
 from .vector_queries import EPS, MIN_POINTS
 
 @query("""SELECT p_partkey, n, CASE WHEN p_partkey % 3 = 0 THEN 'cpe:2.3:a:x:' || replace(p_name, ' ', '_') || ':' || p_size || '.' || n END AS cpe, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_size END AS title, CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'http://v/' || p_partkey END AS vendor, CASE WHEN p_partkey % 3 = 0 THEN 'CVE-' || p_size || ',CVE-' || n END AS cves
@@ -121,11 +122,15 @@ def hardest_triplets(spark, sf_dir):
     return t.agg(F.count("negative").alias("triplets"), F.round(F.sum("loss"), 3).alias("loss"), F.sum("losses").alias("losses"), F.round(F.sum("negatives") / F.sum("losses"), 6).alias("ratio"))
 
 
-@query(f"WITH {_SUFFIXES} SELECT line, suffix, kind FROM sk")
+_LINE = "CASE page_id % 4 WHEN 0 THEN '*.' || netloc WHEN 1 THEN '!' || netloc WHEN 2 THEN netloc ELSE '// ' || netloc END"
+
+
+@query(f"WITH {_PARTS}, sl AS (SELECT DISTINCT {_LINE} AS line FROM p WHERE netloc <> ''),\nsk AS{_SUFFIXES.split('sk AS', 1)[1]} SELECT line, suffix, kind FROM sk")
 def suffix_lines(spark, sf_dir):
-    """What each line of a list of thousands of rules says."""
-    k = suffix_kind(F.col("line"))
-    return suffix_lines_table(spark).select("line", *[c.alias(n) for n, c in k.items()])
+    """Rules and comments of a list of suffixes that pages' hosts make, line by line."""
+    p = table(spark, sf_dir, "pages").select("page_id", split(F.col("url"))["netloc"].alias("netloc")).where("netloc <> ''")
+    lines = p.select(F.expr(_LINE).alias("line")).distinct()
+    return lines.select("line", *[c.alias(n) for n, c in suffix_kind(F.col("line")).items()])
 
 
 @query("SELECT p_partkey, p_name AS friendly_name, p_size::VARCHAR AS latest_version, p_size % 2 = 0 AS popular, 'flaw ' || p_brand AS title FROM part")

@@ -16,20 +16,35 @@ STATE = "offline_count long, first_online timestamp_ntz, first_offline timestamp
 
 
 def fold(key, frames, state):
-    """One trigger's visits of a key, in order, on top of its state."""
+    """One trigger's visits of a key, in any order, on top of its state.
+
+    Frames are folded one by one: of what is read, only failures after the latest success so far are kept, as two numbers each.
+    """
+    import numpy as np
     import pandas as pd
 
     count, online, offline, updated, seen = state.get if state.exists else (0, None, None, None, 0)
-    visits = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    failed, ts = visits["failed"].to_numpy(bool), visits["ts"]
-    reached = (~failed).nonzero()[0]
-    if len(reached):  # what failed before the last success counts no more
-        online, count, offline = online or ts.iloc[reached[0]].to_pydatetime(), 0, None
-    rest = ts.iloc[reached[-1] + 1 :] if len(reached) else ts
+    last, first, rest, ids, newest = None, None, np.zeros(0, "datetime64[us]"), np.zeros(0, np.int64), None
+    for f in frames:
+        ts, number, failed = f["ts"].to_numpy("datetime64[us]"), f["event_id"].to_numpy(np.int64), f["failed"].to_numpy(bool)
+        if not len(ts):
+            continue
+        seen, newest = seen + len(ts), ts.max() if newest is None else max(newest, ts.max())
+        good = np.flatnonzero(~failed)
+        if len(good):
+            first = ts[good].min() if first is None else min(first, ts[good].min())
+            top = max(good, key=lambda i: (ts[i], number[i]))
+            last = max(last, (ts[top], number[top])) if last else (ts[top], number[top])
+        rest, ids = np.concatenate([rest, ts[failed]]), np.concatenate([ids, number[failed]])
+        if last:  # what failed before the last success counts no more
+            after = (rest > last[0]) | (rest == last[0]) & (ids > last[1])
+            rest, ids = rest[after], ids[after]
+    moment = lambda t: pd.Timestamp(t).to_pydatetime()
+    if last:
+        online, count, offline = online or moment(first), 0, None
     if len(rest):
-        count, offline = count + len(rest), offline or rest.iloc[0].to_pydatetime()
-    updated = ts.iloc[-1].to_pydatetime()
-    seen += len(visits)
+        count, offline = count + len(rest), offline or moment(rest.min())
+    updated = moment(newest) if newest is not None else updated
     state.update((count, online, offline, updated, seen))
     yield pd.DataFrame({"user_id": [key[0]], "offline_count": [count], "first_online": pd.Series([online], dtype="datetime64[us]"), "first_offline": pd.Series([offline], dtype="datetime64[us]"), "last_updated": pd.Series([updated], dtype="datetime64[us]"), "seen": [seen]})
 
