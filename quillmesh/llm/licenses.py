@@ -56,7 +56,13 @@ TEMPLATES = {
 }
 
 
-def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+#: Templates by name, or a table of them (license_id, text): notices and whole licences alike.
+Templates = dict[str, str] | DataFrame
+
+
+def templates(spark: SparkSession, texts: Templates = TEMPLATES) -> DataFrame:
+    if isinstance(texts, DataFrame):
+        return texts.select("license_id", "text").where("license_id IS NOT NULL")
     rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in texts.items()])
     return spark.range(1).select(F.inline(rows))
 
@@ -88,19 +94,19 @@ def bands(df: DataFrame, stride: int) -> DataFrame:
     return df.withColumn("bands", found).drop(*names)
 
 
-def shingle_index(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+def shingle_index(spark: SparkSession, texts: Templates = TEMPLATES) -> DataFrame:
     """license_id, m (its distinct shingles), key and idx, the shingle's number."""
     t = with_shingles(templates(spark, texts)).withColumn("sh", F.array_distinct("sh")).withColumn("m", F.size("sh"))
     return t.select("license_id", "m", F.posexplode("sh").alias("idx", "key"))
 
 
-def band_index(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+def band_index(spark: SparkSession, texts: Templates = TEMPLATES) -> DataFrame:
     """key and license_id of all windows of the templates: bands of the long ones, shingles of the short ones."""
     t = bands(with_shingles(templates(spark, texts)), 1)
     return t.select("license_id", F.explode(F.when(F.size("sh") >= LONG, F.col("bands")).otherwise(F.col("sh"))).alias("key")).distinct()
 
 
-def candidates(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+def candidates(docs: DataFrame, texts: Templates = TEMPLATES) -> DataFrame:
     """_d, _t and ids: the templates that share a band with a document of this doc_id and hash of its text."""
     spark = docs.sparkSession
     base = bands(with_shingles(docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")), STRIDE)
@@ -109,11 +115,12 @@ def candidates(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(F.collect_set("license_id").alias("ids"))
 
 
-def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts: Templates = TEMPLATES) -> DataFrame:
     """A row for each document and template of which at least three quarters of the shingles occur in the document.
 
     Null, empty and shorter texts have no shingles and no rows. Repeated rows give rows each; a null doc_id is kept.
-    first_word is the position of the first word that belongs to the template. Further columns are ignored.
+    first_word is the position of the first word that belongs to the template. Further columns are ignored. A table of
+    templates may hold whole licences; its license_id is unique, and its index is broadcast only if it is small.
     """
     known = maybe_broadcast(materialise(candidates(docs, texts), "candidates"))
     here = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")

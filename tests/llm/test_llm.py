@@ -141,6 +141,33 @@ def test_language(spark, awkward):
     assert odd[3] == odd[4] == odd[5] == odd[11] == "und" and odd[1] == "en" and odd[12] != "und"
 
 
+def test_licenses_of_a_table(spark):
+    """Whole licences as templates; copies with words replaced, put in or left out."""
+    import os
+    import random
+
+    folder, r = "/usr/share/common-licenses", random.Random(4)
+    whole = {n: open(f"{folder}/{n}").read() for n in ("Apache-2.0", "MPL-2.0", "GPL-3", "Artistic") if os.path.exists(f"{folder}/{n}")}
+    made = {f"t{i}": " ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for i in range(40)}
+    table = spark.createDataFrame([*whole.items(), *made.items(), ("none", None), (None, "no name at all here")], "license_id string, text string").selectExpr("*", "1 AS m")
+
+    def edited(text, how, every=25):  # four or five of 25 shingles go
+        words = text.split()
+        for at in range(every // 2, len(words), every):
+            words[at] = {"replace": "zzz", "insert": words[at] + " zzz", "delete": ""}[how]
+        return " ".join(words)
+
+    docs, want = [], set()
+    for k, (name, text) in enumerate({**whole, **made}.items()):
+        for j, how in enumerate(("replace", "insert", "delete")):
+            docs.append((10 * k + j, f"code {k} here\n{edited(text, how)}\nand more {j}"))
+            want.add((10 * k + j, name))
+    docs += [(9000, "nothing of the kind, in a text of some length that is no licence at all"), (9001, None)]
+    got = {(x.doc_id, x.license_id) for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+    assert {(d, n) for d, n in want if n in whole} <= got
+
+
 def test_models_travel_without_the_package():
     """Models go to Python workers that can't import the package."""
     import subprocess
