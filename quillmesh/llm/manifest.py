@@ -163,7 +163,8 @@ def authenticate(leaves: DataFrame, group: str, order: list[str], leaf: str) ->
     """leaves with path (the siblings before and after, from the leaf to the root), subroot and root.
 
     Groups stand in the order of their names' UTF-8 bytes, a null first; leaves by `order`, nulls first, then by their hash.
-    Rows equal in all of that may swap places. leaf is a hexadecimal SHA-256. No rows give no rows.
+    Rows equal in all of that may swap places. leaf is a hexadecimal SHA-256. No rows give no rows. The columns of leaves are
+    not named g, node, pos, block, path, top, subroot or root.
     """
     # a letter before each name, so that null is apart and first
     name = F.coalesce(F.concat(F.lit("s"), F.col(group).cast("string")), F.lit(""))
