@@ -5,9 +5,9 @@ values holds at least one cut; a pass counts the 2 ** STEP parts of each open in
 cuts in it, and the parts that still hold a cut are the next pass's intervals. A part with a single value is a cut value
 whose rank is known exactly. Rows outside the open intervals leave, so passes shrink.
 
-A summary is a table of points (keys, x, least, most, n): of the group's n rows at least `least` are <= x, and at most
-`most` are < x. Fresh summaries have exact numbers; summaries are combined by summing their bounds at every point, so a
-merge needs no rows. Nothing is collected or broadcast; a hot group is split by its values.
+A summary is a table of points (keys, x, least, most, n, full): of the group's n rows at least `least` are <= x, and at most
+`most` are < x; full says that every value of the group is a point. Fresh summaries have exact numbers, and so have those
+merged from full ones; summaries are combined by summing their bounds at every point, so a merge needs no rows. Nothing is collected or broadcast; a hot group is split by its values.
 """
 
 from __future__ import annotations
@@ -39,15 +39,16 @@ def multiselect(counts: DataFrame, keys: list[str], cuts: int = CUTS, spread: in
     """Points of each group of counts (keys, x, w; one row a value): its least value, the value of rank ceil(k n / cuts) for
     k in 1..cuts, the value of rank ceil(k d / spread) among its d distinct ones, or all of at most `keep`.
 
-    x are integers less than 2 ** 57 apart. Keys are any columns but x, w, least, most, n and names that begin with _. No rows
+    x are integers less than 2 ** 57 apart. Keys are any columns but x, w, least, most, n, full and names that begin with _. No rows
     give no points.
     """
     groups = counts.groupBy(*keys).agg(F.sum("w").alias("n"), F.count("*").alias("_d"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     groups = materialise(groups, "groups")  # so that the join below deals both its sides, and can split a hot group
     zero = F.lit(0).cast("long")
-    rows = materialise(counts.join(groups, keys).select(*keys, "x", "w", "n", "_d", "_lo", "_hi", zero.alias("_below"), zero.alias("_d_below")), "intervals")
+    # a group is one row, so its side makes a small table of each part, and the many rows need no order
+    rows = materialise(counts.join(groups.hint("shuffle_hash"), keys).select(*keys, "x", "w", "n", "_d", "_lo", "_hi", zero.alias("_below"), zero.alias("_d_below")), "intervals")
     ranked = F.sum("w").over(Window.partitionBy(*keys).orderBy("x"))  # of at most `keep` rows
-    points = [rows.where(F.col("_d") <= keep).select(*keys, "x", ranked.alias("least"), (ranked - F.col("w")).alias("most"), "n")]
+    points = [rows.where(F.col("_d") <= keep).select(*keys, "x", ranked.alias("least"), (ranked - F.col("w")).alias("most"), "n", F.lit(True).alias("full"))]
     rows = rows.where(F.col("_d") > keep)
     while True:
         rows = rows.withColumn("_part", F.expr(f"((x - _lo) * {1 << STEP}L) div (_hi - _lo + 1)"))
@@ -59,12 +60,12 @@ def multiselect(counts: DataFrame, keys: list[str], cuts: int = CUTS, spread: in
         if spread:
             holds = holds | F.expr(f"_d_upto * {spread} div _d > _d_below * {spread} div _d")
         held = materialise(inside.where(holds), "parts")
-        points.append(held.where("_a = _b").select(*keys, F.col("_a").alias("x"), F.col("_upto").alias("least"), F.col("_below").alias("most"), "n"))
+        points.append(held.where("_a = _b").select(*keys, F.col("_a").alias("x"), F.col("_upto").alias("least"), F.col("_below").alias("most"), "n", F.lit(False).alias("full")))
         held = held.where("_a < _b")
         if not held.limit(1).count():
             break
         inner = held.select(*keys, "_lo", "_part", "_a", "_b", F.col("_below").alias("_now"), F.col("_d_below").alias("_d_now"))
-        rows = rows.join(inner, [*keys, "_lo", "_part"])
+        rows = rows.join(inner.hint("shuffle_hash"), [*keys, "_lo", "_part"])
         rows = materialise(rows.select(*keys, "x", "w", "n", "_d", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_now").alias("_below"), F.col("_d_now").alias("_d_below")), "intervals")
     return reduce(DataFrame.unionByName, points)
 
@@ -82,11 +83,13 @@ def merge(points: DataFrame, keys: list[str], over: list[str]) -> DataFrame:
     by `over` meet in one task: as many summaries as one step combines, each of bounded size.
     """
     within = Window.partitionBy(*keys).orderBy("x")
-    steps = points.select(*keys, "x", "n", (F.col("least") - F.coalesce(F.lag("least").over(within), F.lit(0))).alias("_rise"), (F.coalesce(F.lead("most").over(within), F.col("n")) - F.col("most")).alias("_ahead"), F.when(F.lag("x").over(within).isNull(), F.struct("n", "most")).alias("_start"))
-    at = steps.groupBy(*over, "x").agg(F.sum("_rise").alias("_rise"), F.sum("_ahead").alias("_ahead"), F.coalesce(F.sum("_start.n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_start.most"), F.lit(0)).alias("_start"))
+    width = F.col("least") - F.col("most")  # of a full summary's points both bounds rise by this
+    whole = points.where("full").select(*over, "x", "full", width.alias("_rise"), width.alias("_ahead"), F.when(F.col("most") == 0, F.struct("n", "most")).alias("_start"))
+    other = points.where("NOT full").select(*over, "x", "full", (F.col("least") - F.coalesce(F.lag("least").over(within), F.lit(0))).alias("_rise"), (F.coalesce(F.lead("most").over(within), F.col("n")) - F.col("most")).alias("_ahead"), F.when(F.lag("x").over(within).isNull(), F.struct("n", "most")).alias("_start"))
+    at = whole.unionByName(other).groupBy(*over, "x").agg(F.sum("_rise").alias("_rise"), F.sum("_ahead").alias("_ahead"), F.coalesce(F.sum("_start.n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_start.most"), F.lit(0)).alias("_start"), F.bool_and("full").alias("full"))
     group, order = Window.partitionBy(*over), Window.partitionBy(*over).orderBy("x")
     most = F.sum("_start").over(group) + F.sum("_ahead").over(order) - F.col("_ahead")
-    return at.select(*over, "x", F.sum("_rise").over(order).alias("least"), most.alias("most"), F.sum("n").over(group).alias("n"))
+    return at.select(*over, "x", F.sum("_rise").over(order).alias("least"), most.alias("most"), F.sum("n").over(group).alias("n"), F.bool_and("full").over(group).alias("full"))
 
 
 def compress(points: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -95,7 +98,7 @@ def compress(points: DataFrame, keys: list[str], limit: int) -> DataFrame:
     before = F.coalesce(F.lag("least").over(order), F.lit(0))
     marked = points.withColumn("_size", F.count("*").over(Window.partitionBy(*keys))).withColumn("_before", before).withColumn("_row", F.row_number().over(order))
     stays = (F.col("_size") <= limit) | (F.col("_row") == 1) | F.expr(f"least * {limit - 1} div n > _before * {limit - 1} div n")
-    return marked.where(stays).drop("_size", "_before", "_row")
+    return marked.where(stays).withColumn("full", F.col("full") & (F.col("_size") <= limit)).drop("_size", "_before", "_row")
 
 
 def _targets(low: Column, high: Column, n: Column, parts: int) -> Column:
@@ -129,7 +132,7 @@ def ranks(counts: DataFrame, keys: list[str], asked: DataFrame, parts: int = 10)
     at = [f"_a{i}" for i in range(1, parts)]
     wide = asked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("answer"))).alias(c) for i, c in enumerate(at, 1)])
     wide = wide.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-    met = counts.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(wide, [*keys, "_salt"])
+    met = counts.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(wide.hint("shuffle_hash"), [*keys, "_salt"])
     zero = F.lit(0)
     sums = met.groupBy(*keys).agg(*[F.sum(F.when(F.col("x") < F.col(c), F.col("w")).otherwise(zero)).alias(f"{c}_below") for c in at], *[F.sum(F.when(F.col("x") <= F.col(c), F.col("w")).otherwise(zero)).alias(f"{c}_upto") for c in at])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"{c}_below").alias("n_below"), F.col(f"{c}_upto").alias("n_upto")) for i, c in enumerate(at, 1)])).alias("r")
@@ -168,21 +171,28 @@ def streams(clicks: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
 def quantile_report(counts: DataFrame) -> DataFrame:
     """Answers of the batch summaries and of the wholes merged from them (batch -1), held against exact ranks.
 
-    counts: stream, grp, batch, x, w. Wholes come from summaries only; their exact ranks from the rows.
+    counts: stream, grp, batch, x, w. Wholes come from summaries only; their exact ranks from their points where these are
+    all their values, else from the rows.
     """
     group, keys = ["stream", "grp"], ["stream", "grp", "batch"]
     counts = materialise(counts, "counts")
     points = materialise(multiselect(counts, keys), "points")
     whole = merge(points, keys, group).withColumn("batch", F.lit(-1))
-    both = materialise(points.unionByName(whole).withColumn("points", F.count("*").over(Window.partitionBy(*keys))).where(F.col("n") >= LEAST_ROWS), "summaries")
-    asked = answers(both, keys, PARTS).join(both.groupBy(*keys).agg(F.max("points").alias("points")), keys)
-    asked = materialise(asked, "answers")
-    large = counts.groupBy(*group, "x").agg(F.sum("w").alias("w"))
-    truth = exact(points, keys, PARTS).unionByName(exact(multiselect(large, group, PARTS, 0), group, PARTS).withColumn("batch", F.lit(-1)))
-    own = both.where("batch >= 0").select(*keys, F.col("x").alias("answer"), F.col("most").alias("n_below"), F.col("least").alias("n_upto"))
-    batches = asked.where("batch >= 0").join(own, [*keys, "answer"])
-    wholes = asked.where("batch < 0").join(ranks(counts, group, asked.where("batch < 0"), PARTS), [*group, "i"])
-    out = batches.unionByName(wholes).join(truth, [*keys, "i"])
+    asked_of = F.col("n") >= LEAST_ROWS
+    both = points.where(asked_of).unionByName(whole.where(asked_of))
+    both = materialise(both.withColumn("points", F.count("*").over(Window.partitionBy(*keys))), "summaries")
+    sized = both.groupBy(*keys).agg(F.max("points").alias("points"), F.bool_or("full").alias("full"))
+    asked = materialise(answers(both, keys, PARTS).join(sized, keys), "answers")
+    # batches and full wholes have exact numbers at every point
+    sure = F.col("full") | (F.col("batch") >= 0)
+    own = both.where(sure).select(*keys, F.col("x").alias("answer"), F.col("most").alias("n_below"), F.col("least").alias("n_upto"))
+    told = asked.where(sure).join(own, [*keys, "answer"]).join(exact(both.where(sure), keys, PARTS), [*keys, "i"])
+    rest = asked.where(~sure)
+    some = materialise(counts.join(rest.select(*group).distinct().hint("shuffle_hash"), group, "left_semi"), "unsure")
+    large = materialise(some.groupBy(*group, "x").agg(F.sum("w").alias("w")), "wholes")
+    truth = exact(multiselect(large, group, PARTS, 0), group, PARTS)
+    counted_ = rest.join(ranks(some, group, rest, PARTS), [*group, "i"]).join(truth, [*group, "i"])
+    out = told.unionByName(counted_.select(*told.columns))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     out = out.withColumn("rank_error", error).withColumn("points", F.col("points").cast("long"))
     return out.select("stream", "grp", "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (1000 * F.col("rank_error") <= 50 * F.col("n")).alias("within"))

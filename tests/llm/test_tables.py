@@ -201,7 +201,7 @@ def test_merges_keep_their_bounds(spark):
     parts = {(g, b): rng.integers(0, 1000, int(rng.integers(1, 900))) * (b + 1) for g in "xy" for b in range(12)}
     d = spark.createDataFrame([(g, b, int(v)) for (g, b), vs in parts.items() for v in vs], "g string, b int, x long")
     own = quantiles.summarise(d, ["g", "b"])
-    halves = quantiles.merge(own.selectExpr("g", "b % 3 AS third", "b", "x", "least", "most", "n"), ["g", "third", "b"], ["g", "third"])
+    halves = quantiles.merge(own.selectExpr("g", "b % 3 AS third", "b", "x", "least", "most", "n", "full"), ["g", "third", "b"], ["g", "third"])
     short = quantiles.compress(halves, ["g", "third"], 60)
     assert max(r["count"] for r in short.groupBy("g", "third").count().collect()) <= 60
     for merged, error in ((quantiles.merge(own, ["g", "b"], ["g"]), 0.03), (quantiles.merge(short, ["g", "third"], ["g"]), 0.08)):
