@@ -127,12 +127,20 @@ def exact(points: DataFrame, keys: list[str], parts: int = 10) -> DataFrame:
     return points.select(*keys, F.explode(_targets(F.col("most"), F.col("least"), F.col("n"), parts)).alias("i"), F.col("x").alias("exact_x")).withColumn("i", F.col("i").cast("int"))
 
 
+def _salted(counts: DataFrame) -> DataFrame:
+    """counts with a part of their group by value; what meets them comes once for each part."""
+    return counts.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+
+
+def _for_each_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+
+
 def ranks(counts: DataFrame, keys: list[str], asked: DataFrame, parts: int = 10) -> DataFrame:
     """keys, i, n_below and n_upto: exactly how many rows of counts (keys, x, w) are below asked's answer, and up to it."""
     at = [f"_a{i}" for i in range(1, parts)]
     wide = asked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("answer"))).alias(c) for i, c in enumerate(at, 1)])
-    wide = wide.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
-    met = counts.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(wide.hint("shuffle_hash"), [*keys, "_salt"])
+    met = _salted(counts).join(_for_each_salt(wide).hint("shuffle_hash"), [*keys, "_salt"])
     zero = F.lit(0)
     sums = met.groupBy(*keys).agg(*[F.sum(F.when(F.col("x") < F.col(c), F.col("w")).otherwise(zero)).alias(f"{c}_below") for c in at], *[F.sum(F.when(F.col("x") <= F.col(c), F.col("w")).otherwise(zero)).alias(f"{c}_upto") for c in at])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"{c}_below").alias("n_below"), F.col(f"{c}_upto").alias("n_upto")) for i, c in enumerate(at, 1)])).alias("r")
@@ -188,7 +196,8 @@ def quantile_report(counts: DataFrame) -> DataFrame:
     own = both.where(sure).select(*keys, F.col("x").alias("answer"), F.col("most").alias("n_below"), F.col("least").alias("n_upto"))
     told = asked.where(sure).join(own, [*keys, "answer"]).join(exact(both.where(sure), keys, PARTS), [*keys, "i"])
     rest = asked.where(~sure)
-    some = materialise(counts.join(rest.select(*group).distinct().hint("shuffle_hash"), group, "left_semi"), "unsure")
+    some = _salted(counts).join(_for_each_salt(rest.select(*group).distinct()).hint("shuffle_hash"), [*group, "_salt"], "left_semi")
+    some = materialise(some.drop("_salt"), "unsure")
     large = materialise(some.groupBy(*group, "x").agg(F.sum("w").alias("w")), "wholes")
     truth = exact(multiselect(large, group, PARTS, 0), group, PARTS)
     counted_ = rest.join(ranks(some, group, rest, PARTS), [*group, "i"]).join(truth, [*group, "i"])
