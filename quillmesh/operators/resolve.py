@@ -157,7 +157,8 @@ def mine_triplets(vectors: DataFrame, margin: float, rule: str = "hardest", batc
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node and depth of what roots (node) lead to by edges (src, dst); a frontier a round, until it is empty.
 
-    Each round finds new nodes, so there is an end; there are as many rounds as the farthest node is away.
+    Each round finds new nodes, so there is an end; there are as many rounds as the farthest node is away. As in ways(),
+    joins with what was written shuffle.
     """
     from .storage import cut
 
@@ -165,7 +166,7 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     front, depth = seen, 0
     while True:
         depth += 1
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        step = front.join(edges.hint("merge"), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.hint("merge"), "node", "left_anti")
         front = cut(step.withColumn("depth", F.lit(depth)), "front")
         if not front.limit(1).count():
             break
@@ -183,6 +184,8 @@ def ways(edges: DataFrame, starts: DataFrame, goals: DataFrame | None = None) ->
 
     With goals (doc, node) a graph is left once all of its goals are found, or its frontier is empty. Edges are dealt by a
     part of their other end, too, so a hub's are met by several tasks. Rows with nulls are no edges, starts or goals.
+    What a round meets is written, and may be many times its files' size in memory, so its joins shuffle by their hints: by
+    file size Spark would broadcast it through the driver.
     """
     from .storage import cut
 
@@ -194,12 +197,12 @@ def ways(edges: DataFrame, starts: DataFrame, goals: DataFrame | None = None) ->
     depth = 0
     while True:
         if left is not None:
-            left = cut(left.join(front.select("doc", "node"), ["doc", "node"], "left_anti"), "goals")
-            front = front.join(left.select("doc").distinct(), "doc", "left_semi")
+            left = cut(left.join(front.select("doc", "node").hint("merge"), ["doc", "node"], "left_anti"), "goals")
+            front = front.join(left.select("doc").distinct().hint("merge"), "doc", "left_semi")
         depth += 1
         each = front.select("doc", F.col("node").alias("src"), "way", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
-        step = each.join(dealt, ["doc", "src", "part"]).groupBy("doc", F.col("dst").alias("node")).agg(F.min("way").alias("way"))
-        step = step.join(seen.select("doc", "node"), ["doc", "node"], "left_anti")
+        step = each.join(dealt.hint("merge"), ["doc", "src", "part"]).groupBy("doc", F.col("dst").alias("node")).agg(F.min("way").alias("way"))
+        step = step.join(seen.select("doc", "node").hint("merge"), ["doc", "node"], "left_anti")
         front = cut(step.select("doc", "node", F.lit(depth).alias("depth"), F.concat("way", F.array("node")).alias("way")), "front")
         if not front.limit(1).count():
             return seen
