@@ -31,10 +31,11 @@ def status_code(raw: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """7.9KB for 8096."""
-    out = F.format_string("%.1f%sB", n / float(1024**5), F.lit("P"))
+    """7.9KB for 8096. Rounded by the exact value, halves to the even digit, as Python and C do: 2.2KB for 2304, which is 2.25."""
+    shown = lambda k, unit: F.concat(F.call_function("format_number", n / float(1024**k), F.lit("0.0")), F.lit(f"{unit}B"))
+    out = shown(5, "P")
     for k, unit in reversed(list(enumerate(["", "K", "M", "G", "T"]))):
-        out = F.when(F.abs(n) < 1024 ** (k + 1), F.format_string("%.1f%sB", n / float(1024**k), F.lit(unit))).otherwise(out)
+        out = F.when(F.abs(n) < 1024 ** (k + 1), shown(k, unit)).otherwise(out)
     return out
 
 

@@ -38,3 +38,9 @@ def test_batch_clusters_of_groups_that_meet(spark, tmp_path):
     v = spark.range(110).selectExpr("id AS vec_id", "array(cast(0.5 AS float), cast(0.5 AS float)) AS embedding", "cast(id % 3 AS int) AS label")
     v.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert same(spark, tmp_path, "batch_clusters", "embeddings")
+
+
+def test_human_size_rounds_halves_to_even(spark):
+    sizes = [0, 2304, 11520, 2816, 8096, 1023, 1 << 50, (1 << 50) * 5 // 4, 90_000 * 10**12, None]
+    got = [r[0] for r in spark.createDataFrame([(None if n is None else float(n),) for n in sizes], "n double").select(text.human_size(F.col("n"))).collect()]
+    assert got == ["0.0B", "2.2KB", "11.2KB", "2.8KB", "7.9KB", "1023.0B", "1.0PB", "1.2PB", f"{90_000 * 10**12 / 2**50:.1f}PB", None]
