@@ -155,8 +155,8 @@ def storage_listings(spark, sf_dir):
 def script_unescape(spark, sf_dir):
     """Bytes of wide and narrow escapes, of texts without any, and of broken ones."""
     i = F.col("c_custkey")
-    code = lambda c, n: F.lpad(F.hex(c), n, "0")
-    text = F.when(i % 3 == 0, F.concat(F.lit("%u"), code(i, 4), F.lit("%"), code(i % 128, 2), F.lit("k"))).when(i % 3 == 1, F.col("c_name")).otherwise(F.concat(F.lit("%z%"), code(i % 256, 2)))
+    code = lambda c: F.lpad(F.hex(c), 2, "0")  # noqa: E731  of keys above 65535 the high byte has their first two digits, as in the SQL
+    text = F.when(i % 3 == 0, F.concat(F.lit("%u"), code(F.floor(i / 256)), code(i % 256), F.lit("%"), code(i % 128), F.lit("k"))).when(i % 3 == 1, F.col("c_name")).otherwise(F.concat(F.lit("%z%"), code(i % 256)))
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(J.unescape(text)).alias("bytes"))
 
 

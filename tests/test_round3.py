@@ -44,3 +44,9 @@ def test_human_size_rounds_halves_to_even(spark):
     sizes = [0, 2304, 11520, 2816, 8096, 1023, 1 << 50, (1 << 50) * 5 // 4, 90_000 * 10**12, None]
     got = [r[0] for r in spark.createDataFrame([(None if n is None else float(n),) for n in sizes], "n double").select(text.human_size(F.col("n"))).collect()]
     assert got == ["0.0B", "2.2KB", "11.2KB", "2.8KB", "7.9KB", "1023.0B", "1.0PB", "1.2PB", f"{90_000 * 10**12 / 2**50:.1f}PB", None]
+
+
+def test_script_unescape_of_large_keys(spark, tmp_path):
+    c = spark.range(65_530, 65_560).union(spark.range(1_000_000, 1_000_006)).union(spark.range(3)).selectExpr("id AS c_custkey", "'name ' || id AS c_name")
+    c.write.parquet(str(tmp_path / "customer.parquet"))
+    assert same(spark, tmp_path, "script_unescape", "customer")
