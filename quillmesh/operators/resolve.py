@@ -69,39 +69,49 @@ def ladder(vectors: DataFrame, steps: list[float], min_points: int, good) -> Dat
     return labels
 
 
-#: About how many vectors a ring of triplets() has at most.
+#: About how many vectors an arc of a ring of triplets() has at most.
 RING = 10_000
 
 
 def triplets(vectors: DataFrame, label: str = "label", seed: str = "7") -> DataFrame:
     """One positive of the same and one negative of another label for each vector (id, v, label) that has both.
 
-    Vectors are put in seeded rings within their label and over all labels; the next one is the positive, the next of
-    another label is the negative, both around the ring's end. Labels and the whole are dealt into rings of about RING
-    vectors, so no task sorts a whole label and nothing is joined with everything. A ring that lacks one takes the
-    first vector of the label, or the first or last one of another label, over all rings. Rows without a label are left out.
+    Vectors are put in a seeded ring within their label and in one over all labels; the next one is the positive, the next
+    of another label is the negative, both around the ring's end. Rings are cut in their order into arcs of about RING
+    vectors, so no task sorts a whole label and nothing is joined with everything; what follows an arc is found from a row
+    for each arc. Rows without a label are left out.
     """
     from pyspark.sql import Window
 
     r = vectors.select("id", F.col(label).alias("label"), draw(F.col("id"), seed=seed).alias("o")).where("label IS NOT NULL")
-    deal = lambda n: F.pmod(F.xxhash64("o"), F.greatest(F.ceil(n / RING), F.lit(1)))
-    sizes = r.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("o", "id")).alias("low"), F.max(F.struct("o", "id")).alias("high"))
-    # the labels of the first and of the last vector's first: two, if there are two
-    ends = F.broadcast(sizes.agg(F.sum("n").alias("all"), F.min(F.struct("low", "label")).alias("a"), F.max(F.struct("low", "label")).alias("b")))
-    own = Window.partitionBy("label", "ring").orderBy("o", "id")
-    first = F.first("id").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    in_ring = F.coalesce(F.lead("id").over(own), first)
-    elsewhere = F.when(F.col("low.id") != F.col("id"), F.col("low.id")).otherwise(F.col("high.id"))
-    pos = r.join(sizes, "label").withColumn("ring", deal(F.col("n"))).select("id", "label", F.when(in_ring != F.col("id"), in_ring).otherwise(elsewhere).alias("positive"))
-    back = Window.partitionBy("ring").orderBy(F.desc("o"), F.desc("id"))  # backwards: what follows a row is a running value
-    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = F.when(F.lead("label").over(back) != F.col("label"), F.col("id")).alias("start")  # of runs of a label but the first
-    runs = r.crossJoin(ends).withColumn("ring", deal(F.col("all"))).select("*", starts)
+    # draws are spread evenly, so equal ranges of their first digits are arcs of about equal size
+    arc = lambda n: F.floor(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * F.greatest(F.ceil(n / RING), F.lit(1)) / F.lit(1 << 32))
+    later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = r.groupBy("label").agg(F.count("*").alias("n"))
+
+    own = r.join(sizes, "label").select("id", "label", "o", arc(F.col("n")).alias("arc"))
+    arcs = own.groupBy("label", "arc").agg(F.min_by("id", F.struct("o", "id")).alias("first"))
+    by_label = Window.partitionBy("label").orderBy("arc")
+    arcs = arcs.select("label", "arc", F.coalesce(F.lead("first").over(by_label), F.first("first").over(whole(by_label))).alias("after"))
+    inside = F.lead("id").over(Window.partitionBy("label", "arc").orderBy("o", "id"))
+    pos = own.withColumn("next", inside).join(arcs, ["label", "arc"]).select("id", "label", F.coalesce("next", "after").alias("positive"))
+
+    # the next of another label is where the next run of a label starts
+    total = F.broadcast(sizes.agg(F.sum("n").alias("n")))
+    run = Window.partitionBy("arc").orderBy("o", "id")
+    runs = r.crossJoin(total).select("id", "label", "o", arc(F.col("n")).alias("arc"))
+    runs = runs.withColumn("start", F.when(F.lag("label").over(run) != F.col("label"), F.col("id")))  # but that of the arc's first run
+    place = F.struct("o", "id")
+    arcs = runs.groupBy("arc").agg(F.min_by("id", place).alias("first"), F.min_by("label", place).alias("first_label"), F.max_by("label", place).alias("last_label"), F.min_by("start", F.when(F.col("start").isNotNull(), place)).alias("start"))
+    by_arc = Window.orderBy("arc")  # a row for each RING vectors
+    arcs = arcs.withColumn("start", F.when(F.lag("last_label").over(by_arc) != F.col("first_label"), F.col("first")).otherwise(F.col("start")))
+    around = F.when(F.first("first_label").over(whole(by_arc)) != F.col("last_label"), F.first("first").over(whole(by_arc)))
+    second = F.first("start", ignorenulls=True).over(whole(by_arc))
+    arcs = arcs.select("arc", F.coalesce(F.first("start", ignorenulls=True).over(later(by_arc)), around, second).alias("after"))
+    back = Window.partitionBy("arc").orderBy(F.desc("o"), F.desc("id"))  # backwards: what follows a row is a running value
     further = F.last("start", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    around = F.when(F.last("label").over(whole) != F.col("label"), F.last("id").over(whole))
-    second = F.last("start", ignorenulls=True).over(whole)
-    other = F.when(F.col("a.label") != F.col("label"), F.col("a.low.id")).when(F.col("b.label") != F.col("label"), F.col("b.low.id"))
-    neg = runs.select("id", F.coalesce(further, around, second, other).alias("negative"))
+    neg = runs.withColumn("next", further).join(arcs, "arc").select("id", F.coalesce("next", "after").alias("negative"))
     return pos.join(neg, "id").where(F.col("negative").isNotNull() & (F.col("positive") != F.col("id")))
 
 

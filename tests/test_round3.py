@@ -50,3 +50,14 @@ def test_script_unescape_of_large_keys(spark, tmp_path):
     c = spark.range(65_530, 65_560).union(spark.range(1_000_000, 1_000_006)).union(spark.range(3)).selectExpr("id AS c_custkey", "'name ' || id AS c_name")
     c.write.parquet(str(tmp_path / "customer.parquet"))
     assert same(spark, tmp_path, "script_unescape", "customer")
+
+
+@pytest.mark.parametrize("ring", [1, 7, 90])
+def test_rings_cut_into_arcs_are_one_ring(spark, ring, monkeypatch):
+    monkeypatch.setattr(resolve, "RING", ring)
+    label = {i: 0 if i < 80 else i % 4 for i in range(90)}
+    got = resolve.triplets(spark.createDataFrame([(i, [float(i)], k) for i, k in label.items()], "id long, v array<double>, label int")).collect()
+    order = sorted(label, key=lambda i: (hashlib.md5(f"{i}|7".encode()).hexdigest(), i))
+    after = lambda i: order[order.index(i) + 1 :] + order[: order.index(i)]
+    want = {i: (next(j for j in after(i) if label[j] == label[i]), next(j for j in after(i) if label[j] != label[i])) for i in order}
+    assert {r.id: (r.positive, r.negative) for r in got} == want
