@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from .sizes import small
 from .storage import cut
 
-#: Vectors in a block of the range join.
-BLOCK = 2048
+#: Vectors in a block of the range join: BLOCK of a few, of more so many that there are about BLOCKS blocks, MOST at last.
+#: So what a vector is sent to does not grow with their number, up to BLOCKS * MOST of them.
+BLOCK, BLOCKS, MOST = 2048, 16, 1 << 16
+#: Rows and columns of a block's product that a task holds at once, and pairs whose distances it computes at once.
+TILE, CHUNK = 2048, 1 << 16
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -70,49 +74,90 @@ def nearest(df: DataFrame, key: str, vector: str, centers: DataFrame, id: str, c
 AXES = 2
 
 
-def range_join(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """Pairs a < b of keys whose vectors are within eps.
-
-    Vectors are laid into cells as wide as eps along their principal axes: a pair within eps is in one cell or in two that
-    touch, so all others never meet. A cell's vectors are dealt into blocks, and two blocks that may hold a pair are a
-    matrix product in one task; groups have a fixed size and only pairs within eps leave a task. Where eps is as wide as the
-    data, all are in one cell and every two blocks meet.
-    """
-    v = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    kind = df.schema[key].dataType.simpleString()
+def in_cells(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame | None:
+    """k, v and cell of vectors, written; None if there are none. Cells are as wide as eps along the principal axes."""
+    exact = df.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    v = df.select(F.col(key).alias("k"), (F.col(vector) if exact else F.col(vector).cast("array<double>")).alias("v")).where("v IS NOT NULL")
     if not v.limit(1).count():
-        return v.select(F.col("k").cast("long").alias("a"), F.col("k").cast("long").alias("b"), F.lit(0.0).alias("distance"))
+        return None
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("int", "bigint", "smallint", "tinyint"):
+        raise TypeError(f"keys must be numbers: {kind}")
     mean, axes = principal_axes(v, "v", AXES)
     names = [f"x{i}" for i in range(len(axes))]
     placed = cut(projected(v, "v", mean, axes, names), "placed")
     low = placed.agg(*[F.min(n).alias(n) for n in names]).first()
     width = eps * (1 + 1e-9) + 1e-12
-    placed = placed.select("k", "v", F.array(*[F.floor((F.col(n) - F.lit(low[n])) / F.lit(width)) for n in names]).alias("cell"))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return placed.select("k", "v", F.array(*[F.floor((F.col(n) - F.lit(low[n])) / F.lit(width)) for n in names]).alias("cell"))
+
+
+def meetings(placed: DataFrame):
+    """The rows (k, v, cell and what else is there) of each two blocks that may hold a pair, grouped by these two."""
+    axes, rest = len(placed.select("cell").first()["cell"]), [c for c in placed.columns if c != "cell"]
+    block = max(BLOCK, min(-(-placed.count() // BLOCKS), MOST))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = cut(sizes, "cells")
-    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in step]) for step in itertools.product((-1, 0, 1), repeat=len(names))])
+    steps = F.array(*[F.array(*[F.lit(x).cast("long") for x in step]) for step in itertools.product((-1, 0, 1), repeat=axes)])
     own = placed.join(small(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")
     # a vector goes to each block that touches its own, its own included
-    beside = own.select("k", "v", "cell", "block", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda x, y: x + y))).alias("other"))
-    met = beside.join(small(sizes.select(F.col("cell").alias("other"), "blocks")), "other").select("k", "v", F.struct("cell", "block").alias("me"), "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    beside = own.select(*rest, "cell", "block", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda x, y: x + y))).alias("other"))
+    met = beside.join(small(sizes.select(F.col("cell").alias("other"), "blocks")), "other").select(*rest, F.struct("cell", "block").alias("me"), "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     it = F.struct(F.col("other").alias("cell"), F.col("j").alias("block"))
-    dealt = met.select("k", "v", (F.col("me") <= it).alias("first"), (F.col("me") == it).alias("same"), F.least("me", it).alias("i"), F.greatest("me", it).alias("j"))
-
-    def near(t: pa.Table) -> pa.Table:
-        k, same, first = t["k"].to_numpy(), t["same"][0].as_py(), t["first"].to_numpy()
-        m = t["v"].combine_chunks().flatten().to_numpy().reshape(len(k), -1)
-        left, right = (np.arange(len(k)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
-        square = (m * m).sum(axis=1)
-        d2 = square[left][:, None] + square[right][None, :] - 2 * m[left] @ m[right].T
-        x, y = np.nonzero(d2 <= eps * eps + 1e-9)
-        a, b = k[left[x]], k[right[y]]
-        d = np.sqrt(((m[left[x]] - m[right[y]]) ** 2).sum(axis=1))
-        ok = (d <= eps) & ((a < b) if same else (a != b))
-        return pa.table({"a": np.minimum(a, b)[ok].astype(np.int64), "b": np.maximum(a, b)[ok].astype(np.int64), "distance": d[ok]})
+    dealt = met.select(*rest, (F.col("me") <= it).alias("first"), (F.col("me") == it).alias("same"), F.least("me", it).alias("i"), F.greatest("me", it).alias("j"))
+    return dealt.groupBy("i", "j")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple:
+    """Keys, vectors, columns and how many rows are of the first block, whose rows come first; 0 if both blocks are one."""
+    t = pa.Table.from_batches(list(batches))
+    first = t["first"].to_numpy()
+    order = np.argsort(~first, kind="stable")
+    m = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(first), -1)[order].astype(float)
+    return t["k"].to_numpy()[order].astype(np.int64), m, *[t[c].to_numpy()[order] for c in columns], 0 if t["same"][0].as_py() else int(first.sum())
+
+
+def near_pairs(k: np.ndarray, m: np.ndarray, split: int, eps: float):
+    """Positions x, y and distances of pairs within eps, CHUNK at once: between the rows before and after split, of all if it is 0."""
+    low = m - m.mean(axis=0)  # products of large numbers would hide small distances
+    square = (low * low).sum(axis=1)
+    bound = eps * eps + 1e-9 + 1e-12 * square.max()
+    for i in range(0, split or len(m), TILE):
+        left = slice(i, min(i + TILE, split or len(m)))
+        for j in range(split or i, len(m), TILE):
+            right = slice(j, j + TILE)
+            d2 = low[left] @ low[right].T
+            d2 *= -2
+            d2 += square[left][:, None]
+            d2 += square[right][None, :]
+            at = np.flatnonzero(d2 <= bound)
+            for n in range(0, len(at), CHUNK):
+                x, y = np.divmod(at[n : n + CHUNK], d2.shape[1])
+                x, y = x + i, y + j
+                if not split:
+                    x, y = x[x < y], y[x < y]
+                d = np.sqrt(((m[x] - m[y]) ** 2).sum(axis=1))
+                ok = (d <= eps) & (k[x] != k[y])
+                yield x[ok], y[ok], d[ok]
 
-    if kind not in ("int", "bigint", "smallint", "tinyint"):
-        raise TypeError(f"keys must be numbers: {kind}")
-    return dealt.groupBy("i", "j").applyInArrow(near, "a long, b long, distance double")
+
+def range_join(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
+    """Pairs a < b of keys whose vectors are within eps.
+
+    Vectors are laid into cells as wide as eps along their principal axes: a pair within eps is in one cell or in two that
+    touch, so all others never meet. A cell's vectors are dealt into blocks, and two blocks that may hold a pair are a
+    matrix product in one task, tile by tile; blocks have a bounded size and only pairs within eps leave a task. Where eps
+    is as wide as the data, all are in one cell and every two blocks meet.
+    """
+    placed = in_cells(df, key, vector, eps)
+    if placed is None:
+        return df.limit(0).select(F.col(key).cast("long").alias("a"), F.col(key).cast("long").alias("b"), F.lit(0.0).alias("distance"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, m, split = gathered(batches)
+        for x, y, d in near_pairs(k, m, split, eps):
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(k[x], k[y]), "b": np.maximum(k[x], k[y]), "distance": d})
+
+    return meetings(placed).applyInArrow(near, "a long, b long, distance double")
 
 
 def components(links: DataFrame) -> DataFrame:

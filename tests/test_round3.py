@@ -3,11 +3,12 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
-from quillmesh.operators import resolve, storage
+from quillmesh.operators import resolve, storage, vectors
 from quillmesh.plans import catalog
 
 
@@ -61,3 +62,26 @@ def test_rings_cut_into_arcs_are_one_ring(spark, ring, monkeypatch):
     after = lambda i: order[order.index(i) + 1 :] + order[: order.index(i)]
     want = {i: (next(j for j in after(i) if label[j] == label[i]), next(j for j in after(i) if label[j] != label[i])) for i in order}
     assert {r.id: (r.positive, r.negative) for r in got} == want
+
+
+def frame(spark, m):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+
+
+@pytest.mark.parametrize("eps", [0.5, 30.0])
+def test_blocks_grow_with_the_rows(spark, eps, monkeypatch):
+    for name, n in (("BLOCK", 5), ("BLOCKS", 4), ("TILE", 16), ("CHUNK", 7)):
+        monkeypatch.setattr(vectors, name, n, raising=False)
+    m = np.random.default_rng(4).normal(size=(200, 3))
+    placed = vectors.in_cells(frame(spark, m), "id", "v", eps)
+    cells = placed.select("cell").distinct().count()
+    assert vectors.meetings(placed).count().count() <= (4 + cells) ** 2
+    far = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+    got = [(r.a, r.b) for r in vectors.range_join(frame(spark, m), "id", "v", eps).collect()]
+    assert sorted(got) == [(i, j) for i in range(200) for j in range(i + 1, 200) if far[i, j] <= eps]
+
+
+def test_near_pairs_far_from_the_origin(spark):
+    # of products of such numbers the distances' digits would be lost
+    m = 1e6 + np.arange(50)[:, None] * np.array([[1e-3, 0.0]])
+    assert vectors.range_join(frame(spark, m), "id", "v", 1.5e-3).count() == 49
