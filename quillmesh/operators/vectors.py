@@ -160,6 +160,19 @@ def range_join(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
     return meetings(placed).applyInArrow(near, "a long, b long, distance double")
 
 
+def joined_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (of each position the least one known to be linked with it) once positions x and y are linked, too."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label, the least node that links (a, b) lead to; label propagation with pointer jumping, each round written."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -179,17 +192,42 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) ->
     """key, core and cluster: the least key of the cluster's cores, or -1 for noise.
 
     A point is a core if min_points are within eps, itself included. A border point joins the cluster of its least core.
+    Pairs, which may grow with the square of the points, never leave a task: a first pass counts each point's neighbours,
+    a second one returns a forest of the links among the cores of two blocks, and the least core beside each other point.
     """
-    pairs = cut(range_join(df, key, vector, eps), "pairs")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    degree = both.groupBy("a").agg((F.count("*") + 1).alias("n"))
-    core = cut(degree.where(F.col("n") >= min_points).select(F.col("a").alias("core")), "cores")
-    if min_points <= 1:
-        core = cut(df.select(F.col(key).alias("core")), "cores")
-    among = both.join(core, both.a == F.col("core")).drop("core")
-    linked = components(among.join(core, F.col("b") == F.col("core"), "left_semi"))
+    placed = in_cells(df, key, vector, eps)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, m, split = gathered(batches)
+        n = np.zeros(len(k), np.int64)
+        for x, y, _ in near_pairs(k, m, split, eps):
+            n += np.bincount(x, minlength=len(k)) + np.bincount(y, minlength=len(k))
+        yield pa.RecordBatch.from_pydict({"k": k[n > 0], "n": n[n > 0]})
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, m, core, split = gathered(batches, "core")
+        root, none = np.arange(len(k)), np.iinfo(np.int64).max
+        least = np.full(len(k), none)
+        for x, y, _ in near_pairs(k, m, split, eps):
+            both = core[x] & core[y]
+            root = joined_roots(root, x[both], y[both])
+            for a, b in ((x, y), (y, x)):
+                edge = core[a] & ~core[b]
+                np.minimum.at(least, b[edge], k[a[edge]])
+        linked, beside = np.flatnonzero(root != np.arange(len(k))), np.flatnonzero(least != none)
+        yield pa.RecordBatch.from_pydict({"a": np.append(k[root[linked]], least[beside]), "b": np.append(k[linked], k[beside]), "border": np.arange(len(linked) + len(beside)) >= len(linked)})
+
+    keys = df.select(F.col(key).cast("long").alias("core"))
+    if placed is None:
+        core, met = keys if min_points <= 1 else keys.limit(0), df.sparkSession.createDataFrame([], "a long, b long, border boolean")
+    else:
+        degree = meetings(placed).applyInArrow(count, "k long, n long").groupBy("k").agg((F.sum("n") + 1).alias("n"))
+        core = cut(keys if min_points <= 1 else degree.where(F.col("n") >= min_points).select(F.col("k").alias("core")), "cores")
+        flagged = placed.join(core.distinct().withColumnRenamed("core", "_c"), F.col("k") == F.col("_c"), "left").select("k", "v", "cell", F.col("_c").isNotNull().alias("core"))
+        met = cut(meetings(flagged).applyInArrow(link, "a long, b long, border boolean"), "met")
+    linked = components(met.where("NOT border"))
     label = core.join(linked, F.col("core") == F.col("node"), "left").select("core", F.coalesce("label", "core").alias("cluster"))
-    border = among.groupBy("b").agg(F.min("a").alias("nearest"))
+    border = met.where("border").groupBy("b").agg(F.min("a").alias("nearest"))
     out = df.select(key).join(label.select(F.col("core").alias(key), F.col("cluster").alias("own")), key, "left")
     out = out.join(border.withColumnRenamed("b", key), key, "left").join(label.select(F.col("core").alias("nearest"), F.col("cluster").alias("via")), "nearest", "left")
     return out.select(key, F.col("own").isNotNull().alias("core"), F.coalesce("own", "via", F.lit(-1)).alias("cluster"))

@@ -85,3 +85,19 @@ def test_near_pairs_far_from_the_origin(spark):
     # of products of such numbers the distances' digits would be lost
     m = 1e6 + np.arange(50)[:, None] * np.array([[1e-3, 0.0]])
     assert vectors.range_join(frame(spark, m), "id", "v", 1.5e-3).count() == 49
+
+
+def test_clusters_without_pairs(spark, monkeypatch):
+    for name, n in (("BLOCK", 20), ("BLOCKS", 3), ("TILE", 8), ("CHUNK", 5)):
+        monkeypatch.setattr(vectors, name, n, raising=False)
+    monkeypatch.setattr(vectors, "range_join", None)  # pairs would grow with the square of the rows
+    m = np.random.default_rng(8).normal(size=(150, 2))
+    near = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) <= 0.3
+    core = near.sum(1) >= 6
+    label = {i: i for i in np.flatnonzero(core)}
+    for _ in label:
+        label = {i: min(label[j] for j in np.flatnonzero(near[i] & core)) for i in label}
+    want = {i: label[i] if core[i] else next((label[j] for j in np.flatnonzero(near[i] & core)), -1) for i in range(150)}
+    got = vectors.dbscan(frame(spark, m), "id", "v", 0.3, 6).collect()
+    assert {r.id: r.cluster for r in got} == want and {r.id for r in got if r.core} == set(np.flatnonzero(core))
+    assert len(set(want.values())) > 2 and -1 in want.values()
