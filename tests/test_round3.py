@@ -101,3 +101,5 @@ def test_clusters_without_pairs(spark, monkeypatch):
     got = vectors.dbscan(frame(spark, m), "id", "v", 0.3, 6).collect()
     assert {r.id: r.cluster for r in got} == want and {r.id for r in got if r.core} == set(np.flatnonzero(core))
     assert len(set(want.values())) > 2 and -1 in want.values()
+    steps = resolve.ladder(frame(spark, m), [30.0, 0.3], 6, lambda x: x.select("cluster").distinct().count() > 1)
+    assert {r.id: r.cluster for r in steps.collect()} == want
