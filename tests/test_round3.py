@@ -103,3 +103,13 @@ def test_clusters_without_pairs(spark, monkeypatch):
     assert len(set(want.values())) > 2 and -1 in want.values()
     steps = resolve.ladder(frame(spark, m), [30.0, 0.3], 6, lambda x: x.select("cluster").distinct().count() > 1)
     assert {r.id: r.cluster for r in steps.collect()} == want
+
+
+def test_a_dense_group_is_joined_in_little_memory():
+    import tracemalloc
+
+    m, k = np.zeros((3000, 64)), np.arange(3000)
+    tracemalloc.start()
+    assert sum(len(d) for _, _, d in vectors.near_pairs(k, m, 0, 1.0)) == 3000 * 2999 // 2
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20  # the differences of all pairs would be 2 GB
+    tracemalloc.stop()
