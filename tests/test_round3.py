@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text
 from quillmesh.operators import resolve, storage, vectors
 from quillmesh.plans import catalog
+from quillmesh.sources import pdf_filters
 
 
 def same(spark, path, name, table):
@@ -113,3 +114,15 @@ def test_a_dense_group_is_joined_in_little_memory():
     assert sum(len(d) for _, _, d in vectors.near_pairs(k, m, 0, 1.0)) == 3000 * 2999 // 2
     assert tracemalloc.get_traced_memory()[1] < 400 << 20  # the differences of all pairs would be 2 GB
     tracemalloc.stop()
+
+
+def test_stream_filters_take_a_step_a_code():
+    text = b"several words, several more words, and words again. " * 4000
+    for name in pdf_filters.ENCODERS:
+        for data in (b"", b"a", b"\0" * 9, bytes(range(256)) * 20, text):
+            assert pdf_filters.decode(pdf_filters.encode(data, [name]), [name], []) == (data, [])
+    assert pdf_filters.ENCODERS["ASCII85Decode"](b"\0" * 4 + b"ab") == b"z@:B~>"
+    codes = [256, *range(200), 257]  # a reader's width is 9 up to code 254
+    bits = "".join(f"{c:09b}" for c in codes)
+    want = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert pdf_filters.lzw_encode(bytes(range(200))) == want and pdf_filters.lzw(want) == bytes(range(200))
