@@ -17,9 +17,9 @@ from .storage import cut
 
 #: Vectors in a block of the range join: BLOCK of a few, of more so many that there are about BLOCKS blocks, MOST at last.
 #: So what a vector is sent to does not grow with their number, up to BLOCKS * MOST of them.
-BLOCK, BLOCKS, MOST = 2048, 16, 1 << 16
+BLOCK, BLOCKS, MOST = 512, 16, 1 << 16
 #: Rows and columns of a block's product that a task holds at once, and pairs whose distances it computes at once.
-TILE, CHUNK = 2048, 1 << 16
+TILE, CHUNK = 1024, 1 << 12
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -116,28 +116,63 @@ def gathered(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple:
     return t["k"].to_numpy()[order].astype(np.int64), m, *[t[c].to_numpy()[order] for c in columns], 0 if t["same"][0].as_py() else int(first.sum())
 
 
-def near_pairs(k: np.ndarray, m: np.ndarray, split: int, eps: float):
-    """Positions x, y and distances of pairs within eps, CHUNK at once: between the rows before and after split, of all if it is 0."""
+def tiles(n: int, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of rows that meet at once, TILE and TILE: of those before and after split, or each two of all n if it is 0."""
+    for i in range(0, split or n, TILE):
+        for j in range(split or i, n, TILE):
+            yield np.arange(i, min(i + TILE, split or n)), np.arange(j, min(j + TILE, n))
+
+
+def far(m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows x from the rows y, CHUNK at once."""
+    d = np.empty(len(x))
+    for c in range(0, len(x), CHUNK):
+        d[c : c + CHUNK] = ((m[x[c : c + CHUNK]] - m[y[c : c + CHUNK]]) ** 2).sum(axis=1)
+    return np.sqrt(d)
+
+
+def finder(k: np.ndarray, m: np.ndarray, eps: float):
+    """near(i, j): positions x in i and y in j of all pairs of rows with different keys within eps.
+
+    A product gives the squared distances. Its rounding has a bound, and distances that lie as near to eps as that are
+    computed anew by differences, so the product is in single precision where that leaves few of them.
+    """
     low = m - m.mean(axis=0)  # products of large numbers would hide small distances
     square = (low * low).sum(axis=1)
-    bound = eps * eps + 1e-9 + 1e-12 * square.max()
-    for i in range(0, split or len(m), TILE):
-        left = slice(i, min(i + TILE, split or len(m)))
-        for j in range(split or i, len(m), TILE):
-            right = slice(j, j + TILE)
-            d2 = low[left] @ low[right].T
-            d2 *= -2
-            d2 += square[left][:, None]
-            d2 += square[right][None, :]
-            at = np.flatnonzero(d2 <= bound)
-            for n in range(0, len(at), CHUNK):
-                x, y = np.divmod(at[n : n + CHUNK], d2.shape[1])
-                x, y = x + i, y + j
-                if not split:
-                    x, y = x[x < y], y[x < y]
-                d = np.sqrt(((m[x] - m[y]) ** 2).sum(axis=1))
-                ok = (d <= eps) & (k[x] != k[y])
-                yield x[ok], y[ok], d[ok]
+    most = square.max() or 1.0
+    low /= np.sqrt(most)
+    square /= most
+    n, bound = m.shape[1], min(eps * eps / most, 8.0)  # no square is above 4 now
+    off = {t: float(4 * (n + 8) * np.finfo(t).eps) for t in (np.float32, np.float64)}
+    kind = np.float32 if off[np.float32] <= bound / 100 else np.float64
+    sure, ever = float(bound - off[kind]), float(bound + off[kind])
+    right = np.empty((len(m), n + 2), kind)
+    right[:, :n], right[:, n], right[:, n + 1] = low, 1, square
+    left = -2 * right
+    left[:, n], left[:, n + 1] = square, 1
+    del low, square
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d2 = (left[i] @ right[j].T).ravel()
+        at = np.flatnonzero(d2 <= ever)
+        x, y = np.divmod(at, max(1, len(j)))
+        x, y = i[x], j[y]
+        ok = k[x] != k[y]
+        unsure = np.flatnonzero(ok & (d2[at] > sure))
+        ok[unsure] = far(m, x[unsure], y[unsure]) <= eps
+        return x[ok], y[ok]
+
+    return near
+
+
+def near_pairs(k: np.ndarray, m: np.ndarray, split: int, eps: float):
+    """Positions x, y and distances of pairs within eps, a tile's at once: between the rows before and after split, of all if it is 0."""
+    near = finder(k, m, eps)
+    for i, j in tiles(len(m), split):
+        x, y = near(i, j)
+        if not split:
+            x, y = x[x < y], y[x < y]
+        yield x, y, far(m, x, y)
 
 
 def range_join(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
@@ -194,26 +229,40 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, min_points: int) ->
     A point is a core if min_points are within eps, itself included. A border point joins the cluster of its least core.
     Pairs, which may grow with the square of the points, never leave a task: a first pass counts each point's neighbours,
     a second one returns a forest of the links among the cores of two blocks, and the least core beside each other point.
+    Rows that a task knows as cores are counted no further, and cores that it has linked don't meet again; so what is dense
+    takes few products, and all others are made.
     """
     placed = in_cells(df, key, vector, eps)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, m, split = gathered(batches)
-        n = np.zeros(len(k), np.int64)
-        for x, y, _ in near_pairs(k, m, split, eps):
-            n += np.bincount(x, minlength=len(k)) + np.bincount(y, minlength=len(k))
+        near, n = finder(k, m, eps), np.zeros(len(k), np.int64)
+        for i, j in tiles(len(m), split):
+            a, b = i[n[i] < min_points - 1], j[n[j] < min_points - 1]
+            if i[0] == j[0]:
+                found = [near(a, j)[0]]
+            elif len(a) * len(j) + len(i) * len(b) < len(i) * len(j):
+                found = [near(a, j)[0], near(i, b)[1]]
+            else:
+                found = near(i, j)
+            for x in found:
+                n += np.bincount(x, minlength=len(n))
         yield pa.RecordBatch.from_pydict({"k": k[n > 0], "n": n[n > 0]})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, m, core, split = gathered(batches, "core")
         root, none = np.arange(len(k)), np.iinfo(np.int64).max
-        least = np.full(len(k), none)
-        for x, y, _ in near_pairs(k, m, split, eps):
-            both = core[x] & core[y]
-            root = joined_roots(root, x[both], y[both])
-            for a, b in ((x, y), (y, x)):
-                edge = core[a] & ~core[b]
-                np.minimum.at(least, b[edge], k[a[edge]])
+        near, least = finder(k, m, eps), np.full(len(k), none)
+        for i, j in tiles(len(m), split):
+            a, b = i[core[i]], j[core[j]]
+            roots, times = np.unique(root[np.append(a, b)], return_counts=True)
+            if len(roots) > 1:  # those of the most frequent root needn't meet each other
+                most = roots[times.argmax()]
+                root = joined_roots(root, *near(a[root[a] != most], b))
+                root = joined_roots(root, *near(a, b[root[b] != most]))
+            for edge, beside in ((i[~core[i]], b), (j[~core[j]], a)):
+                x, y = near(edge, beside)
+                np.minimum.at(least, x, k[y])
         linked, beside = np.flatnonzero(root != np.arange(len(k))), np.flatnonzero(least != none)
         yield pa.RecordBatch.from_pydict({"a": np.append(k[root[linked]], least[beside]), "b": np.append(k[linked], k[beside]), "border": np.arange(len(linked) + len(beside)) >= len(linked)})
 

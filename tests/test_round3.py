@@ -126,3 +126,21 @@ def test_stream_filters_take_a_step_a_code():
     bits = "".join(f"{c:09b}" for c in codes)
     want = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
     assert pdf_filters.lzw_encode(bytes(range(200))) == want and pdf_filters.lzw(want) == bytes(range(200))
+
+
+def test_what_a_vector_is_sent_to_does_not_grow(spark):
+    def sent(n):
+        placed = spark.range(n).selectExpr("id AS k", "array(cast(id % 97 AS double) / 97) AS v", "array(0L) AS cell")
+        return vectors.meetings(placed).count().agg(F.sum("count")).first()[0] / n
+
+    assert sent(9_000) == sent(36_000) == vectors.BLOCKS
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 3e4])
+def test_distances_at_eps_are_told_exactly(scale):
+    # beside an unrelated far row single precision can't tell the lattice's neighbours from eps
+    m = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)] + [[300.0, 0, 0]]) * scale
+    k = np.arange(len(m))
+    want = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) <= scale
+    x, y = vectors.finder(k, m, scale)(k, k)
+    assert sorted(zip(x, y)) == sorted((i, j) for i, j in zip(*np.nonzero(want)) if i != j)
