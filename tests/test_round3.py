@@ -144,3 +144,13 @@ def test_distances_at_eps_are_told_exactly(scale):
     want = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)) <= scale
     x, y = vectors.finder(k, m, scale)(k, k)
     assert sorted(zip(x, y)) == sorted((i, j) for i, j in zip(*np.nonzero(want)) if i != j)
+
+
+def test_pairs_of_a_dense_group_take_little_more_memory_than_a_tile():
+    import tracemalloc
+
+    m = np.random.default_rng(3).normal(size=(4000, 64)) * 1e-3
+    tracemalloc.start()
+    assert sum(len(d) for _, _, d in vectors.near_pairs(np.arange(4000), m, 0, 1.0)) == 4000 * 3999 // 2
+    assert tracemalloc.get_traced_memory()[1] < 96 << 20
+    tracemalloc.stop()
